@@ -9,9 +9,9 @@
 4. Buckets that still span several components are finished exactly. Pairs of small
    buckets are listed. Members of large buckets go through a prefix-filter join:
    a pair over the threshold shares one of the rarest shingles of each side, and a
-   shingle that no other member has starts no pair. Shingles that are both rare
-   enough to be in a prefix and common to many members link only what stands
-   outside the bucket's main component.
+   shingle that no other member has starts no pair. Members that reach a common
+   shingle within their prefix have few rarer ones; they are first linked to the most
+   central of them, and only what stays outside the main component is joined with all.
 5. Components by large-star and small-star.
 
 With 24 bands of 4 rows, a pair at similarity 0.85 shares no band with probability
@@ -176,9 +176,9 @@ def _labelled(table: DataFrame, labels: DataFrame, key: str, name: str) -> DataF
 
 
 def _rare_prefix(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
-    """``token, doc_id`` of the rarest tokens of each set: as many as a pair over the
-    threshold must share one of. Frequencies are over the given ids; tokens that one
-    document alone has are left out."""
+    """``token, df, doc_id, n, place`` of the rarest tokens of each set: as many as a
+    pair over the threshold must share one of. Frequencies are over the given ids;
+    tokens that one document alone has are left out, but keep their places."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +193,15 @@ def _rare_prefix(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     # overlap >= percent/100 of the larger union >= percent/100 of n
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     per_doc = joined.groupBy("doc_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    return per_doc.select("doc_id", F.explode(F.slice("ranked", 1, prefix.cast("int"))).alias("t")).where("t.df > 1").select(F.col("t.token").alias("token"), F.col("t.df").alias("df"), "doc_id")
+    return per_doc.select("doc_id", "n", F.posexplode(F.slice("ranked", 1, prefix.cast("int"))).alias("place", "t")).where("t.df > 1").select(F.col("t.token").alias("token"), F.col("t.df").alias("df"), "doc_id", "n", "place")
+
+
+def _could_link(percent: int):
+    """Length filter, and positional filter for the first token that two sets share:
+    what follows it on either side must suffice for the overlap that is needed."""
+    length = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
+    reach = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv"))
+    return length & ((100 + percent) * reach >= percent * (F.col("nu") + F.col("nv")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -241,22 +249,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     listed = mine.join(other, "key").where("u < v and cu <> cv").select("u", "v").distinct()
 
     crowd = open_.where(F.col("members") > LISTED).select("doc_id", "component").distinct()
-    prefix = materialise(_rare_prefix(sets, crowd.select("doc_id").distinct(), percent), "prefix").join(crowd, "doc_id")
+    prefix = materialise(_rare_prefix(sets, crowd.select("doc_id").distinct(), percent).join(crowd, "doc_id"), "prefix")
+    left = F.col("token"), F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("place").alias("pu")
+    right = F.col("token"), F.col("doc_id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("place").alias("pv")
     rare = prefix.where(F.col("df") <= LISTED)
-    a = rare.select("token", F.col("doc_id").alias("u"), F.col("component").alias("cu"))
-    b = rare.select("token", F.col("doc_id").alias("v"), F.col("component").alias("cv"))
-    by_rare = a.join(b, "token").where("u < v and cu <> cv").select("u", "v").distinct()
+    by_rare = rare.select(*left).join(rare.select(*right), "token").where(F.expr("u < v and cu <> cv") & _could_link(percent)).select("u", "v").distinct()
+
+    # a common token's most central member has the fewest rarer tokens: most others are near it
     common = prefix.where(F.col("df") > LISTED)
-    per_component = common.groupBy("token", "component").agg(F.count("*").alias("held"))
-    main = per_component.groupBy("token").agg(F.max_by("component", F.struct("held", "component")).alias("main"))
-    outside = common.join(main, "token").where("component <> main").select("token", F.col("doc_id").alias("u"), F.col("component").alias("cu"))
-    by_common = outside.join(common.select("token", F.col("doc_id").alias("v"), F.col("component").alias("cv")), "token").where("u <> v and cu <> cv").select("u", "v").distinct()
+    central = common.groupBy("token").agg(F.min_by("doc_id", F.struct("place", "doc_id")).alias("v"))
+    second = _ordered(common.select("token", F.col("doc_id").alias("u")).join(central, "token").select("u", "v"))
+    near_centre = materialise(linker.links(materialise(linker.filtered(second), "starpairs")), "links")
+    labels = materialise(connected_components(links.unionAll(near_centre)), "labels")
+    common = materialise(_labelled(common.drop("component"), labels, "doc_id", "component"), "common")
+    main = common.groupBy("token", "component").agg(F.count("*").alias("held")).groupBy("token").agg(F.max_by("component", F.struct("held", "component")).alias("main"))
+    outside = common.join(main, "token").where("component <> main")
+    by_common = outside.select(*left).join(common.select(*right), "token").where(F.expr("u <> v and cu <> cv") & _could_link(percent)).select("u", "v").distinct()
 
     rest = _ordered(listed.unionAll(by_rare).unionAll(by_common))
     more = materialise(linker.links(materialise(linker.filtered(rest), "restpairs")), "links")
     # a document that repeats in several classes ties them together
     tied = members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")
-    final = connected_components(links.unionAll(more).unionAll(tied))
+    final = connected_components(links.unionAll(near_centre).unionAll(more).unionAll(tied))
 
     rows = signed.select("doc_id", "n_shingles")
     named = rows.join(final.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left")
