@@ -175,25 +175,51 @@ def _labelled(table: DataFrame, labels: DataFrame, key: str, name: str) -> DataF
     return table.join(named, key, "left").withColumn(name, F.coalesce("_c", key)).drop("_c")
 
 
-def _rare_prefix(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
-    """``token, df, doc_id, n, place`` of the rarest tokens of each set: as many as a
-    pair over the threshold must share one of. Frequencies are over the given ids;
-    tokens that one document alone has are left out, but keep their places."""
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, blob in zip(_column(batch, "doc_id").to_pylist(), _column(batch, "shingles"), strict=True):
+            s = np.frombuffer(blob.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), doc, np.int64))], names=["token", "doc_id"])
+
+
+#: Stands for the frequency of a token that more than ``LISTED`` documents have.
+COMMON = LISTED + 1
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _prefixer(percent: int):
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, blob in zip(_column(batch, "doc_id").to_pylist(), _column(batch, "shingles"), strict=True):
-                s = np.frombuffer(blob.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), doc, np.int64)), pa.array(np.full(len(s), len(s), np.int64))], names=["token", "doc_id", "n"])
-
-    member = sets.join(ids, "doc_id").mapInArrow(tokens, "token long, doc_id long, n long")
-    df = member.groupBy("token").agg(F.count("*").alias("df"))
-    # A document's tokens are bounded by its length; the rank is within one document.
-    joined = member.join(df, "token")
-    # overlap >= percent/100 of the larger union >= percent/100 of n
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    per_doc = joined.groupBy("doc_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    return per_doc.select("doc_id", "n", F.posexplode(F.slice("ranked", 1, prefix.cast("int"))).alias("place", "t")).where("t.df > 1").select(F.col("t.token").alias("token"), F.col("t.df").alias("df"), "doc_id", "n", "place")
+            out = []
+            for row in batch.to_pylist():
+                tokens = np.frombuffer(row["shingles"], np.int64)
+                n = len(tokens)
+                length = n - -(-n * percent // 100) + 1
+                alone = row["alone"] or 0
+                rare = sorted((x["df"], x["token"]) for x in row["rare"] or ())
+                if alone + len(rare) < length:
+                    own = np.array([*(row["unshared"] or ()), *(t for _, t in rare)], dtype=np.int64)
+                    rare += [(COMMON, t) for t in np.setdiff1d(tokens, own, assume_unique=True)[: length - alone - len(rare)].tolist()]
+                out += [(t, df, row["doc_id"], n, place) for place, (df, t) in enumerate(rare, alone) if place < length]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=["token", "df", "doc_id", "n", "place"])
+
+    return prefixes
+
+
+def _rare_prefix(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """``token, df, doc_id, n, place`` of the first tokens of each set: as many as a
+    pair over the threshold must share one of.
+
+    The order is by frequency over the given ids, with all tokens of more than
+    ``LISTED`` documents last, by their hash. A token that one document alone has
+    takes its place, but gives no row, as no other set shares it.
+    """
+    chosen = sets.join(ids, "doc_id")
+    member = chosen.mapInArrow(_tokens, "token long, doc_id long")
+    df = materialise(member.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("owner")).where(F.col("df") <= LISTED), "frequencies")
+    alone = df.where("df = 1").groupBy(F.col("owner").alias("doc_id")).agg(F.count("*").alias("alone"), F.collect_list("token").alias("unshared"))
+    rare = member.join(df.where("df > 1").select("token", "df"), "token").groupBy("doc_id").agg(F.collect_list(F.struct("df", "token")).alias("rare"))
+    return chosen.join(alone, "doc_id", "left").join(rare, "doc_id", "left").select("doc_id", "shingles", "alone", "unshared", "rare").mapInArrow(_prefixer(percent), "token long, df long, doc_id long, n long, place long")
 
 
 def _could_link(percent: int):
