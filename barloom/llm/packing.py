@@ -34,30 +34,78 @@ PIECES = T.StructType(
 )
 
 
+#: Ends a word for the second encoder; a text that has it itself takes the first.
+MARK = "\x01"
+# How the tokenizer splits lower-case text, over the characters of Latin-1.
+_LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+_SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class WordTokens:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and no token spans it, so each word between
-    spaces or line feeds is encoded alone, once, and remembered.
+    The tokenizer splits a text into words and merges within words alone, so a word's
+    ids are found once and remembered. Words that are new are merged together in one
+    call of a byte-pair encoder that holds the same vocabulary, with a mark for the
+    end of a word; it gives the same ids as merges by rank reach each token by one
+    path. Texts beyond Latin-1 go through the tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
+        import re
+
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.split = re.compile(_SPLIT).findall
+        byte_of, end = _byte_of(), "</w>"
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks, self.ends = {}, np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, place in self.tokenizer.get_vocab().items():
+            if token in added:
+                continue
+            last = token.endswith(end) and token != end
+            raw = bytes(byte_of[c] for c in (token[: -len(end)] if last else token))
+            if MARK.encode() in raw and raw != MARK.encode():
+                continue
+            self.ends[place] = last
+            if not (last and raw == MARK.encode()):
+                ranks[raw + MARK.encode() * last] = place
+        self.merge = tiktoken.Encoding("words", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _words(self, text: str) -> list[str] | None:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if MARK in text else self.split(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self._words(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
-        new = list(set().union(*split) - known.keys())
+        new = list(set().union(*(w for w in split if w is not None)) - known.keys())
         if new:
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            ids = np.array(self.merge(MARK.join(new) + MARK), dtype="<u4")
+            blob, at = ids.tobytes(), 0
+            for word, stop in zip(new, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+                known[word] = blob[at:stop]
+                at = stop
+        return [
+            b"".join(map(known.__getitem__, words)) if words is not None else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            for words, text in zip(split, texts, strict=True)
+        ]
 
 
 class _Space:
