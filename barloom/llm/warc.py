@@ -25,8 +25,8 @@ from .storage import scratch_path
 
 SEGMENT_BYTES = 1 << 16
 CHUNK_BYTES = 1 << 13
-#: Payload bytes that one archive file is meant to hold.
-ARCHIVE_BYTES = 1 << 24
+#: Records of an archive file at most; with the segment size, this bounds its bytes.
+ARCHIVE_RECORDS = 2048
 REVISIT_FROM = 1000
 RECORD_END = "\r\n\r\n"
 
@@ -140,19 +140,16 @@ def _writer(segment_bytes: int, chunk_bytes: int):
     return write
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, archive_records: int = ARCHIVE_RECORDS) -> None:
     """Write pages (``page_id, url, payload, digest, refers_to``) as gzip-compressed WARC files.
 
-    Files follow the partitions of ``pages``, dealt anew only to keep an archive near
-    ``archive_bytes`` of payload.
+    Files follow the partitions of ``pages``; a partition begins a new archive after
+    so many records. Segments of one record may lie in two archives.
     """
-    pages = pages.select("page_id", "url", "payload", "digest", "refers_to")
-    total = pages.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    files = max(1, -(-total // archive_bytes))
-    dealt = pages.repartition(files)
-    records = dealt.mapInArrow(_writer(segment_bytes, chunk_bytes), "value binary")
+    records = pages.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_writer(segment_bytes, chunk_bytes), "value binary")
     # the cast keeps the bytes as they are; the writer puts the record end after each
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+    lines = records.select(F.col("value").cast("string").alias("value"))
+    lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", archive_records).text(path)
 
 
 def _inflate(blob, size: int = 1 << 18) -> Iterator[bytes]:
