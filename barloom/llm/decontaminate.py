@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -174,56 +175,84 @@ def edit_distance_within(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
-def _seeker(shared, most_edits: float):
-    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: list[tuple[int, bytes]] = shared.value
+class _Seeker:
+    """Finds the items of a block in texts."""
+
+    def __init__(self, items: list[tuple[int, bytes]], most_edits: float) -> None:
+        self.most_edits = most_edits
         long, short = [], []
         for item, text in items:
             usable = sum(len(text) - o >= LONG.tail for o in _word_starts(text))
             (long if usable >= 2 * LONG.stride else short).append((item, text))
-        indexes = [_Index(part, grade, seed) for part, grade, seed in ((long, LONG, 11), (short, SHORT, 12)) if part]
-        spare = np.full(LONG.steps + 1, 32, dtype=np.uint8)
+        self.indexes = [_Index(part, grade, seed) for part, grade, seed in ((long, LONG, 11), (short, SHORT, 12)) if part]
+        self.spare = np.full(LONG.steps + 1, 32, dtype=np.uint8)
+
+    def _places(self, data: np.ndarray, begins: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int, int], set[int]]:
+        """Where items may begin: by text, index and item."""
+        padded = np.concatenate([data, self.spare])
+        owner = np.searchsorted(begins, starts, side="right") - 1
+        nth = np.arange(len(starts)) - np.searchsorted(starts, begins)[owner]
+        places: dict[tuple[int, int, int], set[int]] = defaultdict(set)
+        for k, index in enumerate(self.indexes):
+            read = starts[nth % index.walks.grade.stride == 0]
+            for at, item, offset in index.lookup(padded, read):
+                doc = int(np.searchsorted(begins, at, side="right")) - 1
+                places[doc, k, item].add(at - offset)
+        return places
+
+    def _verified(self, data: np.ndarray, lower: int, upper: int, pattern: bytes, found: set[int]) -> tuple[int, int]:
+        """Least edit distance of an item around some places of a text, and where it ends."""
+        most, size, tried = int(self.most_edits * len(pattern)), len(pattern), None
+        best = (most + 1, 0)
+        for place in sorted(found):
+            if tried is not None and place - tried <= most // 2:
+                continue  # the window around the last place holds this one
+            tried = place
+            a, b = max(lower, place - most), min(upper, place + size + 2 * most)
+            exact = data[max(lower, place) : place + size].tobytes() == pattern
+            distance, end = (0, place + size - a) if exact else edit_distance_within(pattern, data[a:b].tobytes())
+            best = min(best, (distance, a + end - lower))
+            if best[0] == 0:
+                break
+        return best
+
+    def hits(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
+        """Text number, item, distance, item length and end of each item found."""
+        data, begins, starts = normalise(texts)
+        rows = []
+        for (doc, k, item), found in self._places(data, begins, starts).items():
+            name, pattern = self.indexes[k].items[item]
+            distance, end = self._verified(data, int(begins[doc]), int(begins[doc + 1]), pattern, found)
+            if distance <= int(self.most_edits * len(pattern)):
+                rows.append((doc, name, distance, len(pattern), end))
+        return rows
+
+
+def _seek(shared, most_edits: float):
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeker = _Seeker(shared.value, most_edits)
         for batch in batches:
             for part, texts in chunks(batch, "text"):
-                data, begins, starts = normalise(texts)
-                padded = np.concatenate([data, spare])
-                owner = np.searchsorted(begins, starts, side="right") - 1
-                nth = np.arange(len(starts)) - np.searchsorted(starts, begins)[owner]
-                places: dict[tuple[int, int], set[int]] = defaultdict(set)
-                text_of: dict[tuple[int, int], bytes] = {}
-                for k, index in enumerate(indexes):
-                    read = starts[nth % index.walks.grade.stride == 0]
-                    for at, item, offset in index.lookup(padded, read):
-                        doc = int(np.searchsorted(begins, at, side="right")) - 1
-                        key = doc, (k << 32) | item
-                        text_of[key] = index.items[item][1]
-                        places[key].add(at - offset)
-                rows = []
-                for (doc, name), found in places.items():
-                    pattern = text_of[doc, name]
-                    most, size = int(most_edits * len(pattern)), len(pattern)
-                    lower, upper = int(begins[doc]), int(begins[doc + 1])
-                    best, tried = (most + 1, 0), -1
-                    for place in sorted(found):
-                        if 0 <= tried and place - tried <= most // 2:
-                            continue  # the window around the last place holds this one
-                        tried = place
-                        a, b = max(lower, place - most), min(upper, place + size + 2 * most)
-                        exact = data[max(lower, place) : place + size].tobytes() == pattern
-                        distance, end = (0, place + size - a) if exact else edit_distance_within(pattern, data[a:b].tobytes())
-                        best = min(best, (distance, a + end - lower))
-                        if best[0] == 0:
-                            break
-                    if best[0] <= most:
-                        rows.append((doc, indexes[name >> 32].items[name & 0xFFFFFFFF][0], *best, size))
-                if rows:
-                    doc, item, distance, end, size = (list(c) for c in zip(*rows, strict=True))
+                if rows := seeker.hits(texts):
+                    doc, *rest = (list(c) for c in zip(*rows, strict=True))
                     ids = part.column(part.schema.get_field_index("doc_id")).take(pa.array(doc))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (item, distance, size, end))], names=FOUND.names)
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in rest)], names=FOUND.names)
 
     return seek
 
 
+def _clean(shared, most_edits: float, names: list[str]):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeker = _Seeker(shared.value, most_edits)
+        for batch in batches:
+            for part, texts in chunks(batch, "_text"):
+                keep = np.ones(len(texts), dtype=bool)
+                keep[[doc for doc, *_ in seeker.hits(texts)]] = False
+                yield part.select(names).filter(pa.array(keep))
+
+    return clean
+
+
 def _normalised_items(rows) -> list[tuple[int, bytes]]:
     out = []
     for item, text in rows:
@@ -234,6 +263,15 @@ def _normalised_items(rows) -> list[tuple[int, bytes]]:
     return out
 
 
+def _blocks(benchmark: DataFrame) -> list:
+    """The items in broadcast blocks of about ``BLOCK_ITEMS``; one empty block if there are none."""
+    spark = benchmark.sparkSession
+    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    blocks = max(1, -(-wanted.count() // BLOCK_ITEMS))
+    place = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    return [spark.sparkContext.broadcast(_normalised_items(sorted(map(tuple, wanted.where(place == b).collect())))) for b in range(blocks)]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_EDITS) -> DataFrame:
     """Benchmark items that documents hold, up to a share of edits.
 
@@ -245,20 +283,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_E
     without an id, without text or too short are not sought; repeated rows are each
     searched. Empty tables give no rows.
     """
-    spark = docs.sparkSession
     shaped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    blocks = max(1, -(-wanted.count() // BLOCK_ITEMS))
-    found = None
-    for b in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(_normalised_items(sorted(map(tuple, rows))))
-        part = shaped.mapInArrow(_seeker(shared, most_edits), FOUND)
-        found = part if found is None else found.unionAll(part)
-    return found
+    parts = [shaped.mapInArrow(_seek(shared, most_edits), FOUND) for shared in _blocks(benchmark)]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_EDITS) -> DataFrame:
-    """The rows of ``docs``, whole, that hold no benchmark item."""
-    leaking = find_leaks(docs, benchmark, most_edits).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(leaking, docs["doc_id"].cast("long") == leaking["doc_id"], "left_anti").select(*docs.columns)
+    """The rows of ``docs``, whole, that hold no benchmark item; without a shuffle."""
+    names, kept = docs.columns, docs
+    for shared in _blocks(benchmark):
+        kept = kept.withColumn("_text", F.col("text").cast("string")).mapInArrow(_clean(shared, most_edits, names), T.StructType(docs.schema.fields))
+    return kept

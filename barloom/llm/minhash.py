@@ -302,3 +302,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     named = rows.join(final.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs``, whole, with one document of each component of near-duplicates.
+
+    The least doc_id stays. Of rows that repeat a doc_id one stays; rows without an
+    id or without words stay.
+    """
+    found = materialise(near_duplicates(docs, percent, width).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times")), "kept")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone"))
+    rest = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    if found.where("times > 1").isEmpty():
+        return rest
+    return rest.where("doc_id is null").unionAll(rest.where("doc_id is not null").dropDuplicates(["doc_id"]))

@@ -31,6 +31,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .compaction import compacted
+    from .storage import scratch_path
+
+    live = compacted(_table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
+    return live.select("doc_id", "source", "lang", "n_chars", F.md5("text").alias("text_md5"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -76,6 +86,7 @@ def queries() -> dict[str, Query]:
         "op1_warc": op1_warc,
         "op2_toxicity": op2_toxicity,
         "op3_quality": op3_quality,
+        "op4_sharding": op4_sharding,
         "op5_minhash": op5_minhash,
         "op6_licenses": op6_licenses,
         "op7_imatch": op7_imatch,
@@ -102,5 +113,9 @@ FROM k
 """
 
 
+#: What was appended and compacted is the table itself.
+OP4_SQL = "SELECT doc_id, source, lang, n_chars, md5(text) AS text_md5 FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL}
+    return {"op1_warc": OP1_SQL, "op4_sharding": OP4_SQL}
