@@ -214,7 +214,7 @@ def _rare_prefix(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     ``LISTED`` documents last, by their hash. A token that one document alone has
     takes its place, but gives no row, as no other set shares it.
     """
-    chosen = sets.join(ids, "doc_id")
+    chosen = sets.join(ids, "doc_id").repartition("doc_id")  # crowded documents may lie in few files
     member = chosen.mapInArrow(_tokens, "token long, doc_id long")
     df = materialise(member.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("owner")).where(F.col("df") <= LISTED), "frequencies")
     alone = df.where("df = 1").groupBy(F.col("owner").alias("doc_id")).agg(F.count("*").alias("alone"), F.collect_list("token").alias("unshared"))
