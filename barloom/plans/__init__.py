@@ -1 +1 @@
-
+"""Whole analyses composed of operators: backtests, parameter search, validation."""

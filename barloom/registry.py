@@ -1,11 +1,836 @@
-"""All registered queries over the driver's tables, by name."""
+"""All registered queries over the driver's tables, by name, and their SQL.
+
+Queries build bars from ``events`` or ``lineitem``, apply one operator, and round what
+is not whole, so that engines can be compared value by value.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import conditions as C
+from .functions import indicators as I
+from .functions.candles import PATTERNS
+from .functions.indicators import Spec
+from .functions.kernels import RECURSIVE
+from .functions.windowed import Series
+from .operators import bars as B
+from .operators import bricks, montecarlo, regimes, signals
+from .operators import opencross as X
+from .operators import statistics as S
+from .plans import backtest as P
+from .plans import search as G
+from .plans import validation as V
+from .plans.strategies import REGISTRY
+from .sources import export
+from .sources.tables import event_bars, event_ticks, lineitem_bars, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
 
-def queries() -> dict:
-    return {}
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def wrap(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return wrap
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, without negative zeros."""
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _r(x: str, digits: int = 6) -> str:
+    return f"round({x}, {digits}) + 0.0"
+
+
+def _events(seconds: int = 3600, pooled: bool = False) -> str:
+    symbol = "'ALL'" if pooled else "e.event_type"
+    return f"""bars AS (
+      SELECT {symbol} AS symbol, CAST(floor(epoch(e.ts) / {seconds}) * {seconds} AS BIGINT) AS ts, arg_min(e.value, e.ts) AS open, max(e.value) AS high,
+        min(e.value) AS low, arg_max(e.value, e.ts) AS close, CAST(count(*) AS DOUBLE) AS volume
+      FROM events e GROUP BY 1, 2)"""
+
+
+_LINE = """bars AS (
+  SELECT symbol, ts, arg_min(price, k) AS open, max(price) AS high, min(price) AS low, arg_max(price, k) AS close, sum(size) AS volume FROM (
+    SELECT l_returnflag AS symbol, CAST(floor(epoch(l_shipdate) / 86400) * 86400 AS BIGINT) AS ts, l_extendedprice / l_quantity AS price, l_quantity AS size,
+      (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / l_quantity) AS k FROM lineitem)
+  GROUP BY 1, 2)"""
+_BARS = "symbol, ts, open, high, low, close, volume"
+_RBARS = f"symbol, ts, {_r('open')} AS open, {_r('high')} AS high, {_r('low')} AS low, {_r('close')} AS close, {_r('volume')} AS volume"
+_W = "(PARTITION BY symbol ORDER BY ts)"
+
+
+def _frame(n: int) -> str:
+    return f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _full(n: int, x: str) -> str:
+    return f"CASE WHEN row_number() OVER {_W} >= {n} THEN {_r(x)} END"
+
+
+# Bars
+
+
+@query("bars_events_1h", f"WITH {_events()} SELECT {_RBARS} FROM bars")
+def bars_events_1h(spark, d):
+    return rounded(event_bars(spark, d))
+
+
+_RBARS8 = f"symbol, ts, {_r('open', 8)} AS open, {_r('high', 8)} AS high, {_r('low', 8)} AS low, {_r('close', 8)} AS close, {_r('volume')} AS volume"
+
+
+@query("bars_lineitem_1d", f"WITH {_LINE} SELECT {_RBARS8} FROM bars")
+def bars_lineitem_1d(spark, d):
+    return rounded(lineitem_bars(spark, d), 8)
+
+
+_AGG = "arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume"
+
+
+@query("aggregate_4h", f"WITH {_events()}, a AS (SELECT symbol, ts // 14400 * 14400 AS bar, {_AGG} FROM bars GROUP BY 1, 2) SELECT symbol, bar AS ts, {_r('open')} AS open, {_r('high')} AS high, {_r('low')} AS low, {_r('close')} AS close, {_r('volume')} AS volume FROM a")
+def aggregate_4h(spark, d):
+    B.check_ratio(3600, 14400)
+    return rounded(B.aggregate(event_bars(spark, d), 14400))
+
+
+def _resampled(unit: str) -> str:
+    return f"WITH {_LINE}, a AS (SELECT symbol, CAST(epoch(date_trunc('{unit}', make_timestamp(ts * 1000000))) AS BIGINT) AS bar, {_AGG} FROM bars GROUP BY 1, 2) SELECT symbol, bar AS ts, {_r('open', 8)} AS open, {_r('high', 8)} AS high, {_r('low', 8)} AS low, {_r('close', 8)} AS close, {_r('volume')} AS volume FROM a"
+
+
+@query("resample_week", _resampled("week"))
+def resample_week(spark, d):
+    return rounded(B.resample(lineitem_bars(spark, d), "1w"), 8)
+
+
+@query("resample_month", _resampled("month"))
+def resample_month(spark, d):
+    return rounded(B.resample(lineitem_bars(spark, d), "1M"), 8)
+
+
+@query("timeframe_bundle", f"WITH {_events()} SELECT timeframe, count(*) AS bars FROM (SELECT '1h' AS timeframe FROM bars UNION ALL SELECT '4h' FROM (SELECT DISTINCT symbol, ts // 14400 FROM bars) UNION ALL SELECT '1d' FROM (SELECT DISTINCT symbol, ts // 86400 FROM bars)) GROUP BY 1")
+def timeframe_bundle(spark, d):
+    return B.bundle(event_bars(spark, d), "1h", ["4h", "1d"]).groupBy("timeframe").agg(F.count("*").alias("bars"))
+
+
+@query("as_of_higher", f"WITH {_events()}, h AS (SELECT symbol, ts // 86400 * 86400 + 86400 AS at, arg_max(close, ts) AS h_close FROM bars GROUP BY 1, 2) SELECT b.symbol, b.ts, {_r('b.close')} AS close, {_r('h.h_close')} AS h_close FROM bars b ASOF LEFT JOIN h ON b.symbol = h.symbol AND b.ts >= h.at".replace("ts // 86400 * 86400 + 86400 AS at", "bars.ts // 86400 * 86400 + 86400 AS at"))
+def as_of_higher(spark, d):
+    b = event_bars(spark, d)
+    return rounded(B.as_of_higher(b, B.aggregate(b, 86400), 86400, ["close"]).select("symbol", "ts", "close", "h_close"))
+
+
+@query("merge_latest", f"WITH {_events()} SELECT symbol, ts, {_r('CASE WHEN ts // 3600 % 2 = 0 THEN close + 1 ELSE close END')} AS close FROM bars")
+def merge_latest(spark, d):
+    b = event_bars(spark, d)
+    fresh = b.where("ts / 3600 % 2 = 0").withColumn("close", F.col("close") + 1)
+    return rounded(B.merge_latest([b, fresh]).select("symbol", "ts", "close"))
+
+
+@query("upsert_open_bar", f"WITH {_events()}, a AS (SELECT symbol, ts // 14400 * 14400 AS bar, {_AGG} FROM bars GROUP BY 1, 2) SELECT symbol, bar AS ts, {_r('open')} AS open, {_r('high')} AS high, {_r('low')} AS low, {_r('close')} AS close, {_r('volume')} AS volume FROM a")
+def upsert_open_bar(spark, d):
+    b = event_bars(spark, d)
+    stored = B.aggregate(b.where("ts < 1705000000"), 14400)
+    return rounded(B.upsert_open_bar(stored, b, 14400))
+
+
+@query("catalogue", f"WITH {_events()} SELECT symbol, count(*) AS records, min(ts) AS first_ts, max(ts) AS last_ts, {_r('arg_min(close, ts)')} AS first_close, {_r('arg_max(close, ts)')} AS last_close FROM bars GROUP BY 1")
+def catalogue(spark, d):
+    return rounded(B.catalogue(event_bars(spark, d)))
+
+
+@query("head_and_tail", f"WITH {_events()}, n AS (SELECT *, row_number() OVER {_W} AS from_start, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS from_end FROM bars) SELECT symbol, ts, from_start, from_end FROM n WHERE from_start <= 5 OR from_end <= 5")
+def head_and_tail(spark, d):
+    return B.head_and_tail(event_bars(spark, d)).select("symbol", "ts", F.col("from_start").cast("long").alias("from_start"), F.col("from_end").cast("long").alias("from_end"))
+
+
+@query("slice_by_ordinal", f"WITH {_events()}, n AS (SELECT *, row_number() OVER {_W} - 1 AS ordinal FROM bars) SELECT symbol, ts, ordinal FROM n WHERE ordinal BETWEEN 100 AND 149")
+def slice_by_ordinal(spark, d):
+    return B.by_ordinal(event_bars(spark, d), 100, 50).select("symbol", "ts", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("range_scan", f"WITH {_LINE} SELECT {_RBARS8} FROM bars WHERE ts BETWEEN 800000000 AND 820000000")
+def range_scan(spark, d):
+    return rounded(lineitem_bars(spark, d).where(F.col("ts").between(800000000, 820000000)), 8)
+
+
+@query("irregularities", f"WITH {_events()}, g AS (SELECT symbol, ts, lag(ts) OVER {_W} AS previous_ts FROM bars) SELECT symbol, ts, previous_ts, ts - previous_ts AS diff, CASE WHEN ts = previous_ts THEN 'duplicate' WHEN ts < previous_ts THEN 'out_of_order' ELSE 'gap' END AS kind FROM g WHERE ts - previous_ts <> 3600")
+def irregularities(spark, d):
+    return B.irregularities(event_bars(spark, d), 3600)
+
+
+@query("missing_ranges", f"""WITH {_events()}, e AS (SELECT symbol, min(ts) AS a, max(ts) AS b FROM bars GROUP BY 1), r AS (
+  SELECT symbol, previous + 3600 AS start, ts - 1 AS stop FROM (SELECT symbol, ts, lag(ts) OVER {_W} AS previous FROM bars) WHERE ts - previous > 3600
+  UNION ALL SELECT symbol, 1704000000, a - 1 FROM e UNION ALL SELECT symbol, b + 3600, 1706800000 FROM e)
+SELECT symbol, CAST(greatest(start, 1704000000) AS BIGINT) AS start, CAST(least(stop, 1706800000) AS BIGINT) AS stop FROM r WHERE greatest(start, 1704000000) <= least(stop, 1706800000)""")
+def missing_ranges(spark, d):
+    return B.missing_ranges(event_bars(spark, d), 3600, 1704000000, 1706800000)
+
+
+@query("coalesce_intervals", """WITH o AS (SELECT o_orderpriority AS symbol, CAST(epoch(o_orderdate) AS BIGINT) AS start, CAST(epoch(o_orderdate) AS BIGINT) + (o_orderkey % 3) * 43200 AS stop FROM orders),
+g AS (SELECT *, CASE WHEN start > max(stop) OVER (PARTITION BY symbol ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS fresh FROM o),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS grp FROM g)
+SELECT symbol, min(start) AS start, max(stop) AS stop FROM s GROUP BY symbol, grp""")
+def coalesce_intervals(spark, d):
+    start = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    spans = table(spark, d, "orders").select(F.col("o_orderpriority").alias("symbol"), start.alias("start"), (start + (F.col("o_orderkey") % 3) * 43200).alias("stop"))
+    return B.coalesce_intervals(spans)
+
+
+@query("monthly_gaps", "SELECT symbol, strftime(expected, '%Y-%m-%d') AS expected, strftime(month, '%Y-%m-%d') AS month FROM (SELECT symbol, month, lag(month) OVER (PARTITION BY symbol ORDER BY month) + INTERVAL 1 MONTH AS expected FROM (SELECT DISTINCT l_returnflag AS symbol, date_trunc('month', l_shipdate) AS month FROM lineitem WHERE month(l_shipdate) <> 6)) WHERE month > expected")
+def monthly_gaps(spark, d):
+    return B.monthly_gaps(lineitem_bars(spark, d).where(F.month(F.timestamp_seconds("ts")) != 6)).select("symbol", F.col("expected").cast("string").alias("expected"), F.col("month").cast("string").alias("month"))
+
+
+# Indicators
+
+
+def _indicated(spark, d, specs: list[Spec]) -> DataFrame:
+    df = I.compute(event_bars(spark, d), specs)
+    return rounded(df.drop("open", "high", "low", "close", "volume"))
+
+
+def _lags(n: int, weight: Callable[[int], float]) -> str:
+    return " + ".join(f"{weight(k)} * lag(close, {k}) OVER {_W}" if k else f"{weight(0)} * close" for k in range(n))
+
+
+@query(
+    "ind_overlap",
+    f"""WITH {_events()} SELECT symbol, ts, {_full(20, f'avg(close) OVER {_frame(20)}')} AS sma, {_r('(' + _lags(10, lambda k: 10 - k) + ') / 55.0')} AS wma,
+    {_full(14, f'(max(close) OVER {_frame(14)} + min(close) OVER {_frame(14)}) / 2')} AS midpoint, {_full(14, f'(max(high) OVER {_frame(14)} + min(low) OVER {_frame(14)}) / 2')} AS midprice,
+    {_full(20, f'avg(close) OVER {_frame(20)} + 2 * stddev_pop(close) OVER {_frame(20)}')} AS bbands_upper, {_full(20, f'avg(close) OVER {_frame(20)}')} AS bbands_middle,
+    {_full(20, f'avg(close) OVER {_frame(20)} - 2 * stddev_pop(close) OVER {_frame(20)}')} AS bbands_lower FROM bars""",
+)
+def ind_overlap(spark, d):
+    return _indicated(spark, d, [Spec("sma", {"period": 20}), Spec("wma", {"period": 10}), Spec("midpoint"), Spec("midprice"), Spec("bbands", {"period": 20})])
+
+
+_HL = f"(max(high) OVER {_frame(14)} - min(low) OVER {_frame(14)})"
+
+
+@query(
+    "ind_momentum",
+    f"""WITH {_events()} SELECT symbol, ts, {_r(f'close - lag(close, 10) OVER {_W}')} AS mom, {_r(f'(close / lag(close, 10) OVER {_W} - 1) * 100')} AS roc,
+    {_full(14, f'CASE WHEN {_HL} = 0 THEN 0 ELSE (max(high) OVER {_frame(14)} - close) / {_HL} * -100 END')} AS willr, {_r('CASE WHEN high > low THEN (close - open) / (high - low) ELSE 0 END')} AS bop,
+    {_full(26, f'(avg(close) OVER {_frame(12)} - avg(close) OVER {_frame(26)})')} AS apo, {_full(26, f'(avg(close) OVER {_frame(12)} - avg(close) OVER {_frame(26)}) / (avg(close) OVER {_frame(26)}) * 100')} AS ppo FROM bars""",
+)
+def ind_momentum(spark, d):
+    return _indicated(spark, d, [Spec("mom"), Spec("roc"), Spec("willr"), Spec("bop"), Spec("apo"), Spec("ppo")])
+
+
+@query(
+    "ind_aroon_cci",
+    f"""WITH {_events()}, n AS (SELECT *, row_number() OVER {_W} AS p, (high + low + close) / 3 AS tp FROM bars),
+    w AS (SELECT n.symbol, n.ts, n.p, n.tp, arg_max(m.p, (m.high, m.p)) AS hi, arg_max(m.p, (-m.low, m.p)) AS lo FROM n JOIN n m ON m.symbol = n.symbol AND m.p BETWEEN n.p - 14 AND n.p GROUP BY 1, 2, 3, 4),
+    a AS (SELECT n.symbol, n.ts, avg(m.tp) AS mean FROM n JOIN n m ON m.symbol = n.symbol AND m.p BETWEEN n.p - 13 AND n.p GROUP BY 1, 2),
+    v AS (SELECT n.symbol, n.ts, a.mean, avg(abs(m.tp - a.mean)) AS dev FROM n JOIN a ON a.symbol = n.symbol AND a.ts = n.ts JOIN n m ON m.symbol = n.symbol AND m.p BETWEEN n.p - 13 AND n.p GROUP BY 1, 2, 3)
+    SELECT w.symbol, w.ts, CASE WHEN p > 14 THEN {_r('(14 - (p - lo)) * 100.0 / 14')} END AS aroon_aroondown, CASE WHEN p > 14 THEN {_r('(14 - (p - hi)) * 100.0 / 14')} END AS aroon_aroonup,
+    CASE WHEN p >= 14 THEN {_r('(tp - mean) / (0.015 * dev)')} END AS cci FROM w JOIN v ON v.symbol = w.symbol AND v.ts = w.ts""",
+)
+def ind_aroon_cci(spark, d):
+    return _indicated(spark, d, [Spec("aroon"), Spec("cci")])
+
+
+_K = f"CASE WHEN max(high) OVER {_frame(5)} = min(low) OVER {_frame(5)} THEN 0 ELSE (close - min(low) OVER {_frame(5)}) / (max(high) OVER {_frame(5)} - min(low) OVER {_frame(5)}) * 100 END"
+
+
+@query(
+    "ind_stoch",
+    f"""WITH {_events()}, k AS (SELECT symbol, ts, CASE WHEN row_number() OVER {_W} >= 5 THEN {_K} END AS k FROM bars),
+    s AS (SELECT symbol, ts, k, CASE WHEN row_number() OVER {_W} >= 7 THEN avg(k) OVER {_frame(3)} END AS slow FROM k)
+    SELECT symbol, ts, CASE WHEN row_number() OVER {_W} >= 7 THEN {_r('k')} END AS stochf_fastk, {_r('slow')} AS stochf_fastd, CASE WHEN row_number() OVER {_W} >= 9 THEN {_r('slow')} END AS stoch_slowk,
+    CASE WHEN row_number() OVER {_W} >= 9 THEN {_r(f'avg(slow) OVER {_frame(3)}')} END AS stoch_slowd FROM s""",
+)
+def ind_stoch(spark, d):
+    return _indicated(spark, d, [Spec("stochf"), Spec("stoch")])
+
+
+@query(
+    "ind_volume",
+    f"""WITH {_events()}, p AS (SELECT *, lag(close) OVER {_W} AS before, (high + low + close) / 3 AS tp, lag((high + low + close) / 3) OVER {_W} AS tpb FROM bars),
+    f AS (SELECT *, CASE WHEN high > low THEN ((close - low) - (high - close)) / (high - low) * volume ELSE 0 END AS flow, CASE WHEN tp > tpb THEN tp * volume ELSE 0 END AS up, CASE WHEN tp < tpb THEN tp * volume ELSE 0 END AS down,
+      CASE WHEN before IS NULL OR close > before THEN 1 WHEN close < before THEN -1 ELSE 0 END * volume AS signed FROM p)
+    SELECT symbol, ts, {_r(f'sum(flow) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)')} AS ad, {_r(f'sum(signed) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)')} AS obv,
+    CASE WHEN row_number() OVER {_W} > 14 THEN {_r(f'CASE WHEN sum(up) OVER {_frame(14)} + sum(down) OVER {_frame(14)} < 1 THEN 0 ELSE 100 * sum(up) OVER {_frame(14)} / (sum(up) OVER {_frame(14)} + sum(down) OVER {_frame(14)}) END')} END AS mfi,
+    CASE WHEN before IS NOT NULL THEN {_r('greatest(high - low, abs(high - before), abs(low - before))')} END AS trange FROM f""",
+)
+def ind_volume(spark, d):
+    return _indicated(spark, d, [Spec("ad"), Spec("obv"), Spec("mfi"), Spec("trange")])
+
+
+@query(
+    "ind_statistics",
+    f"""WITH {_events()}, n AS (SELECT *, CAST(row_number() OVER {_W} AS DOUBLE) AS p FROM bars) SELECT symbol, ts, {_full(5, f'stddev_pop(close) OVER {_frame(5)}')} AS stddev, {_full(5, f'var_pop(close) OVER {_frame(5)}')} AS var,
+    {_full(30, f'corr(high, low) OVER {_frame(30)}')} AS correl, {_full(14, f'regr_slope(close, p) OVER {_frame(14)}')} AS linearreg_slope, {_full(14, f'regr_intercept(close, p) OVER {_frame(14)} + regr_slope(close, p) OVER {_frame(14)} * p')} AS linearreg,
+    {_full(14, f'regr_intercept(close, p) OVER {_frame(14)} + regr_slope(close, p) OVER {_frame(14)} * (p + 1)')} AS tsf FROM n""",
+)
+def ind_statistics(spark, d):
+    return _indicated(spark, d, [Spec("stddev"), Spec("var"), Spec("correl"), Spec("linearreg_slope"), Spec("linearreg"), Spec("tsf")])
+
+
+@query("ind_price", f"WITH {_events()} SELECT symbol, ts, {_r('(open + high + low + close) / 4')} AS avgprice, {_r('(high + low) / 2')} AS medprice, {_r('(high + low + close) / 3')} AS typprice, {_r('(high + low + 2 * close) / 4')} AS wclprice FROM bars")
+def ind_price(spark, d):
+    return _indicated(spark, d, [Spec("avgprice"), Spec("medprice"), Spec("typprice"), Spec("wclprice")])
+
+
+@query(
+    "ind_math",
+    f"""WITH {_events()} SELECT symbol, ts, {_r('sqrt(close)')} AS sqrt, {_r('sin(close)')} AS sin, {_r('atan(close)')} AS atan, {_r('floor(close)')} AS floor, {_r('ceil(close)')} AS ceil,
+    {_r('high + low')} AS add, {_r('high - low')} AS sub, {_r('high * low', 4)} AS mult, {_r('CASE WHEN low <> 0 THEN high / low END')} AS div, {_full(30, f'sum(close) OVER {_frame(30)}')} AS sum,
+    {_full(30, f'max(close) OVER {_frame(30)}')} AS max, {_full(30, f'min(close) OVER {_frame(30)}')} AS min FROM bars""",
+)
+def ind_math(spark, d):
+    df = I.compute(event_bars(spark, d), [Spec(n) for n in ("sqrt", "sin", "atan", "floor", "ceil", "add", "sub", "mult", "div", "sum", "max", "min")])
+    return rounded(df.drop("open", "high", "low", "close", "volume").withColumn("mult", F.round("mult", 4)))
+
+
+@query("ind_windowed_all")
+def ind_windowed_all(spark, d):
+    """Every windowed indicator with its defaults."""
+    from .functions.windowed import WINDOWED
+
+    return _indicated(spark, d, [Spec(n, {}, f"i_{n}") for n in sorted(WINDOWED)])
+
+
+@query("ind_recursive_all")
+def ind_recursive_all(spark, d):
+    """Every recursive indicator with its defaults, in one grouped map."""
+    return _indicated(spark, d, [Spec(n, {}, f"i_{n}") for n in sorted(RECURSIVE)])
+
+
+_NUM = "n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS p FROM bars)"
+
+
+@query(
+    "ind_ema",
+    f"""WITH RECURSIVE {_events()}, {_NUM}, s AS (SELECT symbol, avg(close) AS seed FROM n WHERE p <= 20 GROUP BY 1),
+    r AS (SELECT n.symbol, n.p, n.ts, s.seed AS e FROM n JOIN s ON s.symbol = n.symbol WHERE n.p = 20 UNION ALL SELECT n.symbol, n.p, n.ts, r.e + 2.0 / 21 * (n.close - r.e) FROM r JOIN n ON n.symbol = r.symbol AND n.p = r.p + 1)
+    SELECT n.symbol, n.ts, {_r('r.e')} AS ema FROM n LEFT JOIN r ON r.symbol = n.symbol AND r.p = n.p""",
+)
+def ind_ema(spark, d):
+    return _indicated(spark, d, [Spec("ema", {"period": 20})])
+
+
+@query(
+    "ind_rsi_atr",
+    f"""WITH RECURSIVE {_events()}, {_NUM}, g AS (SELECT *, close - lag(close) OVER {_W} AS ch, greatest(high - low, abs(high - lag(close) OVER {_W}), abs(low - lag(close) OVER {_W})) AS tr FROM n),
+    s AS (SELECT symbol, avg(greatest(ch, 0)) AS up, avg(greatest(-ch, 0)) AS down, avg(tr) AS atr FROM g WHERE p BETWEEN 2 AND 15 GROUP BY 1),
+    r AS (SELECT symbol, 15::BIGINT AS p, up, down, atr FROM s UNION ALL SELECT g.symbol, g.p, r.up + (greatest(g.ch, 0) - r.up) / 14, r.down + (greatest(-g.ch, 0) - r.down) / 14, r.atr + (g.tr - r.atr) / 14 FROM r JOIN g ON g.symbol = r.symbol AND g.p = r.p + 1)
+    SELECT n.symbol, n.ts, {_r('CASE WHEN r.up + r.down = 0 THEN 0 ELSE 100 * r.up / (r.up + r.down) END')} AS rsi, {_r('r.atr')} AS atr FROM n LEFT JOIN r ON r.symbol = n.symbol AND r.p = n.p""",
+)
+def ind_rsi_atr(spark, d):
+    return _indicated(spark, d, [Spec("rsi"), Spec("atr")])
+
+
+@query("candles_all")
+def candles_all(spark, d):
+    """How often each pattern completes, per symbol."""
+    shapes = I.compute(lineitem_bars(spark, d), [Spec(n) for n in sorted(PATTERNS)])
+    return shapes.groupBy("symbol").agg(*[F.sum((F.col(n) != 0).cast("long")).alias(n) for n in sorted(PATTERNS)])
+
+
+_CANDLE = f"c AS (SELECT *, row_number() OVER {_W} AS p, abs(close - open) AS body, high - low AS rng, CASE WHEN close >= open THEN 1 ELSE -1 END AS color, lag(open) OVER {_W} AS o1, lag(close) OVER {_W} AS c1 FROM bars)"
+_BEFORE = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    "candles_basic",
+    f"""WITH {_LINE}, {_CANDLE} SELECT symbol, ts, CASE WHEN p > 14 AND body <= 0.1 * avg(rng) OVER {_BEFORE} THEN 100 ELSE 0 END AS cdldoji,
+    CASE WHEN p <= 14 THEN 0 WHEN color = 1 AND c1 < o1 AND ((close >= o1 AND open < c1) OR (close > o1 AND open <= c1)) THEN 100 WHEN color = -1 AND c1 >= o1 AND ((open >= c1 AND close < o1) OR (open > c1 AND close <= o1)) THEN -100 ELSE 0 END AS cdlengulfing,
+    CASE WHEN p > 14 AND body > avg(body) OVER {_BEFORE} AND high - greatest(open, close) < 0.1 * avg(rng) OVER {_BEFORE} AND least(open, close) - low < 0.1 * avg(rng) OVER {_BEFORE} THEN color * 100 ELSE 0 END AS cdlmarubozu FROM c""",
+)
+def candles_basic(spark, d):
+    return I.compute(lineitem_bars(spark, d), [Spec("cdldoji"), Spec("cdlengulfing"), Spec("cdlmarubozu")]).select("symbol", "ts", "cdldoji", "cdlengulfing", "cdlmarubozu")
+
+
+# Conditions
+
+
+@query(
+    "conditions",
+    f"""WITH {_events()}, m AS (SELECT symbol, ts, close, row_number() OVER {_W} AS p, CASE WHEN row_number() OVER {_W} >= 10 THEN avg(close) OVER {_frame(10)} END AS fast, CASE WHEN row_number() OVER {_W} >= 30 THEN avg(close) OVER {_frame(30)} END AS slow FROM bars),
+    c AS (SELECT *, coalesce(close > slow, false) AS above, coalesce(lag(fast) OVER {_W} <= lag(slow) OVER {_W} AND fast > slow, false) AS crosses_above, coalesce(lag(fast) OVER {_W} >= lag(slow) OVER {_W} AND fast < slow, false) AS crosses_below,
+      coalesce(close > lag(close, 3) OVER {_W}, false) AS rising, coalesce(close < lag(close, 3) OVER {_W}, false) AS falling FROM m)
+    SELECT symbol, ts, above, crosses_above, crosses_below, rising, falling, max(CAST(crosses_above AS INT)) OVER {_frame(5)} = 1 AS within_last,
+    min(CAST(above AS INT)) OVER {_frame(3)} = 1 AND p >= 3 AS persisted, above AND NOT coalesce(lag(above) OVER {_W}, true) AS became, above AND NOT rising OR falling AND NOT above AS mixed FROM c""",
+)
+def conditions(spark, d):
+    s = Series()
+    w, close, fast, slow = s.window, F.col("close"), F.col("fast"), F.col("slow")
+    df = I.compute(event_bars(spark, d), [Spec("sma", {"period": 10}, "fast"), Spec("sma", {"period": 30}, "slow")])
+    df = df.withColumns({"above": C.above(close, slow), "crosses_above": C.crosses_above(fast, slow, w), "crosses_below": C.crosses_below(fast, slow, w), "rising": C.is_rising(close, w, 3), "falling": C.is_falling(close, w, 3)})
+    above, rising, falling = F.col("above"), F.col("rising"), F.col("falling")
+    return df.select("symbol", "ts", "above", "crosses_above", "crosses_below", "rising", "falling", C.within_last(F.col("crosses_above"), w, 5).alias("within_last"), C.persisted_for(above, w, 3).alias("persisted"), C.just_became(above, w).alias("became"), C.either(C.both(above, C.negated(rising)), C.both(falling, C.negated(above))).alias("mixed"))
+
+
+# Alternative bars
+
+
+@query(
+    "heiken_ashi",
+    f"""WITH RECURSIVE {_events()}, {_NUM}, h AS (SELECT *, (open + high + low + close) / 4 AS hc FROM n),
+    r AS (SELECT symbol, p, (open + close) / 2 AS ho, hc FROM h WHERE p = 1 UNION ALL SELECT h.symbol, h.p, (r.ho + r.hc) / 2, h.hc FROM r JOIN h ON h.symbol = r.symbol AND h.p = r.p + 1)
+    SELECT h.symbol, h.ts, {_r('r.ho')} AS open, {_r('greatest(h.high, r.ho, h.hc)')} AS high, {_r('least(h.low, r.ho, h.hc)')} AS low, {_r('h.hc')} AS close, {_r('h.volume')} AS volume FROM h JOIN r ON r.symbol = h.symbol AND r.p = h.p""",
+)
+def heiken_ashi(spark, d):
+    return rounded(bricks.heiken_ashi(event_bars(spark, d)))
+
+
+@query(
+    "renko",
+    f"""WITH RECURSIVE {_events()}, {_NUM},
+    r AS (SELECT symbol, p, close AS before, close AS price, 0 AS way, 0::BIGINT AS made FROM n WHERE p = 1
+      UNION ALL SELECT n.symbol, n.p, r.price, r.price + 10 * s.k, CASE WHEN s.k > 0 THEN 1 WHEN s.k < 0 THEN -1 ELSE r.way END, CAST(abs(s.k) AS BIGINT)
+      FROM r JOIN n ON n.symbol = r.symbol AND n.p = r.p + 1,
+      LATERAL (SELECT CASE WHEN r.way >= 0 THEN CASE WHEN floor((n.high - r.price) / 10) >= 1 THEN floor((n.high - r.price) / 10) WHEN floor((r.price - n.low) / 10) >= 2 THEN -floor((r.price - n.low) / 10) ELSE 0 END
+        ELSE CASE WHEN floor((r.price - n.low) / 10) >= 1 THEN -floor((r.price - n.low) / 10) WHEN floor((n.high - r.price) / 10) >= 2 THEN floor((n.high - r.price) / 10) ELSE 0 END END AS k) s)
+    SELECT r.symbol, n.ts, CAST(r.way AS INTEGER) AS way, count(*) AS bricks, {_r('min(r.price)', 4)} AS price FROM r JOIN n ON n.symbol = r.symbol AND n.p = r.p, unnest(range(r.made)) WHERE r.made > 0 GROUP BY 1, 2, 3""",
+)
+def renko(spark, d):
+    laid = bricks.renko(event_bars(spark, d), 10.0).withColumn("way", F.when(F.col("close") > F.col("open"), 1).otherwise(-1))
+    return laid.groupBy("symbol", "ts", "way").agg(F.count("*").alias("bricks"), (F.round(F.max_by("close", "seq"), 4) + 0.0).alias("price"))
+
+
+@query("atr_renko")
+def atr_renko(spark, d):
+    return rounded(bricks.atr_renko(event_bars(spark, d), 14))
+
+
+# Regimes
+
+
+_SMA50 = f"CASE WHEN row_number() OVER {_W} >= 50 THEN avg(close) OVER {_frame(50)} END"
+
+
+@query("regime_trend", f"WITH {_events()}, m AS (SELECT symbol, ts, close, row_number() OVER {_W} AS p, {_SMA50} AS ma FROM bars) SELECT symbol, ts, CASE WHEN p <= 51 THEN NULL WHEN close > ma THEN 'bull' ELSE 'bear' END AS regime FROM m")
+def regime_trend(spark, d):
+    return regimes.trend(event_bars(spark, d), 50).select("symbol", "ts", "regime")
+
+
+@query("regime_adx")
+def regime_adx(spark, d):
+    return regimes.adx(event_bars(spark, d)).select("symbol", "ts", "regime")
+
+
+@query(
+    "regime_volatility",
+    f"""WITH RECURSIVE {_events()}, {_NUM}, g AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER {_W}), abs(low - lag(close) OVER {_W})) AS tr FROM n),
+    s AS (SELECT symbol, avg(tr) AS atr FROM g WHERE p BETWEEN 2 AND 15 GROUP BY 1),
+    r AS (SELECT symbol, 15::BIGINT AS p, atr FROM s UNION ALL SELECT g.symbol, g.p, r.atr + (g.tr - r.atr) / 14 FROM r JOIN g ON g.symbol = r.symbol AND g.p = r.p + 1),
+    k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY atr) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS c FROM r),
+    q AS (SELECT symbol, min(atr) FILTER (WHERE i >= floor(c * 0.33)) AS lo, min(atr) FILTER (WHERE i >= floor(c * 0.67)) AS hi FROM k GROUP BY 1)
+    SELECT n.symbol, n.ts, CASE WHEN r.atr IS NULL THEN NULL WHEN q.lo = q.hi THEN 'low_vol' WHEN r.atr >= q.hi THEN 'high_vol' WHEN r.atr >= q.lo THEN 'normal_vol' ELSE 'low_vol' END AS regime FROM n LEFT JOIN r ON r.symbol = n.symbol AND r.p = n.p LEFT JOIN q ON q.symbol = n.symbol""",
+)
+def regime_volatility(spark, d):
+    return regimes.volatility(event_bars(spark, d)).select("symbol", "ts", "regime")
+
+
+@query("regime_combined")
+def regime_combined(spark, d):
+    return regimes.combined(event_bars(spark, d), 50).select("symbol", "ts", "regime")
+
+
+# Open-cross
+
+CROSS = X.SurfaceConfig(block_minutes=60, bucket_size=0.25, min_samples=10)
+_SEEN = f"""{_events(60, True)}, b AS (SELECT *, ts // 3600 * 3600 AS block FROM bars),
+  w AS (SELECT *, first_value(open) OVER (PARTITION BY block ORDER BY ts) AS bo, count(*) OVER (PARTITION BY block) - row_number() OVER (PARTITION BY block ORDER BY ts) AS rem,
+    min(low) OVER (PARTITION BY block ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fl, max(high) OVER (PARTITION BY block ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fh FROM b),
+  seen AS (SELECT symbol, ts, block, close, bo, rem AS minutes_remaining, CAST(floor((close - bo) / bo / 0.25) AS BIGINT) AS bucket,
+    CASE WHEN abs(close - bo) < 1e-7 THEN false WHEN close > bo THEN fl < bo ELSE fh > bo END AS crossed FROM w WHERE rem > 0 AND bo <> 0)"""
+
+
+def _surface(source: str = "seen", keys: str = "") -> str:
+    return f"(SELECT {keys}bucket, minutes_remaining, count(*) AS samples, CAST(count(*) FILTER (WHERE crossed) AS BIGINT) AS crosses, count(*) FILTER (WHERE crossed) / count(*) AS probability FROM {source} GROUP BY ALL)"
+
+
+_CONFIDENCE = "CASE WHEN samples >= 10 THEN 'high' WHEN samples >= 30 THEN 'medium' ELSE 'low' END"
+
+
+@query("opencross_surface", f"WITH {_SEEN} SELECT bucket, minutes_remaining, samples, crosses, {_r('probability')} AS probability, {_CONFIDENCE} AS confidence FROM {_surface()}")
+def opencross_surface(spark, d):
+    return rounded(X.surface(event_bars(spark, d, 60, True), CROSS))
+
+
+@query("opencross_symmetric", f"WITH {_SEEN}, f AS (SELECT abs(bucket) AS bucket, minutes_remaining, crossed FROM seen) SELECT bucket, minutes_remaining, samples, crosses, {_r('probability')} AS probability, {_CONFIDENCE} AS confidence FROM {_surface('f')}")
+def opencross_symmetric(spark, d):
+    return rounded(X.surface(event_bars(spark, d, 60, True), X.SurfaceConfig(60, 0.25, 10, symmetric=True)))
+
+
+@query("opencross_normalised")
+def opencross_normalised(spark, d):
+    config = X.SurfaceConfig(60, 0.5, 10, volatility_lookback=60)
+    return rounded(X.surface(V.with_volatility(event_bars(spark, d, 60, True), 60), config))
+
+
+@query("opencross_overall", f"WITH {_SEEN} SELECT CAST(sum(samples) AS BIGINT) AS samples, CAST(sum(crosses) AS BIGINT) AS crosses, {_r('sum(crosses) / sum(samples)')} AS cross_rate, count(DISTINCT bucket) AS buckets, count(*) AS cells FROM {_surface()}")
+def opencross_overall(spark, d):
+    return rounded(X.overall(X.surface(event_bars(spark, d, 60, True), CROSS)))
+
+
+@query("opencross_cross_section", f"WITH {_SEEN} SELECT bucket, samples, {_r('probability')} AS probability FROM {_surface()} WHERE minutes_remaining = 5")
+def opencross_cross_section(spark, d):
+    return rounded(X.cross_section(X.surface(event_bars(spark, d, 60, True), CROSS), 5).select("bucket", "samples", "probability"))
+
+
+@query("opencross_extremes", f"WITH {_SEEN}, s AS {_surface()}, o AS (SELECT *, row_number() OVER (ORDER BY probability DESC, bucket, minutes_remaining DESC) AS a, row_number() OVER (ORDER BY probability, bucket, minutes_remaining DESC) AS z FROM s) SELECT CASE WHEN a = 1 THEN 'highest' ELSE 'lowest' END AS which, bucket, minutes_remaining, {_r('probability')} AS probability, samples FROM o WHERE a = 1 OR z = 1")
+def opencross_extremes(spark, d):
+    return rounded(X.extremes(X.surface(event_bars(spark, d, 60, True), CROSS)))
+
+
+@query("opencross_heatmap")
+def opencross_heatmap(spark, d):
+    return rounded(X.heatmap(X.surface(event_bars(spark, d, 60, True), CROSS), 20))
+
+
+@query("opencross_trimmed", f"WITH {_SEEN}, s AS {_surface()} SELECT bucket, minutes_remaining, samples FROM s WHERE abs(bucket) <= (SELECT max(abs(bucket)) FROM s WHERE probability > 0.001) + 5")
+def opencross_trimmed(spark, d):
+    return X.trimmed(X.surface(event_bars(spark, d, 60, True), CROSS)).select("bucket", "minutes_remaining", "samples")
+
+
+@query("opencross_time_decay", f"WITH {_SEEN}, s AS {_surface()}, h AS (SELECT *, lag(probability) OVER (PARTITION BY bucket ORDER BY minutes_remaining DESC) AS before FROM s WHERE samples >= 10) SELECT bucket, count(*) AS points, CAST(count(*) FILTER (WHERE probability < before) AS BIGINT) AS falls, count(before) AS steps, count(*) FILTER (WHERE probability < before) * 2 > count(before) AS decays FROM h GROUP BY 1 HAVING count(*) >= 3")
+def opencross_time_decay(spark, d):
+    return X.time_decay(X.surface(event_bars(spark, d, 60, True), CROSS)).select("bucket", "points", F.coalesce("falls", F.lit(0)).alias("falls"), "steps", "decays")
+
+
+# Validation
+
+SPLITS = V.Splits(1704067200, 1705276799, 1705276800, 1706745599)
+_PART = "ts BETWEEN {0.train_start} AND {0.train_end}".format(SPLITS), "ts BETWEEN {0.test_start} AND {0.test_end}".format(SPLITS)
+_TRAIN = f"{_SEEN}, pts AS {_surface(f'(SELECT * FROM seen WHERE {_PART[0]})')}"
+
+
+@query(
+    "train_test",
+    f"""WITH {_TRAIN} SELECT part, count(*) AS observations, {_r('avg(probability)')} AS predicted, {_r('avg(CAST(crossed AS DOUBLE))')} AS realised, {_r('abs(avg(probability) - avg(CAST(crossed AS DOUBLE)))')} AS difference
+    FROM (SELECT *, CASE WHEN {_PART[0]} THEN 'train' WHEN {_PART[1]} THEN 'test' END AS part FROM seen) JOIN pts USING (bucket, minutes_remaining) WHERE part IS NOT NULL GROUP BY 1""",
+)
+def train_test(spark, d):
+    return rounded(V.train_test(event_bars(spark, d, 60, True), SPLITS, CROSS))
+
+
+def _predicted(spark, d):
+    train, test = V.split(event_bars(spark, d, 60, True), SPLITS)
+    return V.looked_up(X.observations(test, CROSS), X.surface(train, CROSS))
+
+
+_BINS = f"{_TRAIN}, bins AS (SELECT CAST(floor(round(probability / 0.05, 9)) AS BIGINT) AS bin, count(*) AS samples, avg(probability) AS predicted, avg(CAST(crossed AS DOUBLE)) AS observed, avg(pow(probability - CAST(crossed AS DOUBLE), 2)) AS brier FROM seen JOIN pts USING (bucket, minutes_remaining) WHERE {_PART[1]} GROUP BY 1)"
+
+
+@query("calibration_bins", f"WITH {_BINS} SELECT bin, samples, {_r('predicted')} AS predicted, {_r('observed')} AS observed, {_r('brier')} AS brier, {_r('abs(predicted - observed)')} AS error FROM bins")
+def calibration_bins(spark, d):
+    return rounded(V.calibration_bins(_predicted(spark, d)))
+
+
+@query("calibration", f"WITH {_BINS} SELECT CAST(sum(samples) AS BIGINT) AS samples, {_r('sum(brier * samples) / sum(samples)')} AS brier, {_r('sum(abs(predicted - observed) * samples) / sum(samples)')} AS mace, {_r('max(abs(predicted - observed))')} AS max_error FROM bins")
+def calibration(spark, d):
+    return rounded(V.calibration(_predicted(spark, d)).select("samples", "brier", "mace", "max_error"))
+
+
+@query(
+    "uncertainty",
+    f"""WITH {_SEEN}, s AS {_surface()} SELECT bucket, minutes_remaining, {_r('sqrt(probability * (1 - probability) / samples)')} AS standard_error,
+    {_r('greatest(0, (probability + 1.96 * 1.96 / (2 * samples)) / (1 + 1.96 * 1.96 / samples) - 1.96 * sqrt(probability * (1 - probability) / samples + 1.96 * 1.96 / (4.0 * samples * samples)) / (1 + 1.96 * 1.96 / samples))')} AS wilson_low, samples >= 385 AS enough FROM s""",
+)
+def uncertainty(spark, d):
+    return rounded(V.uncertainty(X.surface(event_bars(spark, d, 60, True), CROSS)).select("bucket", "minutes_remaining", "standard_error", "wilson_low", "enough"))
+
+
+@query(
+    "cross_period",
+    f"""WITH {_SEEN}, f AS (SELECT *, strftime(date_trunc('week', make_timestamp(ts * 1000000)), '%Y-%m-%d') AS period FROM seen), s AS {_surface('f', 'period, ')}
+    SELECT a.period AS left_period, b.period AS right_period, count(*) AS cells, {_r('avg(abs(a.probability - b.probability))')} AS mean_difference, {_r('CASE WHEN count(*) >= 3 THEN coalesce(corr(a.probability, b.probability), 0) ELSE 0 END')} AS correlation
+    FROM s a JOIN s b USING (bucket, minutes_remaining) WHERE a.period < b.period GROUP BY 1, 2""",
+)
+def cross_period(spark, d):
+    return rounded(V.cross_period(event_bars(spark, d, 60, True), CROSS, "week"))
+
+
+@query("rolling_stability")
+def rolling_stability(spark, d):
+    """Over daily bars of years: windows of six months by one."""
+    return rounded(V.rolling_stability(lineitem_bars(spark, d), X.SurfaceConfig(7 * 1440, 0.1, 10)))
+
+
+@query("regime_sensitivity")
+def regime_sensitivity(spark, d):
+    return rounded(V.regime_sensitivity(event_bars(spark, d, 60, True), CROSS))
+
+
+@query("random_baseline")
+def random_baseline(spark, d):
+    return rounded(V.random_baseline(event_bars(spark, d, 60, True), CROSS, 2))
+
+
+@query("surface_structure")
+def surface_structure(spark, d):
+    return rounded(V.structure(X.surface(event_bars(spark, d, 60, True), CROSS)))
+
+
+@query("surface_monotonicity")
+def surface_monotonicity(spark, d):
+    return rounded(V.monotonicity(X.surface(event_bars(spark, d, 60, True), CROSS)))
+
+
+@query("surface_simulation")
+def surface_simulation(spark, d):
+    train, test = V.split(event_bars(spark, d, 60, True), SPLITS)
+    return rounded(V.simulate(test, X.surface(train, CROSS), CROSS, 0.7))
+
+
+@query("surface_simulation_monthly")
+def surface_simulation_monthly(spark, d):
+    return rounded(V.monthly(surface_simulation(spark, d)))
+
+
+# Signals
+
+
+def _signals(spark, d) -> DataFrame:
+    """One signal per symbol and day, from the day's first bar."""
+    b = event_bars(spark, d)
+    first = b.groupBy("symbol", F.floor(F.col("ts") / 86400).alias("day")).agg(F.min("ts").alias("entry_ts"), F.min_by("close", "ts").alias("entry_price")).where("entry_price > 0")
+    odd = F.col("day") % 2 == 1
+    p = F.col("entry_price")
+    return first.select(
+        F.concat_ws("-", "symbol", "day").alias("signal_id"), "symbol", F.when(odd, "short").otherwise("long").alias("direction"), "entry_price",
+        F.when(odd, p * 1.5).otherwise(p * 0.5).alias("stop_loss"), F.when(odd, p * 0.25).otherwise(p * 3).alias("take_profit"),
+        F.when(F.col("day") % 3 == 0, 40.0).alias("trailing_percent"), F.lit(None).cast("double").alias("high_water_mark"), "entry_ts",
+    )
+
+
+@query(
+    "signal_evaluation",
+    f"""WITH {_events()}, s AS (SELECT symbol, ts // 86400 AS day, min(ts) AS entry_ts, arg_min(close, ts) AS entry_price FROM bars GROUP BY 1, 2),
+    g AS (SELECT symbol || '-' || day AS signal_id, symbol, day % 2 = 1 AS short, entry_price AS p, CASE WHEN day % 2 = 1 THEN entry_price * 1.5 ELSE entry_price * 0.5 END AS sl, CASE WHEN day % 2 = 1 THEN entry_price * 0.25 ELSE entry_price * 3 END AS tp, day % 3 = 0 AS trails, entry_ts FROM s WHERE entry_price > 0),
+    h AS (SELECT g.*, b.ts, b.high, b.low, b.close, greatest(p, max(b.high) OVER w) AS up, least(p, min(b.low) OVER w) AS down FROM g JOIN bars b ON b.symbol = g.symbol AND b.ts >= g.entry_ts WINDOW w AS (PARTITION BY signal_id ORDER BY b.ts ROWS UNBOUNDED PRECEDING)),
+    t AS (SELECT *, CASE WHEN short THEN down * 1.4 ELSE up * 0.6 END AS trail FROM h),
+    r AS (SELECT *, CASE WHEN (short AND high >= sl) OR (NOT short AND low <= sl) THEN 'stop_loss' WHEN trails AND ((short AND close >= trail) OR (NOT short AND close <= trail)) THEN 'trailing_stop' WHEN (short AND low <= tp) OR (NOT short AND high >= tp) THEN 'take_profit' END AS reason FROM t),
+    x AS (SELECT signal_id, any_value(short) AS short, any_value(p) AS p, arg_min(reason, ts) FILTER (WHERE reason IS NOT NULL) AS reason, arg_min(CASE reason WHEN 'stop_loss' THEN sl WHEN 'trailing_stop' THEN trail ELSE tp END, ts) FILTER (WHERE reason IS NOT NULL) AS price, min(ts) FILTER (WHERE reason IS NOT NULL) AS exit_ts FROM r GROUP BY 1)
+    SELECT signal_id, CASE WHEN reason IS NULL THEN 'open' WHEN (CASE WHEN short THEN p - price ELSE price - p END) > 0 THEN 'winner' ELSE 'loser' END AS status, reason AS exit_reason, {_r('price')} AS exit_price, exit_ts FROM x""",
+)
+def signal_evaluation(spark, d):
+    return rounded(signals.evaluate(_signals(spark, d), event_bars(spark, d)).select("signal_id", "status", "exit_reason", "exit_price", "exit_ts"))
+
+
+# Statistics over a ledger: orders as trades of each priority
+
+
+def _ledger(spark, d) -> DataFrame:
+    o = table(spark, d, "orders")
+    start = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    return o.select(F.col("o_orderpriority").alias("symbol"), F.when(F.col("o_orderstatus") == "O", "short").otherwise("long").alias("direction"), (F.col("o_totalprice") - 150000).alias("pnl"), start.alias("entry_ts"), (start + 3600 + F.col("o_orderkey") % 7 * 3600).alias("exit_ts"), F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 3 == 0, "stop_loss").otherwise("take_profit").alias("exit_reason"))
+
+
+_LEDGER = "t AS (SELECT o_orderpriority AS symbol, CASE WHEN o_orderstatus = 'O' THEN 'short' ELSE 'long' END AS direction, o_totalprice - 150000 AS pnl, CAST(epoch(o_orderdate) AS BIGINT) AS entry_ts, CAST(epoch(o_orderdate) AS BIGINT) + 3600 + o_orderkey % 7 * 3600 AS exit_ts, o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'stop_loss' ELSE 'take_profit' END AS exit_reason FROM orders)"
+
+
+@query(
+    "trade_statistics",
+    f"""WITH {_LEDGER} SELECT symbol, count(*) AS total_trades, {_r('sum(pnl)', 2)} AS total_return, CAST(count(*) FILTER (WHERE pnl > 0) AS BIGINT) AS winning_trades, CAST(count(*) FILTER (WHERE pnl < 0) AS BIGINT) AS losing_trades,
+    {_r('count(*) FILTER (WHERE pnl > 0) / count(*)')} AS win_rate, {_r('sum(pnl) FILTER (WHERE pnl > 0) / abs(sum(pnl) FILTER (WHERE pnl < 0))')} AS profit_factor, {_r('max(pnl)', 2)} AS largest_win, {_r('min(pnl)', 2)} AS largest_loss,
+    {_r('avg(exit_ts - entry_ts)', 2)} AS avg_trade_duration, {_r('median(exit_ts - entry_ts)', 2)} AS median_trade_duration, CAST(count(*) FILTER (WHERE direction = 'short') AS BIGINT) AS short_trades FROM t GROUP BY 1""",
+)
+def trade_statistics(spark, d):
+    out = S.trade_statistics(_ledger(spark, d), ("symbol",), 1e6)
+    out = out.select("symbol", "total_trades", "total_return", "winning_trades", "losing_trades", "win_rate", "profit_factor", "largest_win", "largest_loss", "avg_trade_duration", "median_trade_duration", "short_trades")
+    return rounded(out.withColumns({c: F.round(c, 2) for c in ("total_return", "largest_win", "largest_loss", "avg_trade_duration", "median_trade_duration")}))
+
+
+@query(
+    "streaks",
+    f"""WITH {_LEDGER}, s AS (SELECT symbol, entry_ts, k, sign(pnl) AS s, CASE WHEN sign(pnl) IS DISTINCT FROM lag(sign(pnl)) OVER (PARTITION BY symbol ORDER BY entry_ts, k) THEN 1 ELSE 0 END AS n FROM t),
+    i AS (SELECT *, sum(n) OVER (PARTITION BY symbol ORDER BY entry_ts, k ROWS UNBOUNDED PRECEDING) AS isl FROM s), c AS (SELECT symbol, isl, s, count(*) AS c FROM i GROUP BY 1, 2, 3)
+    SELECT symbol, CAST(coalesce(max(c) FILTER (WHERE s = 1), 0) AS BIGINT) AS max_consecutive_wins, CAST(coalesce(max(c) FILTER (WHERE s = -1), 0) AS BIGINT) AS max_consecutive_losses FROM c GROUP BY 1""",
+)
+def streaks(spark, d):
+    return S.streaks(_ledger(spark, d), ("symbol",), ["entry_ts", "k"])
+
+
+@query("drawdowns", f"WITH {_events()}, p AS (SELECT symbol, ts, close, max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM bars), f AS (SELECT *, peak - close AS fall, sum(CASE WHEN peak - close <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM p), l AS (SELECT symbol, g, count(*) FILTER (WHERE fall > 0) AS n FROM f GROUP BY 1, 2) SELECT f.symbol, {_r('max(fall)')} AS max_drawdown, {_r('max(CASE WHEN peak <> 0 THEN fall / peak ELSE 0 END)')} AS max_drawdown_percent, CAST(any_value(m.n) AS BIGINT) AS max_drawdown_duration FROM f JOIN (SELECT symbol, max(n) AS n FROM l GROUP BY 1) m ON m.symbol = f.symbol GROUP BY 1")
+def drawdowns(spark, d):
+    curve = event_bars(spark, d).select("symbol", "ts", F.col("close").alias("equity"))
+    return rounded(S.drawdown_summary(curve, ("symbol",), "ts").drop("avg_drawdown"))
+
+
+@query("running_balance", f"WITH {_LEDGER} SELECT symbol, k, {_r('1000000 + sum(pnl) OVER (PARTITION BY symbol ORDER BY entry_ts, k ROWS UNBOUNDED PRECEDING)', 2)} AS balance FROM t")
+def running_balance(spark, d):
+    return S.running_balance(_ledger(spark, d), ("symbol",), ["entry_ts", "k"], 1e6).select("symbol", "k", (F.round("balance", 2) + 0.0).alias("balance"))
+
+
+@query("exit_reasons", f"WITH {_LEDGER} SELECT symbol, exit_reason, count(*) AS trades, {_r('count(*) / sum(count(*)) OVER (PARTITION BY symbol)')} AS share FROM t GROUP BY 1, 2")
+def exit_reasons(spark, d):
+    return rounded(S.exit_reasons(_ledger(spark, d), ("symbol",)))
+
+
+@query(
+    "series_metrics",
+    f"""WITH {_events()} SELECT symbol, count(close) AS count, {_r('min(close)')} AS min, {_r('max(close)')} AS max, {_r('avg(close)')} AS mean, {_r('quantile_cont(close, 0.5)')} AS median, {_r('stddev_pop(close)')} AS std_dev, {_r('var_pop(close)')} AS variance,
+    {_r('sum(close)')} AS sum, {_r('max(close) - min(close)')} AS range, {_r('quantile_cont(close, 0.25)')} AS q1, {_r('quantile_cont(close, 0.5)')} AS q2, {_r('quantile_cont(close, 0.75)')} AS q3, {_r('kurtosis_pop(close)')} AS kurtosis FROM bars GROUP BY 1""",
+)
+def series_metrics(spark, d):
+    return rounded(S.series_metrics(event_bars(spark, d), "close", ("symbol",)).drop("skewness"))
+
+
+@query("return_ratios", f"WITH {_LINE}, r AS (SELECT symbol, close / lag(close) OVER {_W} - 1 AS r FROM bars) SELECT symbol, count(r) AS n, {_r('avg(r) / stddev_samp(r)')} AS sharpe, {_r('avg(r) / sqrt(avg(pow(least(r, 0), 2)))')} AS sortino FROM r WHERE r IS NOT NULL GROUP BY 1")
+def return_ratios(spark, d):
+    w = Series().window
+    r = lineitem_bars(spark, d).select("symbol", (F.col("close") / F.lag("close").over(w) - 1).alias("r")).where("r is not null")
+    return rounded(S.return_ratios(r, "r", ("symbol",)))
+
+
+@query("daily_stability", f"WITH {_LEDGER}, p AS (SELECT symbol, entry_ts // 86400 AS d, sum(pnl) AS p FROM t GROUP BY 1, 2) SELECT symbol, count(*) AS days, {_r('avg(CAST(p > 0 AS DOUBLE))')} AS stability FROM p GROUP BY 1")
+def daily_stability(spark, d):
+    return rounded(S.daily_stability(_ledger(spark, d), "entry_ts", "pnl", ("symbol",)))
+
+
+@query("win_loss", f"WITH {_LEDGER} SELECT symbol, count(pnl) AS total, CAST(count(*) FILTER (WHERE pnl > 0) AS BIGINT) AS winning, CAST(count(*) FILTER (WHERE pnl < 0) AS BIGINT) AS losing, {_r('avg(CAST(pnl > 0 AS DOUBLE))')} AS win_rate, {_r('avg(pnl)', 4)} AS expected_value FROM t GROUP BY 1")
+def win_loss(spark, d):
+    return rounded(S.win_loss(_ledger(spark, d), "pnl", ("symbol",)).withColumn("expected_value", F.round("expected_value", 4)))
+
+
+@query("buy_and_hold")
+def buy_and_hold(spark, d):
+    return S.buy_and_hold(lineitem_bars(spark, d))
+
+
+# Backtests and search
+
+_FIVE = [P.Run(n) for n in sorted(REGISTRY)]
+
+
+@query("backtest_trades")
+def backtest_trades(spark, d):
+    """All strategies with their defaults over hourly bars of every symbol."""
+    return rounded(P.trades_of(P.backtest(event_bars(spark, d), _FIVE)))
+
+
+@query("backtest_statistics")
+def backtest_statistics(spark, d):
+    return rounded(P.statistics(P.backtest(event_bars(spark, d), _FIVE)))
+
+
+@query("backtest_dual")
+def backtest_dual(spark, d):
+    fine = event_bars(spark, d)
+    return rounded(P.trades_of(P.backtest_dual(B.aggregate(fine, 14400), fine, 14400, [P.Run("sma_crossover", {"fastPeriod": 5, "slowPeriod": 20})])))
+
+
+_SPACE = {"fastPeriod": G.Dimension(5, 15, 5, True), "slowPeriod": G.Dimension(20, 40, 10, True)}
+
+
+def _grid():
+    return list(G.grid(_SPACE))
+
+
+@query("optimise_grid")
+def optimise_grid(spark, d):
+    best = G.optimise(event_bars(spark, d), "sma_crossover", _grid(), top=10)
+    return rounded(export.ranked_runs(best))
+
+
+@query("optimise_portfolio")
+def optimise_portfolio(spark, d):
+    return rounded(G.portfolio(G.evaluate(event_bars(spark, d), "sma_crossover", _grid()), 5))
+
+
+@query("walk_forward")
+def walk_forward(spark, d):
+    import datetime as dt
+
+    s = G.split_dates(dt.date(2024, 1, 1), dt.date(2024, 1, 31))
+    return rounded(G.walk_forward(event_bars(spark, d), "sma_crossover", _grid(), s, top=10))
+
+
+@query("walk_forward_summary")
+def walk_forward_summary(spark, d):
+    return rounded(G.walk_forward_summary(walk_forward(spark, d)))
+
+
+def _scored(spark, d) -> DataFrame:
+    """Parts as runs: size and a price class are the parameters, the retail price the score."""
+    return table(spark, d, "part").select(F.create_map(F.lit("size"), F.col("p_size").cast("double"), F.lit("cls"), (F.col("p_partkey") % 4).cast("double")).alias("params"), F.col("p_retailprice").alias("score"))
+
+
+_VALUES = "v AS (SELECT 'size' AS name, CAST(p_size AS DOUBLE) AS value, avg(p_retailprice) AS m FROM part GROUP BY ALL UNION ALL SELECT 'cls', CAST(p_partkey % 4 AS DOUBLE), avg(p_retailprice) FROM part GROUP BY ALL)"
+
+
+@query("sensitivity_importance", f"WITH {_VALUES}, s AS (SELECT name, var_pop(m) AS variance, count(*) AS values FROM v GROUP BY 1) SELECT name, {_r('variance', 4)} AS variance, values, {_r('variance / sum(variance) OVER () * 100', 4)} AS importance FROM s")
+def sensitivity_importance(spark, d):
+    return rounded(G.importance(_scored(spark, d)), 4)
+
+
+@query("sensitivity_surface", "SELECT a, b, round(mean, 4) + 0.0 AS mean, runs FROM (SELECT DISTINCT CAST(p_partkey % 4 AS DOUBLE) AS a FROM part) CROSS JOIN (SELECT DISTINCT CAST(p_size AS DOUBLE) AS b FROM part) LEFT JOIN (SELECT CAST(p_partkey % 4 AS DOUBLE) AS a, CAST(p_size AS DOUBLE) AS b, avg(p_retailprice) AS mean, count(*) AS runs FROM part GROUP BY ALL) USING (a, b)")
+def sensitivity_surface(spark, d):
+    return rounded(G.score_surface(_scored(spark, d), "cls", "size"), 4)
+
+
+@query("sensitivity_interactions", f"WITH {_VALUES}, o AS (SELECT name, var_pop(m) AS own FROM v GROUP BY 1), j AS (SELECT var_pop(m) AS joint FROM (SELECT avg(p_retailprice) AS m FROM part GROUP BY p_size, p_partkey % 4)) SELECT 'cls' AS a, 'size' AS b, {_r('joint', 4)} AS joint, {_r('(SELECT own FROM o WHERE name = ' + chr(39) + 'cls' + chr(39) + ')', 4)} AS own_a, {_r('(SELECT own FROM o WHERE name = ' + chr(39) + 'size' + chr(39) + ')', 4)} AS own_b, {_r('joint - (SELECT sum(own) FROM o)', 4)} AS interaction FROM j")
+def sensitivity_interactions(spark, d):
+    return rounded(G.interactions(_scored(spark, d)), 4)
+
+
+def _pnl(spark, d) -> DataFrame:
+    """Nations as trades, by key."""
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("place"), (F.col("n_nationkey") * 37 % 23 - 9.5).cast("double").alias("pnl"))
+
+
+_DRAWN = """n AS (SELECT CAST(n_nationkey AS BIGINT) AS place, CAST(n_nationkey * 37 % 23 - 9.5 AS DOUBLE) AS pnl FROM nation), c AS (SELECT count(*) AS n FROM n),
+  i AS (SELECT i.range AS iteration, k.range AS k, c.n FROM range(200) i, c, range((SELECT n FROM c)) k),
+  s AS (SELECT *, (iteration * 7919 + k * 104729 + 42 * 31 + 17) % 2147483648 AS a FROM i), s2 AS (SELECT *, (a * 1103515245 + 12345) % 2147483648 AS b FROM s),
+  d AS (SELECT iteration, k, pnl FROM s2 JOIN n ON n.place = CAST(floor(((b * 1103515245 + 12345) % 2147483648) / 65536) AS BIGINT) % s2.n),
+  e AS (SELECT *, 100 + sum(pnl) OVER (PARTITION BY iteration ORDER BY k ROWS UNBOUNDED PRECEDING) AS equity FROM d),
+  f AS (SELECT *, greatest(100, max(equity) OVER (PARTITION BY iteration ORDER BY k ROWS UNBOUNDED PRECEDING)) - equity AS fall FROM e)"""
+
+
+@query("monte_carlo", f"WITH {_DRAWN} SELECT iteration, {_r('sum(pnl)')} AS total_return, {_r('avg(CAST(pnl > 0 AS DOUBLE))')} AS win_rate, {_r('max(fall)')} AS max_drawdown, {_r('avg(pnl) / stddev_samp(pnl)')} AS sharpe_ratio FROM f GROUP BY 1")
+def monte_carlo(spark, d):
+    return rounded(montecarlo.bootstrap(_pnl(spark, d), 200, 42, 100.0).select("iteration", "total_return", "win_rate", "max_drawdown", "sharpe_ratio"))
+
+
+@query("monte_carlo_summary")
+def monte_carlo_summary(spark, d):
+    return rounded(montecarlo.summary(montecarlo.bootstrap(_pnl(spark, d), 200, 42, 100.0)))
+
+
+@query("export_trades")
+def export_trades(spark, d):
+    return export.trades_table(P.trades_of(P.backtest(event_bars(spark, d), [P.Run("sma_crossover")])))
+
+
+@query("streamed_bars", f"WITH {_events()} SELECT symbol, ts, {_r('high')} AS high, {_r('low')} AS low, {_r('volume')} AS volume FROM bars")
+def streamed_bars(spark, d):
+    """Hourly bars of the events as a stream that is run to its end."""
+    import uuid
+
+    from .streaming.bars import open_bars
+
+    path = f"{d}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else d + "/event[s].parquet")
+    ticks = stream.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
+    name = f"bars_{uuid.uuid4().hex}"
+    run = open_bars(ticks, 3600).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return rounded(spark.table(name).select("symbol", "ts", "high", "low", "volume"))
+
+
+def _is_folder(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
