@@ -24,14 +24,14 @@ BROADCAST_TERMS = 500_000
 NO_ID = -(1 << 63)
 
 
-def _terms(text: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
+def _words(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
 def lexicon(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> DataFrame:
     """``term`` (64-bit hash) of every term within the band; two documents at least."""
     n = docs.count()
-    counted = docs.select(F.explode(_terms(F.col("text"))).alias("word")).groupBy(F.xxhash64("word").alias("term")).agg(F.count("*").alias("df"))
+    counted = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).where("word <> ''").groupBy(F.xxhash64("word").alias("term")).agg(F.count("*").alias("df"))
     return counted.where((F.col("df") >= max(2, least_share * n)) & (F.col("df") <= max(2, most_share * n))).select("term")
 
 
@@ -58,23 +58,27 @@ def _hashes(terms: Column) -> Column:
 
     def one(subset: int) -> Column:
         held = F.filter(ordered, lambda t: F.pmod(F.xxhash64(t, F.lit(subset)), F.lit(THINNINGS[subset])) == 0)
-        return F.when(F.size(held) > 0, F.shiftrightunsigned(F.xxhash64(held), 32))
+        return F.when(F.size(held) > 0, F.hash(held))
 
     return F.array(*(one(s) for s in range(len(THINNINGS))))
 
 
+def _blank(hashes: Column) -> Column:
+    return ~F.exists(hashes, lambda h: h.isNotNull())
+
+
 def _text_of(hashes: Column, plain: Column) -> Column:
     """The fingerprint as a string; a text without lexicon terms has its own hash instead."""
-    joined = F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.hex(h)), F.lit("0"))), "-")
-    return F.when(F.exists(hashes, lambda h: h.isNotNull()), joined).otherwise(F.concat(F.lit("text-"), plain))
+    joined = F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF))), F.lit("-"))), ".")
+    return F.coalesce(F.concat(F.lit("text-"), plain), joined)
 
 
-def _likeness(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
+def _likeness(a: Column, plain_a: Column, b: Column, plain_b: Column) -> Column:
     """Share of subsets with equal hashes, among those where either has one."""
     pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
     equal = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
     either = F.size(F.filter(pairs, lambda p: p["a"].isNotNull() | p["b"].isNotNull()))
-    return F.when(text_a == text_b, 1.0).when(either > 0, equal / either).otherwise(0.0).cast("double")
+    return F.when(plain_a == plain_b, 1.0).when(either > 0, equal / either).otherwise(0.0).cast("double")
 
 
 def fingerprints(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> DataFrame:
@@ -96,31 +100,37 @@ def fingerprints(docs: DataFrame, least_share: float = LEAST_SHARE, most_share:
     whole = docs.join(pieces, F.col("key") == F.col("borrower")).select("key", "text", "piece", F.length("text").alias("n"))
     whole = whole.withColumn("edited", F.expr("concat(substring(text, 1, n - cast(floor(n / 3) as int)), substring(piece, 1, cast(floor(n / 3) as int)))"))
 
-    # one pass: the terms of both texts, and an entry that carries the row's own values
+    # words that lie in both texts are split once: those before the last separator of what is kept
+    kept = F.expr("substring(text, 1, n - cast(floor(n / 3) as int))")
+    whole = whole.withColumn("shared", F.regexp_extract(kept, r"(?s)^(.*)[^\p{L}\p{N}]", 1))
     own = F.struct(F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("sha"), F.md5("text").alias("plain"), F.md5("edited").alias("edited_plain"))
-    nothing = F.lit(None).cast("struct<n_chars:bigint,sha:string,plain:string,edited_plain:string>")
-    marked = lambda text, side: F.transform(_terms(text), lambda t: F.struct(F.xxhash64(t).alias("term"), F.lit(side).alias("side"), nothing.alias("own")))
-    carrier = F.array(F.struct(F.lit(0).cast("long").alias("term"), F.lit(0).alias("side"), own.alias("own")))
-    entries = whole.select("key", F.xxhash64("text").alias("copy"), F.explode(F.concat(carrier, marked(F.col("text"), 1), marked(F.col("edited"), 2))).alias("e")).select("key", "copy", "e.*")
+    rest = lambda c: F.expr(f"substring({c}, length(shared) + 1)")
+    split = whole.select("key", F.xxhash64("text").alias("copy"), own.alias("own"), _words(F.col("shared")).alias("both"), _words(rest("text")).alias("first"), _words(rest("edited")).alias("second"))
+    sized = split.select("key", "copy", "own", F.size("both").alias("upto"), (F.size("both") + F.size("first")).alias("then"), F.posexplode(F.concat("both", "first", "second", F.array(F.lit("\n")))).alias("at", "word"))
+    last = F.col("word") == "\n"  # the entry that every row has, whatever its words
+    entries = sized.select("key", "copy", "own", "upto", "then", "at", F.when(last, F.lit(0)).otherwise(F.xxhash64("word")).cast("long").alias("term"))
     held = words.where("term <> 0").unionAll(words.sparkSession.range(1).select(F.lit(0).cast("long").alias("term")))
     entries = entries.join(F.broadcast(held) if words.count() <= BROADCAST_TERMS else held, "term")
+    real = F.col("term") != 0
     grouped = entries.groupBy("key", "copy").agg(
-        F.max("own").alias("own"),
-        F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("times"),
-        F.collect_set(F.when(F.col("side") == 1, F.col("term"))).alias("terms"),
-        F.collect_set(F.when(F.col("side") == 2, F.col("term"))).alias("edited_terms"),
+        F.first("own").alias("own"),
+        F.count_if(~real).alias("times"),
+        F.collect_set(F.when(real & (F.col("at") < F.col("then")), F.col("term"))).alias("terms"),
+        F.collect_set(F.when(real & ((F.col("at") < F.col("upto")) | (F.col("at") >= F.col("then"))), F.col("term"))).alias("edited_terms"),
     )
-    hashed = grouped.select("key", "own", "times", _hashes(F.col("terms")).alias("hashes"), _hashes(F.col("edited_terms")).alias("edited_hashes"))
-    printed = materialise(hashed.withColumn("fingerprint", _text_of(F.col("hashes"), F.col("own.plain"))).withColumn("edited_fingerprint", _text_of(F.col("edited_hashes"), F.col("own.edited_plain"))), "fingerprints")
+    hashed = grouped.select("key", "times", F.col("own.n_chars").alias("n_chars"), F.col("own.sha").alias("sha"), "own", _hashes(F.col("terms")).alias("hashes"), _hashes(F.col("edited_terms")).alias("edited_hashes"))
+    printed = hashed.withColumn("plain", F.when(_blank(F.col("hashes")), F.col("own.plain"))).withColumn("edited_plain", F.when(_blank(F.col("edited_hashes")), F.col("own.edited_plain"))).drop("own")
+    printed = materialise(printed, "fingerprints")
 
-    following = printed.groupBy(F.col("key").alias("follower")).agg(F.min(F.struct("fingerprint", "hashes")).alias("next"))
+    following = printed.groupBy(F.col("key").alias("follower")).agg(F.min(F.struct("hashes", "plain")).alias("next"))
     rows = printed.join(order.select("key", "follower"), "key").join(following, "follower").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    hashes, plain = F.col("hashes"), F.col("plain")
     return rows.select(
         F.when(F.col("key") != F.lit(NO_ID), F.col("key")).alias("doc_id"),
-        F.col("own.n_chars").alias("n_chars"),
-        F.col("own.sha").alias("edited_sha256"),
-        "fingerprint",
-        "edited_fingerprint",
-        _likeness(F.col("hashes"), F.col("edited_hashes"), F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        _likeness(F.col("hashes"), F.col("next.hashes"), F.col("fingerprint"), F.col("next.fingerprint")).alias("near_next"),
+        "n_chars",
+        F.col("sha").alias("edited_sha256"),
+        _text_of(hashes, plain).alias("fingerprint"),
+        _text_of(F.col("edited_hashes"), F.col("edited_plain")).alias("edited_fingerprint"),
+        _likeness(hashes, plain, F.col("edited_hashes"), F.col("edited_plain")).alias("near_edited"),
+        _likeness(hashes, plain, F.col("next.hashes"), F.col("next.plain")).alias("near_next"),
     )
