@@ -12,8 +12,8 @@ def evaluate(signals: DataFrame, bars: DataFrame) -> DataFrame:
     ``signals``: ``signal_id, symbol, direction`` (long or short), ``entry_price,
     stop_loss, take_profit`` (null: none), ``trailing_percent`` (null: none),
     ``high_water_mark`` (null: the entry price), ``entry_ts``. Within a bar the trail
-    is updated with the bar's own extreme first, then the stop loss, the trailing stop
-    and the take profit are tested in this order. A signal that touches nothing stays
+    is updated with the bar's own extreme first, at a share of the bar's close from it;
+    then the stop loss, the trailing stop and the take profit are tested in this order. A signal that touches nothing stays
     open, and its water mark is carried on.
 
     One equi-join on the symbol; the trail is a running extreme per signal, the first
@@ -25,11 +25,10 @@ def evaluate(signals: DataFrame, bars: DataFrame) -> DataFrame:
     start = F.coalesce("high_water_mark", "entry_price")
     mark = F.when(long, F.greatest(start, F.max("high").over(w))).otherwise(F.least(start, F.min("low").over(w)))
     held = held.withColumn("mark", mark)
-    share = F.col("trailing_percent") / 100
-    trail = F.when(long, F.col("mark") * (1 - share)).otherwise(F.col("mark") * (1 + share))
+    distance = F.col("close") * F.col("trailing_percent") / 100
+    trail = F.when(long, F.col("mark") - distance).otherwise(F.col("mark") + distance)
     hit = lambda level, below: F.coalesce(F.when(below, F.col("low") <= level).otherwise(F.col("high") >= level), F.lit(False))
-    trailed = F.coalesce(F.when(long, F.col("close") <= trail).otherwise(F.col("close") >= trail), F.lit(False))
-    reason = F.when(hit(F.col("stop_loss"), long), "stop_loss").when(trailed, "trailing_stop").when(hit(F.col("take_profit"), ~long), "take_profit")
+    reason = F.when(hit(F.col("stop_loss"), long), "stop_loss").when(hit(trail, long), "trailing_stop").when(hit(F.col("take_profit"), ~long), "take_profit")
     held = held.withColumn("trail", trail).withColumn("reason", reason)
     price = F.when(F.col("reason") == "stop_loss", F.col("stop_loss")).when(F.col("reason") == "trailing_stop", F.col("trail")).when(F.col("reason") == "take_profit", F.col("take_profit"))
     first = held.groupBy("signal_id").agg(

@@ -122,25 +122,27 @@ def single(metric: str) -> Objective:
     return lambda: -F.abs(F.col(metric)) if "drawdown" in metric else F.col(metric)
 
 
-def composite(weights: dict[str, tuple[float, float, float]]) -> Objective:
-    """Weighted sum of metrics, each clamped to bounds and scaled to them."""
+def composite(weights: dict[str, tuple[float, float | None, float | None]]) -> Objective:
+    """Weighted sum of metrics, each clamped where a bound is given."""
 
     def build() -> Column:
         out = F.lit(0.0)
         for metric, (weight, low, high) in weights.items():
-            clamped = F.least(F.greatest(F.col(metric), F.lit(float(low))), F.lit(float(high)))
-            out = out + weight * (clamped - low) / (high - low)
+            value = F.coalesce(F.col(metric), F.lit(0.0))
+            value = value if low is None else F.greatest(value, F.lit(float(low)))
+            value = value if high is None else F.least(value, F.lit(float(high)))
+            out = out + weight * value
         return out
 
     return build
 
 
-# Metric, weight and clamping bounds.
+# Metric, weight, lower and upper clamp.
 PRESETS: dict[str, Objective] = {
-    "sharpe_focused": composite({"sharpe_ratio": (0.6, 0, 3), "total_return_percent": (0.2, 0, 100), "win_rate": (0.2, 0, 1)}),
-    "balanced": composite({"sharpe_ratio": (0.4, 0, 3), "total_return_percent": (0.3, 0, 100), "win_rate": (0.15, 0, 1), "max_drawdown_percent": (-0.15, 0, 1)}),
-    "conservative": composite({"sharpe_ratio": (0.3, 0, 3), "total_return_percent": (0.1, 0, 100), "win_rate": (0.2, 0, 1), "max_drawdown_percent": (-0.4, 0, 1)}),
-    "aggressive": composite({"sharpe_ratio": (0.2, 0, 3), "total_return_percent": (0.7, 0, 100), "win_rate": (0.1, 0, 1)}),
+    "sharpe_focused": composite({"sharpe_ratio": (1.0, -3, 3), "max_drawdown_percent": (-0.3, None, None)}),
+    "balanced": composite({"total_return_percent": (2.0, None, 100), "max_drawdown_percent": (-0.5, None, None), "sharpe_ratio": (1.0, -3, 3), "win_rate": (0.5, None, 1)}),
+    "conservative": composite({"max_drawdown_percent": (-2.0, None, None), "profit_factor": (1.0, None, 10), "sortino_ratio": (1.0, -3, 3)}),
+    "aggressive": composite({"total_return_percent": (3.0, None, 100), "sharpe_ratio": (1.0, -3, 3), "max_drawdown_percent": (-0.2, None, None)}),
 }
 
 

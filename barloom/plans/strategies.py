@@ -83,10 +83,6 @@ def crosses_below(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (_lag(a) >= _lag(b)) & (a < b)
 
 
-def _constant(x: np.ndarray, v: float) -> np.ndarray:
-    return np.full(len(x), float(v))
-
-
 def _crossover(fast: np.ndarray, slow: np.ndarray) -> Arrays:
     return {"entry": crosses_above(fast, slow), "exit": crosses_below(fast, slow)}
 
@@ -127,7 +123,7 @@ def _stochastic(b: Arrays, fast_k: int, slow_k: int, slow_d: int) -> tuple[np.nd
 @strategy("stoch_reversal", fastKPeriod=(14, 5, 30, 1), slowKPeriod=(3, 1, 10, 1), slowDPeriod=(3, 1, 10, 1), stopLossPercent=(3.0, 0.5, 20.0, 0.5), takeProfitPercent=(6.0, 1.0, 50.0, 2.0))
 def stoch_reversal(b: Arrays, p: dict) -> Arrays:
     k, d = _stochastic(b, p["fastKPeriod"], p["slowKPeriod"], p["slowDPeriod"])
-    return {"entry": crosses_above(k, d) & (k < 20), "exit": crosses_below(k, d) & (k > 80)}
+    return _crossover(k, d)
 
 
 @strategy("bb_reversal", period=(20, 10, 50, 5), stdDev=(2.0, 1.0, 4.0, 0.5), stopLossPercent=(2.0, 0.5, 20.0, 0.5), takeProfitPercent=(4.0, 1.0, 50.0, 2.0))
@@ -141,14 +137,13 @@ def bb_reversal(b: Arrays, p: dict) -> Arrays:
 @strategy("adx_trend_pullback", adxPeriod=(14, 10, 30, 2), adxThreshold=(25.0, 15, 40, 5), rsiPeriod=(14, 5, 30, 1), rsiPullbackLevel=(40.0, 20, 50, 5), rsiOverboughtLevel=(70.0, 60, 85, 5), stopLossPercent=(4.0, 0.5, 20.0, 0.5), takeProfitPercent=(8.0, 1.0, 50.0, 2.0))
 def adx_trend_pullback(b: Arrays, p: dict) -> Arrays:
     a, r = K.adx(b, p["adxPeriod"])["adx"], K.rsi(b, p["rsiPeriod"])["rsi"]
-    up = K.plus_di(b, p["adxPeriod"])["plus_di"] > K.minus_di(b, p["adxPeriod"])["minus_di"]
-    return {"entry": (a > p["adxThreshold"]) & up & crosses_above(r, _constant(r, p["rsiPullbackLevel"])), "exit": r > p["rsiOverboughtLevel"]}
+    return {"entry": (a > p["adxThreshold"]) & (r < p["rsiPullbackLevel"]) & (r > _lag(r)), "exit": (a < p["adxThreshold"]) | (r > p["rsiOverboughtLevel"])}
 
 
 @strategy("breakout", lookback=(20, 10, 60, 5), atrPeriod=(14, 5, 30, 1), atrMultiplier=(2.0, 1.0, 5.0, 0.5), stopLossPercent=(4.0, 0.5, 20.0, 0.5), takeProfitPercent=(12.0, 1.0, 50.0, 2.0))
 def breakout(b: Arrays, p: dict) -> Arrays:
-    """Close through the extreme of the bars before; the stop lies some true ranges under it."""
+    """Close through the running extreme, this bar's own included; the stop lies some true ranges under the close."""
     n, m = p["lookback"], max(5, p["lookback"] // 2)
-    top = _lag(np.array([b["high"][max(0, i - n + 1) : i + 1].max() if i >= n - 1 else np.nan for i in range(len(b["close"]))]))
-    bottom = _lag(np.array([b["low"][max(0, i - m + 1) : i + 1].min() if i >= m - 1 else np.nan for i in range(len(b["close"]))]))
+    top = np.array([b["high"][max(0, i - n + 1) : i + 1].max() if i >= n - 1 else np.nan for i in range(len(b["close"]))])
+    bottom = np.array([b["low"][max(0, i - m + 1) : i + 1].min() if i >= m - 1 else np.nan for i in range(len(b["close"]))])
     return {"entry": crosses_above(b["close"], top), "exit": crosses_below(b["close"], bottom), "stop": b["close"] - K.atr(b, p["atrPeriod"])["atr"] * p["atrMultiplier"]}

@@ -620,8 +620,8 @@ def _signals(spark, d) -> DataFrame:
     f"""WITH {_events()}, s AS (SELECT symbol, ts // 86400 AS day, min(ts) AS entry_ts, arg_min(close, ts) AS entry_price FROM bars GROUP BY 1, 2),
     g AS (SELECT symbol || '-' || day AS signal_id, symbol, day % 2 = 1 AS short, entry_price AS p, CASE WHEN day % 2 = 1 THEN entry_price * 1.5 ELSE entry_price * 0.5 END AS sl, CASE WHEN day % 2 = 1 THEN entry_price * 0.25 ELSE entry_price * 3 END AS tp, day % 3 = 0 AS trails, entry_ts FROM s WHERE entry_price > 0),
     h AS (SELECT g.*, b.ts, b.high, b.low, b.close, greatest(p, max(b.high) OVER w) AS up, least(p, min(b.low) OVER w) AS down FROM g JOIN bars b ON b.symbol = g.symbol AND b.ts >= g.entry_ts WINDOW w AS (PARTITION BY signal_id ORDER BY b.ts ROWS UNBOUNDED PRECEDING)),
-    t AS (SELECT *, CASE WHEN short THEN down * 1.4 ELSE up * 0.6 END AS trail FROM h),
-    r AS (SELECT *, CASE WHEN (short AND high >= sl) OR (NOT short AND low <= sl) THEN 'stop_loss' WHEN trails AND ((short AND close >= trail) OR (NOT short AND close <= trail)) THEN 'trailing_stop' WHEN (short AND low <= tp) OR (NOT short AND high >= tp) THEN 'take_profit' END AS reason FROM t),
+    t AS (SELECT *, CASE WHEN short THEN down + close * 0.4 ELSE up - close * 0.4 END AS trail FROM h),
+    r AS (SELECT *, CASE WHEN (short AND high >= sl) OR (NOT short AND low <= sl) THEN 'stop_loss' WHEN trails AND ((short AND high >= trail) OR (NOT short AND low <= trail)) THEN 'trailing_stop' WHEN (short AND low <= tp) OR (NOT short AND high >= tp) THEN 'take_profit' END AS reason FROM t),
     x AS (SELECT signal_id, any_value(short) AS short, any_value(p) AS p, arg_min(reason, ts) FILTER (WHERE reason IS NOT NULL) AS reason, arg_min(CASE reason WHEN 'stop_loss' THEN sl WHEN 'trailing_stop' THEN trail ELSE tp END, ts) FILTER (WHERE reason IS NOT NULL) AS price, min(ts) FILTER (WHERE reason IS NOT NULL) AS exit_ts FROM r GROUP BY 1)
     SELECT signal_id, CASE WHEN reason IS NULL THEN 'open' WHEN (CASE WHEN short THEN p - price ELSE price - p END) > 0 THEN 'winner' ELSE 'loser' END AS status, reason AS exit_reason, {_r('price')} AS exit_price, exit_ts FROM x""",
 )
