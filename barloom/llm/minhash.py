@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .storage import discard, materialise
+from .storage import free_name, materialise
 from .textscan import U64, Powers, chunks, mix, scan, shingle_sets, space_words
 
 BANDS, ROWS, WIDTH = 24, 4, 5
@@ -214,7 +214,8 @@ def _rare_prefix(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     ``LISTED`` documents last, by their hash. A token that one document alone has
     takes its place, but gives no row, as no other set shares it.
     """
-    chosen = sets.join(ids, "doc_id").repartition("doc_id")  # crowded documents may lie in few files
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chosen = sets.join(ids, "doc_id").repartition(tasks)  # crowded documents may lie in few files
     member = chosen.mapInArrow(_tokens, "token long, doc_id long")
     df = materialise(member.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("owner")).where(F.col("df") <= LISTED), "frequencies")
     alone = df.where("df = 1").groupBy(F.col("owner").alias("doc_id")).agg(F.count("*").alias("alone"), F.collect_list("token").alias("unshared"))
@@ -311,8 +312,9 @@ def keep_one(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFram
     id or without words stay.
     """
     found = materialise(near_duplicates(docs, percent, width).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times")), "kept")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone"))
-    rest = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs.columns, "_gone")
+    gone = found.where("not kept").select(F.col("doc_id").alias(name))
+    rest = docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
     if found.where("times > 1").isEmpty():
         return rest
     return rest.where("doc_id is null").unionAll(rest.where("doc_id is not null").dropDuplicates(["doc_id"]))
