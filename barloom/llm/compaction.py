@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import free_name
+
 SMALLEST = 1 << 18
 TARGET_FILE = 1 << 26
 FANOUT = 4
@@ -190,9 +192,7 @@ def compacted(docs: DataFrame, root: str, arrivals: int = 16, fanout: int = FANO
     spark = docs.sparkSession
     store = ShardStore(spark, root, fanout, target_file)
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns[:1]])
-    name = "_arrival"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs.columns, "_arrival")
     store.append(docs.withColumn(name, F.pmod(key, F.lit(arrivals))), name)
     store.compact(docs.schema)
     return store.read(docs.schema)

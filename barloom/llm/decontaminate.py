@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import free_name
 from .textscan import LOWER, U64, chunks, letter_words, mix, raw_bytes
 
 #: Edits, as a share of the item's length, up to which a passage is the item.
@@ -241,11 +242,11 @@ def _seek(shared, most_edits: float):
     return seek
 
 
-def _clean(shared, most_edits: float, names: list[str]):
+def _clean(shared, most_edits: float, names: list[str], extra: str):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeker = _Seeker(shared.value, most_edits)
         for batch in batches:
-            for part, texts in chunks(batch, "_text"):
+            for part, texts in chunks(batch, extra):
                 keep = np.ones(len(texts), dtype=bool)
                 keep[[doc for doc, *_ in seeker.hits(texts)]] = False
                 yield part.select(names).filter(pa.array(keep))
@@ -291,6 +292,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_E
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_EDITS) -> DataFrame:
     """The rows of ``docs``, whole, that hold no benchmark item; without a shuffle."""
     names, kept = docs.columns, docs
+    extra = free_name(names, "_text")
     for shared in _blocks(benchmark):
-        kept = kept.withColumn("_text", F.col("text").cast("string")).mapInArrow(_clean(shared, most_edits, names), T.StructType(docs.schema.fields))
+        kept = kept.withColumn(extra, F.col("text").cast("string")).mapInArrow(_clean(shared, most_edits, names, extra), T.StructType(docs.schema.fields))
     return kept

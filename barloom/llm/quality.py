@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import discard, materialise
+from .storage import discard, free_name, materialise
 from .textscan import Powers, chunks, raw_bytes, scan, space_words
 from .toxicity import is_held_out, labelled_sample
 
@@ -213,12 +213,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, whole, whose text is judged of good quality."""
     model, names = fit(docs, labels), docs.columns
-    rows = docs.withColumn("_text", F.col("text").cast("string"))
+    extra = free_name(names, "_text")
+    rows = docs.withColumn(extra, F.col("text").cast("string"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, kind = Powers(), space_words()
         for batch in batches:
-            for part, texts in chunks(batch, "_text"):
+            for part, texts in chunks(batch, extra):
                 good = model.score(statistics(texts, powers, kind)) >= threshold
                 yield part.select(names).filter(pa.array(good))
 

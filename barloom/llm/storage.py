@@ -19,6 +19,14 @@ def shared_root(spark: SparkSession) -> str:
     return LOCAL_FALLBACK
 
 
+def free_name(taken: list[str], wish: str) -> str:
+    """``wish``, or a longer name, that no column has (in any case)."""
+    names = {c.lower() for c in taken}
+    while wish.lower() in names:
+        wish += "_"
+    return wish
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/barloom-{label}-{uuid.uuid4().hex}"
 

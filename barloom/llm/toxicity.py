@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import free_name
 from .textscan import U64, Powers, Words, chunks, letter_words, mix, scan
 
 BITS = 21
@@ -179,15 +180,15 @@ def _scorer(shared):
 
 
 def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and ``score``, the probability that a whole text is toxic.
+    """Columns ``keep`` (the text not among them) and ``score``, the probability that a whole text is toxic.
 
     Null and empty texts get the score of a text without features. Repeated rows are
     scored each; an empty table gives no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    fields = [f for c in keep for f in docs.schema.fields if f.name == c]
-    chosen = docs.select(*keep, F.col("text").cast("string").alias("_text")).withColumnRenamed("_text", "text") if "text" not in keep else docs.select(*[c for c in keep if c != "text"], "text")
+    fields = [docs.schema[c] for c in keep]
+    chosen = docs.select(*keep, F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(_scorer(shared), T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
 
@@ -204,17 +205,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, whole, whose text is not judged toxic."""
-    model = fit(docs, labels)
-    names = docs.columns
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.withColumn("_text", F.col("text").cast("string"))
+    model, names = fit(docs, labels), docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    extra = free_name(names, "_text")
+    rows = docs.withColumn(extra, F.col("text").cast("string"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(shared)
         for batch in batches:
-            inner = batch.select(["_text"]).rename_columns(["text"])
-            scores = np.concatenate([b.column(b.num_columns - 1).to_numpy() for b in score(iter([inner]))] or [np.zeros(0)])
-            yield batch.select(names).filter(pa.array(scores < threshold))
+            inner = batch.select([extra]).rename_columns(["text"])
+            scores = [b.column(b.num_columns - 1).to_numpy() for b in score(iter([inner]))]
+            yield batch.select(names).filter(pa.array(np.concatenate([*scores, np.zeros(0)]) < threshold))
 
-    return rows.mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(keep, T.StructType(docs.schema.fields))
