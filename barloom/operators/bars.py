@@ -87,10 +87,17 @@ def merge_latest(sources: list[DataFrame]) -> DataFrame:
     return ranked.groupBy("symbol", "ts").agg(F.max_by(F.struct(*values), "_rank").alias("v")).select("symbol", "ts", "v.*")
 
 
-def upsert_open_bar(stored: DataFrame, source: DataFrame, seconds: int) -> DataFrame:
-    """Incremental aggregation: from the last stored bar on, bars are rebuilt from the source."""
-    last = stored.groupBy("symbol").agg(F.max("ts").alias("last"))
-    fresh = source.join(F.broadcast(last), "symbol", "left").where(F.col("last").isNull() | (F.col("ts") >= F.col("last"))).drop("last")
+def upsert_open_bar(stored: DataFrame, source: DataFrame, seconds: int, changed: DataFrame | None = None) -> DataFrame:
+    """Incremental aggregation: from the last stored bar on, bars are rebuilt from the source.
+
+    ``changed`` (source bars that are new) moves the start back to the bar that the
+    earliest of them falls into.
+    """
+    since = stored.groupBy("symbol").agg(F.max("ts").alias("since"))
+    if changed is not None:
+        touched = changed.groupBy("symbol").agg(bucket(F.min("ts"), seconds).alias("touched"))
+        since = since.join(touched, "symbol", "left").select("symbol", F.least("since", "touched").alias("since"))
+    fresh = source.join(since, "symbol", "left").where(F.col("since").isNull() | (F.col("ts") >= F.col("since"))).drop("since")
     return merge_latest([stored, aggregate(fresh, seconds).select(*stored.columns)])
 
 
