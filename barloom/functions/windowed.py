@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..operators.statistics import correlation
+
 Outputs = dict[str, Column]
 
 
@@ -270,7 +272,7 @@ def var(s: Series, period: int = 5) -> Outputs:
 def correl(s: Series, period: int = 30) -> Outputs:
     """Correlation of ``real0`` and ``real1`` (by default high and low)."""
     a, b = s["high"], s["low"]
-    return {"correl": _full(s, a, period, F.coalesce(F.corr(a, b).over(s.last(period)), F.lit(0.0)))}
+    return {"correl": _full(s, a, period, F.coalesce(correlation(a, b, s.last(period)), F.lit(0.0)))}
 
 
 def beta(s: Series, period: int = 5) -> Outputs:
@@ -375,7 +377,7 @@ STAGED: dict[str, Callable[..., list[dict[str, Column]]]] = {
     "ultosc": lambda s, **_: [{"_before": s.lag(s["close"])}, {"_tr": F.greatest("_before", s["high"]) - F.least("_before", s["low"]), "_bp": s["close"] - F.least("_before", s["low"])}],
     "mfi": lambda s, **_: [{"_typical": (s["high"] + s["low"] + s["close"]) / 3}, {"_typical_before": s.lag(F.col("_typical"))}],
     "obv": lambda s: [{"_before": s.lag(s["close"])}, {"_sign": F.when(F.col("_before").isNull() | (s["close"] > F.col("_before")), 1).when(s["close"] < F.col("_before"), -1).otherwise(0)}],
-    "beta": lambda s, **_: [{"_ret_a": s["high"] / s.lag(s["high"]) - 1, "_ret_b": s["low"] / s.lag(s["low"]) - 1}],
+    "beta": lambda s, **_: [{"_ret_a": F.try_divide(s["high"], s.lag(s["high"])) - 1, "_ret_b": F.try_divide(s["low"], s.lag(s["low"])) - 1}],
 }
 for _name in ("aroon", "aroonosc", "linearreg", "linearreg_slope", "linearreg_intercept", "linearreg_angle", "tsf", "maxindex", "minindex", "minmaxindex"):
     STAGED[_name] = lambda s, **_: [{"_place": s.place()}]

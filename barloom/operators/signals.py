@@ -37,7 +37,7 @@ def evaluate(signals: DataFrame, bars: DataFrame) -> DataFrame:
         F.count("*").alias("bars_seen"),
     )
     sign = F.when(long, 1).otherwise(-1)
-    done = signals.join(first, "signal_id", "left").withColumn("pnl_percent", sign * (F.col("exit.price") - F.col("entry_price")) / F.col("entry_price") * 100)
+    done = signals.join(first, "signal_id", "left").withColumn("pnl_percent", sign * F.try_divide(F.col("exit.price") - F.col("entry_price"), F.col("entry_price")) * 100)
     return done.select(
         "signal_id",
         "symbol",

@@ -10,6 +10,13 @@ RISK_FREE = 0.02
 DAY = 86400
 
 
+def correlation(a: Column | str, b: Column | str, over=None) -> Column:
+    """Pearson correlation; null where either side does not vary."""
+    parts = F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b)
+    cov, x, y = parts if over is None else (p.over(over) for p in parts)
+    return F.when((x > 0) & (y > 0), cov / (x * y))
+
+
 def bars_per_year(seconds: int) -> int:
     return round(31536000 / seconds)
 

@@ -257,7 +257,7 @@ def walk_forward_summary(results: DataFrame, min_trades: int = 1) -> DataFrame:
         n(F.col("oos_total_trades") >= min_trades).alias("reliable"),
         n(F.col("oos_total_return_percent") > 10).alias("strong_returns"),
         F.max("oos_score").alias("best_oos"),
-        F.when(total >= 2, F.coalesce(F.when(F.max("oos_score") == F.min("oos_score"), 0.0).otherwise(F.corr("_ri", "_ro")), F.lit(0.0))).alias("spearman"),
+        F.when(total >= 2, F.coalesce(F.when(F.max("oos_score") == F.min("oos_score"), 0.0).otherwise(S.correlation("_ri", "_ro")), F.lit(0.0))).alias("spearman"),
     )
     return out.withColumn("tier", robustness(F.col("spearman"), F.col("efficiency"), F.col("robust_percent"))).withColumn("rank_stability", F.when(F.col("spearman") > 0.7, "stable").when(F.col("spearman") >= 0.3, "moderate").otherwise("unstable"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indicators import Spec, compute
 from ..operators.opencross import SurfaceConfig, observations, surface_of
+from ..operators.statistics import correlation
 
 CELL = ["bucket", "minutes_remaining"]
 MONTH = 30 * 86400
@@ -92,7 +93,7 @@ def compared(a: DataFrame, b: DataFrame, keys: list[str], pair: list[Column]) ->
     left = a.select(*keys, F.col("probability").alias("p"), *[c for c in a.columns if c.startswith("left_")])
     right = b.select(*keys, F.col("probability").alias("q"), *[c for c in b.columns if c.startswith("right_")])
     d = F.abs(F.col("p") - F.col("q"))
-    return left.join(right, keys).groupBy(*pair).agg(F.count("*").alias("cells"), F.avg(d).alias("mean_difference"), F.max(d).alias("max_difference"), F.when(F.count("*") >= 3, F.coalesce(F.corr("p", "q"), F.lit(0.0))).otherwise(0.0).alias("correlation"))
+    return left.join(right, keys).groupBy(*pair).agg(F.count("*").alias("cells"), F.avg(d).alias("mean_difference"), F.max(d).alias("max_difference"), F.when(F.count("*") >= 3, F.coalesce(correlation("p", "q"), F.lit(0.0))).otherwise(0.0).alias("correlation"))
 
 
 def rolling_stability(bars: DataFrame, config: SurfaceConfig = SurfaceConfig(), months: int = 6, step: int = 1) -> DataFrame:
@@ -182,7 +183,7 @@ def cross_period(bars: DataFrame, config: SurfaceConfig = SurfaceConfig(), perio
     right = b.select(*CELL, F.col("probability").alias("q"), "right_period")
     d = F.abs(F.col("p") - F.col("q"))
     pairs = left.join(right, CELL).where("left_period < right_period").groupBy("left_period", "right_period")
-    return pairs.agg(F.count("*").alias("cells"), F.avg(d).alias("mean_difference"), F.when(F.count("*") >= 3, F.coalesce(F.corr("p", "q"), F.lit(0.0))).otherwise(0.0).alias("correlation"))
+    return pairs.agg(F.count("*").alias("cells"), F.avg(d).alias("mean_difference"), F.when(F.count("*") >= 3, F.coalesce(correlation("p", "q"), F.lit(0.0))).otherwise(0.0).alias("correlation"))
 
 
 def monotonicity(points: DataFrame) -> DataFrame:

@@ -555,7 +555,7 @@ def uncertainty(spark, d):
 @query(
     "cross_period",
     f"""WITH {_SEEN}, f AS (SELECT *, strftime(date_trunc('week', make_timestamp(ts * 1000000)), '%Y-%m-%d') AS period FROM seen), s AS {_surface('f', 'period, ')}
-    SELECT a.period AS left_period, b.period AS right_period, count(*) AS cells, {_r('avg(abs(a.probability - b.probability))')} AS mean_difference, {_r('CASE WHEN count(*) >= 3 THEN coalesce(corr(a.probability, b.probability), 0) ELSE 0 END')} AS correlation
+    SELECT a.period AS left_period, b.period AS right_period, count(*) AS cells, {_r('avg(abs(a.probability - b.probability))')} AS mean_difference, {_r('CASE WHEN count(*) >= 3 THEN coalesce(CASE WHEN stddev_pop(a.probability) > 0 AND stddev_pop(b.probability) > 0 THEN corr(a.probability, b.probability) END, 0) ELSE 0 END')} AS correlation
     FROM s a JOIN s b USING (bucket, minutes_remaining) WHERE a.period < b.period GROUP BY 1, 2""",
 )
 def cross_period(spark, d):
