@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .storage import free_name, materialise
+from .storage import Scratch, free_name, materialise
 from .textscan import U64, Powers, chunks, mix, scan, shingle_sets, space_words
 
 BANDS, ROWS, WIDTH = 24, 4, 5
@@ -206,7 +206,7 @@ def _prefixer(percent: int):
     return prefixes
 
 
-def _rare_prefix(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+def _rare_prefix(sets: DataFrame, ids: DataFrame, percent: int, keep=materialise) -> DataFrame:
     """``token, df, doc_id, n, place`` of the first tokens of each set: as many as a
     pair over the threshold must share one of.
 
@@ -217,7 +217,7 @@ def _rare_prefix(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = sets.join(ids, "doc_id").repartition(tasks)  # crowded documents may lie in few files
     member = chosen.mapInArrow(_tokens, "token long, doc_id long")
-    df = materialise(member.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("owner")).where(F.col("df") <= LISTED), "frequencies")
+    df = keep(member.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("owner")).where(F.col("df") <= LISTED), "frequencies")
     alone = df.where("df = 1").groupBy(F.col("owner").alias("doc_id")).agg(F.count("*").alias("alone"), F.collect_list("token").alias("unshared"))
     rare = member.join(df.where("df > 1").select("token", "df"), "token").groupBy("doc_id").agg(F.collect_list(F.struct("df", "token")).alias("rare"))
     return chosen.join(alone, "doc_id", "left").join(rare, "doc_id", "left").select("doc_id", "shingles", "alone", "unshared", "rare").mapInArrow(_prefixer(percent), "token long, df long, doc_id long, n long, place long")
@@ -249,34 +249,38 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(docs.mapInArrow(_signer(BANDS, ROWS, width), SIGNED), "signed")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = materialise(usable.select("doc_id", "set_a", "set_b", "n_shingles").join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep").distinct(), "members")
+    scratch = Scratch()
+    keep = scratch.keep
+    same = ["set_a", "set_b", "n_shingles"]
+    # only classes of several rows are joined, from a table of their own, so that a large one can be split
+    shared = keep(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "classes")
+    members = keep(usable.select("doc_id", *same).join(shared, same, "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "members")
     rep_ids = members.select(F.col("rep").alias("doc_id")).distinct()
     # a doc_id that repeats with other texts is in several classes: all its sets count
-    reps = materialise(usable.join(rep_ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"]), "reps")
+    reps = keep(usable.join(rep_ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"]), "reps")
     inside = reps.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("key")).distinct()
     sizes = inside.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    buckets = materialise(inside.join(sizes, "key"), "buckets")
+    buckets = keep(inside.join(sizes, "key"), "buckets")
     candidates = buckets.select("doc_id").distinct()
     needed = docs.join(candidates, "doc_id", "left_semi")
-    sets = materialise(needed.mapInArrow(_setter(width), SETS), "sets")
+    sets = keep(needed.mapInArrow(_setter(width), SETS), "sets")
     linker = _Linker(reps, sets, percent)
 
     stars = _ordered(buckets.select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")))
-    links = materialise(linker.links(materialise(linker.filtered(stars), "starpairs")), "links")
-    labels = materialise(connected_components(links), "labels")
+    links = keep(linker.links(keep(linker.filtered(stars), "starpairs")), "links")
+    labels = keep(connected_components(links), "labels")
 
     # what is left: buckets that span components
     tagged = _labelled(buckets, labels, "doc_id", "component")
     spans = tagged.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members")).where("c1 < c2").select("key", "members")
-    open_ = materialise(tagged.select("key", "doc_id", "component").join(spans, "key"), "open")
+    open_ = keep(tagged.select("key", "doc_id", "component").join(spans, "key"), "open")
     small = open_.where(F.col("members") <= LISTED)
     mine = small.select("key", F.col("doc_id").alias("u"), F.col("component").alias("cu"))
     other = small.select("key", F.col("doc_id").alias("v"), F.col("component").alias("cv"))
     listed = mine.join(other, "key").where("u < v and cu <> cv").select("u", "v").distinct()
 
     crowd = open_.where(F.col("members") > LISTED).select("doc_id", "component").distinct()
-    prefix = materialise(_rare_prefix(sets, crowd.select("doc_id").distinct(), percent).join(crowd, "doc_id"), "prefix")
+    prefix = keep(_rare_prefix(sets, crowd.select("doc_id").distinct(), percent, keep).join(crowd, "doc_id"), "prefix")
     left = F.col("token"), F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("place").alias("pu")
     right = F.col("token"), F.col("doc_id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("place").alias("pv")
     rare = prefix.where(F.col("df") <= LISTED)
@@ -286,18 +290,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     common = prefix.where(F.col("df") > LISTED)
     central = common.groupBy("token").agg(F.min_by("doc_id", F.struct("place", "doc_id")).alias("v"))
     second = _ordered(common.select("token", F.col("doc_id").alias("u")).join(central, "token").select("u", "v"))
-    near_centre = materialise(linker.links(materialise(linker.filtered(second), "starpairs")), "links")
-    labels = materialise(connected_components(links.unionAll(near_centre)), "labels")
-    common = materialise(_labelled(common.drop("component"), labels, "doc_id", "component"), "common")
+    near_centre = keep(linker.links(keep(linker.filtered(second), "starpairs")), "links")
+    labels = keep(connected_components(links.unionAll(near_centre)), "labels")
+    common = keep(_labelled(common.drop("component"), labels, "doc_id", "component"), "common")
     main = common.groupBy("token", "component").agg(F.count("*").alias("held")).groupBy("token").agg(F.max_by("component", F.struct("held", "component")).alias("main"))
     outside = common.join(main, "token").where("component <> main")
     by_common = outside.select(*left).join(common.select(*right), "token").where(F.expr("u <> v and cu <> cv") & _could_link(percent)).select("u", "v").distinct()
 
     rest = _ordered(listed.unionAll(by_rare).unionAll(by_common))
-    more = materialise(linker.links(materialise(linker.filtered(rest), "restpairs")), "links")
+    more = keep(linker.links(keep(linker.filtered(rest), "restpairs")), "links")
     # a document that repeats in several classes ties them together
     tied = members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")
     final = connected_components(links.unionAll(near_centre).unionAll(more).unionAll(tied))
+    scratch.clear()
 
     rows = signed.select("doc_id", "n_shingles")
     named = rows.join(final.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left")

@@ -51,3 +51,18 @@ def discard(*tables: DataFrame) -> None:
             jvm = spark._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Scratch tables of one operator, deleted together when nothing lazy reads them any more."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(materialise(df, label))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables = []
