@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import discard, materialise
 
-#: A lexicon term is in a subset with a chance of one in so many: thick subsets tell
-#: short texts apart, thin ones survive edits of long texts.
-THINNINGS = (16, 64, 256) * 8
+#: A level has ``SUBSETS`` subsets, each with one in so many of the lexicon's terms, at
+#: random: thick ones tell short texts apart, thin ones survive edits of long texts.
+LEVELS, SUBSETS = (32, 128, 512), 8
 #: The band, as shares of all documents that have a term. With d distinct terms in a
 #: document on average, at most d / LEAST_SHARE terms are in it, whatever the corpus.
 LEAST_SHARE, MOST_SHARE = 0.002, 0.25
@@ -52,15 +52,15 @@ def _followers(docs: DataFrame) -> DataFrame:
     return ranged.withColumn("inside", F.lead("key").over(inner)).join(ends, "part").select("key", F.coalesce("inside", "after").alias("follower"), "need")
 
 
-def _hashes(terms: Column) -> Column:
-    """One 32-bit hash for each subset of the lexicon; null where the document has no term in it."""
-    ordered = F.sort_array(terms)
+def _slots(term: Column) -> Column:
+    """Numbers of the subsets that hold a term: one at most of each level."""
+    places = [F.pmod(F.xxhash64(term, F.lit(seed)), F.lit(n)) for seed, n in enumerate(LEVELS)]
+    return F.array_compact(F.array(*[F.when(p < SUBSETS, p + i * SUBSETS).cast("int") for i, p in enumerate(places)]))
 
-    def one(subset: int) -> Column:
-        held = F.filter(ordered, lambda t: F.pmod(F.xxhash64(t, F.lit(subset)), F.lit(THINNINGS[subset])) == 0)
-        return F.when(F.size(held) > 0, F.hash(held))
 
-    return F.array(*(one(s) for s in range(len(THINNINGS))))
+def _hash_of(terms: Column) -> Column:
+    """The hash of a subset's distinct terms in order; null where there are none."""
+    return F.when(F.size(terms) > 0, F.hash(F.sort_array(terms)))
 
 
 def _blank(hashes: Column) -> Column:
@@ -111,16 +111,27 @@ def fingerprints(docs: DataFrame, least_share: float = LEAST_SHARE, most_share:
     entries = sized.select("key", "copy", "own", "upto", "then", "at", F.when(last, F.lit(0)).otherwise(F.xxhash64("word")).cast("long").alias("term"))
     held = words.where("term <> 0").unionAll(words.sparkSession.range(1).select(F.lit(0).cast("long").alias("term")))
     entries = entries.join(F.broadcast(held) if words.count() <= BROADCAST_TERMS else held, "term")
-    real = F.col("term") != 0
-    grouped = entries.groupBy("key", "copy").agg(
-        F.first("own").alias("own"),
-        F.count_if(~real).alias("times"),
-        F.collect_set(F.when(real & (F.col("at") < F.col("then")), F.col("term"))).alias("terms"),
-        F.collect_set(F.when(real & ((F.col("at") < F.col("upto")) | (F.col("at") >= F.col("then"))), F.col("term"))).alias("edited_terms"),
+    carrier = F.array(F.lit(-1))
+    spread = entries.withColumn("slot", F.explode(F.when(F.col("term") == 0, carrier).otherwise(_slots(F.col("term")))))
+    first = (F.col("slot") >= 0) & (F.col("at") < F.col("then"))
+    second = (F.col("slot") >= 0) & ((F.col("at") < F.col("upto")) | (F.col("at") >= F.col("then")))
+    by_slot = spread.groupBy("key", "copy", "slot").agg(
+        F.first(F.when(F.col("slot") < 0, F.col("own")), ignorenulls=True).alias("own"),
+        F.count_if(F.col("slot") < 0).alias("times"),
+        _hash_of(F.collect_set(F.when(first, F.col("term")))).alias("h"),
+        _hash_of(F.collect_set(F.when(second, F.col("term")))).alias("e"),
     )
-    hashed = grouped.select("key", "times", F.col("own.n_chars").alias("n_chars"), F.col("own.sha").alias("sha"), "own", _hashes(F.col("terms")).alias("hashes"), _hashes(F.col("edited_terms")).alias("edited_hashes"))
+    slots = range(len(LEVELS) * SUBSETS)
+    hashed = by_slot.groupBy("key", "copy").agg(
+        F.first("own", ignorenulls=True).alias("own"),
+        F.sum("times").alias("times"),
+        F.array(*[F.max(F.when(F.col("slot") == s, F.col("h"))) for s in slots]).alias("hashes"),
+        F.array(*[F.max(F.when(F.col("slot") == s, F.col("e"))) for s in slots]).alias("edited_hashes"),
+    )
+    hashed = hashed.select("key", "times", F.col("own.n_chars").alias("n_chars"), F.col("own.sha").alias("sha"), "own", "hashes", "edited_hashes")
     printed = hashed.withColumn("plain", F.when(_blank(F.col("hashes")), F.col("own.plain"))).withColumn("edited_plain", F.when(_blank(F.col("edited_hashes")), F.col("own.edited_plain"))).drop("own")
     printed = materialise(printed, "fingerprints")
+    discard(words)
 
     following = printed.groupBy(F.col("key").alias("follower")).agg(F.min(F.struct("hashes", "plain")).alias("next"))
     rows = printed.join(order.select("key", "follower"), "key").join(following, "follower").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
