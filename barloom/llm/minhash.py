@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
+from .idfilter import marked
 from .storage import Scratch, free_name, materialise
 from .textscan import U64, Powers, chunks, mix, scan, shingle_sets, space_words
 
@@ -262,7 +263,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     sizes = inside.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     buckets = keep(inside.join(sizes, "key"), "buckets")
     candidates = buckets.select("doc_id").distinct()
-    needed = docs.join(candidates, "doc_id", "left_semi")
+    needed = marked(docs, "doc_id", candidates, "maybe").where("maybe").select("doc_id", "text").join(candidates, "doc_id", "left_semi")
     sets = keep(needed.mapInArrow(_setter(width), SETS), "sets")
     linker = _Linker(reps, sets, percent)
 
@@ -317,9 +318,11 @@ def keep_one(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFram
     id or without words stay.
     """
     found = materialise(near_duplicates(docs, percent, width).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times")), "kept")
-    name = free_name(docs.columns, "_gone")
+    name, maybe = free_name(docs.columns, "_gone"), free_name(docs.columns, "_maybe")
     gone = found.where("not kept").select(F.col("doc_id").alias(name))
-    rest = docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+    told = marked(docs, "doc_id", gone, maybe)
+    unsure = told.where(F.col(maybe)).drop(maybe)  # only these are shuffled
+    rest = told.where(~F.col(maybe)).drop(maybe).unionAll(unsure.join(gone, unsure["doc_id"].cast("long") == gone[name], "left_anti"))
     if found.where("times > 1").isEmpty():
         return rest
     return rest.where("doc_id is null").unionAll(rest.where("doc_id is not null").dropDuplicates(["doc_id"]))
