@@ -71,6 +71,9 @@ def normalise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Normalised bytes of all texts, the offset at which each begins, and all word starts."""
     raw, offsets = raw_bytes(texts)
     data = LOWER[raw]
+    accented = np.zeros(len(data), dtype=bool)  # capitals of Latin-1, two bytes each
+    accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    data[accented] += 0x20
     inside = letter_words()[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets] = True
