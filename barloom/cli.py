@@ -99,6 +99,40 @@ def opencross(e, a):
     return _rows(export.surface_rows(e.opencross(a.symbol, config, _at(a.start) if a.start else None, _at(a.end, True) if a.end else None), a.bucket))
 
 
+def data_import(e, a):
+    return {"ranges": e.download(a.adapter, a.symbol.split(","), a.timeframe, _at(a.start), _at(a.end, True))}
+
+
+def data_missing(e, a):
+    return _rows(e.store.missing(e.exchange, a.timeframe, _at(a.start), _at(a.end, True)))
+
+
+def data_check(e, a):
+    from .operators.bars import TIMEFRAMES, irregularities
+
+    return _rows(irregularities(e.bars(a.symbol, a.timeframe, derive=False), TIMEFRAMES[a.timeframe]))
+
+
+def sensitivity(e, a):
+    from pyspark.sql import functions as F
+
+    stats = e.optimise(a.strategy, _sets(a), a.symbol, a.timeframe, goal=a.objective, top=a.iterations)
+    runs = stats.select(F.from_json(F.regexp_replace("run_id", "^[^:]+:", ""), "map<string,double>").alias("params"), "score")
+    return {"importance": _rows(G.importance(runs)), "interactions": _rows(G.interactions(runs))}
+
+
+def portfolio(e, a):
+    bars = e.bars(None, a.timeframe)
+    n = bars.select("symbol").distinct().count()
+    return _rows(G.portfolio(G.evaluate(bars, a.strategy, _sets(a)), n).orderBy("score", ascending=False), a.top)
+
+
+def signal_evaluate(e, a):
+    """Signals from a JSON-lines file."""
+    cols = "signal_id string, symbol string, direction string, entry_price double, stop_loss double, take_profit double, trailing_percent double, high_water_mark double, entry_ts long"
+    return _rows(e.evaluate(e.spark.read.schema(cols).json(a.inputs), a.timeframe))
+
+
 def validate(e, a):
     splits = V.Splits(_at(a.train_start), _at(a.train_end, True), _at(a.test_start), _at(a.test_end, True))
     return e.validate(splits, a.symbol, SurfaceConfig(a.block, a.bucket, a.min_samples))
@@ -107,6 +141,7 @@ def validate(e, a):
 COMMANDS = {
     "data-list": data_list, "data-export": data_export, "data-aggregate": data_aggregate, "data-delete": data_delete, "derive": derive, "strategies": strategies, "backtest": backtest,
     "optimise": optimise, "walk-forward": walk_forward, "monte-carlo": monte_carlo, "opencross": opencross, "opencross-validate": validate,
+    "data-import": data_import, "data-missing": data_missing, "data-check": data_check, "sensitivity": sensitivity, "portfolio": portfolio, "signal-evaluate": signal_evaluate,
 }
 
 
@@ -116,7 +151,7 @@ def parser() -> argparse.ArgumentParser:
     add = p.add_argument
     add("--store", default="bars")
     add("--exchange", default="local")
-    for name in ("symbol", "execution", "inputs", "params", "start", "end", "output", "train-start", "train-end", "test-start", "test-end"):
+    for name in ("symbol", "execution", "inputs", "params", "start", "end", "output", "train-start", "train-end", "test-start", "test-end", "adapter"):
         add(f"--{name}")
     add("--strategy", choices=sorted(REGISTRY), default="sma_crossover")
     add("--timeframe", default="1h")

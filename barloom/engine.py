@@ -15,6 +15,7 @@ from .operators.opencross import SurfaceConfig, surface
 from .plans import backtest as P
 from .plans import search as G
 from .plans import validation as V
+from .sources.exchange import ExchangeBars
 from .sources.store import BarStore
 
 
@@ -53,6 +54,27 @@ class Engine:
             stored = self.store.read(self.exchange, None, target, "ohlcv").select("symbol", "ts", "open", "high", "low", "close", "volume")
             self.store.merge(B.upsert_open_bar(stored, self.bars(None, timeframe), B.TIMEFRAMES[target], fresh), self.exchange, target)
 
+    def download(self, adapter: str, symbols: list[str], timeframe: str, start: int, stop: int, limit: int = 1000) -> int:
+        """Fetch what is missing of ``[start, stop]`` and merge it; gives the number of ranges fetched.
+
+        Ranges are planned by Spark; each range of pages is a partition of the exchange
+        source, so fetching runs on the executors. ``adapter`` is a dotted name.
+        """
+        self.spark.dataSource.register(ExchangeBars)
+        names = [r["n"] for r in self.spark.createDataFrame([(s,) for s in symbols], "s string").select(B.sanitise_symbol(F.col("s")).alias("n")).collect()]
+        have = self.store.read(self.exchange, None, timeframe, "ohlcv") if self.store.exists() else self.spark.createDataFrame([], "symbol string, ts long")
+        known = {r["symbol"] for r in have.select("symbol").distinct().collect()}
+        gaps = B.missing_ranges(have, B.TIMEFRAMES[timeframe], start, stop).collect() if known else []
+        wanted = [(s, g["start"], g["stop"]) for s, n in zip(symbols, names, strict=True) for g in gaps if g["symbol"] == n]
+        wanted += [(s, start, stop) for s, n in zip(symbols, names, strict=True) if n not in known]
+        fetched = None
+        for symbol, a, b in wanted:
+            part = self.spark.read.format("exchange_bars").options(adapter=adapter, symbols=symbol, seconds=B.TIMEFRAMES[timeframe], start=a, stop=b, limit=limit).load()
+            fetched = part if fetched is None else fetched.unionByName(part)
+        if fetched is not None:
+            (self.store.merge if known else self.store.write)(fetched, self.exchange, timeframe)
+        return len(wanted)
+
     def indicators(self, specs: list[Spec], symbol: str | None = None, timeframe: str = "1h") -> DataFrame:
         return compute(self.bars(symbol, timeframe), specs)
 

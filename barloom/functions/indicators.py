@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .candles import PATTERNS, patterns
-from .kernels import RECURSIVE
+from .kernels import RECURSIVE, TYPED
 from .windowed import STAGED, WINDOWED, Series
 
 FIELDS = ("open", "high", "low", "close", "volume")
@@ -23,7 +23,7 @@ FIELDS = ("open", "high", "low", "close", "volume")
 OUTPUTS = {
     "macd": ("macd", "signal", "histogram"), "macdfix": ("macd", "signal", "histogram"), "macdext": ("macd", "signal", "histogram"),
     "stochrsi": ("fastk", "fastd"), "ht_phasor": ("inphase", "quadrature"), "ht_sine": ("sine", "leadsine"), "mama": ("mama", "fama"),
-    "ewma_volatility": ("volatility",),
+    "ewma_volatility": ("volatility",), "bbands": ("upper", "middle", "lower"), "stoch": ("slowk", "slowd"),
 }
 
 
@@ -40,6 +40,11 @@ class Spec:
     def prefix(self) -> str:
         return self.name or self.indicator
 
+    @property
+    def typed(self) -> bool:
+        """With a moving mean other than the simple one, a windowed indicator is recursive."""
+        return self.indicator in TYPED and bool(self.params.get("ma_type"))
+
     def columns(self) -> list[str]:
         outs = OUTPUTS.get(self.indicator, (self.indicator,))
         return [self.prefix if len(outs) == 1 else f"{self.prefix}_{o}" for o in outs]
@@ -62,9 +67,10 @@ def register_recursive(name: str, kernel: Callable, outputs: tuple[str, ...] = (
 def _windowed(df: DataFrame, spec: Spec, keys: tuple[str, ...], order: str) -> DataFrame:
     s = Series(keys, order, {"close": spec.source} if spec.source else {})
     before, kept = df, df.columns
-    for stage in STAGED.get(spec.indicator, lambda s, **_: [])(s, **spec.params):
+    for stage in STAGED.get(spec.indicator, lambda s, **_: [])(s, **{k: v for k, v in spec.params.items() if k != "ma_type"}):
         before = before.withColumns(stage)
-    outs = WINDOWED[spec.indicator](s, **spec.params)
+    params = {k: v for k, v in spec.params.items() if k != "ma_type"}
+    outs = WINDOWED[spec.indicator](s, **params)
     named = {spec.prefix if len(outs) == 1 else f"{spec.prefix}_{k}": v for k, v in outs.items()}
     return before.select(*kept, *[v.alias(k) for k, v in named.items()])
 
@@ -78,7 +84,7 @@ def _recursive(df: DataFrame, specs: list[Spec], keys: tuple[str, ...], order: s
         arrays = {f: frame[f].to_numpy(dtype=float) for f in FIELDS if f in frame}
         for spec in specs:
             own = arrays | ({"close": frame[spec.source].to_numpy(dtype=float)} if spec.source else {})
-            found = RECURSIVE[spec.indicator](own, **spec.params)
+            found = (TYPED if spec.typed else RECURSIVE)[spec.indicator](own, **spec.params)
             for c, o in zip(spec.columns(), OUTPUTS.get(spec.indicator, (spec.indicator,)), strict=True):
                 frame[c] = found[o]
         return frame
@@ -92,7 +98,7 @@ def compute(bars: DataFrame, specs: list[Spec], keys: tuple[str, ...] = ("symbol
     unknown = [s.indicator for s in specs if s.indicator not in WINDOWED and s.indicator not in RECURSIVE and s.indicator not in PATTERNS]
     if unknown:
         raise KeyError(f"no such indicators: {', '.join(unknown)}")
-    recursive = [s for s in specs if s.indicator in RECURSIVE]
+    recursive = [s for s in specs if s.typed or s.indicator in RECURSIVE]
     out = _recursive(bars, recursive, keys, order) if recursive else bars
     for spec in specs:
         if spec.indicator in WINDOWED and spec not in recursive:

@@ -490,6 +490,39 @@ def mama(b: Arrays, fast_limit: float = 0.5, slow_limit: float = 0.05) -> Arrays
     return {"mama": _after(slow, 32), "fama": _after(fast, 32)}
 
 
+def apo_typed(b: Arrays, fast: int = 12, slow: int = 26, ma_type: int = 1) -> Arrays:
+    """Difference of two means of any type."""
+    return {"apo": mean_by_type(b["close"], fast, ma_type) - mean_by_type(b["close"], slow, ma_type)}
+
+
+def ppo_typed(b: Arrays, fast: int = 12, slow: int = 26, ma_type: int = 1) -> Arrays:
+    slow_mean = mean_by_type(b["close"], slow, ma_type)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return {"ppo": np.where(slow_mean == 0, 0.0, (mean_by_type(b["close"], fast, ma_type) - slow_mean) / slow_mean * 100)}
+
+
+def bbands_typed(b: Arrays, period: int = 5, up: float = 2.0, down: float = 2.0, ma_type: int = 1) -> Arrays:
+    """Bands around a mean of any type, as wide as the deviation from the simple mean."""
+    x, middle = b["close"], mean_by_type(b["close"], period, ma_type)
+    spread = _empty(len(x))
+    for i in range(period - 1, len(x)):
+        spread[i] = x[i - period + 1 : i + 1].std()
+    return {"upper": middle + up * spread, "middle": middle, "lower": middle - down * spread}
+
+
+def stoch_typed(b: Arrays, fast_k: int = 5, slow_k: int = 3, slow_d: int = 3, ma_type: int = 1) -> Arrays:
+    k = _empty(len(b["close"]))
+    for i in range(fast_k - 1, len(k)):
+        top, bottom = b["high"][i - fast_k + 1 : i + 1].max(), b["low"][i - fast_k + 1 : i + 1].min()
+        k[i] = (b["close"][i] - bottom) / (top - bottom) * 100 if top > bottom else 0.0
+    slow = mean_by_type(k, slow_k, ma_type)
+    d = mean_by_type(slow, slow_d, ma_type)
+    return {"slowk": np.where(np.isnan(d), NAN, slow), "slowd": d}
+
+
+#: Forms, with ``ma_type`` above 0, of indicators that are windowed with simple means.
+TYPED: dict[str, Callable[..., Arrays]] = {"apo": apo_typed, "ppo": ppo_typed, "bbands": bbands_typed, "stoch": stoch_typed}
+
 RECURSIVE: dict[str, Callable[..., Arrays]] = {
     f.__name__: f
     for f in (

@@ -75,3 +75,16 @@ def atr_renko(bars: DataFrame, period: int = 14) -> DataFrame:
     first = ranged.where(valid.isNotNull()).groupBy("symbol").agg(F.min_by("atr", "ts").alias("_first"))
     sized = ranged.join(first, "symbol").select("symbol", "ts", "high", "low", "close", "volume", F.coalesce(valid, F.col("_first")).alias("size"))
     return sized.groupBy("symbol").applyInPandas(_bricks, BRICKS)
+
+
+def resolve_kind(kind: str, size: float | None = None, period: int | None = None) -> tuple[str, dict]:
+    """The kind of bars that is meant, and its options; a Renko request with a range period and no size is ATR-Renko."""
+    if kind == "renko" and size is None and period is not None:
+        kind = "atr_renko"
+    if kind == "renko" and not (size and size > 0):
+        raise ValueError("Renko bars need a positive brick size")
+    if kind == "atr_renko" and not (period and period > 0):
+        raise ValueError("ATR-Renko bars need a positive period")
+    if kind not in ("ohlcv", "heikenashi", "renko", "atr_renko"):
+        raise ValueError(f"no bars of kind {kind}")
+    return kind, {"renko": {"size": size}, "atr_renko": {"period": period}}.get(kind, {})

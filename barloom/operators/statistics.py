@@ -122,6 +122,7 @@ def curve_ratios(curve: DataFrame, keys: tuple[str, ...], order: str, per_year:
         *ratios(F.when(F.col("moved"), x), "active_"),
         F.when(F.count(x) >= 10, F.coalesce(F.stddev_samp(x), F.lit(0.0)) * scale).otherwise(0.0).alias("volatility"),
         (F.sum(F.col("moved").cast("long")) / F.count("*") * 100).alias("time_in_market_percent"),
+        (100 - F.sum(F.col("moved").cast("long")) / F.count("*") * 100).alias("idle_capital_percent"),
     )
 
 

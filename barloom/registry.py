@@ -338,6 +338,19 @@ def ind_rsi_atr(spark, d):
     return _indicated(spark, d, [Spec("rsi"), Spec("atr")])
 
 
+@query(
+    "ind_macd",
+    f"""WITH RECURSIVE {_events()}, {_NUM}, s AS (SELECT symbol, avg(close) FILTER (WHERE p > 14) AS f, avg(close) AS l FROM n WHERE p <= 26 GROUP BY 1),
+    r AS (SELECT symbol, 26::BIGINT AS p, f, l FROM s UNION ALL SELECT n.symbol, n.p, r.f + 2.0 / 13 * (n.close - r.f), r.l + 2.0 / 27 * (n.close - r.l) FROM r JOIN n ON n.symbol = r.symbol AND n.p = r.p + 1),
+    m AS (SELECT symbol, p, f - l AS line FROM r), z AS (SELECT symbol, avg(line) AS seed FROM m WHERE p <= 34 GROUP BY 1),
+    g AS (SELECT symbol, 34::BIGINT AS p, seed AS sig FROM z UNION ALL SELECT m.symbol, m.p, g.sig + 0.2 * (m.line - g.sig) FROM g JOIN m ON m.symbol = g.symbol AND m.p = g.p + 1)
+    SELECT n.symbol, n.ts, {_r('CASE WHEN g.sig IS NOT NULL THEN m.line END')} AS macd_macd, {_r('g.sig')} AS macd_signal, {_r('m.line - g.sig')} AS macd_histogram
+    FROM n LEFT JOIN m ON m.symbol = n.symbol AND m.p = n.p LEFT JOIN g ON g.symbol = n.symbol AND g.p = n.p""",
+)
+def ind_macd(spark, d):
+    return _indicated(spark, d, [Spec("macd")])
+
+
 @query("candles_all")
 def candles_all(spark, d):
     """How often each pattern completes, per symbol."""
@@ -578,25 +591,31 @@ def random_baseline(spark, d):
     return rounded(V.random_baseline(event_bars(spark, d, 60, True), CROSS, 2))
 
 
-@query("surface_structure")
+@query("surface_structure", f"WITH {_SEEN}, s AS {_surface()} SELECT {_r('sum(CASE WHEN s.probability > 0 AND s.probability < 1 THEN -(s.probability * ln(s.probability) + (1 - s.probability) * ln(1 - s.probability)) ELSE 0 END)')} AS entropy, {_r('avg(abs(s.probability - b.probability))')} AS bucket_gradient, {_r('avg(abs(s.probability - m.probability))')} AS minute_gradient, count(*) AS cells FROM s LEFT JOIN s b ON b.bucket = s.bucket + 1 AND b.minutes_remaining = s.minutes_remaining LEFT JOIN s m ON m.bucket = s.bucket AND m.minutes_remaining = s.minutes_remaining + 1")
 def surface_structure(spark, d):
     return rounded(V.structure(X.surface(event_bars(spark, d, 60, True), CROSS)))
 
 
-@query("surface_monotonicity")
+@query("surface_monotonicity", f"WITH {_SEEN}, s AS {_surface()}, t AS (SELECT *, sign(probability - lag(probability) OVER (PARTITION BY minutes_remaining ORDER BY bucket)) AS step FROM s WHERE samples >= 10), u AS (SELECT *, CAST(step = lag(step) OVER (PARTITION BY minutes_remaining ORDER BY bucket) AS DOUBLE) AS same FROM t) SELECT minutes_remaining, {_r('avg(same)')} AS monotonicity, count(*) AS cells FROM u GROUP BY 1")
 def surface_monotonicity(spark, d):
     return rounded(V.monotonicity(X.surface(event_bars(spark, d, 60, True), CROSS)))
 
 
-@query("surface_simulation")
+_SIM = f"""{_TRAIN}, o AS (SELECT block, ts, close, bo, CASE WHEN probability > 0.7 THEN CASE WHEN close > bo THEN 'short' ELSE 'long' END WHEN probability < 1 - 0.7 THEN CASE WHEN close > bo THEN 'long' ELSE 'short' END END AS side FROM seen JOIN pts USING (bucket, minutes_remaining) WHERE {_PART[1]}),
+  e AS (SELECT block, min(ts) AS entry_ts, arg_min(side, ts) AS side, arg_min(close, ts) AS entry_price, arg_min(bo, ts) AS bo FROM o WHERE side IS NOT NULL GROUP BY 1),
+  l AS (SELECT e.*, min(b.ts) FILTER (WHERE CASE WHEN e.entry_price > e.bo THEN b.low < e.bo ELSE b.high > e.bo END) AS cross_ts, max(b.ts) AS last_ts, arg_max(b.close, b.ts) AS last FROM e JOIN bars b ON b.ts // 3600 * 3600 = e.block AND b.ts > e.entry_ts AND b.{_PART[1]} GROUP BY ALL),
+  sim AS (SELECT 'ALL' AS symbol, block, entry_ts, side, entry_price, CASE WHEN cross_ts IS NULL THEN last ELSE bo END AS exit_price, coalesce(cross_ts, last_ts) AS exit_ts, CASE WHEN side = 'long' THEN 1 ELSE -1 END * (CASE WHEN cross_ts IS NULL THEN last ELSE bo END - entry_price) AS pnl FROM l)"""
+
+
+@query("surface_simulation", f"WITH {_SIM} SELECT symbol, block, entry_ts, side, {_r('entry_price')} AS entry_price, {_r('exit_price')} AS exit_price, exit_ts, {_r('pnl')} AS pnl FROM sim")
 def surface_simulation(spark, d):
     train, test = V.split(event_bars(spark, d, 60, True), SPLITS)
     return rounded(V.simulate(test, X.surface(train, CROSS), CROSS, 0.7))
 
 
-@query("surface_simulation_monthly")
+@query("surface_simulation_monthly", f"WITH {_SIM} SELECT strftime(make_timestamp(exit_ts * 1000000), '%Y-%m') AS month, count(*) AS trades, CAST(count(*) FILTER (WHERE pnl > 0) AS BIGINT) AS wins, {_r('sum(pnl)', 4)} AS total_pnl, {_r('avg(pnl)', 4)} AS avg_pnl, {_r('avg(CAST(pnl > 0 AS DOUBLE))', 4)} AS win_rate FROM sim GROUP BY 1")
 def surface_simulation_monthly(spark, d):
-    return rounded(V.monthly(surface_simulation(spark, d)))
+    return rounded(V.monthly(surface_simulation(spark, d)), 4)
 
 
 # Signals
@@ -705,9 +724,9 @@ def win_loss(spark, d):
     return rounded(S.win_loss(_ledger(spark, d), "pnl", ("symbol",)).withColumn("expected_value", F.round("expected_value", 4)))
 
 
-@query("buy_and_hold")
+@query("buy_and_hold", f"WITH {_LINE}, r AS (SELECT *, close / lag(close) OVER {_W} - 1 AS r, ts - lag(ts) OVER {_W} AS gap, max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM bars) SELECT symbol, {_r('(arg_max(close, ts) / arg_min(close, ts) - 1) * 100', 2)} AS return_percent, {_r('max((peak - close) / peak) * 100', 2)} AS max_drawdown_percent, {_r('avg(r) / stddev_samp(r) * sqrt(31536000 / min(gap))', 2)} AS sharpe_ratio FROM r GROUP BY 1")
 def buy_and_hold(spark, d):
-    return S.buy_and_hold(lineitem_bars(spark, d))
+    return rounded(S.buy_and_hold(lineitem_bars(spark, d)), 2)
 
 
 # Backtests and search
@@ -804,9 +823,12 @@ def monte_carlo(spark, d):
     return rounded(montecarlo.bootstrap(_pnl(spark, d), 200, 42, 100.0).select("iteration", "total_return", "win_rate", "max_drawdown", "sharpe_ratio"))
 
 
-@query("monte_carlo_summary")
+_MC = f"m AS (SELECT iteration, sum(pnl) AS total_return, sum(pnl) / 100 * 100 AS total_return_percent, avg(CAST(pnl > 0 AS DOUBLE)) AS win_rate, CASE WHEN sum(least(pnl, 0)) <> 0 THEN sum(greatest(pnl, 0)) / abs(sum(least(pnl, 0))) ELSE 1e308 END AS profit_factor, max(fall) AS max_drawdown, avg(pnl) / stddev_samp(pnl) AS sharpe_ratio FROM f GROUP BY 1), u AS (UNPIVOT m ON total_return, total_return_percent, win_rate, profit_factor, max_drawdown, sharpe_ratio INTO NAME metric VALUE v)"
+
+
+@query("monte_carlo_summary", f"WITH {_DRAWN}, {_MC} SELECT metric, {_r('quantile_cont(v, 0.05)')} AS p5, {_r('quantile_cont(v, 0.25)')} AS p25, {_r('quantile_cont(v, 0.5)')} AS p50, {_r('quantile_cont(v, 0.75)')} AS p75, {_r('quantile_cont(v, 0.95)')} AS p95, {_r('avg(CAST(CASE WHEN metric = ' + chr(39) + 'profit_factor' + chr(39) + ' THEN v < 1 ELSE v < 0 END AS DOUBLE))')} AS p_negative FROM u GROUP BY 1")
 def monte_carlo_summary(spark, d):
-    return rounded(montecarlo.summary(montecarlo.bootstrap(_pnl(spark, d), 200, 42, 100.0)))
+    return rounded(montecarlo.summary(montecarlo.bootstrap(_pnl(spark, d), 200, 42, 100.0)).drop("significant"))
 
 
 @query("export_trades")

@@ -17,6 +17,10 @@ class BarStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    def exists(self) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+
     def write(self, bars: DataFrame, exchange: str, timeframe: str, data_type: str = "ohlcv") -> None:
         """Replace the partitions of the bars' symbols."""
         if timeframe not in TIMEFRAMES:

@@ -62,3 +62,36 @@ def test_command_line(engine, capsys):
     assert json.loads(capsys.readouterr().out)["data"]
     assert cli.main(["backtest", "--store", engine.store.path, "--symbol", "A", "--inputs", "{"]) == 1
     assert json.loads(capsys.readouterr().out)["error"]
+
+
+def test_download_fetches_only_what_is_missing(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "bars"))
+    walk_ = "barloom.sources.exchange.RandomWalk"
+    assert e.download(walk_, ["a/b"], "1m", 0, 5999, 20) == 1
+    assert e.store.read("local", "A_B", "1m").count() == 100
+    assert e.download(walk_, ["a/b"], "1m", 0, 5999, 20) == 0
+    assert e.download(walk_, ["a/b"], "1m", 0, 8999, 20) == 1
+    assert e.store.read("local", "A_B", "1m").count() == 150
+    assert e.store.missing("local", "1m", 0, 8999).count() == 0
+
+
+def test_kinds():
+    from barloom.operators.bricks import resolve_kind
+
+    assert resolve_kind("renko", period=14) == ("atr_renko", {"period": 14})
+    assert resolve_kind("renko", 2.0) == ("renko", {"size": 2.0})
+    for bad in (("renko",), ("atr_renko",), ("nope",)):
+        with pytest.raises(ValueError):
+            resolve_kind(*bad)
+
+
+def test_typed_means(spark):
+    from barloom.functions import indicators as I
+    from barloom.functions.indicators import Spec
+
+    b = make_bars(spark, walk(60))
+    specs = [Spec(n, {"ma_type": t}, f"{n}{t}") for n in ("apo", "ppo", "bbands", "stoch") for t in (0, 1, 2)]
+    out = I.compute(b, specs).orderBy("ts").collect()
+    for spec in specs:
+        columns = [c for c in out[0].asDict() if c == spec.prefix or c.startswith(f"{spec.prefix}_")]
+        assert columns and all(out[-1][c] is not None and out[0][c] is None for c in columns)
