@@ -121,3 +121,29 @@ def test_custom_indicator(spark):
         assert column(I.compute(make_bars(spark, [1, 2]), [Spec("doubled")]), "doubled") == [2, 4]
     finally:
         WINDOWED.pop("doubled")
+
+
+@pytest.mark.parametrize("rows", [3, 7, 4096])
+def test_parallel_recursions_equal_kernels(spark, rows):
+    """Blocks of any size, with gaps between bars, give what one pass over the series gives."""
+    from barloom.functions import scan
+    from barloom.operators.bricks import heiken_ashi
+
+    b, _ = sample(spark)
+    b = b.where("ts % 7 <> 3").unionByName(b.withColumn("symbol", F.lit("B")).limit(30))
+    want = I.compute(b, [Spec("ema", {"period": 10}), Spec("atr", {"period": 10})])
+    key = lambda df, c: {(r.symbol, r.ts): r[c] for r in df.collect()}
+    for name, got in (("ema", scan.ema(b, 10, 3600, rows)), ("atr", scan.atr(b, 10, 3600, rows))):
+        a, w = key(got, name), key(want, name)
+        assert a.keys() == w.keys()
+        assert all((a[k] is None) == (w[k] is None) and (w[k] is None or a[k] == pytest.approx(w[k])) for k in w)
+    a, w = key(scan.heiken_ashi_open(b, 3600, rows), "ha_open"), key(heiken_ashi(b), "open")
+    assert all(a[k] == pytest.approx(w[k]) for k in w)
+
+
+def test_short_series_have_no_mean(spark):
+    from barloom.functions import scan
+
+    out = scan.ema(make_bars(spark, [1, 2, 3]), 10, 60)
+    assert column(out, "ema") == [None, None, None]
+    assert scan.block_rows(1 / 3) < 500
