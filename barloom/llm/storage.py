@@ -19,6 +19,15 @@ def shared_root(spark: SparkSession) -> str:
     return LOCAL_FALLBACK
 
 
+#: Rows of an Arrow batch: of long texts, a few megabytes instead of the many of the default.
+BATCH_ROWS = "1000"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to Python workers in small batches, so that executors need little memory beside their heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def free_name(taken: list[str], wish: str) -> str:
     """``wish``, or a longer name, that no column has (in any case)."""
     names = {c.lower() for c in taken}

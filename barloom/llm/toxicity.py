@@ -10,6 +10,7 @@ the coordinates with a weight alone.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -129,7 +130,7 @@ def _trainer(bits: int, settings: Settings):
             bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             examples += [(float(y), values[p:q].copy()) for y, p, q in zip(labels, bounds[:-1], bounds[1:], strict=True)]
         # the order of arrival must not matter
-        examples.sort(key=lambda e: (e[0], len(e[1]), e[1].tobytes()))
+        examples.sort(key=lambda e: (e[0], len(e[1]), zlib.crc32(e[1])))
         kept, weights, bias = ftrl(examples, bits, settings)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1), pa.int64()), pa.array(np.append(weights, bias), pa.float64())], names=["coordinate", "weight"])
 

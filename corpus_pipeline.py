@@ -11,30 +11,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import decontaminate, minhash, packing, quality, toxicity
-from barloom.llm.storage import materialise
+from barloom.llm.storage import bound_batches, materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    bound_batches(spark)
+    return quality.keep_good(docs, _labels(spark, sf_dir))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    bound_batches(spark)
+    return toxicity.drop_toxic(docs, _labels(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return minhash.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bound_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
