@@ -17,6 +17,24 @@ def correlation(a: Column | str, b: Column | str, over=None) -> Column:
     return F.when((x > 0) & (y > 0), cov / (x * y))
 
 
+def order_statistic(df: DataFrame, column: str, share: float, buckets: int = 4096) -> DataFrame:
+    """One row ``cut``: the value of rank ``floor(n * share)`` from 0, without interpolation.
+
+    Counts of equal-width buckets tell which one holds the rank; only its values are
+    then put in order, so no task sorts them all.
+    """
+    c = F.col(column)
+    bounds = df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.count(c).alias("_n"))
+    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / buckets)
+    placed = df.where(c.isNotNull()).join(F.broadcast(bounds), F.col("_n") > 0).withColumn("_b", F.coalesce(F.floor((c - F.col("_lo")) / width), F.lit(0)))
+    counts = placed.groupBy("_b").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
+    upto = F.sum("_k").over(Window.orderBy("_b"))
+    rank = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
+    chosen = counts.withColumn("_upto", upto).withColumn("_rest", rank - (F.col("_upto") - F.col("_k"))).where("_rest >= 0 and _rest < _k").select("_b", "_rest")
+    inside = placed.select(c.alias("_v"), "_b").join(F.broadcast(chosen), "_b").groupBy("_v").agg(F.count("*").alias("_t"), F.first("_rest").alias("_rest"))
+    return inside.withColumn("_upto", F.sum("_t").over(Window.orderBy("_v"))).where("_upto > _rest").agg(F.min("_v").alias("cut"))
+
+
 def bars_per_year(seconds: int) -> int:
     return round(31536000 / seconds)
 

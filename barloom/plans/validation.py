@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indicators import Spec, compute
 from ..operators.opencross import SurfaceConfig, observations, surface_of
-from ..operators.statistics import correlation
+from ..operators.statistics import correlation, order_statistic
 
 CELL = ["bucket", "minutes_remaining"]
 MONTH = 30 * 86400
@@ -116,9 +116,7 @@ def regimes_of(bars: DataFrame, config: SurfaceConfig, classifier: str = "volati
     steps = seen.select("symbol", "block", r.alias("r"))
     vol = steps.groupBy("symbol", "block").agg(F.stddev_samp("r").alias("v")).where("v is not null")
     if classifier == "volatility_percentile":
-        counted = vol.groupBy("v").agg(F.count("*").alias("times"))
-        upto = counted.withColumn("upto", F.sum("times").over(Window.orderBy("v"))).withColumn("n", F.sum("times").over(Window.partitionBy()))
-        cut = upto.where(F.col("upto") > F.floor(F.col("n") * threshold)).agg(F.min("v").alias("cut"))
+        cut = order_statistic(vol, "v", threshold)
     elif classifier == "volatility_fixed":
         cut = vol.agg(F.lit(threshold).alias("cut"))
     else:

@@ -58,6 +58,16 @@ def test_statistics_of_a_known_series(spark):
     assert r.variance == pytest.approx(60 / 9)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.33, 0.5, 0.7, 1.0])
+def test_order_statistic(spark, share):
+    rng = random.Random(8)
+    values = [rng.choice([rng.gauss(0, 1), 0.5, 7.0]) for _ in range(501)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = S.order_statistic(df, "v", share, 16).first().cut
+    assert got == sorted(values[:-1])[min(int(501 * share), 500)]
+    assert S.order_statistic(df.where("false"), "v", share).first().cut is None
+
+
 def test_drawdown_and_streaks(spark):
     c = spark.createDataFrame([("A", i, e) for i, e in enumerate([10000.0, 11000.0, 10500.0, 11100.0])], "symbol string, ts long, equity double")
     r = S.drawdown_summary(c, ("symbol",), "ts").first()
