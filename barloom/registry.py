@@ -26,7 +26,7 @@ from .plans import search as G
 from .plans import validation as V
 from .plans.strategies import REGISTRY
 from .sources import export
-from .sources.tables import event_bars, event_ticks, lineitem_bars, table
+from .sources.tables import epoch, event_bars, lineitem_bars, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -136,11 +136,11 @@ def as_of_higher(spark, d):
     return rounded(B.as_of_higher(b, B.aggregate(b, 86400), 86400, ["close"]).select("symbol", "ts", "close", "h_close"))
 
 
-@query("merge_latest", f"WITH {_events()} SELECT symbol, ts, {_r('CASE WHEN ts // 3600 % 2 = 0 THEN close + 1 ELSE close END')} AS close FROM bars")
+@query("merge_latest", f"WITH {_events()}, h AS (SELECT symbol, bars.ts // 14400 * 14400 AS at, arg_max(close, ts) AS close FROM bars GROUP BY 1, 2) SELECT coalesce(b.symbol, h.symbol) AS symbol, coalesce(b.ts, h.at) AS ts, {_r('coalesce(h.close, b.close)')} AS close FROM bars b FULL OUTER JOIN h ON h.symbol = b.symbol AND h.at = b.ts")
 def merge_latest(spark, d):
+    """Hourly bars under four-hourly ones, which win at the times that they share."""
     b = event_bars(spark, d)
-    fresh = b.where("ts / 3600 % 2 = 0").withColumn("close", F.col("close") + 1)
-    return rounded(B.merge_latest([b, fresh]).select("symbol", "ts", "close"))
+    return rounded(B.merge_latest([b, B.aggregate(b, 14400)]).select("symbol", "ts", "close"))
 
 
 @query("upsert_open_bar", f"WITH {_events()}, a AS (SELECT symbol, ts // 14400 * 14400 AS bar, {_AGG} FROM bars GROUP BY 1, 2) SELECT symbol, bar AS ts, {_r('open')} AS open, {_r('high')} AS high, {_r('low')} AS low, {_r('close')} AS close, {_r('volume')} AS volume FROM a")
@@ -193,9 +193,11 @@ def coalesce_intervals(spark, d):
     return B.coalesce_intervals(spans)
 
 
-@query("monthly_gaps", "SELECT symbol, strftime(expected, '%Y-%m-%d') AS expected, strftime(month, '%Y-%m-%d') AS month FROM (SELECT symbol, month, lag(month) OVER (PARTITION BY symbol ORDER BY month) + INTERVAL 1 MONTH AS expected FROM (SELECT DISTINCT l_returnflag AS symbol, date_trunc('month', l_shipdate) AS month FROM lineitem WHERE month(l_shipdate) <> 6)) WHERE month > expected")
+@query("monthly_gaps", "SELECT symbol, strftime(expected, '%Y-%m-%d') AS expected, strftime(month, '%Y-%m-%d') AS month FROM (SELECT symbol, month, lag(month) OVER (PARTITION BY symbol ORDER BY month) + INTERVAL 1 MONTH AS expected FROM (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS symbol, date_trunc('month', l_shipdate) AS month FROM lineitem)) WHERE month > expected")
 def monthly_gaps(spark, d):
-    return B.monthly_gaps(lineitem_bars(spark, d).where(F.month(F.timestamp_seconds("ts")) != 6)).select("symbol", F.col("expected").cast("string").alias("expected"), F.col("month").cast("string").alias("month"))
+    """Months in which a supplier shipped nothing."""
+    shipped = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), epoch("l_shipdate").alias("ts"))
+    return B.monthly_gaps(shipped).select("symbol", F.col("expected").cast("string").alias("expected"), F.col("month").cast("string").alias("month"))
 
 
 # Indicators

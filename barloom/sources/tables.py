@@ -25,13 +25,25 @@ def bucket(ts: Column, seconds: int) -> Column:
     return (F.floor(ts / seconds) * seconds).cast("long")
 
 
+def order_key(ticks: DataFrame, order: list[str]) -> Column:
+    """One value that orders like the columns.
+
+    A single time or whole number has an aggregation buffer of fixed width, so Spark
+    hashes; a struct of several makes it sort within tasks first.
+    """
+    if len(order) == 1:
+        c, kind = F.col(order[0]), dict(ticks.dtypes)[order[0]]
+        return F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else c
+    return F.struct(*order)
+
+
 def bars_from_ticks(ticks: DataFrame, seconds: int, order: list[str]) -> DataFrame:
     """Bars of ``seconds`` from ``symbol, ts, price, size``; ``order`` breaks ties within a bar.
 
-    One hash aggregation with partial sums: the first and last price are the price at
-    the least and greatest order key, so no sort is needed.
+    One aggregation with partial results: the first and last price are the price at the
+    least and greatest order key, so nothing is sorted by time.
     """
-    key = F.struct(*order)
+    key = order_key(ticks, order)
     return (
         ticks.groupBy("symbol", bucket(F.col("ts"), seconds).alias("bar"))
         .agg(
@@ -50,8 +62,10 @@ def event_ticks(spark: SparkSession, sf_dir: str, pooled: bool = False) -> DataF
     return table(spark, sf_dir, "events").select(symbol.alias("symbol"), epoch("ts").alias("ts"), F.col("ts").alias("at"), "event_id", F.col("value").alias("price"), F.lit(1.0).alias("size"))
 
 
-def event_bars(spark: SparkSession, sf_dir: str, seconds: int = 3600, pooled: bool = False) -> DataFrame:
-    return bars_from_ticks(event_ticks(spark, sf_dir, pooled), seconds, ["at", "event_id"])
+def event_bars(spark: SparkSession, sf_dir: str, seconds: int = 3600, pooled: bool = False, unique_times: bool = True) -> DataFrame:
+    """Bars of events, whose times are unique; else the event id breaks ties."""
+    ticks = event_ticks(spark, sf_dir, pooled)
+    return bars_from_ticks(ticks, seconds, ["at"] if unique_times else ["at", "event_id"])
 
 
 def lineitem_bars(spark: SparkSession, sf_dir: str, seconds: int = 86400) -> DataFrame:
