@@ -15,7 +15,7 @@
 5. Components by large-star and small-star.
 
 With 24 bands of 4 rows, a pair at similarity 0.85 shares no band with probability
-2e-8, and less above.
+2e-8, at 0.8 with 3e-6, and less above.
 """
 
 from __future__ import annotations
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs``, whole, with one document of each component of near-duplicates.
 
     The least doc_id stays. Of rows that repeat a doc_id one stays; rows without an

@@ -117,22 +117,24 @@ def test_id_filter_keeps_every_id(spark):
 # near-duplicates
 
 
-def test_near_duplicates_match_brute_force(spark, sf_dir):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_match_brute_force(spark, sf_dir, percent):
     own = {i: shingles(t) for i, t in texts(spark, sf_dir).items()}
     u = Union(own)
     ids = sorted(own)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both = len(own[a] & own[b])
-            if both and 100 * both >= 85 * (len(own[a]) + len(own[b]) - both):
+            if both and 100 * both >= percent * (len(own[a]) + len(own[b]) - both):
                 u.join(a, b)
-    got = minhash.near_duplicates(documents(spark, sf_dir)).collect()
+    got = minhash.near_duplicates(documents(spark, sf_dir), percent).collect()
     assert len(got) == len(own)
     for r in got:
         assert (r.n_shingles, r.component_id, r.kept) == (len(own[r.doc_id]), u.find(r.doc_id), u.find(r.doc_id) == r.doc_id)
 
 
-def test_crowded_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_crowded_near_copies(spark, monkeypatch, percent):
     """A large group of near copies goes through the exact finish of crowded buckets."""
     monkeypatch.setattr(minhash, "LISTED", 8)
     monkeypatch.setattr(minhash, "COMMON", 9)
@@ -149,9 +151,9 @@ def test_crowded_near_copies(spark, monkeypatch):
     for a in own:
         for b in own:
             both = len(own[a] & own[b])
-            if a < b and 100 * both >= 85 * (len(own[a]) + len(own[b]) - both):
+            if a < b and 100 * both >= percent * (len(own[a]) + len(own[b]) - both):
                 u.join(a, b)
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
     assert got == {i: u.find(i) for i in own}
 
 
