@@ -20,7 +20,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 #: Rows of an Arrow batch: of long texts, a few megabytes instead of the many of the default.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "500"
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -19,7 +19,7 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX_1, _MIX_2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 #: Text bytes that are worked on at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
