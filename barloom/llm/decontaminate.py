@@ -5,10 +5,9 @@ and moves on if a random bit of ``(j, character)`` says so. Two windows at a sma
 distance get embeddings at a small Hamming distance, so a few sampled coordinates are
 equal with good probability. Each of several walks is sampled several times.
 
-Benchmark items are indexed at every word start. Documents are read at every
-``stride``-th word start, so an item-sized window over a passage meets the index at
-one of its first ``stride`` words and again every ``stride`` words; each meeting and
-each table is a further chance. The sampled coordinates lie in the first ``steps`` of a
+Benchmark items are indexed and documents are read at every word start, so a passage
+meets the index at each of its words; each meeting and each table is a further chance.
+The sampled coordinates lie in the first ``steps`` of a
 window's embedding, so one short walk per start serves items of every length. What is
 found is verified by the exact edit distance of the whole item within the window around
 it.
@@ -35,7 +34,7 @@ from .textscan import LOWER, U64, chunks, letter_words, mix, raw_bytes
 
 #: Edits, as a share of the item's length, up to which a passage is the item.
 MOST_EDITS = 0.2
-WALKS, SAMPLES = 5, 2
+WALKS, SAMPLES = 5, 4
 #: Items that are broadcast and sought at once; more items take more passes.
 BLOCK_ITEMS = 2000
 #: An item with fewer normalised characters is too short to be told from chance, and is not sought.
@@ -54,17 +53,20 @@ FOUND = T.StructType(
 
 @dataclass(frozen=True)
 class Grade:
-    """How items of a kind are embedded: steps of a walk, coordinates of a sample, words between
-    the starts that are read, and characters an indexed start must have after it."""
+    """How items of a kind are embedded: steps of a walk, coordinates of a sample, and characters
+    an indexed start must have after it."""
 
     steps: int
     coordinates: int
-    stride: int
     tail: int
 
 
-LONG = Grade(48, 16, 4, 32)
-SHORT = Grade(16, 10, 1, 12)
+LONG = Grade(48, 14, 32)
+SHORT = Grade(16, 10, 12)
+#: Starts of an item that the long grade needs.
+LONG_STARTS = 8
+#: Starts whose walks are taken together, so that what they need stays in the cache.
+BLOCK_STARTS = 4096
 
 
 def normalise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,23 +96,30 @@ class _Walks:
         rng = np.random.default_rng(seed)
         self.grade = grade
         self.advance = rng.integers(0, 2, (WALKS, grade.steps, 256), dtype=np.int64)
-        self.chosen = np.zeros((WALKS, grade.steps, SAMPLES), dtype=bool)
+        chosen = np.zeros((WALKS, SAMPLES, grade.steps), dtype=bool)
         for w in range(WALKS):
             for s in range(SAMPLES):
-                self.chosen[w, rng.choice(grade.steps, grade.coordinates, replace=False), s] = True
-        self.factor = mix(np.arange(1, grade.steps + 1, dtype=U64)) | U64(1)
+                chosen[w, s, rng.choice(grade.steps, grade.coordinates, replace=False)] = True
+        # sums of up to 64 products of a byte and a factor below 2^39 are exact in float64
+        factor = rng.integers(1, 1 << 39, grade.steps).astype(np.float64)
+        self.chosen = [[[(s, factor[j]) for s in range(SAMPLES) if chosen[w, s, j]] for j in range(grade.steps)] for w in range(WALKS)]
 
     def keys(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """A row of keys, one per table, for each start; ``data`` has ``steps`` bytes to spare."""
         out = np.zeros((WALKS * SAMPLES, len(starts)), dtype=U64)
-        for w in range(WALKS):
-            at = starts.astype(np.int64)
-            for j in range(self.grade.steps):
-                symbol = data[at]
-                for s in range(SAMPLES):
-                    if self.chosen[w, j, s]:
-                        out[w * SAMPLES + s] += symbol * self.factor[j]
-                at = at + self.advance[w, j][symbol]
+        for first in range(0, len(starts), BLOCK_STARTS):
+            block = starts[first : first + BLOCK_STARTS].astype(np.int64)
+            sums, product = np.zeros((SAMPLES, len(block))), np.zeros(len(block))
+            for w in range(WALKS):
+                at = block.copy()
+                sums[:] = 0
+                for j, samples in enumerate(self.chosen[w]):
+                    symbol = data.take(at)
+                    for s, factor in samples:
+                        np.multiply(symbol, factor, out=product)
+                        sums[s] += product
+                    at += self.advance[w, j].take(symbol)
+                out[w * SAMPLES : (w + 1) * SAMPLES, first : first + len(block)] = sums
         return mix(out)
 
 
@@ -152,9 +161,14 @@ def _word_starts(text: bytes) -> list[int]:
     return [0, *(i + 1 for i, c in enumerate(text) if c == 32 and i + 1 < len(text))]
 
 
-def edit_distance_within(pattern: bytes, text: bytes) -> tuple[int, int]:
-    """Least edit distance of ``pattern`` to any stretch of ``text``, and where that stretch ends."""
-    m = len(pattern)
+def edit_distance_within(pattern: bytes, text: bytes, most: int | None = None) -> tuple[int, int]:
+    """Least edit distance of ``pattern`` to any stretch of ``text``, and where that stretch ends.
+
+    With ``most``, distances above it need not be exact: reading ends where the rest of
+    ``text``, which lowers the score by one a character at best, cannot reach it.
+    """
+    m, n = len(pattern), len(text)
+    most = m if most is None else most
     masks: dict[int, int] = defaultdict(int)
     for i, c in enumerate(pattern):
         masks[c] |= 1 << i
@@ -176,6 +190,8 @@ def edit_distance_within(pattern: bytes, text: bytes) -> tuple[int, int]:
         falls = up & vertical
         if score < best:
             best, end = score, j + 1
+        elif score - (n - j - 1) > most:
+            break
     return best, end
 
 
@@ -187,19 +203,16 @@ class _Seeker:
         long, short = [], []
         for item, text in items:
             usable = sum(len(text) - o >= LONG.tail for o in _word_starts(text))
-            (long if usable >= 2 * LONG.stride else short).append((item, text))
+            (long if usable >= LONG_STARTS else short).append((item, text))
         self.indexes = [_Index(part, grade, seed) for part, grade, seed in ((long, LONG, 11), (short, SHORT, 12)) if part]
         self.spare = np.full(LONG.steps + 1, 32, dtype=np.uint8)
 
     def _places(self, data: np.ndarray, begins: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int, int], set[int]]:
         """Where items may begin: by text, index and item."""
         padded = np.concatenate([data, self.spare])
-        owner = np.searchsorted(begins, starts, side="right") - 1
-        nth = np.arange(len(starts)) - np.searchsorted(starts, begins)[owner]
         places: dict[tuple[int, int, int], set[int]] = defaultdict(set)
         for k, index in enumerate(self.indexes):
-            read = starts[nth % index.walks.grade.stride == 0]
-            for at, item, offset in index.lookup(padded, read):
+            for at, item, offset in index.lookup(padded, starts):
                 doc = int(np.searchsorted(begins, at, side="right")) - 1
                 places[doc, k, item].add(at - offset)
         return places
@@ -214,7 +227,7 @@ class _Seeker:
             tried = place
             a, b = max(lower, place - most), min(upper, place + size + 2 * most)
             exact = data[max(lower, place) : place + size].tobytes() == pattern
-            distance, end = (0, place + size - a) if exact else edit_distance_within(pattern, data[a:b].tobytes())
+            distance, end = (0, place + size - a) if exact else edit_distance_within(pattern, data[a:b].tobytes(), most)
             best = min(best, (distance, a + end - lower))
             if best[0] == 0:
                 break

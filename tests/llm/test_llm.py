@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -462,6 +463,29 @@ def test_items_in_blocks_and_short_items(spark, odd, monkeypatch):
     assert decontaminate.drop_leaks(odd, bench.where("false")).count() == odd.count()
 
 
+@pytest.mark.parametrize(("rate", "least", "least_brief"), [(0.15, 0.985, 0.95), (0.2, 0.96, 0.87)])
+def test_heavily_edited_items_are_found(sf_dir, rate, least, least_brief):
+    """Recall of random character edits up to the share that counts as the item, of all items and of those under 150 characters."""
+    rows = pq.read_table(f"{sf_dir}/benchmark.parquet").to_pylist()
+    items = decontaminate._normalised_items([(r["item_id"], r["text"]) for r in rows])
+    rng, planted, docs = random.Random(8), [], []
+    for k in range(400):
+        item, text = items[k % len(items)]
+        edited = list(text.decode())
+        for p in rng.sample(range(len(edited)), int(rate * len(edited))):
+            other = rng.choice("abcdefghijklmnopqrstuvwxyz")
+            edited[p] = rng.choice(["", edited[p] + other, other])
+        around = " ".join(f"filler{rng.randrange(999)}" for _ in range(20))
+        doc = f"{around} {''.join(edited)} {around}"
+        if decontaminate.edit_distance_within(text, decontaminate.normalise(pa.array([doc], pa.large_string()))[0].tobytes())[0] <= 0.2 * len(text):
+            planted.append((len(docs), item, len(text)))
+            docs.append(doc)
+    found = {(doc, item) for doc, item, *_ in decontaminate._Seeker(items, 0.2).hits(pa.array(docs, pa.large_string()))}
+    assert np.mean([(i, item) in found for i, item, _ in planted]) >= least
+    brief = [(i, item) in found for i, item, n in planted if n < 150]
+    assert brief and np.mean(brief) >= least_brief
+
+
 # sharding
 
 
