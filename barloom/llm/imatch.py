@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .storage import discard, materialise
 
 #: A level has ``SUBSETS`` subsets, each with one in so many of the lexicon's terms, at
-#: random: thick ones tell short texts apart, thin ones survive edits of long texts.
-LEVELS, SUBSETS = (32, 128, 512), 8
+#: random: thick ones tell short texts apart, thin ones survive edits of long texts. The
+#: first level divides the whole lexicon, so that every term enters a fingerprint.
+LEVELS, SUBSETS = (8, 32, 128, 512), 8
 #: The band, as shares of all documents that have a term. With d distinct terms in a
 #: document on average, at most d / LEAST_SHARE terms are in it, whatever the corpus.
 LEAST_SHARE, MOST_SHARE = 0.002, 0.25

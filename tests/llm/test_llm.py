@@ -312,6 +312,14 @@ def test_fingerprints_of_odd_rows(spark, odd):
     assert one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
 
 
+def test_unlike_short_texts_have_unlike_fingerprints(spark):
+    """Texts of two lexicon terms each, no two with the same terms."""
+    pairs = [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    rows = [(i, f"term{a} term{b}") for i, (a, b) in enumerate(pairs)]
+    got = imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.fingerprint for r in got}) == len(rows)
+
+
 # packing and counting
 
 
