@@ -1,19 +1,25 @@
 """Benchmark decontamination by edit distance.
 
-A CGK random walk reads a window: at step ``j`` it writes the character it stands on
-and moves on if a random bit of ``(j, character)`` says so. Two windows at a small edit
+A CGK random walk reads a window: at step ``j`` it writes the symbol it stands on and
+moves on if a random bit of ``(j, symbol)`` says so. Two windows at a small edit
 distance get embeddings at a small Hamming distance, so a few sampled coordinates are
-equal with good probability. Each of several walks is sampled several times.
+equal with good probability. Each of several walks is sampled several times; a sample
+is a table's key.
 
-Benchmark items are indexed and documents are read at every word start, so a passage
-meets the index at each of its words; each meeting and each table is a further chance.
-The sampled coordinates lie in the first ``steps`` of a
-window's embedding, so one short walk per start serves items of every length. What is
-found is verified by the exact edit distance of the whole item within the window around
-it.
+An item is covered by windows of a fixed length from each of its word starts, and
+documents are read at every word start, so that a passage meets the index at each of
+its words; each meeting and each table is a further chance. (One embedding of the whole
+item does not reach the stated share of edits: walks that an edit has parted are equal
+at few of the later coordinates. See the README for figures.)
+
+The work is a join. Keys of items are a table; a bounded number of keys at a time goes
+to the scan, which emits the regions of documents that hold one of them. Regions are
+joined with the items by key, and each item is verified by its exact edit distance
+within the window around where it may begin. A key that meets by chance is told by the
+rest of its walk: a bit of every coordinate is kept, and few of them may differ.
 
 Texts are compared by their words: lower-case runs of letters and digits, joined by
-single spaces.
+single spaces. Scripts without spaces have a start at every character.
 """
 
 from __future__ import annotations
@@ -21,24 +27,27 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import free_name
+from .idfilter import marked
+from .storage import Scratch, discard, free_name, materialise
 from .textscan import LOWER, U64, chunks, letter_words, mix, raw_bytes
 
 #: Edits, as a share of the item's length, up to which a passage is the item.
 MOST_EDITS = 0.2
 WALKS, SAMPLES = 5, 4
-#: Items that are broadcast and sought at once; more items take more passes.
-BLOCK_ITEMS = 2000
-#: An item with fewer normalised characters is too short to be told from chance, and is not sought.
-LEAST_ITEM = 12
+#: Keys of items that a pass over the documents seeks at once (32 bytes each, broadcast).
+MOST_KEYS = 1_000_000
+#: Items with fewer normalised bytes are sought exactly, as whole words.
+LEAST_EDITED = 12
+#: Normalised items of up to so many bytes in all are broadcast for verification; more are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 FOUND = T.StructType(
     [
@@ -49,34 +58,60 @@ FOUND = T.StructType(
         T.StructField("place", T.LongType()),
     ]
 )
+REGIONS = "region long, row long, doc_id long, text_a long, text_b long, at long, slice binary, starts array<long>, keys array<long>, sketches array<long>"
 
 
 @dataclass(frozen=True)
 class Grade:
-    """How items of a kind are embedded: steps of a walk, coordinates of a sample, and characters
-    an indexed start must have after it."""
+    """How items of a kind are embedded: steps of a walk (an even number), coordinates of a
+    sample, and bytes an indexed start must have after it."""
 
+    number: int
     steps: int
     coordinates: int
     tail: int
+    differ: int  # bits of all coordinates that may differ where a sample is equal
 
 
-LONG = Grade(48, 14, 32)
-SHORT = Grade(16, 10, 12)
+SHORT = Grade(1, 16, 8, 8, 2)
+LONG = Grade(2, 48, 14, 32, 5)
 #: Starts of an item that the long grade needs.
 LONG_STARTS = 8
 #: Starts whose walks are taken together, so that what they need stays in the cache.
-BLOCK_STARTS = 4096
+BLOCK_STARTS = 8192
+#: Spaces between texts: no walk reads into the next one.
+GAP = max(SHORT.steps, LONG.steps) + 2
+
+
+def _separators(data: np.ndarray) -> np.ndarray:
+    """Bytes of the usual punctuation beyond ASCII, of two or three bytes each."""
+    out = np.zeros(len(data), dtype=bool)
+    if len(data) < 2 or not (data >= 0xC2).any():
+        return out
+    after = np.append(data[1:], np.uint8(0))
+    third = np.append(after[1:], np.uint8(0))
+    two = (data == 0xC2) & (after < 0xC0)
+    wide = (data == 0xEF) & (
+        ((after == 0xBC) & ((third <= 0x8F) | ((third >= 0x9A) & (third <= 0xA0)) | (third >= 0xBB)))
+        | ((after == 0xBD) & ((third == 0x80) | ((third >= 0x9B) & (third <= 0xA5))))
+    )
+    three = ((data == 0xE2) & ((after == 0x80) | (after == 0x81))) | ((data == 0xE3) & (after == 0x80)) | wide
+    at = np.flatnonzero(two)
+    out[at] = out[at + 1] = True
+    at = np.flatnonzero(three)
+    at = at[at + 2 < len(data)]
+    out[at] = out[at + 1] = out[at + 2] = True
+    return out
 
 
-def normalise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Normalised bytes of all texts, the offset at which each begins, and all word starts."""
+def normalise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised bytes of all texts with spaces between them, where each begins and ends, and all starts."""
     raw, offsets = raw_bytes(texts)
     data = LOWER[raw]
     accented = np.zeros(len(data), dtype=bool)  # capitals of Latin-1, two bytes each
     accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     data[accented] += 0x20
-    inside = letter_words()[data]
+    inside = letter_words()[data] & ~_separators(data)
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets] = True
     before = np.zeros(len(data), dtype=bool)
@@ -84,81 +119,254 @@ def normalise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before[first[:-1]] = False
     keep = inside | before  # a word, or the byte that ends one
     moved = np.concatenate([[0], np.cumsum(keep)])
-    out = np.where(inside, data, np.uint8(32))[keep]
-    starts = moved[np.flatnonzero(inside & ~before)]
-    return out, moved[offsets], starts
+    text_of = np.repeat(np.arange(len(texts)), np.diff(offsets))  # a gap follows each text
+    begins = moved[offsets[:-1]] + GAP * np.arange(len(texts))
+    ends = moved[offsets[1:]] + GAP * np.arange(len(texts))
+    out = np.full(moved[-1] + GAP * (len(texts) + 1), 32, dtype=np.uint8)
+    place = moved[:-1] + GAP * text_of
+    out[place[inside]] = data[inside]
+    alone = (data >= 0xE0) & (data <= 0xE9) & (data != 0xE2)  # characters of scripts that may lack spaces
+    return out, begins, ends, place[inside & (~before | alone)]
+
+
+def _symbols() -> np.ndarray:
+    """Normalised bytes as one of 32 symbols: letters have one each, others share the rest."""
+    table = (np.arange(256) * 11 % 32).astype(np.int64)
+    table[32] = 0
+    table[97:123] = np.arange(1, 27)
+    table[48:58] = 27 + np.arange(10) % 5
+    return table
 
 
 class _Walks:
-    """The shared randomness of a grade."""
+    """The shared randomness of a grade, as tables of two steps at a time.
+
+    Two steps read two neighbouring symbols at most, so a table of 1024 entries tells
+    how far they move and what they add to the keys of the samples. A key is the
+    exclusive or of what its coordinates add, in one half of a 64-bit lane.
+    """
 
-    def __init__(self, grade: Grade, seed: int) -> None:
-        rng = np.random.default_rng(seed)
-        self.grade = grade
-        self.advance = rng.integers(0, 2, (WALKS, grade.steps, 256), dtype=np.int64)
-        chosen = np.zeros((WALKS, SAMPLES, grade.steps), dtype=bool)
+    def __init__(self, grade: Grade) -> None:
+        rng = np.random.default_rng(100 + grade.number)
+        self.grade, self.symbols = grade, _symbols()
+        moves = rng.integers(0, 2, (WALKS, grade.steps, 32), dtype=np.int64)
+        adds = rng.integers(0, 1 << 32, (WALKS, SAMPLES, grade.steps, 32), dtype=np.int64).astype(U64)
         for w in range(WALKS):
             for s in range(SAMPLES):
-                chosen[w, s, rng.choice(grade.steps, grade.coordinates, replace=False)] = True
-        # sums of up to 64 products of a byte and a factor below 2^39 are exact in float64
-        factor = rng.integers(1, 1 << 39, grade.steps).astype(np.float64)
-        self.chosen = [[[(s, factor[j]) for s in range(SAMPLES) if chosen[w, s, j]] for j in range(grade.steps)] for w in range(WALKS)]
-
-    def keys(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A row of keys, one per table, for each start; ``data`` has ``steps`` bytes to spare."""
-        out = np.zeros((WALKS * SAMPLES, len(starts)), dtype=U64)
+                left_out = rng.permutation(grade.steps)[grade.coordinates :]
+                adds[w, s, left_out] = 0
+        bits = rng.integers(0, 2, (WALKS, grade.steps, 32), dtype=np.int64).astype(U64)
+        one, two = np.arange(1024) & 31, np.arange(1024) >> 5
+        self.moves, self.lanes, self.bits = [], [], []
+        for w in range(WALKS):
+            for j in range(0, grade.steps, 2):
+                then = np.where(moves[w, j, one] > 0, two, one)
+                self.moves.append(moves[w, j, one] + moves[w, j + 1, then])
+                self.bits.append((bits[w, j, one] << U64(j)) | (bits[w, j + 1, then] << U64(j + 1)))
+                both = adds[w, :, j, one] ^ adds[w, :, j + 1, then]
+                self.lanes.append([both[:, s] | (both[:, s + 1] << U64(32)) for s in range(0, SAMPLES, 2)])
+
+    def samples(self, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, int]]:
+        """Of blocks of starts: the table, the number of the first start, lanes, and the half of them that is the table's."""
+        symbol = self.symbols[data]
+        code = symbol[:-1] | (symbol[1:] << 5)
         for first in range(0, len(starts), BLOCK_STARTS):
             block = starts[first : first + BLOCK_STARTS].astype(np.int64)
-            sums, product = np.zeros((SAMPLES, len(block))), np.zeros(len(block))
+            n = len(block)
+            pair, move, add = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, U64)
+            step = 0
             for w in range(WALKS):
-                at = block.copy()
-                sums[:] = 0
-                for j, samples in enumerate(self.chosen[w]):
-                    symbol = data.take(at)
-                    for s, factor in samples:
-                        np.multiply(symbol, factor, out=product)
-                        sums[s] += product
-                    at += self.advance[w, j].take(symbol)
-                out[w * SAMPLES : (w + 1) * SAMPLES, first : first + len(block)] = sums
-        return mix(out)
+                at, lanes = block.copy(), np.zeros((SAMPLES // 2, n), dtype=U64)
+                for _ in range(0, self.grade.steps, 2):
+                    np.take(code, at, out=pair, mode="clip")
+                    for lane, table in zip(lanes, self.lanes[step], strict=True):
+                        np.take(table, pair, out=add, mode="clip")
+                        lane ^= add
+                    np.take(self.moves[step], pair, out=move, mode="clip")
+                    at += move
+                    step += 1
+                for s in range(SAMPLES):
+                    yield w * SAMPLES + s, first, lanes[s // 2], s % 2
+
+    def sketches(self, data: np.ndarray, starts: np.ndarray, walk: int) -> np.ndarray:
+        """A bit of each coordinate of a walk, for each start."""
+        at, out = starts.astype(np.int64), np.zeros(len(starts), dtype=U64)
+        half = self.grade.steps // 2
+        for step in range(walk * half, (walk + 1) * half):
+            pair = self.symbols[data[at]] | (self.symbols[data[at + 1]] << 5)
+            out |= self.bits[step][pair]
+            at += self.moves[step][pair]
+        return out.view(np.int64)
+
+    def key(self, table: int, lanes: np.ndarray, half: int) -> np.ndarray:
+        """A table's keys: its half of the lanes, under its number."""
+        own = lanes >> U64(32) if half else lanes & U64(0xFFFFFFFF)
+        return own.astype(np.int64) | (self.table(table) << 32)
+
+    def table(self, table: int) -> int:
+        return self.grade.number * 64 + table
+
+    def keys(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """A row of keys, one per table, for each start; ``data`` has ``steps`` bytes to spare."""
+        out = np.empty((WALKS * SAMPLES, len(starts)), dtype=np.int64)
+        for table, first, lanes, half in self.samples(data, starts):
+            out[table, first : first + len(lanes)] = self.key(table, lanes, half)
+        return out
+
+
+def _exact_keys(data: np.ndarray, starts: np.ndarray, sizes: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size of a whole-word phrase: which starts have one, and its keys."""
+    begins = np.zeros(len(data), dtype=bool)
+    begins[starts] = True
+    held = np.zeros(len(starts), dtype=U64)
+    for size in range(1, max(sizes, default=0) + 1):
+        held = held * U64(0x9E3779B97F4A7C15) + data[starts + size - 1] + U64(1)
+        if size in sizes:
+            stop = starts + size
+            good = np.flatnonzero((data[stop] == 32) | begins[stop])
+            yield size, good, (mix(held[good] + U64(size)) >> U64(32)).astype(np.int64)
+
+
+def _grade_of(offsets: np.ndarray, size: int) -> int:
+    """The grade of an item with word starts at ``offsets``; 0: sought exactly."""
+    if size < LEAST_EDITED:
+        return 0
+    return LONG.number if (size - offsets >= LONG.tail).sum() >= LONG_STARTS else SHORT.number
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, texts in chunks(batch, "text"):
+            data, begins, ends, _ = normalise(texts)
+            patterns = [data[a:b].tobytes().strip(b" ") for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("item_id")), pa.array(patterns, pa.binary())], names=["item_id", "pattern"])
+
+
+def _starts_of(pattern: bytes) -> np.ndarray:
+    """Offsets of the starts of a normalised item."""
+    data = np.frombuffer(pattern, np.uint8)
+    before = np.append(np.uint8(32), data[:-1])
+    return np.flatnonzero((data != 32) & ((before == 32) | ((data >= 0xE0) & (data <= 0xE9) & (data != 0xE2))))
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of every start of an item that a document may meet."""
+    walks = {g.number: _Walks(g) for g in (SHORT, LONG)}
+    tails = {g.number: g.tail for g in (SHORT, LONG)}
+    for batch in batches:
+        for item, pattern in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            offsets, size = _starts_of(pattern), len(pattern)
+            grade = _grade_of(offsets, size)
+            data = np.frombuffer(pattern + b" " * GAP, np.uint8)
+            if grade == 0:
+                keys = [k for _, _, found in _exact_keys(data, np.zeros(1, np.int64), {size}) for k in found]
+                offsets, keys = np.zeros(len(keys), np.int64), np.array(keys, np.int64)
+                sketches = np.zeros(len(keys), np.int64)
+            else:
+                offsets = offsets[(size - offsets >= tails[grade]) | (offsets == 0)]
+                keys = walks[grade].keys(data, offsets).ravel()
+                sketches = np.concatenate([walks[grade].sketches(data, offsets, w) for w in range(WALKS) for _ in range(SAMPLES)])
+                offsets = np.tile(offsets, WALKS * SAMPLES)
+            n = len(keys)
+            full = lambda x: pa.array(np.full(n, x, np.int64))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sketches), full(item), pa.array(offsets.astype(np.int64)), full(size), full(grade)], names=["key", "sketch", "item", "offset", "size", "grade"])
 
 
 class _Index:
-    """Word starts of items by the keys of each table."""
-
-    BITS = 20
-
-    def __init__(self, items: list[tuple[int, bytes]], grade: Grade, seed: int) -> None:
-        self.walks, self.items = _Walks(grade, seed), items
-        data = np.frombuffer(b"".join(t + b" " * (grade.steps + 1) for _, t in items) + b" ", np.uint8)
-        entries, places, base = [], [], 0
-        for k, (_, text) in enumerate(items):
-            for o in _word_starts(text):
-                if len(text) - o >= grade.tail or o == 0:
-                    entries.append((k, o))
-                    places.append(base + o)
-            base += len(text) + grade.steps + 1
-        self.entries = np.array(entries, dtype=np.int64).reshape(-1, 2)
-        keys = self.walks.keys(data, np.array(places, dtype=np.int64))
-        self.order = np.argsort(keys, axis=1, kind="stable")
-        self.keys = np.take_along_axis(keys, self.order, axis=1)
-        self.filter = np.zeros((len(keys), 1 << self.BITS), dtype=bool)
-        for t, row in enumerate(keys):
-            self.filter[t, row >> U64(64 - self.BITS)] = True
-
-    def lookup(self, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Place, item and offset of every start whose key is indexed."""
-        for t, row in enumerate(self.walks.keys(data, starts)):
-            maybe = np.flatnonzero(self.filter[t][row >> U64(64 - self.BITS)])
-            lo = np.searchsorted(self.keys[t], row[maybe])
-            hi = np.searchsorted(self.keys[t], row[maybe], side="right")
-            for m, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for e in self.order[t, a:b].tolist():
-                    yield int(starts[m]), int(self.entries[e, 0]), int(self.entries[e, 1])
-
-
-def _word_starts(text: bytes) -> list[int]:
-    return [0, *(i + 1 for i, c in enumerate(text) if c == 32 and i + 1 < len(text))]
+    """Keys of a pass: sorted, with what an item may extend before and after the start they stand for."""
+
+    def __init__(self, table: pd.DataFrame) -> None:
+        table = table.sort_values("key")
+        self.key, self.sketch = table["key"].to_numpy(np.int64), table["sketch"].to_numpy(np.int64)
+        self.before, self.after = table["before"].to_numpy(np.int64), table["after"].to_numpy(np.int64)
+        grades = set(table["grade"].tolist())
+        self.sizes = set(table.loc[table["grade"] == 0, "after"].tolist())
+        self.grades = [g for g in (SHORT, LONG) if g.number in grades]
+
+
+class _Reader:
+    """Finds regions of texts that hold keys of an index."""
+
+    def __init__(self, index: _Index, most_edits: float) -> None:
+        self.index, self.most_edits = index, most_edits
+        self.walks = [_Walks(g) for g in index.grades]
+        tables = np.bincount(index.key >> 32, minlength=1)
+        self.bits = min(20, max(12, int(64 * tables.max(initial=1)).bit_length()))
+        self.filters = {}
+        for walks in self.walks:
+            for t in range(WALKS * SAMPLES):
+                own = index.key[(index.key >> 32) == walks.table(t)] & 0xFFFFFFFF
+                self.filters[walks.table(t)] = np.zeros(1 << self.bits, dtype=bool)
+                # the low bits of a lane's low half, the high bits of its high half
+                self.filters[walks.table(t)][own >> (32 - self.bits) if t % 2 else own & ((1 << self.bits) - 1)] = True
+
+    def _known(self, keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and numbers of index rows with their keys."""
+        low = np.searchsorted(self.index.key, keys)
+        times = np.searchsorted(self.index.key, keys, side="right") - low
+        rows = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+        return np.repeat(starts, times), rows
+
+    def _meetings(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts, and numbers of the index rows that they meet."""
+        found = [(np.zeros(0, np.int64),) * 2]
+        low, high = U64((1 << self.bits) - 1), U64(64 - self.bits)
+        for walks in self.walks:
+            for table, first, lanes, half in walks.samples(data, starts):
+                place = (lanes >> high if half else lanes & low).view(np.int64)
+                maybe = np.flatnonzero(self.filters[walks.table(table)].take(place))
+                if len(maybe):
+                    at, row = self._known(walks.key(table, lanes[maybe], half), starts[first + maybe])
+                    apart = walks.sketches(data, at, table // SAMPLES) ^ self.index.sketch[row] if len(at) else at
+                    good = np.bitwise_count(apart.view(U64)) <= walks.grade.differ
+                    found.append((at[good], row[good]))
+        for _, good, keys in _exact_keys(data, starts, self.index.sizes):
+            found.append(self._known(keys, starts[good]))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def regions(self, texts: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+        """Text number, offset, bytes, starts (within the bytes), keys and their sketches of each region."""
+        data, begins, ends, starts = normalise(texts)
+        if not len(self.index.key) or not len(starts):
+            return
+        at, key = self._meetings(data, starts)
+        if not len(at):
+            return
+        before, after = self.index.before[key], self.index.after[key]
+        most = (self.most_edits * (before + after)).astype(np.int64)
+        text = np.searchsorted(begins, at, side="right") - 1
+        lower = np.maximum(begins[text], at - before - most)
+        upper = np.minimum(ends[text], at + after + 2 * most)
+        order = np.argsort(lower, kind="stable")
+        reach = np.maximum.accumulate(upper[order])
+        # regions of two texts never meet: a gap lies between them
+        cuts = np.flatnonzero(np.concatenate([[True], lower[order][1:] > reach[:-1]]))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            rows = order[a:b]
+            low, high, own = int(lower[rows[0]]), int(reach[b - 1]), int(text[rows[0]])
+            yield own, low - int(begins[own]), data[low:high].tobytes(), at[rows] - low, self.index.key[key[rows]], self.index.sketch[key[rows]]
+
+
+def _scan(shared, most_edits: float):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        reader = _Reader(shared.value, most_edits)
+        base, row = TaskContext.get().partitionId() << 40, 0
+        region = 0
+        for batch in batches:
+            for part, texts in chunks(batch, "text"):
+                found = list(reader.regions(texts))
+                if found:
+                    text, at, slices, *lists = zip(*found, strict=True)
+                    columns = [part.column(part.schema.get_field_index(c)).take(pa.array(text)) for c in ("doc_id", "text_a", "text_b")]
+                    ids = [pa.array([base + region + i for i in range(len(found))], pa.int64()), pa.array([base + row + t for t in text], pa.int64())]
+                    lists = [pa.array(list(c), pa.list_(pa.int64())) for c in lists]
+                    yield pa.RecordBatch.from_arrays([*ids, *columns, pa.array(at, pa.int64()), pa.array(slices, pa.binary()), *lists], names=["region", "row", "doc_id", "text_a", "text_b", "at", "slice", "starts", "keys", "sketches"])
+                    region += len(found)
+                row += len(texts)
+
+    return scan
 
 
 def edit_distance_within(pattern: bytes, text: bytes, most: int | None = None) -> tuple[int, int]:
@@ -195,98 +403,75 @@ def edit_distance_within(pattern: bytes, text: bytes, most: int | None = None) -
     return best, end
 
 
-class _Seeker:
-    """Finds the items of a block in texts."""
-
-    def __init__(self, items: list[tuple[int, bytes]], most_edits: float) -> None:
-        self.most_edits = most_edits
-        long, short = [], []
-        for item, text in items:
-            usable = sum(len(text) - o >= LONG.tail for o in _word_starts(text))
-            (long if usable >= LONG_STARTS else short).append((item, text))
-        self.indexes = [_Index(part, grade, seed) for part, grade, seed in ((long, LONG, 11), (short, SHORT, 12)) if part]
-        self.spare = np.full(LONG.steps + 1, 32, dtype=np.uint8)
-
-    def _places(self, data: np.ndarray, begins: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int, int], set[int]]:
-        """Where items may begin: by text, index and item."""
-        padded = np.concatenate([data, self.spare])
-        places: dict[tuple[int, int, int], set[int]] = defaultdict(set)
-        for k, index in enumerate(self.indexes):
-            for at, item, offset in index.lookup(padded, starts):
-                doc = int(np.searchsorted(begins, at, side="right")) - 1
-                places[doc, k, item].add(at - offset)
-        return places
-
-    def _verified(self, data: np.ndarray, lower: int, upper: int, pattern: bytes, found: set[int]) -> tuple[int, int]:
-        """Least edit distance of an item around some places of a text, and where it ends."""
-        most, size, tried = int(self.most_edits * len(pattern)), len(pattern), None
-        best = (most + 1, 0)
-        for place in sorted(found):
-            if tried is not None and place - tried <= most // 2:
-                continue  # the window around the last place holds this one
-            tried = place
-            a, b = max(lower, place - most), min(upper, place + size + 2 * most)
-            exact = data[max(lower, place) : place + size].tobytes() == pattern
-            distance, end = (0, place + size - a) if exact else edit_distance_within(pattern, data[a:b].tobytes(), most)
-            best = min(best, (distance, a + end - lower))
-            if best[0] == 0:
-                break
-        return best
-
-    def hits(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
-        """Text number, item, distance, item length and end of each item found."""
-        data, begins, starts = normalise(texts)
-        rows = []
-        for (doc, k, item), found in self._places(data, begins, starts).items():
-            name, pattern = self.indexes[k].items[item]
-            distance, end = self._verified(data, int(begins[doc]), int(begins[doc + 1]), pattern, found)
-            if distance <= int(self.most_edits * len(pattern)):
-                rows.append((doc, name, distance, len(pattern), end))
-        return rows
-
-
-def _seek(shared, most_edits: float):
-    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeker = _Seeker(shared.value, most_edits)
+def verified(pattern: bytes, data: bytes, places: list[int], most_edits: float) -> tuple[int, int] | None:
+    """Least edit distance of an item around some places of a stretch of text, and where it
+    ends; None if it is above the share. A short item counts only exactly, where its key met."""
+    size = len(pattern)
+    most = int(most_edits * size) if size >= LEAST_EDITED else 0
+    best, tried = (most + 1, 0), None
+    for place in sorted(places):
+        if place >= 0 and data[place : place + size] == pattern:
+            return 0, place + size
+        if size < LEAST_EDITED or (tried is not None and place - tried <= most // 2):
+            continue  # the window around the last place holds this one
+        tried, low = place, max(0, place - most)
+        distance, end = edit_distance_within(pattern, data[low : max(low, place + size + 2 * most)], most)
+        best = min(best, (distance, low + end))
+    return best if best[0] <= most else None
+
+
+def _verify(most_edits: float):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in chunks(batch, "text"):
-                if rows := seeker.hits(texts):
-                    doc, *rest = (list(c) for c in zip(*rows, strict=True))
-                    ids = part.column(part.schema.get_field_index("doc_id")).take(pa.array(doc))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in rest)], names=FOUND.names)
+            rows = []
+            for r in batch.to_pylist():
+                if found := verified(r["pattern"], r["slice"], r["places"], most_edits):
+                    rows.append((r["row"], r["doc_id"], r["text_a"], r["text_b"], r["item"], found[0], len(r["pattern"]), r["at"] + found[1]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=["row", "doc_id", "text_a", "text_b", "item", "distance", "item_chars", "place"])
 
-    return seek
+    return verify
 
 
-def _clean(shared, most_edits: float, names: list[str], extra: str):
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeker = _Seeker(shared.value, most_edits)
-        for batch in batches:
-            for part, texts in chunks(batch, extra):
-                keep = np.ones(len(texts), dtype=bool)
-                keep[[doc for doc, *_ in seeker.hits(texts)]] = False
-                yield part.select(names).filter(pa.array(keep))
-
-    return clean
+HITS = "row long, doc_id long, text_a long, text_b long, item long, distance long, item_chars long, place long"
 
 
-def _normalised_items(rows) -> list[tuple[int, bytes]]:
-    out = []
-    for item, text in rows:
-        data, _, _ = normalise(pa.array([text or ""], pa.large_string()))
-        text = data.tobytes().rstrip(b" ")
-        if item is not None and len(text) >= LEAST_ITEM:
-            out.append((item, text))
-    return out
+def _text_keys():
+    """Two hashes that stand for a text."""
+    return F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit(7), F.col("text")).alias("text_b")
 
 
-def _blocks(benchmark: DataFrame) -> list:
-    """The items in broadcast blocks of about ``BLOCK_ITEMS``; one empty block if there are none."""
-    spark = benchmark.sparkSession
+def _hits(docs: DataFrame, benchmark: DataFrame, most_edits: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Verified hits of classes of items with equal normalised texts, and the members of the classes."""
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    blocks = max(1, -(-wanted.count() // BLOCK_ITEMS))
-    place = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-    return [spark.sparkContext.broadcast(_normalised_items(sorted(map(tuple, wanted.where(place == b).collect())))) for b in range(blocks)]
+    items = scratch.keep(wanted.mapInArrow(_items, "item_id long, pattern binary").where(F.length("pattern") > 0), "items")
+    classes = scratch.keep(items.groupBy("pattern").agg(F.min("item_id").alias("item")).select("item", "pattern"), "itemclasses")
+    members = items.join(classes.withColumnRenamed("pattern", "own"), F.col("pattern") == F.col("own")).select("item", "item_id")
+    entries = scratch.keep(classes.mapInArrow(_entries, "key long, sketch long, item long, offset long, size long, grade long"), "itemkeys")
+    n = entries.count()
+    passes = max(1, -(-n // MOST_KEYS))
+    small = (classes.agg(F.sum(F.length("pattern"))).first()[0] or 0) <= BROADCAST_BYTES
+
+    shaped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    shaped = shaped.select("doc_id", "text", *_text_keys())
+    parts = []
+    for p in range(passes):
+        mine = entries.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == p) if passes > 1 else entries
+        found = mine.groupBy("key", "sketch", "grade").agg(F.max("offset").alias("before"), F.max(F.col("size") - F.col("offset")).alias("after"), F.count("*").alias("entries"))
+        table = found.toPandas()  # a bounded number of keys
+        shared = docs.sparkSession.sparkContext.broadcast(_Index(table))
+        regions = scratch.keep(shaped.mapInArrow(_scan(shared, most_edits), REGIONS), "regions")
+        met = regions.select("region", F.explode(F.arrays_zip("starts", "keys", "sketches")).alias("m")).select("region", F.col("m.keys").alias("key"), F.col("m.sketches").alias("sketch"), F.col("m.starts").alias("start"))
+        side = mine.select("key", "sketch", "item", "offset")
+        side = F.broadcast(side) if table["entries"].sum() <= 2 * MOST_KEYS else side
+        places = met.join(side, ["key", "sketch"]).groupBy("region", "item").agg(F.collect_set(F.col("start") - F.col("offset")).alias("places"))
+        texts = F.broadcast(classes) if small else classes
+        full = places.join(regions.drop("starts", "keys", "sketches"), "region").join(texts, "item")
+        parts.append(scratch.keep(full.select("row", "doc_id", "text_a", "text_b", "item", "at", "slice", "places", "pattern").mapInArrow(_verify(most_edits), HITS), "hits"))
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionAll(part)
+    return hits, members
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_EDITS) -> DataFrame:
@@ -294,21 +479,45 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_E
 
     ``docs`` needs ``doc_id`` and ``text``, ``benchmark`` ``item_id`` and ``text``;
     other columns are ignored. One row per document row and item found: ``doc_id,
-    item_id, distance`` (least edit distance, of characters), ``item_chars`` and
-    ``place`` (end of the passage in the normalised text). Items are sought in blocks
-    of a fixed number, every block in all documents. Null texts hold nothing; items
-    without an id, without text or too short are not sought; repeated rows are each
-    searched. Empty tables give no rows.
+    item_id, distance`` (least edit distance found, in bytes), ``item_chars`` and
+    ``place`` (end of the passage in the normalised text). Items of fewer than
+    ``LEAST_EDITED`` normalised bytes are found exactly, as whole words. Null or empty
+    texts hold nothing, and a null doc_id stays null; items without an id or without
+    words are not sought; equal items are found together; repeated rows are each
+    searched, so they give equal rows. A very long text is read in one piece, its
+    regions are verified apart. Empty tables give no rows. What is found does not
+    depend on how rows are dealt.
     """
-    shaped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [shaped.mapInArrow(_seek(shared, most_edits), FOUND) for shared in _blocks(benchmark)]
-    return reduce(DataFrame.unionAll, parts)
+    scratch = Scratch()
+    hits, members = _hits(docs, benchmark, most_edits, scratch)
+    best = hits.groupBy("row", "doc_id", "item", "item_chars").agg(F.min(F.struct("distance", "place")).alias("best"))
+    named = best.join(members, "item").select("doc_id", "item_id", "best.distance", "item_chars", "best.place")
+    found = materialise(named, "leaks")
+    scratch.clear()
+    return found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = MOST_EDITS) -> DataFrame:
-    """The rows of ``docs``, whole, that hold no benchmark item; without a shuffle."""
-    names, kept = docs.columns, docs
-    extra = free_name(names, "_text")
-    for shared in _blocks(benchmark):
-        kept = kept.withColumn(extra, F.col("text").cast("string")).mapInArrow(_clean(shared, most_edits, names, extra), T.StructType(docs.schema.fields))
-    return kept
+    """The rows of ``docs``, whole, that hold no benchmark item.
+
+    Whether a row goes depends on its text alone, so repeated rows share their fate.
+    Rows without text stay; other columns are kept as they are, whatever their names.
+    Only rows that a bitmap of the leaking texts does not clear are shuffled.
+    """
+    scratch = Scratch()
+    hits, _ = _hits(docs, benchmark, most_edits, scratch)
+    gone = materialise(hits.select("text_a", "text_b").distinct(), "leaking")
+    scratch.clear()
+    names = docs.columns
+    a, b = free_name(names, "_text_a"), free_name(names, "_text_b")
+    maybe = free_name([*names, a, b], "_maybe")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn(a, F.xxhash64(text)).withColumn(b, F.xxhash64(F.lit(7), text))
+    told = marked(keyed, a, gone.select("text_a"), maybe)
+    unsure = told.where(F.col(maybe))
+    clear = unsure.join(gone, (F.col(a) == gone["text_a"]) & (F.col(b) == gone["text_b"]), "left_anti")
+    return told.where(~F.col(maybe)).select(*_quoted(names)).unionAll(clear.select(*_quoted(names)))
+
+
+def _quoted(names: list[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
