@@ -44,6 +44,11 @@ MOST_EDITS = 0.2
 WALKS, SAMPLES = 5, 4
 #: Keys of items that a pass over the documents seeks at once (32 bytes each, broadcast).
 MOST_KEYS = 1_000_000
+#: A candidate is compared exactly if its window has so many of its runs of ``GRAM`` bytes; a share
+#: of unlike texts of one language is below, of random edits up to ``MOST_EDITS`` above.
+GRAM, GRAM_BITS, LEAST_GRAMS = 4, 14, 0.38
+#: Shorter patterns are always compared exactly.
+LEAST_COUNTED = 80
 #: Items with fewer normalised bytes are sought exactly, as whole words.
 LEAST_EDITED = 12
 #: Normalised items of up to so many bytes in all are broadcast for verification; more are shuffled.
@@ -77,8 +82,8 @@ SHORT = Grade(1, 16, 8, 8, 2)
 LONG = Grade(2, 48, 14, 32, 5)
 #: Starts of an item that the long grade needs.
 LONG_STARTS = 8
-#: Starts whose walks are taken together, so that what they need stays in the cache.
-BLOCK_STARTS = 8192
+#: Starts whose walks are taken together, and bytes of text that are read at once.
+BLOCK_STARTS, READ_BYTES = 1 << 15, 1 << 20
 #: Spaces between texts: no walk reads into the next one.
 GAP = max(SHORT.steps, LONG.steps) + 2
 
@@ -166,27 +171,21 @@ class _Walks:
                 both = adds[w, :, j, one] ^ adds[w, :, j + 1, then]
                 self.lanes.append([both[:, s] | (both[:, s + 1] << U64(32)) for s in range(0, SAMPLES, 2)])
 
-    def samples(self, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, int]]:
-        """Of blocks of starts: the table, the number of the first start, lanes, and the half of them that is the table's."""
+    def codes(self, data: np.ndarray) -> np.ndarray:
         symbol = self.symbols[data]
-        code = symbol[:-1] | (symbol[1:] << 5)
-        for first in range(0, len(starts), BLOCK_STARTS):
-            block = starts[first : first + BLOCK_STARTS].astype(np.int64)
-            n = len(block)
-            pair, move, add = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, U64)
-            step = 0
-            for w in range(WALKS):
-                at, lanes = block.copy(), np.zeros((SAMPLES // 2, n), dtype=U64)
-                for _ in range(0, self.grade.steps, 2):
-                    np.take(code, at, out=pair, mode="clip")
-                    for lane, table in zip(lanes, self.lanes[step], strict=True):
-                        np.take(table, pair, out=add, mode="clip")
-                        lane ^= add
-                    np.take(self.moves[step], pair, out=move, mode="clip")
-                    at += move
-                    step += 1
-                for s in range(SAMPLES):
-                    yield w * SAMPLES + s, first, lanes[s // 2], s % 2
+        return symbol[:-1] | (symbol[1:] << 5)
+
+    def walk(self, codes: np.ndarray, at: np.ndarray, lanes: np.ndarray, walk: int, half: int) -> None:
+        """Half of the steps of a walk, from the places ``at`` on; both arrays are moved on."""
+        steps = self.grade.steps // 4
+        pair, move, add = np.empty(len(at), np.int64), np.empty(len(at), np.int64), np.empty(len(at), U64)
+        for step in range((2 * walk + half) * steps, (2 * walk + half + 1) * steps):
+            np.take(codes, at, out=pair, mode="clip")
+            for lane, table in zip(lanes, self.lanes[step], strict=True):
+                np.take(table, pair, out=add, mode="clip")
+                lane ^= add
+            np.take(self.moves[step], pair, out=move, mode="clip")
+            at += move
 
     def sketches(self, data: np.ndarray, starts: np.ndarray, walk: int) -> np.ndarray:
         """A bit of each coordinate of a walk, for each start."""
@@ -198,20 +197,25 @@ class _Walks:
             at += self.moves[step][pair]
         return out.view(np.int64)
 
-    def key(self, table: int, lanes: np.ndarray, half: int) -> np.ndarray:
-        """A table's keys: its half of the lanes, under its number."""
-        own = lanes >> U64(32) if half else lanes & U64(0xFFFFFFFF)
-        return own.astype(np.int64) | (self.table(table) << 32)
+    def table(self, walk: int, sample: int) -> int:
+        return self.grade.number * 64 + walk * SAMPLES + sample
+
+    def keys(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each table and start the key under the table's number, and the same after half of the steps."""
+        codes = self.codes(data)
+        out = np.empty((2, WALKS * SAMPLES, len(starts)), dtype=np.int64)
+        for w in range(WALKS):
+            at, lanes = starts.astype(np.int64), np.zeros((SAMPLES // 2, len(starts)), dtype=U64)
+            for half in (0, 1):
+                self.walk(codes, at, lanes, w, half)
+                for s in range(SAMPLES):
+                    out[1 - half, w * SAMPLES + s] = _own(lanes, s).astype(np.int64) | (self.table(w, s) << 32)
+        return out[0], out[1]
 
-    def table(self, table: int) -> int:
-        return self.grade.number * 64 + table
 
-    def keys(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A row of keys, one per table, for each start; ``data`` has ``steps`` bytes to spare."""
-        out = np.empty((WALKS * SAMPLES, len(starts)), dtype=np.int64)
-        for table, first, lanes, half in self.samples(data, starts):
-            out[table, first : first + len(lanes)] = self.key(table, lanes, half)
-        return out
+def _own(lanes: np.ndarray, sample: int) -> np.ndarray:
+    """A sample's half of its lane."""
+    return lanes[sample // 2] >> U64(32) if sample % 2 else lanes[sample // 2] & U64(0xFFFFFFFF)
 
 
 def _exact_keys(data: np.ndarray, starts: np.ndarray, sizes: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -261,15 +265,15 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if grade == 0:
                 keys = [k for _, _, found in _exact_keys(data, np.zeros(1, np.int64), {size}) for k in found]
                 offsets, keys = np.zeros(len(keys), np.int64), np.array(keys, np.int64)
-                sketches = np.zeros(len(keys), np.int64)
+                sketches = halfway = np.zeros(len(keys), np.int64)
             else:
                 offsets = offsets[(size - offsets >= tails[grade]) | (offsets == 0)]
-                keys = walks[grade].keys(data, offsets).ravel()
+                keys, halfway = (k.ravel() for k in walks[grade].keys(data, offsets))
                 sketches = np.concatenate([walks[grade].sketches(data, offsets, w) for w in range(WALKS) for _ in range(SAMPLES)])
                 offsets = np.tile(offsets, WALKS * SAMPLES)
             n = len(keys)
             full = lambda x: pa.array(np.full(n, x, np.int64))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sketches), full(item), pa.array(offsets.astype(np.int64)), full(size), full(grade)], names=["key", "sketch", "item", "offset", "size", "grade"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(halfway), pa.array(sketches), full(item), pa.array(offsets.astype(np.int64)), full(size), full(grade)], names=["key", "halfway", "sketch", "item", "offset", "size", "grade"])
 
 
 class _Index:
@@ -278,6 +282,7 @@ class _Index:
     def __init__(self, table: pd.DataFrame) -> None:
         table = table.sort_values("key")
         self.key, self.sketch = table["key"].to_numpy(np.int64), table["sketch"].to_numpy(np.int64)
+        self.halfway = table["halfway"].to_numpy(np.int64)
         self.before, self.after = table["before"].to_numpy(np.int64), table["after"].to_numpy(np.int64)
         grades = set(table["grade"].tolist())
         self.sizes = set(table.loc[table["grade"] == 0, "after"].tolist())
@@ -291,14 +296,21 @@ class _Reader:
         self.index, self.most_edits = index, most_edits
         self.walks = [_Walks(g) for g in index.grades]
         tables = np.bincount(index.key >> 32, minlength=1)
-        self.bits = min(20, max(12, int(64 * tables.max(initial=1)).bit_length()))
-        self.filters = {}
-        for walks in self.walks:
-            for t in range(WALKS * SAMPLES):
-                own = index.key[(index.key >> 32) == walks.table(t)] & 0xFFFFFFFF
-                self.filters[walks.table(t)] = np.zeros(1 << self.bits, dtype=bool)
-                # the low bits of a lane's low half, the high bits of its high half
-                self.filters[walks.table(t)][own >> (32 - self.bits) if t % 2 else own & ((1 << self.bits) - 1)] = True
+        self.bits = min(20, max(12, int(16 * tables.max(initial=1)).bit_length()))
+        self.filters = [{}, {}]
+        for half, keys in enumerate((index.halfway, index.key)):
+            for walks in self.walks:
+                for table in (walks.table(w, s) for w in range(WALKS) for s in range(SAMPLES)):
+                    own = keys[(keys >> 32) == table] & 0xFFFFFFFF
+                    self.filters[half][table] = np.zeros(1 << self.bits, dtype=bool)
+                    # the low bits of a lane's low half, the high bits of its high half
+                    self.filters[half][table][own >> (32 - self.bits) if table % 2 else own & ((1 << self.bits) - 1)] = True
+
+    def _maybe(self, walks: _Walks, lanes: np.ndarray, walk: int, sample: int, half: int) -> np.ndarray:
+        """Whether an item may have a sample's key, after half of the steps or all."""
+        lane = lanes[sample // 2]
+        place = lane >> U64(64 - self.bits) if sample % 2 else lane & U64((1 << self.bits) - 1)
+        return self.filters[half][walks.table(walk, sample)].take(place.view(np.int64))
 
     def _known(self, keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and numbers of index rows with their keys."""
@@ -310,16 +322,26 @@ class _Reader:
     def _meetings(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts, and numbers of the index rows that they meet."""
         found = [(np.zeros(0, np.int64),) * 2]
-        low, high = U64((1 << self.bits) - 1), U64(64 - self.bits)
         for walks in self.walks:
-            for table, first, lanes, half in walks.samples(data, starts):
-                place = (lanes >> high if half else lanes & low).view(np.int64)
-                maybe = np.flatnonzero(self.filters[walks.table(table)].take(place))
-                if len(maybe):
-                    at, row = self._known(walks.key(table, lanes[maybe], half), starts[first + maybe])
-                    apart = walks.sketches(data, at, table // SAMPLES) ^ self.index.sketch[row] if len(at) else at
-                    good = np.bitwise_count(apart.view(U64)) <= walks.grade.differ
-                    found.append((at[good], row[good]))
+            codes = walks.codes(data)
+            for first in range(0, len(starts), BLOCK_STARTS):
+                for w in range(WALKS):
+                    block = starts[first : first + BLOCK_STARTS].astype(np.int64)
+                    at, lanes = block.copy(), np.zeros((SAMPLES // 2, len(block)), dtype=U64)
+                    walks.walk(codes, at, lanes, w, 0)
+                    on = np.flatnonzero(np.logical_or.reduce([self._maybe(walks, lanes, w, s, 0) for s in range(SAMPLES)]))
+                    at, lanes = at[on], lanes[:, on]
+                    walks.walk(codes, at, lanes, w, 1)
+                    for s in range(SAMPLES):
+                        last = np.flatnonzero(self._maybe(walks, lanes, w, s, 1))
+                        if not len(last):
+                            continue
+                        keys = _own(lanes[:, last], s).astype(np.int64) | (walks.table(w, s) << 32)
+                        met, row = self._known(keys, block[on[last]])
+                        if len(met):
+                            apart = walks.sketches(data, met, w) ^ self.index.sketch[row]
+                            good = np.bitwise_count(apart.view(U64)) <= walks.grade.differ
+                            found.append((met[good], row[good]))
         for _, good, keys in _exact_keys(data, starts, self.index.sizes):
             found.append(self._known(keys, starts[good]))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -355,7 +377,7 @@ def _scan(shared, most_edits: float):
         base, row = TaskContext.get().partitionId() << 40, 0
         region = 0
         for batch in batches:
-            for part, texts in chunks(batch, "text"):
+            for part, texts in chunks(batch, "text", READ_BYTES):
                 found = list(reader.regions(texts))
                 if found:
                     text, at, slices, *lists = zip(*found, strict=True)
@@ -420,15 +442,45 @@ def verified(pattern: bytes, data: bytes, places: list[int], most_edits: float)
     return best if best[0] <= most else None
 
 
+def _grams(stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``GRAM`` bytes of each stretch, and the number of the stretch."""
+    data = np.frombuffer(b"".join(stretches) + b" " * GRAM, np.uint8).astype(np.int64)
+    sizes = np.array([len(x) for x in stretches])
+    begins = np.cumsum(sizes) - sizes
+    counts = np.maximum(sizes - GRAM + 1, 0)
+    owner = np.repeat(np.arange(len(stretches)), counts)
+    at = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    code = np.zeros(len(at), np.int64)
+    for k in range(GRAM):
+        code = code * 31 + data[at + k]
+    return code * 0x9E3779B1 >> 7 & ((1 << GRAM_BITS) - 1), owner
+
+
+def likely(patterns: list[bytes], windows: list[bytes]) -> np.ndarray:
+    """Whether enough of a pattern's runs of bytes occur in its window to be worth an exact comparison."""
+    seen = np.zeros(len(patterns) << GRAM_BITS, dtype=bool)
+    code, owner = _grams(windows)
+    seen[(owner << GRAM_BITS) | code] = True
+    code, owner = _grams(patterns)
+    met = np.bincount(owner, weights=seen[(owner << GRAM_BITS) | code], minlength=len(patterns))
+    brief = np.array([len(p) < LEAST_COUNTED for p in patterns])
+    return brief | (met >= LEAST_GRAMS * np.bincount(owner, minlength=len(patterns)))
+
+
 def _verify(most_edits: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if found := verified(r["pattern"], r["slice"], r["places"], most_edits):
-                    rows.append((r["row"], r["doc_id"], r["text_a"], r["text_b"], r["item"], found[0], len(r["pattern"]), r["at"] + found[1]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=["row", "doc_id", "text_a", "text_b", "item", "distance", "item_chars", "place"])
+            for begin in range(0, batch.num_rows, 256):
+                rows, found = batch.slice(begin, 256).to_pylist(), []
+                windows = []
+                for r in rows:
+                    most = int(most_edits * len(r["pattern"]))
+                    windows.append(r["slice"][max(0, min(r["places"]) - most) : max(r["places"]) + len(r["pattern"]) + 2 * most])
+                for r, good in zip(rows, likely([r["pattern"] for r in rows], windows).tolist(), strict=True):
+                    if good and (hit := verified(r["pattern"], r["slice"], r["places"], most_edits)):
+                        found.append((r["row"], r["doc_id"], r["text_a"], r["text_b"], r["item"], hit[0], len(r["pattern"]), r["at"] + hit[1]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], names=["row", "doc_id", "text_a", "text_b", "item", "distance", "item_chars", "place"])
 
     return verify
 
@@ -447,7 +499,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, most_edits: float, scratch: Scr
     items = scratch.keep(wanted.mapInArrow(_items, "item_id long, pattern binary").where(F.length("pattern") > 0), "items")
     classes = scratch.keep(items.groupBy("pattern").agg(F.min("item_id").alias("item")).select("item", "pattern"), "itemclasses")
     members = items.join(classes.withColumnRenamed("pattern", "own"), F.col("pattern") == F.col("own")).select("item", "item_id")
-    entries = scratch.keep(classes.mapInArrow(_entries, "key long, sketch long, item long, offset long, size long, grade long"), "itemkeys")
+    entries = scratch.keep(classes.mapInArrow(_entries, "key long, halfway long, sketch long, item long, offset long, size long, grade long"), "itemkeys")
     n = entries.count()
     passes = max(1, -(-n // MOST_KEYS))
     small = (classes.agg(F.sum(F.length("pattern"))).first()[0] or 0) <= BROADCAST_BYTES
@@ -457,7 +509,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, most_edits: float, scratch: Scr
     parts = []
     for p in range(passes):
         mine = entries.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == p) if passes > 1 else entries
-        found = mine.groupBy("key", "sketch", "grade").agg(F.max("offset").alias("before"), F.max(F.col("size") - F.col("offset")).alias("after"), F.count("*").alias("entries"))
+        found = mine.groupBy("key", "halfway", "sketch", "grade").agg(F.max("offset").alias("before"), F.max(F.col("size") - F.col("offset")).alias("after"), F.count("*").alias("entries"))
         table = found.toPandas()  # a bounded number of keys
         shared = docs.sparkSession.sparkContext.broadcast(_Index(table))
         regions = scratch.keep(shaped.mapInArrow(_scan(shared, most_edits), REGIONS), "regions")
