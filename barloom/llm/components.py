@@ -5,39 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import hot_keys, join_split
 from .storage import discard, materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _large_star(edges: DataFrame, hubs: list[int]) -> DataFrame:
     """Every neighbour larger than a node is linked to the node's least neighbour."""
-    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _both(edges)
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    linked = join_split(both.where("v > u"), least, ["u"], "u", hubs, "v")
+    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are linked to the least of them."""
+    """A node and its smaller neighbours are linked to the least of them.
+
+    After a large star a node has few smaller neighbours, so no key is hot here.
+    """
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     linked = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _state(edges: DataFrame) -> tuple[tuple, list[int]]:
+    """Count and checksum of the edges, and the nodes that hold a large share of them."""
+    degrees = _both(edges).groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.greatest("u", "v"), F.least("u", "v")).cast("decimal(38,0)")).alias("h"))
+    total, checksum, largest = degrees.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+    return (total, checksum), hot_keys(degrees, "u", "n", total or 0, largest or 0)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Component of every node that an edge names.
 
     ``edges`` has columns ``u`` and ``v`` (long); loops and repeated edges are
     allowed, rows with a null are ignored. Returns ``node, component`` where the
     component is the least node that can be reached. Each round is written to the
-    shared folder; only a row count and a checksum reach the driver. An empty
-    table gives an empty result.
+    shared folder; only a row count, a checksum and the few hubs that hold a large
+    share of all edges reach the driver. An empty table gives an empty result. The
+    caller deletes the result's table with ``discard``.
     """
     nodes = edges.where("u is not null and v is not null")
     current = materialise(nodes.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(), "edges")
-    seen = None
+    seen, hubs = _state(current)
     for _ in range(max_rounds):
-        following = materialise(_small_star(_large_star(current)), "edges")
-        state = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        following = materialise(_small_star(_large_star(current, hubs)), "edges")
+        state, hubs = _state(following)
         discard(current)
         current = following
         if state == seen:
@@ -46,4 +63,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+    found = current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+    found._scratch = current._scratch
+    return found

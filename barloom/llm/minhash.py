@@ -10,10 +10,13 @@
    buckets are listed. Members of large buckets go through a prefix-filter join:
    a pair over the threshold shares one of the rarest shingles of each side, and a
    shingle that no other member has starts no pair. Members that reach a common
-   shingle within their prefix have few rarer ones; they are first linked to the most
-   central of them, and only what stays outside the main component is joined with all.
+   shingle within their prefix are first linked to the most central of them; what stays
+   outside the main component is joined with the rest, where the smaller set of a pair
+   must have the shingle in a shorter prefix.
 5. Components by large-star and small-star.
 
+Band keys, classes and hubs that hold a large share of all rows are salted.
+
 With 24 bands of 4 rows, a pair at similarity 0.85 shares no band with probability
 2e-8, at 0.8 with 3e-6, and less above.
 """
@@ -24,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import skew  # noqa: F401
 from .components import connected_components
 from .idfilter import marked
-from .storage import Scratch, free_name, materialise
+from .skew import hot_keys, join_split
+from .storage import Scratch, discard, free_name, materialise
 from .textscan import U64, Powers, chunks, mix, scan, shingle_sets, space_words
 
 BANDS, ROWS, WIDTH = 24, 4, 5
@@ -49,7 +54,8 @@ SIGNED = T.StructType(
         T.StructField("signature", T.BinaryType()),
     ]
 )
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.BinaryType())])
+SETS = "doc_id long, set_a long, set_b long, shingles binary"
+SIZED = "doc_id long, text_a long, text_b long, set_a long, set_b long, n long"
 
 
 def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +69,10 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _set_hashes(s: np.ndarray) -> tuple[int, int]:
+    return int(s.sum(dtype=U64).view(np.int64)), int(mix(s ^ U64(0xABCDEF)).sum(dtype=U64).view(np.int64))
+
+
 def _signer(bands: int, rows: int, width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, kind = Powers(), space_words()
@@ -88,8 +98,9 @@ def _signer(bands: int, rows: int, width: int):
                         np.minimum(least, block.min(axis=1), out=least)
                     keys.append(mix((least.reshape(bands, rows) * weights).sum(axis=1, dtype=U64) + tags).view(np.int64))
                     signatures.append((mix(least) & U64(255)).astype(np.uint8).tobytes())
-                    set_a.append(int(s.sum(dtype=U64).view(np.int64)))
-                    set_b.append(int(mix(s ^ U64(0xABCDEF)).sum(dtype=U64).view(np.int64)))
+                    first, second = _set_hashes(s)
+                    set_a.append(first)
+                    set_b.append(second)
                 yield pa.RecordBatch.from_arrays(
                     [
                         _column(part, "doc_id").cast(pa.int64()),
@@ -111,14 +122,29 @@ def _setter(width: int):
         for batch in batches:
             for part, texts in chunks(batch, "text"):
                 found = shingle_sets(scan(texts, kind, powers), width)
+                a, b = zip(*map(_set_hashes, found), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [_column(part, "doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
-                    names=SETS.names,
+                    [_column(part, "doc_id").cast(pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
+                    names=["doc_id", "set_a", "set_b", "shingles"],
                 )
 
     return sets
 
 
+def _sizer(width: int):
+    """The sets' hashes and sizes, in place of the texts."""
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, kind = Powers(), space_words()
+        for batch in batches:
+            for part, texts in chunks(batch, "text"):
+                found = shingle_sets(scan(texts, kind, powers), width)
+                a, b = zip(*map(_set_hashes, found), strict=True)
+                yield pa.RecordBatch.from_arrays([*(_column(part, c) for c in ("doc_id", "text_a", "text_b")), *(pa.array(list(x), pa.int64()) for x in (a, b, map(len, found)))], names=["doc_id", "text_a", "text_b", "set_a", "set_b", "n"])
+
+    return sized
+
+
 def _estimate(threshold: float, n: int):
     """Keeps pairs whose signatures agree often enough for ``threshold`` less the slack."""
     share = threshold + (1 - threshold) / 256
@@ -183,45 +209,37 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), doc, np.int64))], names=["token", "doc_id"])
 
 
-#: Stands for the frequency of a token that more than ``LISTED`` documents have.
-COMMON = LISTED + 1
-
-
 def _prefixer(percent: int):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                tokens = np.frombuffer(row["shingles"], np.int64)
-                n = len(tokens)
+                n, alone = len(row["shingles"]) // 8, row["alone"] or 0
                 length = n - -(-n * percent // 100) + 1
-                alone = row["alone"] or 0
-                rare = sorted((x["df"], x["token"]) for x in row["rare"] or ())
-                if alone + len(rare) < length:
-                    own = np.array([*(row["unshared"] or ()), *(t for _, t in rare)], dtype=np.int64)
-                    rare += [(COMMON, t) for t in np.setdiff1d(tokens, own, assume_unique=True)[: length - alone - len(rare)].tolist()]
-                out += [(t, df, row["doc_id"], n, place) for place, (df, t) in enumerate(rare, alone) if place < length]
+                # of a pair the smaller set shares one of fewer tokens
+                brief = n - -(-2 * percent * n // (100 + percent)) + 1
+                shared = sorted((x["df"], x["token"]) for x in row["shared"] or ())
+                out += [(t, df, row["doc_id"], n, place, int(place < brief)) for place, (df, t) in enumerate(shared, alone) if place < length]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=["token", "df", "doc_id", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=["token", "df", "doc_id", "n", "place", "brief"])
 
     return prefixes
 
 
 def _rare_prefix(sets: DataFrame, ids: DataFrame, percent: int, keep=materialise) -> DataFrame:
-    """``token, df, doc_id, n, place`` of the first tokens of each set: as many as a
+    """``token, df, doc_id, n, place, brief`` of the first tokens of each set: as many as a
     pair over the threshold must share one of.
 
-    The order is by frequency over the given ids, with all tokens of more than
-    ``LISTED`` documents last, by their hash. A token that one document alone has
-    takes its place, but gives no row, as no other set shares it.
+    The order is by frequency over the given ids, then by hash. A token that one
+    document alone has takes its place, but gives no row, as no other set shares it.
     """
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = sets.join(ids, "doc_id").repartition(tasks)  # crowded documents may lie in few files
     member = chosen.mapInArrow(_tokens, "token long, doc_id long")
-    df = keep(member.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("owner")).where(F.col("df") <= LISTED), "frequencies")
-    alone = df.where("df = 1").groupBy(F.col("owner").alias("doc_id")).agg(F.count("*").alias("alone"), F.collect_list("token").alias("unshared"))
-    rare = member.join(df.where("df > 1").select("token", "df"), "token").groupBy("doc_id").agg(F.collect_list(F.struct("df", "token")).alias("rare"))
-    return chosen.join(alone, "doc_id", "left").join(rare, "doc_id", "left").select("doc_id", "shingles", "alone", "unshared", "rare").mapInArrow(_prefixer(percent), "token long, df long, doc_id long, n long, place long")
+    df = keep(member.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("owner")), "frequencies")
+    alone = df.where("df = 1").groupBy(F.col("owner").alias("doc_id")).agg(F.count("*").alias("alone"))
+    shared = member.join(df.where("df > 1").select("token", "df"), "token").groupBy("doc_id").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
+    return chosen.join(alone, "doc_id", "left").join(shared, "doc_id", "left").select("doc_id", "shingles", "alone", "shared").mapInArrow(_prefixer(percent), "token long, df long, doc_id long, n long, place long, brief long")
 
 
 def _could_link(percent: int):
@@ -236,35 +254,52 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
-    """Component of every document under set similarity of word shingles.
+def _node() -> Column:
+    """Stands for one of several texts that share a doc_id: a negative number from the id and the set."""
+    return -(F.xxhash64("doc_id", "set_a", "set_b").bitwiseAND((1 << 62) - 1)) - 1
 
-    ``docs`` needs ``doc_id`` (long) and ``text``; other columns are ignored. Two
-    documents are linked when ``100 * |A & B| >= percent * |A | B|`` for their sets
-    of distinct ``width``-word shingles. Returns one row per input row: ``doc_id,
-    n_shingles, component_id, kept``. Null or empty texts, and texts without words,
-    have the empty set and are linked with nothing. Rows that repeat a doc_id are
-    one node for its component; each row keeps its own set size. A row whose doc_id
-    is null gets a null component and is kept.
+
+def _with_nodes(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """``rows`` (``doc_id, set_a, set_b``) with ``node``: the doc_id, but where it has several sets."""
+    if repeated is None:
+        return rows.withColumn("node", F.col("doc_id"))
+    flagged = rows.join(repeated.withColumn("_several", F.lit(True)), "doc_id", "left")
+    return flagged.withColumn("node", F.when(F.col("_several"), _node()).otherwise(F.col("doc_id"))).drop("_several")
+
+
+def _linked(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (``doc_id, n_shingles, node``) of ``docs`` (``doc_id, text``), the links of
+    nodes, and the pairs of nodes with equal sets.
+
+    A node is a doc_id; where several sets share one, each of them is a node of its own.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(docs.mapInArrow(_signer(BANDS, ROWS, width), SIGNED), "signed")
-    usable = signed.where("n_shingles > 0 and doc_id is not null")
     scratch = Scratch()
     keep = scratch.keep
+    some = signed.where("n_shingles > 0 and doc_id is not null")
+    repeated = keep(some.groupBy("doc_id").agg(F.min("set_a").alias("a"), F.max("set_a").alias("z"), F.min("set_b").alias("b"), F.max("set_b").alias("y")).where("a <> z or b <> y").select("doc_id"), "repeated")
+    repeated = None if repeated.isEmpty() else repeated
+    usable = _with_nodes(some, repeated).withColumnRenamed("doc_id", "id").withColumnRenamed("node", "doc_id")
     same = ["set_a", "set_b", "n_shingles"]
-    # only classes of several rows are joined, from a table of their own, so that a large one can be split
-    shared = keep(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "classes")
-    members = keep(usable.select("doc_id", *same).join(shared, same, "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    # only classes of several rows are joined, from a table of their own
+    shared = keep(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"), "classes")
+    total, largest = shared.agg(F.sum("rows"), F.max("rows")).first()
+    hot = hot_keys(shared, "set_a", "rows", total or 0, largest or 0)
+    members = keep(join_split(usable.select("doc_id", *same), shared.drop("rows"), same, "set_a", hot, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "members")
     rep_ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    # a doc_id that repeats with other texts is in several classes: all its sets count
-    reps = keep(usable.join(rep_ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"]), "reps")
+    reps = keep(usable.join(rep_ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
     inside = reps.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("key")).distinct()
-    sizes = inside.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    buckets = keep(inside.join(sizes, "key"), "buckets")
+    sizes = keep(inside.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).where("size > 1"), "sizes")
+    total, largest = sizes.agg(F.sum("size"), F.max("size")).first()
+    hot = hot_keys(sizes, "key", "size", total or 0, largest or 0)
+    buckets = keep(join_split(inside, sizes, ["key"], "key", hot, "doc_id"), "buckets")
     candidates = buckets.select("doc_id").distinct()
-    needed = marked(docs, "doc_id", candidates, "maybe").where("maybe").select("doc_id", "text").join(candidates, "doc_id", "left_semi")
-    sets = keep(needed.mapInArrow(_setter(width), SETS), "sets")
+    ids = candidates if repeated is None else reps.join(candidates, "doc_id", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+    needed = marked(docs, "doc_id", ids, "maybe").where("maybe").select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    found = _with_nodes(needed.mapInArrow(_setter(width), SETS), repeated).select(F.col("node").alias("doc_id"), "shingles")
+    if repeated is not None:  # rows that repeat an id have sets of several nodes
+        found = found.join(candidates, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
+    sets = keep(found, "sets")
     linker = _Linker(reps, sets, percent)
 
     stars = _ordered(buckets.select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")))
@@ -273,8 +308,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
 
     # what is left: buckets that span components
     tagged = _labelled(buckets, labels, "doc_id", "component")
-    spans = tagged.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members")).where("c1 < c2").select("key", "members")
-    open_ = keep(tagged.select("key", "doc_id", "component").join(spans, "key"), "open")
+    spans = keep(tagged.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members")).where("c1 < c2").select("key", "members"), "spans")
+    open_ = keep(join_split(tagged.select("key", "doc_id", "component"), spans, ["key"], "key", hot, "doc_id"), "open")
     small = open_.where(F.col("members") <= LISTED)
     mine = small.select("key", F.col("doc_id").alias("u"), F.col("component").alias("cu"))
     other = small.select("key", F.col("doc_id").alias("v"), F.col("component").alias("cv"))
@@ -295,18 +330,51 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     labels = keep(connected_components(links.unionAll(near_centre)), "labels")
     common = keep(_labelled(common.drop("component"), labels, "doc_id", "component"), "common")
     main = common.groupBy("token", "component").agg(F.count("*").alias("held")).groupBy("token").agg(F.max_by("component", F.struct("held", "component")).alias("main"))
-    outside = common.join(main, "token").where("component <> main")
-    by_common = outside.select(*left).join(common.select(*right), "token").where(F.expr("u <> v and cu <> cv") & _could_link(percent)).select("u", "v").distinct()
+    outside = keep(common.join(main, "token").where("component <> main").drop("main"), "outside")
+    apart = F.expr("u <> v and cu <> cv") & _could_link(percent)
+    brief = F.col("brief") == 1
+    larger = outside.select(*left).join(common.where(brief).select(*right), "token").where(apart & F.expr("nu >= nv"))
+    smaller = outside.where(brief).select(*left).join(common.select(*right), "token").where(apart & F.expr("nu <= nv"))
+    by_common = larger.unionAll(smaller).select("u", "v").distinct()
 
     rest = _ordered(listed.unionAll(by_rare).unionAll(by_common))
     more = keep(linker.links(keep(linker.filtered(rest), "restpairs")), "links")
-    # a document that repeats in several classes ties them together
-    tied = members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")
-    final = connected_components(links.unionAll(near_centre).unionAll(more).unionAll(tied))
+    every = materialise(links.unionAll(near_centre).unionAll(more), "alllinks")
+    equal = materialise(members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v").distinct(), "equal")
+    rows = signed.select("doc_id", "n_shingles", "set_a", "set_b")
+    if repeated is not None:
+        rows = materialise(_with_nodes(rows, repeated), "nodes")
+        discard(signed)
+    else:
+        rows = rows.withColumn("node", F.col("doc_id"))
     scratch.clear()
+    return rows.select("doc_id", "n_shingles", "node"), every, equal
+
+
+def _shaped(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
 
-    rows = signed.select("doc_id", "n_shingles")
-    named = rows.join(final.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left")
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
+    """Component of every document under set similarity of word shingles.
+
+    ``docs`` needs ``doc_id`` (long) and ``text``; other columns are ignored. Two
+    documents are linked when ``100 * |A & B| >= percent * |A | B|`` for their sets
+    of distinct ``width``-word shingles. Returns one row per input row: ``doc_id,
+    n_shingles, component_id, kept``. Null or empty texts, and texts without words,
+    have the empty set and are linked with nothing. Rows that repeat a doc_id are
+    one node for its component, whatever their texts; each row keeps its own set size.
+    A row whose doc_id is null gets a null component and is kept. A very long text is
+    signed in blocks of shingles. An empty table gives no rows.
+    """
+    rows, links, equal = _linked(_shaped(docs), percent, width)
+    # the texts of a repeated id are one node here
+    several = rows.where("node <> doc_id and n_shingles > 0").select("node", "doc_id").distinct()
+    name = lambda edges: edges.join(several.toDF("u", "a"), "u", "left").join(several.toDF("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
+    edges = links.unionAll(equal)
+    final = connected_components(edges if several.isEmpty() else name(edges))
+    discard(links, equal)
+    named = rows.select("doc_id", "n_shingles").join(final.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -314,15 +382,44 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
 def keep_one(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs``, whole, with one document of each component of near-duplicates.
 
-    The least doc_id stays. Of rows that repeat a doc_id one stays; rows without an
-    id or without words stay.
+    The least doc_id stays; where it has several texts in the component, one of them.
+    Texts that share a doc_id, but are not near each other, are documents of their own.
+    Of rows with the same id and set of shingles one stays (the least by a hash of all
+    columns). Rows without an id or without words stay, all of them, and so does an
+    empty table. Other columns are kept, whatever their names.
     """
-    found = materialise(near_duplicates(docs, percent, width).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times")), "kept")
-    name, maybe = free_name(docs.columns, "_gone"), free_name(docs.columns, "_maybe")
-    gone = found.where("not kept").select(F.col("doc_id").alias(name))
-    told = marked(docs, "doc_id", gone, maybe)
-    unsure = told.where(F.col(maybe)).drop(maybe)  # only these are shuffled
-    rest = told.where(~F.col(maybe)).drop(maybe).unionAll(unsure.join(gone, unsure["doc_id"].cast("long") == gone[name], "left_anti"))
-    if found.where("times > 1").isEmpty():
-        return rest
-    return rest.where("doc_id is null").unionAll(rest.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    rows, links, equal = _linked(_shaped(docs), percent, width)
+    final = connected_components(links.unionAll(equal))
+    named = rows.where("doc_id is not null and n_shingles > 0").groupBy("node", "doc_id").agg(F.count("*").alias("times"))
+    named = materialise(named.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    discard(links, equal, final)
+    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"), F.count("*").alias("held")).where("held > 1").select("component", "first.node")
+    gone = named.join(first.withColumnRenamed("node", "stays"), "component").where("node <> stays")
+    # ids of rows that go, or that come several times: only these rows are shuffled
+    told = materialise(gone.select("doc_id", "node", F.lit(True).alias("goes")).unionAll(named.where("times > 1").join(gone.select("node"), "node", "left_anti").select("doc_id", "node", F.lit(False).alias("goes"))), "gone")
+    discard(named)
+    names = docs.columns
+    maybe, key = free_name(names, "_maybe"), free_name(names, "_key")
+    ids = told.select(F.col("doc_id").alias(key)).distinct()
+    split = marked(docs, "doc_id", ids, maybe)
+    clear, unsure = split.where(~F.col(maybe)).drop(maybe), split.where(F.col(maybe)).drop(maybe)
+    if told.where("node <> doc_id or not goes").isEmpty():  # every id is of one row
+        return clear.unionAll(unsure.join(ids, unsure["doc_id"].cast("long") == ids[key], "left_anti"))
+    return clear.unionAll(_sorted_out(unsure, told, width))
+
+
+def _sorted_out(rows: DataFrame, told: DataFrame, width: int) -> DataFrame:
+    """Rows of repeated ids: without those whose node goes, and one of each node that stays."""
+    names = rows.columns
+    whole = F.struct(*[F.col(f"`{n}`") for n in names]).alias("whole")
+    hashed = F.xxhash64(*[F.col(f"`{n}`") for n, t in rows.dtypes if not t.startswith("map")]).alias("hash")
+    text = F.col("text").cast("string")
+    own = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit(7), text).alias("text_b"), text.alias("text"), whole, hashed)
+    sets = own.select("doc_id", "text_a", "text_b", "text").mapInArrow(_sizer(width), SIZED).distinct().withColumn("several", _node())
+    seen = told.select(F.col("doc_id").alias("id"), "node", "goes")
+    fate = sets.join(seen, (F.col("doc_id") == F.col("id")) & F.col("node").isin(F.col("several"), F.col("doc_id")), "left")
+    fate = fate.select("doc_id", "text_a", "text_b", "n", F.coalesce("node", "several").alias("node"), F.coalesce("goes", F.lit(False)).alias("goes"))
+    placed = own.drop("text").join(fate, ["doc_id", "text_a", "text_b"]).where("not goes")
+    wordless = placed.where("n = 0").select("whole.*")
+    rest = placed.where("n > 0").groupBy("doc_id", "node").agg(F.min_by("whole", "hash").alias("whole")).select("whole.*")
+    return wordless.unionAll(rest)
