@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
-    return archive_round_trip(_table(spark, sf_dir, "pages")).drop("segments")
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,20 +99,27 @@ def queries() -> dict[str, Query]:
     }
 
 
-#: Of a page: its payload, and whether a larger page_id has the same one.
+#: Of a page: its payload, whether a larger page_id has the same one, and how many segments of
+#: 2048 bytes its block takes: a head of 87 bytes, and chunks of at most 8192 bytes with their sizes.
 OP1_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body FROM pages
 ), d AS (
   SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p
 ), k AS (
-  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM d
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept,
+    87 + payload_bytes + 8 * (payload_bytes // 8192)
+      + CASE WHEN payload_bytes % 8192 > 0 THEN 4 + length(format('{:x}', payload_bytes % 8192)) ELSE 0 END + 5 AS block
+  FROM d
+), r AS (
+  SELECT *, payload_bytes >= 1000 AND kept IS DISTINCT FROM page_id AND kept IS NOT NULL AS again FROM k
 )
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 1000 AND kept IS DISTINCT FROM page_id AND kept IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND kept IS DISTINCT FROM page_id THEN kept END AS refers_to,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN kept END AS refers_to,
+  CASE WHEN again THEN 1 ELSE CAST((block + 2047) // 2048 AS BIGINT) END AS segments,
   true AS length_ok, true AS digest_ok
-FROM k
+FROM r
 """
 
 

@@ -6,7 +6,8 @@ system. A long block is split into segments: the first record carries
 ``WARC-Segment-Number: 1``, continuations name it in ``WARC-Segment-Origin-ID``, and
 the last one states ``WARC-Segment-Total-Length``. Reading groups segments by origin,
 orders them by number, verifies the total length, and decodes chunked framing as a
-stream, so that a record's length bounds no buffer.
+stream, so that a record's length bounds no buffer. A revisit is checked against the
+response that it refers to.
 """
 
 from __future__ import annotations
@@ -21,12 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import scratch_path
+from . import skew  # noqa: F401
+from .idfilter import marked
+from .skew import hot_keys, join_split
+from .storage import materialise, scratch_path
 
-SEGMENT_BYTES = 1 << 16
+#: Most pages are longer, so that their blocks lie in several records.
+SEGMENT_BYTES = 1 << 11
 CHUNK_BYTES = 1 << 13
 #: Records of an archive file at most; with the segment size, this bounds its bytes.
-ARCHIVE_RECORDS = 2048
+ARCHIVE_RECORDS = 1 << 15
 REVISIT_FROM = 1000
 RECORD_END = "\r\n\r\n"
 
@@ -62,20 +67,37 @@ RECORDS = T.StructType(
 )
 
 
+#: Stands for a null page_id in keys.
+NO_PAGE = -(1 << 63)
+
+
+def _row_key(page: str = "page_id"):
+    return F.xxhash64(F.coalesce(F.col(page), F.lit(NO_PAGE)), F.col("digest"))
+
+
 def plan_revisits(pages: DataFrame, least_bytes: int = REVISIT_FROM) -> DataFrame:
-    """Adds ``digest, refers_to`` to pages with ``page_id, url, payload`` (binary).
+    """``page_id, url, payload, payload_bytes, digest, refers_to`` of pages with ``page_id, url, payload`` (binary).
 
     Of equal payloads of at least ``least_bytes`` the page with the largest page_id
-    is stored; the others refer to it. Groups are counted by partial aggregation and
-    joined back, so a payload that many pages share is not gathered. Rows that repeat
+    is stored; the others refer to it and lose their payload. Rows that repeat
     the largest page_id are all stored; a null page_id refers to the group's largest.
+    Groups are found and joined by digests alone; digests that many pages share are
+    salted. Payloads are shuffled only of pages that a bitmap takes for revisits.
     """
-    hashed = pages.withColumn("digest", F.sha1("payload"))
-    long = F.octet_length("payload") >= least_bytes
-    shared = hashed.where(long).groupBy("digest").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    joined = hashed.join(shared, "digest", "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("kept_id")), F.col("kept_id"))
-    return joined.withColumn("refers_to", refers).drop("kept_id")
+    hashed = pages.select("page_id", "url", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("digest"))
+    narrow = materialise(hashed.drop("payload"), "digests")
+    long = narrow.where(F.col("payload_bytes") >= least_bytes)
+    shared = materialise(long.groupBy("digest").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("copies")).where("copies > 1").withColumn("digest_key", F.xxhash64("digest")), "shared")
+    total, largest = shared.agg(F.sum("copies"), F.max("copies")).first()
+    hot = hot_keys(shared, "digest_key", "copies", total or 0, largest or 0)
+    keyed = long.withColumn("digest_key", F.xxhash64("digest"))
+    again = join_split(keyed, shared.select("digest", "digest_key", "kept_id"), ["digest", "digest_key"], "digest_key", hot, "page_id")
+    again = materialise(again.where(~F.col("page_id").eqNullSafe(F.col("kept_id"))).select("page_id", "url", "payload_bytes", "digest", F.col("kept_id").alias("refers_to")), "revisits")
+    keys = again.select(_row_key().alias("revisit")).distinct()
+    told = marked(hashed.withColumn("row_key", _row_key()), "row_key", keys, "maybe")
+    clear = told.where("not maybe").unionAll(told.where("maybe").join(again.select(F.col("page_id").alias("p"), F.col("digest").alias("d")).distinct(), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left_anti"))
+    stored = clear.select("page_id", "url", "payload", "payload_bytes", "digest", F.lit(None).cast("long").alias("refers_to"))
+    return stored.unionAll(again.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "payload_bytes", "digest", "refers_to"))
 
 
 def _field(name: str, value) -> bytes:
@@ -99,13 +121,13 @@ def _writer(segment_bytes: int, chunk_bytes: int):
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             out, held = [], 0
-            for page, url, payload, digest, refers in zip(*columns, strict=True):
+            for page, url, payload, size, digest, refers in zip(*columns, strict=True):
                 name = f"<urn:page:{'' if page is None else page}:{task}:{row}>"
                 row += 1
                 revisit = refers is not None
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                 if revisit:
-                    block = http + b"Content-Length: %d\r\n\r\n" % len(payload)
+                    block = http + b"Content-Length: %d\r\n\r\n" % size
                 else:
                     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + _chunked(payload, chunk_bytes)
                 parts = [block[a : a + segment_bytes] for a in range(0, len(block), segment_bytes)]
@@ -141,12 +163,12 @@ def _writer(segment_bytes: int, chunk_bytes: int):
 
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, archive_records: int = ARCHIVE_RECORDS) -> None:
-    """Write pages (``page_id, url, payload, digest, refers_to``) as gzip-compressed WARC files.
+    """Write pages (``page_id, url, payload, payload_bytes, digest, refers_to``) as gzip-compressed WARC files.
 
     Files follow the partitions of ``pages``; a partition begins a new archive after
     so many records. Segments of one record may lie in two archives.
     """
-    records = pages.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_writer(segment_bytes, chunk_bytes), "value binary")
+    records = pages.select("page_id", "url", "payload", "payload_bytes", "digest", "refers_to").mapInArrow(_writer(segment_bytes, chunk_bytes), "value binary")
     # the cast keeps the bytes as they are; the writer puts the record end after each
     lines = records.select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", archive_records).text(path)
@@ -159,15 +181,15 @@ def _inflate(blob, size: int = 1 << 18) -> Iterator[bytes]:
         for at in range(0, len(view), size):
             yield bytes(view[at : at + size])
         return
-    rest = view
-    while len(rest):
-        inflater, at = zlib.decompressobj(31), 0
-        while at < len(rest) and not inflater.eof:
-            piece = inflater.decompress(rest[at : at + size])
-            at += size
+    at = 0
+    while at < len(view):
+        inflater, step = zlib.decompressobj(31), 1 << 12  # a member may be short
+        while at < len(view) and not inflater.eof:
+            piece = inflater.decompress(view[at : at + step])
+            at = min(at + step, len(view)) - len(inflater.unused_data)
+            step = min(2 * step, size)
             if piece:
                 yield piece
-        rest = memoryview(inflater.unused_data + bytes(rest[at:])) if inflater.eof else memoryview(b"")
 
 
 def _records(blob) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -308,7 +330,7 @@ def _reassembler(keep_payload: bool):
                 return
             length_ok = sound and (total is None and seen == 1 or total == bytes_in)
             if first["record_type"] == "revisit":
-                out.append((first["record_id"], first["page_id"], "revisit", first["refers_to"], first["target_uri"], seen, length_ok, True, first["stated_length"], first["stated_digest"], None))
+                out.append((first["record_id"], first["page_id"], "revisit", first["refers_to"], first["target_uri"], seen, length_ok, None, first["stated_length"], first["stated_digest"], None))
                 return
             digest = message.sha.hexdigest()
             good = message.complete() and (first["stated_digest"] is None or first["stated_digest"] == digest)
@@ -343,25 +365,41 @@ def reassemble(segments: DataFrame, keep_payload: bool = True) -> DataFrame:
     a time is decoded as a stream. ``length_ok`` tells that the segment numbers run
     from 1 without a gap and their lengths add up to the stated total; ``digest_ok``
     that the framing is whole and the payload has the stated digest. A revisit has no
-    payload; its size and digest are those stated. Unsegmented records are decoded
-    where they were read, without a shuffle.
+    payload; its size and digest are those stated, and its ``digest_ok`` is null until
+    :func:`check_revisits` compares it with the response.
     """
-    single = segments.where("segment is null").mapInArrow(_reassembler(keep_payload), RECORDS)
-    split = segments.where("segment is not null").repartition(F.col("origin_id")).sortWithinPartitions("origin_id", "segment")
-    return single.unionAll(split.mapInArrow(_reassembler(keep_payload), RECORDS))
+    dealt = segments.repartition(F.col("origin_id")).sortWithinPartitions("origin_id", "segment")
+    return dealt.mapInArrow(_reassembler(keep_payload), RECORDS)
+
+
+def check_revisits(records: DataFrame) -> DataFrame:
+    """Records (a table that can be read again) whose revisits have ``digest_ok``: whether the
+    response they refer to is there, sound, and of the stated digest and size."""
+    of = records.where("record_type = 'response' and digest_ok and length_ok").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n"), F.lit(True).alias("met")).distinct()
+    again = records.where("record_type = 'revisit'")
+    times = again.groupBy("refers_to").agg(F.count("*").alias("times"))
+    total, largest = times.agg(F.sum("times"), F.max("times")).first()
+    hot = hot_keys(times, "refers_to", "times", total or 0, largest or 0)
+    keyed = again.withColumn("d", F.col("payload_digest")).withColumn("n", F.col("payload_bytes"))
+    compared = join_split(keyed, of, ["refers_to", "d", "n"], "refers_to", hot, "record_id", "left")
+    checked = compared.withColumn("digest_ok", F.coalesce("met", F.lit(False))).select(*records.columns)
+    return records.where("record_type <> 'revisit'").unionAll(checked)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write ``page_id, url, html`` as archives and read the records back.
 
     A row per page with ``page_id, payload_bytes, payload_digest, record_type,
-    refers_to`` and whether length and digest were verified. Null html is an empty
-    payload, a null url a record without target, a null page_id stays null. Other
-    columns are ignored; an empty table gives no rows.
+    refers_to``, the number of segments and whether length and digest were verified.
+    Null html is an empty payload, a null url a record without target, a null page_id
+    stays null, repeated rows are records of their own. A very long page lies in many
+    segments and is decoded as a stream. Other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
     spark = pages.sparkSession
     shaped = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
     path = scratch_path(spark, "warc")
     write_archives(plan_revisits(shaped), path)
     segments = read_segments(spark, path)
-    return reassemble(segments, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments", "length_ok", "digest_ok")
+    records = materialise(reassemble(segments, keep_payload=False).drop("payload"), "records")
+    return check_revisits(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments", "length_ok", "digest_ok")
