@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialise
 from .textscan import chunks
 
 #: Lengths that share a bucket of the two-level sums.
@@ -46,10 +47,11 @@ def length_histogram(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     to a context of ``n_tokens``. Between two rows all of these follow from the
     next row, see :func:`at_limits`. An empty table gives no rows.
 
-    The sums run in two levels, within spans of lengths and over the spans, so no
-    task holds more than a span or the list of spans.
+    A very long text is encoded whole. The histogram is written once, as it is read
+    several times; the sums run in two levels, within spans of lengths and over the
+    spans, so no task holds more than a span or the list of spans.
     """
-    histogram = encoded_lengths(docs, ranks_path, pattern).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    histogram = materialise(encoded_lengths(docs, ranks_path, pattern).groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "histogram")
     histogram = histogram.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("span", F.floor(F.col("n_tokens") / SPAN))
     inner = Window.partitionBy("span").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
     own = histogram.withColumn("docs_in", F.sum("n_docs").over(inner)).withColumn("tokens_in", F.sum("tokens").over(inner))
