@@ -61,7 +61,7 @@ def _slots(term: Column) -> Column:
 
 def _hash_of(terms: Column) -> Column:
     """The hash of a subset's distinct terms in order; null where there are none."""
-    return F.when(F.size(terms) > 0, F.hash(F.sort_array(terms)))
+    return F.when(F.size(terms) > 0, F.xxhash64(F.sort_array(terms)))
 
 
 def _blank(hashes: Column) -> Column:
@@ -70,7 +70,7 @@ def _blank(hashes: Column) -> Column:
 
 def _text_of(hashes: Column, plain: Column) -> Column:
     """The fingerprint as a string; a text without lexicon terms has its own hash instead."""
-    joined = F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF))), F.lit("-"))), ".")
+    joined = F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.hex(h)), F.lit("-"))), ".")
     return F.coalesce(F.concat(F.lit("text-"), plain), joined)
 
 
@@ -90,8 +90,8 @@ def fingerprints(docs: DataFrame, least_share: float = LEAST_SHARE, most_share:
     in descending order of id. One row per input row: ``doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. Rows
     that repeat an id and a text give equal rows. Where an id has several texts, the
-    least of them stands for it as a next document. A null id comes last. An empty
-    table gives no rows.
+    least of them stands for it as a next document. A null id comes last. A very long text
+    is one row's work. An empty table gives no rows.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = materialise(lexicon(docs, least_share, most_share), "lexicon")
@@ -104,32 +104,24 @@ def fingerprints(docs: DataFrame, least_share: float = LEAST_SHARE, most_share:
     # words that lie in both texts are split once: those before the last separator of what is kept
     kept = F.expr("substring(text, 1, n - cast(floor(n / 3) as int))")
     whole = whole.withColumn("shared", F.regexp_extract(kept, r"(?s)^(.*)[^\p{L}\p{N}]", 1))
-    own = F.struct(F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("sha"), F.md5("text").alias("plain"), F.md5("edited").alias("edited_plain"))
     rest = lambda c: F.expr(f"substring({c}, length(shared) + 1)")
-    split = whole.select("key", F.xxhash64("text").alias("copy"), own.alias("own"), _words(F.col("shared")).alias("both"), _words(rest("text")).alias("first"), _words(rest("edited")).alias("second"))
-    sized = split.select("key", "copy", "own", F.size("both").alias("upto"), (F.size("both") + F.size("first")).alias("then"), F.posexplode(F.concat("both", "first", "second", F.array(F.lit("\n")))).alias("at", "word"))
-    last = F.col("word") == "\n"  # the entry that every row has, whatever its words
-    entries = sized.select("key", "copy", "own", "upto", "then", "at", F.when(last, F.lit(0)).otherwise(F.xxhash64("word")).cast("long").alias("term"))
-    held = words.where("term <> 0").unionAll(words.sparkSession.range(1).select(F.lit(0).cast("long").alias("term")))
-    entries = entries.join(F.broadcast(held) if words.count() <= BROADCAST_TERMS else held, "term")
-    carrier = F.array(F.lit(-1))
-    spread = entries.withColumn("slot", F.explode(F.when(F.col("term") == 0, carrier).otherwise(_slots(F.col("term")))))
-    first = (F.col("slot") >= 0) & (F.col("at") < F.col("then"))
-    second = (F.col("slot") >= 0) & ((F.col("at") < F.col("upto")) | (F.col("at") >= F.col("then")))
-    by_slot = spread.groupBy("key", "copy", "slot").agg(
-        F.first(F.when(F.col("slot") < 0, F.col("own")), ignorenulls=True).alias("own"),
-        F.count_if(F.col("slot") < 0).alias("times"),
-        _hash_of(F.collect_set(F.when(first, F.col("term")))).alias("h"),
-        _hash_of(F.collect_set(F.when(second, F.col("term")))).alias("e"),
-    )
+    own = F.struct(F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("sha"), F.md5("text").alias("plain"), F.md5("edited").alias("edited_plain"))
+    whole = whole.withColumn("copy", F.xxhash64("text"))
+    # what a text has but once stays off the rows of its words
+    owns = whole.select("key", "copy", own.alias("own")).groupBy("key", "copy").agg(F.first("own").alias("own"), F.count("*").alias("times"))
+    split = whole.select("key", "copy", _words(F.col("shared")).alias("both"), _words(rest("text")).alias("first"), _words(rest("edited")).alias("second"))
+    sized = split.select("key", "copy", F.size("both").alias("upto"), (F.size("both") + F.size("first")).alias("then"), F.posexplode(F.concat("both", "first", "second")).alias("at", "word"))
+    entries = sized.select("key", "copy", "upto", "then", "at", F.xxhash64("word").alias("term"))
+    entries = entries.join(F.broadcast(words) if words.count() <= BROADCAST_TERMS else words, "term")
+    spread = entries.withColumn("slot", F.explode(_slots(F.col("term"))))
+    first = F.col("at") < F.col("then")
+    second = (F.col("at") < F.col("upto")) | (F.col("at") >= F.col("then"))
+    by_slot = spread.groupBy("key", "copy", "slot").agg(_hash_of(F.collect_set(F.when(first, F.col("term")))).alias("h"), _hash_of(F.collect_set(F.when(second, F.col("term")))).alias("e"))
     slots = range(len(LEVELS) * SUBSETS)
-    hashed = by_slot.groupBy("key", "copy").agg(
-        F.first("own", ignorenulls=True).alias("own"),
-        F.sum("times").alias("times"),
-        F.array(*[F.max(F.when(F.col("slot") == s, F.col("h"))) for s in slots]).alias("hashes"),
-        F.array(*[F.max(F.when(F.col("slot") == s, F.col("e"))) for s in slots]).alias("edited_hashes"),
-    )
-    hashed = hashed.select("key", "times", F.col("own.n_chars").alias("n_chars"), F.col("own.sha").alias("sha"), "own", "hashes", "edited_hashes")
+    of_slot = lambda c: F.array(*[F.max(F.when(F.col("slot") == s, F.col(c))) for s in slots])
+    hashed = by_slot.groupBy("key", "copy").agg(of_slot("h").alias("hashes"), of_slot("e").alias("edited_hashes"))
+    none = F.array(*[F.lit(None).cast("long") for _ in slots])
+    hashed = owns.join(hashed, ["key", "copy"], "left").select("key", "times", F.col("own.n_chars").alias("n_chars"), F.col("own.sha").alias("sha"), "own", F.coalesce("hashes", none).alias("hashes"), F.coalesce("edited_hashes", none).alias("edited_hashes"))
     printed = hashed.withColumn("plain", F.when(_blank(F.col("hashes")), F.col("own.plain"))).withColumn("edited_plain", F.when(_blank(F.col("edited_hashes")), F.col("own.edited_plain"))).drop("own")
     printed = materialise(printed, "fingerprints")
     discard(words)
