@@ -23,8 +23,8 @@ from .storage import discard, free_name, materialise
 from .textscan import Powers, chunks, raw_bytes, scan, space_words
 from .toxicity import is_held_out, labelled_sample
 
-#: Labelled rows that the moments are taken of, about, at most.
-FIT_ROWS = 20_000
+#: Labelled rows that the moments are taken of, and bytes of their texts, at most.
+FIT_ROWS, FIT_BYTES = 20_000, 128 << 20
 SHRINKAGE = 0.05
 #: Added to the variances, which some statistics have hardly any of.
 FLOOR = 5e-3
@@ -171,7 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     A class without rows has the other's mean and covariance and the prior of half a
     row; without any labelled row every score is one half.
     """
-    sample = materialise(labelled_sample(docs, labels, label, most).mapInArrow(_measure, "label int, " + ", ".join(f"{n} double" for n in NAMES)), "statistics")
+    texts = labelled_sample(docs, labels, label, most, FIT_BYTES)
+    sample = materialise(texts.mapInArrow(_measure, "label int, " + ", ".join(f"{n} double" for n in NAMES)), "statistics")
+    discard(texts)
     k, found = len(NAMES), _moments(sample)
     none = next(iter(found.values()), (0.0, np.zeros(k), np.eye(k)))
     total = sum(n for n, _, _ in found.values()) + 1
@@ -194,8 +196,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
     Needs ``doc_id`` and ``text``; other columns are ignored, and ids, languages,
     sources and labels are no inputs of a score. Null and empty texts are scored by
-    the statistics of no words; repeated rows are scored each; an empty table gives
-    no rows.
+    the statistics of no words, very long ones whole; a null doc_id stays null and is not
+    held out; repeated rows are scored each; an empty table gives no rows.
     """
     model = fit(docs, labels)
     shaped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -211,7 +213,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, whole, whose text is judged of good quality."""
+    """The rows of ``docs``, whole, whose text is judged of good quality.
+
+    A row's text alone decides, so repeated rows share their fate; null and empty texts are
+    judged by the statistics of no words, very long ones whole. Other columns are kept,
+    whatever their names; an empty table gives no rows.
+    """
     model, names = fit(docs, labels), docs.columns
     extra = free_name(names, "_text")
     rows = docs.withColumn(extra, F.col("text").cast("string"))

@@ -16,17 +16,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import free_name
+from .storage import discard, free_name, materialise
 from .textscan import U64, Powers, Words, chunks, letter_words, mix, scan
 
 BITS = 21
 STEMS = (4, 5, 6, 7, 8)
-#: Labelled rows that the model is fitted on, at most (a few more by chance of the hash).
-FIT_ROWS = 10_000
+#: Labelled rows that the model is fitted on, and bytes of their texts, at most.
+FIT_ROWS, FIT_BYTES = 10_000, 64 << 20
 
 _PAIR, _SKIP = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 
@@ -45,18 +45,30 @@ def is_held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """``label, text`` of about ``most`` learnable labelled rows at most, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = FIT_BYTES) -> DataFrame:
+    """``doc_id, label, text`` of at most ``most`` learnable labelled ids and ``most_bytes`` of text.
 
-    Labels outside 0 and 1, null ids and held-out rows are left out; an id labelled
-    more than once counts by its largest label. The ids' table has a proven bound and
-    is broadcast.
+    Ids are taken in the order of a hash. Labels outside 0 and 1, null ids and held-out
+    rows are left out; an id labelled more than once counts by its largest label, and of
+    an id's texts the one with the least hash is read. The result is a scratch table.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~is_held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    place = F.xxhash64("doc_id")
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~is_held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     n = usable.count()
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = usable if n <= most else usable.where(place < most / n)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    share = F.pmod(place, F.lit(1 << 20)) / F.lit(float(1 << 20))
+    near = usable if n <= most else usable.where(share < 1.2 * most / n)  # so that few rows are ordered
+    chosen = near.orderBy(share, place).limit(most)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(chosen), "doc_id")
+    sample = materialise(held.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
+    sized = sample.select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    if (sized.agg(F.sum("bytes")).first()[0] or 0) <= most_bytes:
+        return sample
+    upto = Window.orderBy(share, place).rowsBetween(Window.unboundedPreceding, 0)  # of at most ``most`` rows
+    within = sized.withColumn("upto", F.sum("bytes").over(upto)).where(F.col("upto") <= most_bytes).select("doc_id")
+    bounded = materialise(sample.join(F.broadcast(within), "doc_id", "left_semi"), "sample")
+    discard(sample)
+    return bounded
 
 
 def features(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -146,12 +158,14 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FIT_ROWS, bits: int = BITS, settings: Settings = Settings()) -> Model:
-    """Fit on a sample of labelled rows of documented size, in one task.
+    """Fit on a sample of labelled rows of documented size and bytes, in one task.
 
     What the driver gets are the weights that L1 leaves, at most ``2**bits`` of them.
     """
-    found = labelled_sample(docs, labels, label, most).mapInArrow(_featurise(bits), "label int, features array<int>")
+    sample = labelled_sample(docs, labels, label, most)
+    found = sample.mapInArrow(_featurise(bits), "label int, features array<int>")
     rows = found.repartition(1).mapInArrow(_trainer(bits, settings), "coordinate long, weight double").toPandas()
+    discard(sample)
     bias = float(rows.loc[rows.coordinate < 0, "weight"].sum())
     rows = rows[rows.coordinate >= 0].sort_values("coordinate")
     return Model(bits, rows.coordinate.to_numpy(np.int64), rows.weight.to_numpy(np.float64), bias)
@@ -197,7 +211,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     Labels are learnt from rows whose held-out test is false; ids, languages, sources
-    and labels are no inputs of a score.
+    and labels are no inputs of a score. Null and empty texts are scored as texts without
+    features, a null doc_id stays null and is not held out, repeated rows are scored each,
+    a very long text is scored whole. Other columns are ignored; an empty table gives no
+    rows, and without labels every score is one half.
     """
     model = fit(docs, labels)
     scored = score_documents(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model)
@@ -205,7 +222,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, whole, whose text is not judged toxic."""
+    """The rows of ``docs``, whole, whose text is not judged toxic.
+
+    A row's text alone decides, so repeated rows share their fate; null and empty texts are
+    judged as texts without features, very long ones whole. Other columns are kept,
+    whatever their names; an empty table gives no rows.
+    """
     model, names = fit(docs, labels), docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = free_name(names, "_text")
