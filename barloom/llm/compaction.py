@@ -92,13 +92,25 @@ class ShardStore:
         none = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
         options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = none
+        target = self._path(self._at(after.version))
         try:
-            self._context.rename(hidden, self._path(self._at(after.version)), options)
+            self._context.rename(hidden, target, options)
         except Exception as error:
             self._fs.delete(hidden, False)
-            raise ConcurrentCommit(f"version {after.version} is there already") from error
+            if self._fs.exists(target):
+                raise ConcurrentCommit(f"version {after.version} is there already") from error
+            raise
         return after
 
+    def _add(self, shard: Shard) -> Manifest:
+        """Commit a shard on top of whatever is the latest version."""
+        while True:
+            now = self.manifest()
+            try:
+                return self.commit(now, (*now.shards, shard))
+            except ConcurrentCommit:  # another writer was first: on top of what it has published
+                continue
+
     # shards
 
     def _folder(self, name: str) -> str:
@@ -129,7 +141,7 @@ class ShardStore:
             names = [f"{call}/{n}" for n in sorted(found)]
         now = self.manifest()
         for name in names:
-            now = self.commit(now, (*now.shards, self._measured(name)))
+            now = self._add(self._measured(name))
         return now
 
     def read(self, schema: T.StructType, version: int | None = None) -> DataFrame:
@@ -149,13 +161,15 @@ class ShardStore:
                 return runs[: self.fanout]
         return []
 
-    def compact(self, schema: T.StructType, keep_versions: int = 1) -> Manifest:
+    def compact(self, schema: T.StructType, keep_versions: int = 16) -> Manifest:
         """Merge full tiers, lowest first, until none is full.
 
         A merge reads its runs and packs them into files of about the target size
         without a shuffle. Runs that no manifest of the last ``keep_versions`` names
-        are deleted after the commit. A run that is merged moves at least one tier up,
-        so a row is written as often as there are tiers.
+        are deleted after the commit, so a reader may hold a list for so many commits.
+        A run that is merged moves at least one tier up, so a row is written as often as
+        there are tiers. If another writer commits during a merge, the merge is
+        published on top of it, unless it has taken one of the runs.
         """
         now = self.manifest()
         while runs := self._full_tier(now):
@@ -165,11 +179,23 @@ class ShardStore:
             merged.coalesce(max(1, round(size / self.target_file))).write.parquet(self._folder(name))
             made = self._measured(name)
             made = replace(made, tier=max(made.tier, runs[0].tier + 1))
-            gone = {s.name for s in runs}
-            now = self.commit(now, (*(s for s in now.shards if s.name not in gone), made))
+            now = self._replace(runs, made)
             self.vacuum(keep_versions)
         return now
 
+    def _replace(self, runs: list[Shard], made: Shard) -> Manifest:
+        """Commit ``made`` in place of ``runs``; where one of them is gone, drop ``made``."""
+        gone = {s.name for s in runs}
+        while True:
+            now = self.manifest()
+            if not gone <= {s.name for s in now.shards}:
+                self._fs.delete(self._path(self._folder(made.name)), True)
+                return now
+            try:
+                return self.commit(now, (*(s for s in now.shards if s.name not in gone), made))
+            except ConcurrentCommit:
+                continue
+
     def vacuum(self, keep_versions: int = 1) -> None:
         """Delete manifests but the last few, and the shards that only they name."""
         known = self.versions()
@@ -185,14 +211,13 @@ class ShardStore:
 def compacted(docs: DataFrame, root: str, arrivals: int = 16, fanout: int = FANOUT, target_file: int = TARGET_FILE) -> DataFrame:
     """Append a table in arrivals and compact after; the rows as read through the last manifest.
 
-    Arrivals are dealt by a hash of the whole row's id, so a hot source or id range
-    does not make one arrival large. All columns are kept as they are; nulls, empty
-    and repeated rows are stored like any other; an empty table gives no rows.
+    Rows are dealt to arrivals in turn, so no hot source, id or group of copies makes one
+    arrival large. All columns are kept as they are, whatever their names; nulls, empty,
+    very long and repeated rows are stored like any other; an empty table gives no rows.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, root, fanout, target_file)
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns[:1]])
     name = free_name(docs.columns, "_arrival")
-    store.append(docs.withColumn(name, F.pmod(key, F.lit(arrivals))), name)
-    store.compact(docs.schema)
+    store.append(docs.withColumn(name, F.pmod(F.monotonically_increasing_id(), F.lit(arrivals))), name)
+    store.compact(docs.schema, keep_versions=1)  # nobody else reads this store
     return store.read(docs.schema)
