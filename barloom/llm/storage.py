@@ -6,26 +6,28 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder (local tests).
-LOCAL_FALLBACK = "file:///tmp/checkpoints/barloom"
-
-
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a session that runs in one local process has its own folder under
+    the warehouse; a cluster's executors would not share one, so there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    spark.sparkContext.setCheckpointDir(LOCAL_FALLBACK)
-    return LOCAL_FALLBACK
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/barloom-scratch"
 
 
-#: Rows of an Arrow batch: of long texts, a few megabytes instead of the many of the default.
-BATCH_ROWS = "500"
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Have Spark hand texts to Python workers in small batches, so that executors need little memory beside their heap."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Have Spark hand texts to Python workers in batches of a few megabytes, so that executors
+    need little memory beside their heap. Batches of short rows stay as they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def free_name(taken: list[str], wish: str) -> str:
