@@ -138,7 +138,8 @@ def test_near_duplicates_match_brute_force(spark, sf_dir, percent):
 def test_crowded_near_copies(spark, monkeypatch, percent):
     """A large group of near copies goes through the exact finish of crowded buckets."""
     monkeypatch.setattr(minhash, "LISTED", 8)
-    monkeypatch.setattr(minhash, "COMMON", 9)
+    monkeypatch.setattr(minhash.skew, "LEAST_HOT", 20)
+    monkeypatch.setattr(minhash.skew, "SHARE", 50)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -171,6 +172,51 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert minhash.near_duplicates(odd.where("false")).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    """Texts that share an id, but are not near each other, are documents of their own for the filter."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:59], "other"])
+    far = " ".join(f"v{i}" for i in range(60))
+    alone = " ".join(f"u{i}" for i in range(60))
+    rows = [(1, " ".join(base), "a"), (1, far, "b"), (1, near, "c"), (1, far, "b"), (2, near, "d"), (2, alone, "e"), (3, far + " more", "f"), (4, "", "g"), (4, None, "h"), (5, alone, "i"), (5, alone, "j"), (6, "single words", "k"), (6, "single words", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _maybe string")
+    own = [(i, shingles(t)) for i, t, _ in rows]
+    for parts in (1, 7):
+        kept = [tuple(r) for r in minhash.keep_one(docs.repartition(parts)).collect()]
+        assert len(kept) == len([r for r in kept if r[1]]) + 2
+        assert Counter(kept) - Counter(rows) == Counter()
+        left = [(i, shingles(t)) for i, t, _ in kept if t]
+        assert sorted(i for i, _ in left) == [1, 1, 2, 6]
+        for k, (_, a) in enumerate(left):  # no two near each other, and each row that went is near one that stays
+            assert all(10 * len(a & b) < 8 * len(a | b) for _, b in left[k + 1 :])
+        assert all(any(10 * len(a & b) >= 8 * len(a | b) for _, b in left) for _, a in own if a)
+        assert {r[2] for r in kept if r[0] == 2} == {"e"}
+    got = minhash.near_duplicates(docs, 80).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (6, 6)}
+
+
+def test_mixed_template_pages(spark, monkeypatch):
+    """Pages mixed from common lines, most alike in part: exact, with salted keys."""
+    monkeypatch.setattr(minhash, "LISTED", 6)
+    monkeypatch.setattr(minhash.skew, "LEAST_HOT", 10)
+    monkeypatch.setattr(minhash.skew, "SHARE", 100)
+    rng = random.Random(9)
+    lines = [" ".join(f"l{i}x{j}" for j in range(14)) for i in range(14)]
+    rows = []
+    for i in range(160):
+        own = sorted(rng.sample(range(14), rng.choice([7, 8, 9])))
+        rows.append((i, " ".join([*(lines[k] for k in own), *(f"own{i}y{j}" for j in range(rng.choice([0, 4, 12])))])))
+    own = {i: shingles(t) for i, t in rows}
+    u = Union(own)
+    for a in own:
+        for b in own:
+            both = len(own[a] & own[b])
+            if a < b and 100 * both >= 80 * (len(own[a]) + len(own[b]) - both):
+                u.join(a, b)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()}
+    assert got == {i: u.find(i) for i in own}
+
+
 # classifiers
 
 
@@ -202,13 +248,88 @@ def test_classifiers_on_odd_rows(spark, odd, module, keep):
     assert module.classify(odd, labels.where("false")).where("score between 0 and 1").count() == odd.count()
 
 
-def test_ftrl_finds_the_sign_of_a_feature():
+def test_ftrl_matches_plain_python():
+    """The same passes over dictionaries, one coordinate at a time."""
     rng = np.random.default_rng(0)
     data = [(float(y), np.array(sorted({int(y) + 10, *rng.integers(20, 200, 5).tolist()}))) for y in rng.integers(0, 2, 400)]
-    where, weights, _ = toxicity.ftrl(data, 8, toxicity.Settings(l1=1.0))
-    found = dict(zip(where.tolist(), weights.tolist(), strict=True))
-    assert found[11] > 0.5 and found.get(10, 0) <= 0
-    assert len(found) < 150
+    s = toxicity.Settings(l1=1.0)
+    z, n, zb, nb = defaultdict(float), defaultdict(float), 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= s.l1 else -(z[i] - (s.l1 if z[i] > 0 else -s.l1)) / ((s.beta + n[i] ** 0.5) / s.alpha + s.l2)
+    order = np.random.default_rng(7)
+    for _ in range(s.epochs):
+        for k in order.permutation(len(data)).tolist():
+            y, x = data[k]
+            w, bias = {i: weight(i) for i in x.tolist()}, -zb / ((s.beta + nb**0.5) / s.alpha)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + bias))) - y
+            for i, wi in w.items():
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / s.alpha
+                z[i] += g - sigma * wi
+                n[i] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / s.alpha * bias
+            nb += g * g
+    where, weights, bias = toxicity.ftrl(data, 8, s)
+    want = {i: weight(i) for i in z if weight(i)}
+    assert set(where.tolist()) == set(want) and len(want) < 150 and want[11] > 0.5
+    assert weights == pytest.approx([want[i] for i in where.tolist()], abs=1e-9)
+    assert bias == pytest.approx(-zb / ((s.beta + nb**0.5) / s.alpha))
+
+
+def test_features_match_plain_python():
+    """Coordinates are equal exactly where words, pairs, skips and stems are."""
+    rng = random.Random(4)
+    sample = [" ".join(rng.choice(["damned", "damnable", "fox", "é", "x1"]) for _ in range(rng.randrange(7))) for _ in range(60)]
+    streams = toxicity.features(textscan.scan(pa.array(sample, pa.large_string()), textscan.letter_words(), textscan.Powers()))
+    got = [set() for _ in sample]
+    for text, hashes in streams:
+        for t, h in zip(text.tolist(), hashes.tolist(), strict=True):
+            got[t].add(h)
+    want = []
+    for t in sample:
+        w = t.split()
+        stems = {("stem", x.encode()[:n], n) for x in w for n in toxicity.STEMS if len(x.encode()) > n}
+        want.append({("word", x) for x in w} | set(zip(w, w[1:], strict=False)) | {(a, None, b) for a, b in zip(w, w[2:], strict=False)} | stems)
+    assert [len(x) for x in got] == [len(x) for x in want]
+    for i, a in enumerate(want):
+        for j, b in enumerate(want):
+            assert len(a & b) == len(got[i] & got[j])
+
+
+def test_scores_of_the_discriminant_match_plain_formulas(spark, sf_dir):
+    from barloom.llm.storage import discard
+
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    sample = toxicity.labelled_sample(docs, labels, "quality", quality.FIT_ROWS)
+    rows = sample.collect()
+    discard(sample)
+    measured = quality.statistics(pa.array([r.text for r in rows], pa.large_string()), textscan.Powers(), textscan.space_words())
+    y, k = np.array([r.label for r in rows]), len(quality.NAMES)
+    logs = []
+    for c in (0, 1):
+        x = measured[y == c]
+        cov = np.cov(x.T, bias=True)
+        cov = (1 - quality.SHRINKAGE) * cov + quality.SHRINKAGE * np.diag(np.diag(cov)) + quality.FLOOR * np.eye(k)
+        apart = measured - x.mean(axis=0)
+        prior = np.log((len(x) + 0.5) / (len(y) + 1))
+        logs.append(prior - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", apart, np.linalg.inv(cov), apart))
+    model = quality.fit(docs, labels)
+    want = np.clip(logs[1] - logs[0], -quality.EXTREME, quality.EXTREME)
+    assert model.difference(measured) == pytest.approx(want, abs=1e-6)
+    # the calibration is the best logistic fit of the differences in tenths: its gradient vanishes
+    x = np.round(want * 10) / 10
+    off = 1 / (1 + np.exp(-(model.slope * x + model.offset))) - y
+    assert abs((off * x).sum() + 1e-3 * model.slope) < 1e-3 and abs(off.sum() + 1e-3 * model.offset) < 1e-3
+
+
+def test_the_sample_is_bounded(spark):
+    """Rows that repeat a labelled id give one row, and texts a bounded number of bytes."""
+    docs = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).unionAll(spark.range(100, 400).select(F.col("id"), F.repeat(F.lit("word "), 200)))
+    labels = spark.range(0, 400).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    for most, size in ((100, 1 << 20), (10_000, 50_000), (10_000, 1 << 20)):
+        rows = toxicity.labelled_sample(docs, labels, "toxic", most, size).collect()
+        assert len(rows) == len({r.doc_id for r in rows}) <= most and sum(len(r.text) for r in rows) <= size
+        assert not any(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
+        assert sorted(map(tuple, toxicity.labelled_sample(docs.repartition(9), labels, "toxic", most, size).collect())) == sorted(map(tuple, rows))
+    assert len(rows) > 200
 
 
 # archives
@@ -228,8 +349,11 @@ def test_round_trip_of_archives(spark, sf_dir):
     for i, b in rows:
         again = len(b) >= 1000 and largest.get(b) is not None and largest[b] != i
         want[(i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", largest[b] if again else None, True, True)] += 1
-    got = warc.archive_round_trip(pages).drop("segments").collect()
-    assert Counter(map(tuple, got)) == want
+    for name in ("payload", "digest", "kept_id", "refers_to", "maybe", "block", "row_key"):
+        pages = pages.withColumn(name, F.lit("clash"))
+    got = warc.archive_round_trip(pages)
+    assert got.where("segments > 1").count() > got.count() / 2
+    assert Counter(map(tuple, got.drop("segments").collect())) == want
     assert warc.archive_round_trip(pages.where("false")).count() == 0
 
 
@@ -248,37 +372,104 @@ def test_lost_and_reordered_segments(spark):
     assert not twice.length_ok
 
 
+def test_revisits_are_compared_with_their_response(spark, monkeypatch):
+    monkeypatch.setattr(warc.skew, "LEAST_HOT", 2)
+    page = spark.createDataFrame([(i, "u", "abc" * 1000) for i in range(9)] + [(20, "v", "x" * 1500), (21, "v", "x" * 1500)], "page_id long, url string, html string")
+    path = scratch_path(spark, "warctest")
+    warc.write_archives(warc.plan_revisits(page.select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))), path)
+    records = warc.reassemble(warc.read_segments(spark, path)).persist()
+    good = {r.page_id: r.digest_ok for r in warc.check_revisits(records).collect()}
+    assert len(good) == 11 and all(good.values())
+    lost = {r.page_id: r.digest_ok for r in warc.check_revisits(records.where("page_id <> 8")).collect()}
+    assert [i for i, ok in lost.items() if ok] and not any(lost[i] for i in range(8)) and lost[20] and lost[21]
+    other = records.withColumn("payload_bytes", F.when(F.col("page_id") == 21, 7).otherwise(F.col("payload_bytes")))
+    assert [r.page_id for r in warc.check_revisits(other).where("not digest_ok").collect()] == [20]
+
+
+def test_archives_of_many_members():
+    import gzip
+
+    record = lambda k: b"WARC/1.1\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (k, k) + b"z" * k + b"\r\n\r\n"
+    whole = [record(k) for k in (0, 5, 70_000, 3)]
+    for blob in (b"".join(whole), gzip.compress(b"".join(whole)), b"".join(map(gzip.compress, whole))):
+        assert [(h["warc-record-id"], len(b)) for h, b in warc._records(pa.py_buffer(blob))] == [(f"<{k}>", k) for k in (0, 5, 70_000, 3)]
+
+
 # licenses
 
 
+def license_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def brute_licenses(text, templates):
+    """Every window of every template, counted word by word: labels and score."""
+    w, hits = license_words(text), []
+    for t, (label, must, body) in enumerate(templates):
+        tokens, reach = set(license_words(body)), len(license_words(body)) * 5 // 4
+        own = []
+        for s in range(len(w)):
+            seen, end = set(), s
+            if w[s] not in tokens:
+                continue
+            for k in range(s, min(s + reach, len(w))):
+                if w[k] in tokens and w[k] not in seen:
+                    seen.add(w[k])
+                    end = k + 1
+            if 10 * len(seen) >= 8 * len(tokens) and set(license_words(must)) <= seen:
+                own.append((-len(seen), end - s, s, end))
+        taken = []
+        for n, size, s, end in sorted(own):
+            if all(end <= a or z <= s for _, _, _, a, z in taken):
+                taken.append((-n, -n / len(tokens), label, s, end))
+        hits += taken
+    better = lambda y, x: (y[0], y[1]) > (x[0], x[1]) and 2 * (min(y[4], x[4]) - max(y[3], x[3])) >= x[4] - x[3]
+    kept = [x for x in hits if not any(better(y, x) for y in hits)]
+    return {x[2] for x in kept}, max((x[1] for x in kept), default=0.0)
+
+
 def test_licenses_match_brute_force(spark, sf_dir, odd):
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    cut = lambda t: word.findall((t or "").translate(LOWER))
-    templates = [(label, set(cut(t))) for label, t in licenses.TEMPLATES]
-    df = documents(spark, sf_dir).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
-    own = [(r.doc_id, r.text) for r in df.collect()]
+    clash = odd.select("doc_id", "text", F.lit("x").alias("labels"), F.lit(1).alias("n_words"))
+    rng = random.Random(12)
+    made = []
+    for k in range(60):  # notices that overlap, are cut, shuffled or mixed with text
+        parts = [license_words(rng.choice(licenses.TEMPLATES)[2]) for _ in range(rng.choice([1, 1, 2]))]
+        words = [x for p in parts for x in (p if rng.random() < 0.5 else p[rng.randrange(3) : len(p) - rng.randrange(1 + len(p) // 4)])]
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = f"other{rng.randrange(9)}"
+        made.append((5000 + k, " ".join([f"start{k}", *words, "and the rest is under the license"])))
+    df = documents(spark, sf_dir).select("doc_id", "text").unionAll(clash.select("doc_id", "text")).unionAll(spark.createDataFrame(made, "doc_id long, text string"))
     want = Counter()
-    for i, t in own:
-        w = cut(t)
+    for r in df.collect():
+        w = license_words(r.text)
         at = [(k, label) for p, label in licenses.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
-        best, found = 0.0, {label for _, label in at}
-        for line in (t or "").split("\n"):
-            have = set(cut(line))
-            for label, tokens in templates:
-                n = len(have & tokens)
-                if 10 * n >= 8 * len(tokens):
-                    best, found = max(best, n / len(tokens)), found | {label}
-        base = ",".join(sorted({label for _, label in at}))
-        want[(i, len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, base, ",".join(sorted(found)), best)] += 1
+        found, best = brute_licenses(r.text, licenses.TEMPLATES)
+        base = {label for _, label in at}
+        want[(r.doc_id, len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted(base)), ",".join(sorted(base | found)), best)] += 1
     assert Counter(tuple(r) for r in licenses.scan_licenses(df).drop("n_blocks").collect()) == want
+    assert Counter(licenses.scan_licenses(clash).collect()) == Counter(licenses.scan_licenses(odd).collect())
     assert licenses.scan_licenses(odd.where("false")).count() == 0
 
 
-def test_partial_templates_are_found(spark):
-    t = dict((label, text) for label, text in licenses.TEMPLATES)["gpl"].split()
-    rows = [(1, " ".join(t[: int(len(t) * 0.95)])), (2, " ".join(t[: len(t) // 3])), (3, " ".join(reversed(t)))]
-    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert "gpl" in got[1].labels and got[1].score >= 0.8 and got[2].score == 0 and got[3].score == 1
+def test_labels_of_notices(spark):
+    """Every notice wrapped and commented out, and texts that only resemble one."""
+    import textwrap
+
+    rows, want = [], {}
+    for label, _, body in licenses.TEMPLATES:
+        for width, mark in ((72, "# "), (80, " * "), (9999, "")):
+            want[len(rows)] = {label}
+            rows.append(f"int x = 1;\n{textwrap.indent(textwrap.fill(' '.join(body.split()), width), mark)}\n\nint main() {{ return x; }}")
+    for text, labels in (
+        ("Released under the Apache License.", {"apache"}),
+        ("The film was released under the license of the studio and later sold", set()),
+        ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", {"mit", "apache", "apache-2.0"}),
+        ("the mit of software is a permission granted by any person to a copy of the person", set()),
+    ):
+        want[len(rows)] = labels
+        rows.append(text)
+    got = {r.doc_id: set(r.labels.split(",")) - {""} - ({"mit", "apache", "gpl"} - want[r.doc_id] if want[r.doc_id] else set()) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == want
 
 
 # fingerprints
@@ -302,6 +493,35 @@ def test_fingerprints(spark, sf_dir):
     assert np.mean([r.near_edited for r in got.values()]) > 10 * np.mean([r.near_next for r in got.values()])
 
 
+def test_fingerprints_match_brute_force(spark, sf_dir):
+    """Lexicon, subsets and hashes by plain Python."""
+    import regex
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    of_text = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    chain = lambda h, blob: xxhash.xxh64_intdigest(blob, seed=h)
+    of_long = lambda x, h=42: chain(h, x.to_bytes(8, "little", signed=True))
+    docs = documents(spark, sf_dir)
+    own = texts(spark, sf_dir)
+    words = {i: {of_text(w) for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w} for i, t in own.items()}
+    df, n = Counter(x for w in words.values() for x in w), len(own)
+    held = {x for x, c in df.items() if max(2, imatch.LEAST_SHARE * n) <= c <= max(2, imatch.MOST_SHARE * n)}
+    for r in imatch.fingerprints(docs).collect():
+        terms, out = words[r.doc_id] & held, []
+        for level, m in enumerate(imatch.LEVELS):
+            place = lambda x: signed(chain(of_long(x), level.to_bytes(4, "little"))) % m  # noqa: B023, E731
+            for s in range(imatch.SUBSETS):
+                chosen, h = sorted(x for x in terms if place(x) == s), 42
+                for x in chosen:
+                    h = of_long(x, h)
+                out.append(f"{h:x}" if chosen else "-")
+        if set(out) == {"-"}:
+            assert r.fingerprint == "text-" + hashlib.md5((own[r.doc_id] or "").encode()).hexdigest()
+        else:
+            assert r.fingerprint == ".".join(out)
+
+
 def test_fingerprints_of_odd_rows(spark, odd):
     got = imatch.fingerprints(odd).collect()
     assert len(got) == odd.count()
@@ -558,6 +778,29 @@ def test_tiers_versions_and_conflicts(spark):
     assert store.manifest() == after
 
 
+def test_two_writers(spark):
+    """Commits that interleave are both kept; a merge whose runs are gone is dropped."""
+    root = scratch_path(spark, "shards")
+    a, b = (compaction.ShardStore(spark, root, fanout=3, smallest=1) for _ in range(2))
+    schema = spark.range(1).schema
+    stale = a.manifest()
+    b.append(spark.range(5))
+    a.manifest = lambda version=None, first=[True]: (first.pop(), stale)[1] if first else compaction.ShardStore.manifest(a, version)  # noqa: B006
+    a.append(spark.range(5, 9))
+    assert sorted(r.id for r in b.read(schema).collect()) == list(range(9))
+    b.append(spark.range(9, 12))
+    runs = a._full_tier(b.manifest())
+    made = a._measured(runs[0].name)
+    b.compact(schema)
+    before = b.manifest()
+    spark.range(1).write.parquet(a._folder("late"))
+    assert a._replace(runs, compaction.Shard("late", made.bytes, 1, 1)) == before
+    assert sorted(r.id for r in a.read(schema).collect()) == list(range(12))
+    b._context = type("Broken", (), {"rename": lambda *_: (_ for _ in ()).throw(OSError("disk"))})()
+    with pytest.raises(OSError, match="disk"):
+        b.append(spark.range(1))
+
+
 # the pipeline and the registered queries
 
 
