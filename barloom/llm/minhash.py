@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,24 +206,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, blob in zip(_column(batch, "doc_id").to_pylist(), _column(batch, "shingles"), strict=True):
             s = np.frombuffer(blob.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), doc, np.int64))], names=["token", "doc_id"])
-
-
-def _prefixer(percent: int):
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                n, alone = len(row["shingles"]) // 8, row["alone"] or 0
-                length = n - -(-n * percent // 100) + 1
-                # of a pair the smaller set shares one of fewer tokens
-                brief = n - -(-2 * percent * n // (100 + percent)) + 1
-                shared = sorted((x["df"], x["token"]) for x in row["shared"] or ())
-                out += [(t, df, row["doc_id"], n, place, int(place < brief)) for place, (df, t) in enumerate(shared, alone) if place < length]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=["token", "df", "doc_id", "n", "place", "brief"])
-
-    return prefixes
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), doc, np.int64)), pa.array(np.full(len(s), len(s), np.int64))], names=["token", "doc_id", "n"])
 
 
 def _rare_prefix(sets: DataFrame, ids: DataFrame, percent: int, keep=materialise) -> DataFrame:
@@ -235,11 +218,17 @@ def _rare_prefix(sets: DataFrame, ids: DataFrame, percent: int, keep=materialise
     """
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = sets.join(ids, "doc_id").repartition(tasks)  # crowded documents may lie in few files
-    member = chosen.mapInArrow(_tokens, "token long, doc_id long")
+    member = chosen.mapInArrow(_tokens, "token long, doc_id long, n long")
     df = keep(member.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("owner")), "frequencies")
     alone = df.where("df = 1").groupBy(F.col("owner").alias("doc_id")).agg(F.count("*").alias("alone"))
-    shared = member.join(df.where("df > 1").select("token", "df"), "token").groupBy("doc_id").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
-    return chosen.join(alone, "doc_id", "left").join(shared, "doc_id", "left").select("doc_id", "shingles", "alone", "shared").mapInArrow(_prefixer(percent), "token long, df long, doc_id long, n long, place long, brief long")
+    own = Window.partitionBy("doc_id").orderBy("df", "token")
+    ranked = member.join(df.where("df > 1").select("token", "df"), "token").withColumn("rank", F.row_number().over(own) - 1)
+    placed = ranked.join(alone, "doc_id", "left").withColumn("place", F.col("rank") + F.coalesce("alone", F.lit(0)))
+    up = lambda numerator, divisor: F.floor((numerator + divisor - 1) / divisor)
+    n = F.col("n")
+    # of a pair the smaller set shares one of fewer tokens
+    brief = F.col("place") < n - up(2 * percent * n, 100 + percent) + 1
+    return placed.where(F.col("place") < n - up(n * percent, 100) + 1).select("token", "df", "doc_id", "n", F.col("place").cast("long").alias("place"), brief.cast("long").alias("brief"))
 
 
 def _could_link(percent: int):
