@@ -83,7 +83,7 @@ LONG = Grade(2, 48, 14, 32, 5)
 #: Starts of an item that the long grade needs.
 LONG_STARTS = 8
 #: Starts whose walks are taken together, and bytes of text that are read at once.
-BLOCK_STARTS, READ_BYTES = 1 << 15, 1 << 20
+BLOCK_STARTS, READ_BYTES = 1 << 15, 1 << 19
 #: Spaces between texts: no walk reads into the next one.
 GAP = max(SHORT.steps, LONG.steps) + 2
 

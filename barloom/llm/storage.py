@@ -21,11 +21,11 @@ def shared_root(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Have Spark hand texts to Python workers in batches of a few megabytes, so that executors
+    """Have Spark hand texts to Python workers in batches of a megabyte, so that executors
     need little memory beside their heap. Batches of short rows stay as they are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
