@@ -17,8 +17,56 @@ from .sources import export
 LIMIT = 1000
 
 
-def _rows(df, limit: int = LIMIT) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(limit).collect()]
+def _rows(df, limit: int = LIMIT) -> list[dict] | dict:
+    """Rows as dictionaries; where more than the default limit are there, the answer says where it was cut."""
+    rows = [r.asDict(recursive=True) for r in df.limit(limit + 1).collect()]
+    return {"rows": rows[:limit], "cut_at": limit} if limit == LIMIT and len(rows) > limit else rows[:limit]
+
+
+def _ledger(e, a):
+    from .plans.runs import Ledger
+
+    return Ledger(e.spark, a.ledger or f"{a.store}_runs")
+
+
+def _kept(e, a, kind: str, answer):
+    """The answer, saved as a run of the ledger if that was asked for."""
+    if a.save:
+        ledger = _ledger(e, a)
+        run = ledger.start(kind, a.strategy, [a.symbol] if a.symbol else [], {"timeframe": a.timeframe, "objective": a.objective, "params": a.params, "method": a.method, "iterations": a.iterations, "seed": a.seed})
+        ledger.finish(run, "completed", {"answer": answer})
+        return {"run_id": run, "answer": answer}
+    return answer
+
+
+def runs(e, a):
+    return _rows(_ledger(e, a).listed(None, None, a.top).drop("statistics"))
+
+
+def run_show(e, a):
+    """A saved run, with its answer; written to a file if ``--output`` is given."""
+    from pyspark.sql import functions as F
+
+    found = _ledger(e, a).latest().where(F.col("run_id") == a.run).first()
+    if found is None:
+        raise LookupError(f"no run {a.run}")
+    row = found.asDict() | {"statistics": json.loads(found["statistics"] or "null")}
+    if a.output:
+        with open(a.output, "w", encoding="utf-8") as out:
+            json.dump(row, out)
+        return {"written": a.output}
+    return row
+
+
+def backtest_debug(e, a):
+    """What a backtest would read: records, and the first and last bar of each symbol."""
+    from .operators.bars import catalogue
+
+    return _rows(catalogue(e.bars(a.symbol, a.timeframe)))
+
+
+def data_repair(e, a):
+    return _rows(e.store.repair(a.dry_run))
 
 
 def _space(a):
@@ -79,14 +127,14 @@ def backtest(e, a):
 
 
 def optimise(e, a):
-    return _rows(export.ranked_runs(e.optimise(a.strategy, _sets(a), a.symbol, a.timeframe, goal=a.objective, top=a.top), a.top))
+    return _kept(e, a, "optimisation", _rows(export.ranked_runs(e.optimise(a.strategy, _sets(a), a.symbol, a.timeframe, goal=a.objective, top=a.top), a.top)))
 
 
 def walk_forward(e, a):
     split = G.split_dates(_day(a.start), _day(a.end), a.split)
     results = G.walk_forward(e.bars(a.symbol, a.timeframe), a.strategy, _sets(a), split, a.objective, a.top)
     summary = G.walk_forward_summary(results).first().asDict()
-    return {"results": _rows(results, a.top), "summary": summary, "conclusion": G.conclusion(summary)}
+    return _kept(e, a, "walk_forward", {"results": _rows(results, a.top), "summary": summary, "conclusion": G.conclusion(summary)})
 
 
 def monte_carlo(e, a):
@@ -142,6 +190,7 @@ COMMANDS = {
     "data-list": data_list, "data-export": data_export, "data-aggregate": data_aggregate, "data-delete": data_delete, "derive": derive, "strategies": strategies, "backtest": backtest,
     "optimise": optimise, "walk-forward": walk_forward, "monte-carlo": monte_carlo, "opencross": opencross, "opencross-validate": validate,
     "data-import": data_import, "data-missing": data_missing, "data-check": data_check, "sensitivity": sensitivity, "portfolio": portfolio, "signal-evaluate": signal_evaluate,
+    "runs": runs, "run-show": run_show, "backtest-debug": backtest_debug, "data-repair": data_repair,
 }
 
 
@@ -151,7 +200,7 @@ def parser() -> argparse.ArgumentParser:
     add = p.add_argument
     add("--store", default="bars")
     add("--exchange", default="local")
-    for name in ("symbol", "execution", "inputs", "params", "start", "end", "output", "train-start", "train-end", "test-start", "test-end", "adapter"):
+    for name in ("symbol", "execution", "inputs", "params", "start", "end", "output", "train-start", "train-end", "test-start", "test-end", "adapter", "ledger", "run"):
         add(f"--{name}")
     add("--strategy", choices=sorted(REGISTRY), default="sma_crossover")
     add("--timeframe", default="1h")
@@ -165,6 +214,8 @@ def parser() -> argparse.ArgumentParser:
         add(f"--{name}", type=float, default=default)
     add("--symmetric", action="store_true")
     add("--normalised", action="store_true")
+    add("--save", action="store_true")
+    add("--dry-run", action="store_true")
     return p
 
 

@@ -45,8 +45,9 @@ class Engine:
             return bricks.atr_renko(base, options.get("period", 14))
         raise ValueError(f"no bars of kind {kind}")
 
-    def update(self, fresh: DataFrame, timeframe: str, dependents: list[str] = ()) -> None:
-        """Merge new bars, then rebuild the open and later bars of dependent timeframes."""
+    def update(self, fresh: DataFrame, timeframe: str, dependents: list[str] = (), derived: dict[str, dict] | None = None) -> None:
+        """Merge new bars, then rebuild the open and later bars of dependent timeframes, and
+        the derived bars (kind and options) of the symbols that changed."""
         fresh = fresh.withColumn("symbol", B.sanitise_symbol(F.col("symbol")))
         self.store.merge(fresh, self.exchange, timeframe)
         for target in dependents:
@@ -54,6 +55,12 @@ class Engine:
             stored = self.store.read(self.exchange, None, target, "ohlcv").select("symbol", "ts", "open", "high", "low", "close", "volume")
             self.store.merge(B.upsert_open_bar(stored, self.bars(None, timeframe), B.TIMEFRAMES[target], fresh), self.exchange, target)
 
+        for kind, options in (derived or {}).items():
+            changed = fresh.select("symbol").distinct()
+            for frame in (timeframe, *dependents):
+                made = self.derived(kind, None, frame, **options).join(changed, "symbol", "left_semi")
+                self.store.write(made, self.exchange, frame, kind)
+
     def download(self, adapter: str, symbols: list[str], timeframe: str, start: int, stop: int, limit: int = 1000) -> int:
         """Fetch what is missing of ``[start, stop]`` and merge it; gives the number of ranges fetched.
 

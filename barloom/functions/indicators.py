@@ -14,10 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scan
 from .candles import PATTERNS, patterns
 from .kernels import RECURSIVE, TYPED
 from .windowed import STAGED, WINDOWED, Series
 
+#: Prices that a source may name beside the bars' own columns.
+APPLIED = {"hlc3": "(high + low + close) / 3", "hl2": "(high + low) / 2", "ohlc4": "(open + high + low + close) / 4"}
+#: The kernels as they come; one that a user replaces is not run in blocks.
+KERNELS = dict(RECURSIVE)
 FIELDS = ("open", "high", "low", "close", "volume")
 #: What indicators with several outputs call them; others are named like the indicator.
 OUTPUTS = {
@@ -29,7 +34,7 @@ OUTPUTS = {
 
 @dataclass(frozen=True)
 class Spec:
-    """An indicator with parameters; ``name`` prefixes its outputs, ``source`` replaces the close."""
+    """An indicator with parameters; ``name`` prefixes its outputs, ``source`` (a column, or a price of :data:`APPLIED`) replaces the close."""
 
     indicator: str
     params: dict = field(default_factory=dict)
@@ -93,11 +98,23 @@ def _recursive(df: DataFrame, specs: list[Spec], keys: tuple[str, ...], order: s
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})  # not a number: null
 
 
-def compute(bars: DataFrame, specs: list[Spec], keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
-    """Bars with the outputs of all indicators, null where not yet defined."""
+def compute(bars: DataFrame, specs: list[Spec], keys: tuple[str, ...] = ("symbol",), order: str = "ts", seconds: int | None = None) -> DataFrame:
+    """Bars with the outputs of all indicators, null where not yet defined.
+
+    With ``seconds``, the least distance of two bars of a symbol, those recursions that are
+    linear run in parallel over blocks of time; the others are one task per series.
+    """
     unknown = [s.indicator for s in specs if s.indicator not in WINDOWED and s.indicator not in RECURSIVE and s.indicator not in PATTERNS]
     if unknown:
         raise KeyError(f"no such indicators: {', '.join(unknown)}")
+    applied = {s.source for s in specs if s.source in APPLIED and s.source not in bars.columns}
+    if applied:
+        projected = bars.withColumns({n: F.expr(APPLIED[n]) for n in applied})
+        return compute(projected, specs, keys, order, seconds).drop(*applied)
+    in_blocks = [s for s in specs if seconds and s.indicator in scan.SCANNED and RECURSIVE[s.indicator] is KERNELS[s.indicator] and not s.source and keys == ("symbol",) and order == "ts"]
+    if in_blocks:
+        bars = scan.indicators(bars, [(s.indicator, s.prefix, s.params.get("period")) for s in in_blocks], seconds)
+    specs = [s for s in specs if s not in in_blocks]
     recursive = [s for s in specs if s.typed or s.indicator in RECURSIVE]
     out = _recursive(bars, recursive, keys, order) if recursive else bars
     for spec in specs:

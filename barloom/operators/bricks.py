@@ -9,26 +9,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions.indicators import Spec, compute
 
 BRICKS = "symbol string, ts long, seq int, open double, high double, low double, close double, volume double"
 
 
-def heiken_ashi(bars: DataFrame) -> DataFrame:
-    """One smoothed bar per bar. Only the open is recursive; the rest is columns."""
+def heiken_ashi(bars: DataFrame, seconds: int | None = None) -> DataFrame:
+    """One smoothed bar per bar. Only the open is recursive; the rest is columns.
+
+    With ``seconds``, the least distance of two bars of a symbol, the recursion runs in
+    parallel over blocks of time; else it is one task per series.
+    """
     close = (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4
-    shaped = bars.select("symbol", "ts", "open", "high", "low", "close", "volume", close.alias("ha_close"))
+    shaped = bars.select("symbol", "ts", "open", "high", "low", "close", "volume")
 
     def opens(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ts", kind="stable").reset_index(drop=True)
-        out, c = np.empty(len(frame)), frame["ha_close"].to_numpy()
+        out, c = np.empty(len(frame)), ((frame["open"] + frame["high"] + frame["low"] + frame["close"]) / 4).to_numpy()
         value = (frame["open"].iat[0] + frame["close"].iat[0]) / 2
         for i in range(len(frame)):
             out[i] = value
             value = (value + c[i]) / 2
         return frame.assign(ha_open=out)
 
-    made = shaped.groupBy("symbol").applyInPandas(opens, "symbol string, ts long, open double, high double, low double, close double, volume double, ha_close double, ha_open double")
+    made = scan.heiken_ashi_open(shaped, seconds) if seconds else shaped.groupBy("symbol").applyInPandas(opens, "symbol string, ts long, open double, high double, low double, close double, volume double, ha_open double")
+    made = made.withColumn("ha_close", close)
     return made.select("symbol", "ts", F.col("ha_open").alias("open"), F.greatest("high", "ha_open", "ha_close").alias("high"), F.least("low", "ha_open", "ha_close").alias("low"), F.col("ha_close").alias("close"), "volume")
 
 
@@ -68,9 +74,9 @@ def renko(bars: DataFrame, size: float) -> DataFrame:
     return bars.select("symbol", "ts", "high", "low", "close", "volume", F.lit(float(size)).alias("size")).groupBy("symbol").applyInPandas(_bricks, BRICKS)
 
 
-def atr_renko(bars: DataFrame, period: int = 14) -> DataFrame:
+def atr_renko(bars: DataFrame, period: int = 14, seconds: int | None = None) -> DataFrame:
     """Bricks as large as the average true range of their bar; before it is known, as its first valid value."""
-    ranged = compute(bars, [Spec("atr", {"period": period})])
+    ranged = compute(bars, [Spec("atr", {"period": period})], seconds=seconds)
     valid = F.when(F.col("atr") > 0, F.col("atr"))
     first = ranged.where(valid.isNotNull()).groupBy("symbol").agg(F.min_by("atr", "ts").alias("_first"))
     sized = ranged.join(first, "symbol").select("symbol", "ts", "high", "low", "close", "volume", F.coalesce(valid, F.col("_first")).alias("size"))

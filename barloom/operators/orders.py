@@ -27,9 +27,9 @@ class Commission:
 
 @dataclass(frozen=True)
 class Sizing:
-    """How much of the account an order takes."""
+    """How much of the account an order takes; ``model`` may be a function of equity, price, stop and true range."""
 
-    model: str = "percent_of_equity"  # fixed_dollar, risk_based, kelly, atr_volatility
+    model: str | Callable[[float, float, float | None, float | None], float] = "percent_of_equity"  # fixed_dollar, risk_based, kelly, atr_volatility
     percent: float = 1.0
     fixed: float = 100.0
     max_leverage: float = 1.0
@@ -39,6 +39,8 @@ class Sizing:
     atr_multiplier: float = 2.0
 
     def stake(self, equity: float, price: float, stop: float | None, atr: float | None = None) -> float:
+        if callable(self.model):
+            return self.model(equity, price, stop, atr)
         if self.model == "fixed_dollar":
             return self.fixed
         if self.model == "risk_based":

@@ -29,20 +29,20 @@ def adx(bars: DataFrame, period: int = 14, threshold: float = 20.0, ma_period: i
     return df.withColumn("regime", S.ready(label, 2 * period)).drop("_adx", "_ma")
 
 
-def volatility(bars: DataFrame, period: int = 14, low: float = 0.33, high: float = 0.67) -> DataFrame:
+def volatility(bars: DataFrame, period: int = 14, low: float = 0.33, high: float = 0.67, seconds: int | None = None) -> DataFrame:
     """Low, normal or high by the average true range, cut at order statistics of the series.
 
     The cut is the value of rank ``floor(n q)``, without interpolation: ranks come from
     counts of distinct values, so no list of the series is gathered.
     """
-    df = compute(bars, [Spec("atr", {"period": period}, "_atr")])
+    df = compute(bars, [Spec("atr", {"period": period}, "_atr")], seconds=seconds)
     values = df.where("_atr is not null").groupBy("symbol", "_atr").agg(F.count("*").alias("times"))
     up_to = F.sum("times").over(Window.partitionBy("symbol").orderBy("_atr"))
     ranked = values.withColumn("upto", up_to).withColumn("n", F.sum("times").over(Window.partitionBy("symbol")))
     at = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col("_atr")))
     cuts = ranked.groupBy("symbol").agg(at(low).alias("_lo"), at(high).alias("_hi"))
     label = F.when(F.col("_atr").isNull(), None).when(F.col("_lo") == F.col("_hi"), "low_vol").when(F.col("_atr") >= F.col("_hi"), "high_vol").when(F.col("_atr") >= F.col("_lo"), "normal_vol").otherwise("low_vol")
-    return df.join(F.broadcast(cuts), "symbol", "left").withColumn("regime", label).drop("_atr", "_lo", "_hi")
+    return df.join(cuts, "symbol", "left").withColumn("regime", label).drop("_atr", "_lo", "_hi")
 
 
 def combined(bars: DataFrame, trend_period: int = 200, atr_period: int = 14, low: float = 0.33, high: float = 0.67) -> DataFrame:

@@ -51,7 +51,7 @@ def series_metrics(df: DataFrame, column: str, keys: tuple[str, ...] = ()) -> Da
 def return_ratios(df: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Sharpe and Sortino ratio of returns, not annualised; 0 where undefined."""
     r = F.col(column)
-    out = df.groupBy(*keys).agg(F.avg(r).alias("_m"), F.stddev_samp(r).alias("_s"), F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), 2))).alias("_d"), F.count(r).alias("n"))
+    out = df.groupBy(*keys).agg(F.avg(r).alias("_m"), F.stddev_samp(r).alias("_s"), F.sqrt(F.avg(F.when(r.isNotNull(), F.pow(F.least(r, F.lit(0.0)), 2)))).alias("_d"), F.count(r).alias("n"))
     ratio = lambda d: F.when((F.col("n") >= 2) & (F.col(d) > 0), F.col("_m") / F.col(d)).otherwise(0.0)
     return out.select(*keys, "n", ratio("_s").alias("sharpe"), ratio("_d").alias("sortino"))
 
@@ -127,7 +127,7 @@ def curve_ratios(curve: DataFrame, keys: tuple[str, ...], order: str, per_year:
 
     def ratios(x: Column, tag: str) -> list[Column]:
         n, sd, excess = F.count(x), F.stddev_samp(x), F.avg(x) - base
-        down = F.sqrt(F.avg(F.pow(F.least(x - base, F.lit(0.0)), 2)))
+        down = F.sqrt(F.avg(F.when(x.isNotNull(), F.pow(F.least(x - base, F.lit(0.0)), 2))))  # least() skips nulls
         good = n >= 10
         return [
             F.when(good & (sd > 1e-12), excess / sd * scale).otherwise(0.0).alias(f"{tag}sharpe_ratio"),

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import statistics as S
-from .backtest import Run, Settings, backtest, statistics
+from . import backtest as P
+from .backtest import Run, Settings
 from .strategies import REGISTRY
 
 Params = dict[str, float]
@@ -157,7 +158,7 @@ def score(stats: DataFrame, goal: Objective, min_trades: int = 1) -> DataFrame:
 
 
 def evaluate(bars: DataFrame, strategy: str, sets: list[Params], settings: Settings = Settings(), seconds: int = 3600) -> DataFrame:
-    return statistics(backtest(bars, [Run(strategy, p) for p in sets], settings), settings.capital, seconds)
+    return P.evaluate(bars, [Run(strategy, p) for p in sets], settings, seconds)
 
 
 def optimise(bars: DataFrame, strategy: str, sets: list[Params], goal: str = "sharpe_ratio", top: int = 50, settings: Settings = Settings(), seconds: int = 3600) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.indicators import Spec, compute
+from ..functions import scan
 from ..operators.opencross import SurfaceConfig, observations, surface_of
 from ..operators.statistics import correlation, order_statistic
 
@@ -91,7 +91,7 @@ def rolling_windows(seen: DataFrame, months: int = 6, step: int = 1) -> DataFram
 def compared(a: DataFrame, b: DataFrame, keys: list[str], pair: list[Column]) -> DataFrame:
     """Agreement of surfaces on common cells: mean and largest difference, and correlation (0 for fewer than 3 cells)."""
     left = a.select(*keys, F.col("probability").alias("p"), *[c for c in a.columns if c.startswith("left_")])
-    right = b.select(*keys, F.col("probability").alias("q"), *[c for c in b.columns if c.startswith("right_")])
+    right = b.select(*keys, F.col("probability").alias("q"), *[c for c in b.columns if c.startswith("right_") or c == "iteration"])
     d = F.abs(F.col("p") - F.col("q"))
     return left.join(right, keys).groupBy(*pair).agg(F.count("*").alias("cells"), F.avg(d).alias("mean_difference"), F.max(d).alias("max_difference"), F.when(F.count("*") >= 3, F.coalesce(correlation("p", "q"), F.lit(0.0))).otherwise(0.0).alias("correlation"))
 
@@ -135,15 +135,21 @@ def regime_sensitivity(bars: DataFrame, config: SurfaceConfig = SurfaceConfig(),
     return d.withColumn("_k", F.lit(1)).join(off.withColumn("_k", F.lit(1)), "_k").drop("_k").withColumn("explainable", (F.col("mean_difference") <= 0.2) & (F.col("low_offset") <= 0.3) & (F.col("high_offset") <= 0.3))
 
 
-def shuffled(bars: DataFrame, minutes: int, seed: int) -> DataFrame:
-    """Bars dealt anew within each block: the order of a hash, at the times of the block."""
-    block = (F.floor(F.col("ts") / (60 * minutes)) * 60 * minutes).cast("long")
-    b = bars.withColumn("_block", block)
+def shuffled(bars: DataFrame, minutes: int, seeds: list[int]) -> DataFrame:
+    """For each seed (column ``seed``) the bars dealt anew within each block: the order of a
+    congruential mix of seed and time, at the times of the block."""
+    a, c, m = 1103515245, 12345, 2147483648  # fixed values: steps that any SQL engine can do in 64 bits
+    b = bars.withColumn("_block", (F.floor(F.col("ts") / (60 * minutes)) * 60 * minutes).cast("long"))
     own = Window.partitionBy("symbol", "_block").orderBy("ts")
-    mixed = Window.partitionBy("symbol", "_block").orderBy(F.xxhash64(F.lit(seed), "ts"), "ts")
-    times = b.select("symbol", "_block", "ts", F.row_number().over(own).alias("_n"))
-    values = b.select("symbol", "_block", *[c for c in bars.columns if c not in ("symbol", "ts")], F.row_number().over(mixed).alias("_n"))
-    return times.join(values, ["symbol", "_block", "_n"]).select(*bars.columns)
+    placed = b.withColumn("_n", F.row_number().over(own)).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    step = lambda x: (x * a + c) % m
+    mix = step(step(step((F.pmod(F.col("ts"), F.lit(m)) + F.col("seed") * 7919) % m)))
+    order = Window.partitionBy("seed", "symbol", "_block").orderBy(mix, "ts")
+    times = Window.partitionBy("seed", "symbol", "_block").orderBy("_n")
+    mixed = placed.withColumn("_m", F.row_number().over(order))
+    # the n-th time of the block goes to the bar of place n in the mixed order
+    when = F.element_at(F.collect_list("ts").over(times.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.col("_m"))
+    return mixed.withColumn("ts", when).select("seed", *bars.columns)
 
 
 def structure(points: DataFrame) -> DataFrame:
@@ -157,14 +163,14 @@ def structure(points: DataFrame) -> DataFrame:
 
 
 def random_baseline(bars: DataFrame, config: SurfaceConfig = SurfaceConfig(), iterations: int = 10, seed: int = 1) -> DataFrame:
-    """The surface against those of bars shuffled within blocks."""
+    """The surface against those of bars shuffled within blocks; all iterations in one plan."""
     real = surface_of(observations(bars, config), config.min_samples)
-    out = None
-    for i in range(iterations):
-        fake = surface_of(observations(shuffled(bars, config.block_minutes, seed + i), config), config.min_samples)
-        one = compared(real, fake, CELL, [F.lit(i).alias("iteration")])
-        out = one if out is None else out.unionByName(one)
-    return out
+    dealt = shuffled(bars, config.block_minutes, [seed + i for i in range(iterations)])
+    # a seed's bars are a series of their own
+    apart = dealt.withColumn("symbol", F.concat_ws("|", F.col("seed").cast("string"), "symbol"))
+    seen = observations(apart, config).withColumn("iteration", F.split("symbol", r"\|")[0].cast("int") - seed)
+    fake = surface_of(seen, config.min_samples, ("iteration",))
+    return compared(real, fake, CELL, [F.col("iteration")])
 
 
 def baseline_verdict(steps: DataFrame) -> DataFrame:
@@ -245,9 +251,9 @@ def monthly(trades: DataFrame) -> DataFrame:
     return trades.groupBy(month.alias("month")).agg(F.count("*").alias("trades"), F.sum((F.col("pnl") > 0).cast("long")).alias("wins"), F.sum("pnl").alias("total_pnl"), F.avg("pnl").alias("avg_pnl"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"))
 
 
-def with_volatility(bars: DataFrame, lookback: int = 60) -> DataFrame:
-    """Bars with the volatility that a normalised surface needs."""
-    return compute(bars, [Spec("ewma_volatility", {"lookback": lookback}, "volatility")])
+def with_volatility(bars: DataFrame, lookback: int = 60, seconds: int = 60) -> DataFrame:
+    """Bars with the volatility that a normalised surface needs; ``seconds`` is the least distance of two bars."""
+    return scan.ewma_volatility(bars, lookback, seconds)
 
 
 def validate(bars: DataFrame, s: Splits, config: SurfaceConfig = SurfaceConfig(), iterations: int = 3, months: int = 6, threshold: float = 0.7) -> dict:

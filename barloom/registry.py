@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import candle_sql, loop_sql, smooth_sql
 from .functions import conditions as C
 from .functions import indicators as I
 from .functions.candles import PATTERNS
@@ -204,7 +205,7 @@ def monthly_gaps(spark, d):
 
 
 def _indicated(spark, d, specs: list[Spec]) -> DataFrame:
-    df = I.compute(event_bars(spark, d), specs)
+    df = I.compute(event_bars(spark, d), specs, seconds=3600)
     return rounded(df.drop("open", "high", "low", "close", "volume"))
 
 
@@ -353,11 +354,108 @@ def ind_macd(spark, d):
     return _indicated(spark, d, [Spec("macd")])
 
 
-@query("candles_all")
+@query("ind_directional", f"WITH {_events()}, {_NUM}, {smooth_sql.directional()} SELECT symbol, ts, {_r('adx')} AS adx, {_r('adxr')} AS adxr, {_r('dx')} AS dx, {_r('plus_di')} AS plus_di, {_r('minus_di')} AS minus_di, {_r('plus_dm')} AS plus_dm, {_r('minus_dm')} AS minus_dm FROM x")
+def ind_directional(spark, d):
+    return _indicated(spark, d, [Spec(n) for n in ("adx", "adxr", "dx", "plus_di", "minus_di", "plus_dm", "minus_dm")])
+
+
+def _chain(x: str, n: int, deep: int) -> str:
+    """Common tables ``m1`` to ``m<deep>``: means of means in columns ``e1`` and on."""
+    out, source = [], "n"
+    for k in range(1, deep + 1):
+        out.append(f"m{k} AS (SELECT *, {smooth_sql.ema(x if k == 1 else f'e{k - 1}', n, 1 + (k - 1) * (n - 1))} AS e{k} FROM {source})")
+        source = f"m{k}"
+    return ", ".join(out)
+
+
+@query("ind_ema_chains", f"WITH {_events()}, {_NUM}, {_chain('close', 5, 6)} SELECT symbol, ts, {_r('2 * e1 - e2')} AS dema, {_r('3 * e1 - 3 * e2 + e3')} AS tema, {_r(f'(e3 / lag(e3) OVER {_W} - 1) * 100', 4)} AS trix, {_r('-0.343 * e6 + 2.499 * e5 - 6.069 * e4 + 4.913 * e3')} AS t3 FROM m6")
+def ind_ema_chains(spark, d):
+    out = I.compute(event_bars(spark, d), [Spec(n, {"period": 5}) for n in ("dema", "tema", "trix", "t3")])
+    return rounded(out.select("symbol", "ts", "dema", "tema", F.round("trix", 4).alias("trix"), "t3"))
+
+
+@query(
+    "ind_wilder",
+    f"""WITH {_events()}, {_NUM}, g AS (SELECT *, greatest(close - lag(close) OVER {_W}, 0) AS up, greatest(lag(close) OVER {_W} - close, 0) AS dn, greatest(high - low, abs(high - lag(close) OVER {_W}), abs(low - lag(close) OVER {_W})) AS tr,
+      sum(CASE WHEN high > low THEN ((close - low) - (high - close)) / (high - low) * volume ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS ad FROM n),
+    w AS (SELECT *, {smooth_sql.wilder('up', 14)} AS gain, {smooth_sql.wilder('dn', 14)} AS loss, {smooth_sql.wilder('tr', 14)} AS atr, {smooth_sql.smoothed('ad', 0.5, 'first_value(ad) OVER ' + _W, 1)} AS fast, {smooth_sql.smoothed('ad', 2 / 11, 'first_value(ad) OVER ' + _W, 1)} AS slow FROM g)
+    SELECT symbol, ts, {_r('CASE WHEN gain + loss = 0 THEN 0 ELSE 100 * (gain - loss) / (gain + loss) END')} AS cmo, {_r('CASE WHEN atr IS NULL THEN NULL WHEN close <> 0 THEN atr / close * 100 ELSE 0 END', 4)} AS natr, CASE WHEN p >= 10 THEN {_r('fast - slow')} END AS adosc FROM w""",
+)
+def ind_wilder(spark, d):
+    out = I.compute(event_bars(spark, d), [Spec("cmo"), Spec("natr"), Spec("adosc")], seconds=3600)
+    return rounded(out.select("symbol", "ts", "cmo", F.round("natr", 4).alias("natr"), "adosc"))
+
+
+_ELEMENTS = ("acos", "asin", "cos", "cosh", "exp", "ln", "log10", "sinh", "tan", "tanh")
+_UNIT = "(close - min(close) OVER (PARTITION BY symbol)) / (max(close) OVER (PARTITION BY symbol) - min(close) OVER (PARTITION BY symbol)) * 0.98 + 0.01"
+
+
+@query("ind_elements", f"WITH {_events()}, u AS (SELECT symbol, ts, {_UNIT} AS x FROM bars) SELECT symbol, ts, " + ", ".join(f"{_r(f'{n}(x)')} AS {n}" for n in _ELEMENTS) + " FROM u")
+def ind_elements(spark, d):
+    """Functions of the close, brought to between 0 and 1."""
+    from pyspark.sql import Window
+
+    b, w = event_bars(spark, d), Window.partitionBy("symbol")
+    low, high = F.min("close").over(w), F.max("close").over(w)
+    scaled = b.withColumn("close", (F.col("close") - low) / (high - low) * 0.98 + 0.01)
+    return rounded(I.compute(scaled, [Spec(n) for n in _ELEMENTS]).select("symbol", "ts", *_ELEMENTS))
+
+
+_IMI = f"sum(greatest(close - open, 0)) OVER {_frame(14)}", f"sum(greatest(open - close, 0)) OVER {_frame(14)}"
+
+
+def _ulti(n: int) -> str:
+    return f"CASE WHEN sum(tr) OVER {_frame(n)} <> 0 THEN sum(bp) OVER {_frame(n)} / sum(tr) OVER {_frame(n)} ELSE 0 END"
+
+
+@query(
+    "ind_changes",
+    f"""WITH {_events()}, n AS (SELECT *, row_number() OVER {_W} AS p, lag(close, 10) OVER {_W} AS c10, greatest(lag(close) OVER {_W}, high) - least(lag(close) OVER {_W}, low) AS tr, close - least(lag(close) OVER {_W}, low) AS bp,
+      CASE WHEN high + low <> 0 THEN 4 * (high - low) / (high + low) ELSE 0 END AS width FROM bars),
+    h AS (SELECT n.symbol, n.ts, arg_max(m.p, (m.high, m.p)) AS hi, arg_max(m.p, (-m.low, m.p)) AS lo FROM n JOIN n m ON m.symbol = n.symbol AND m.p BETWEEN n.p - 14 AND n.p GROUP BY 1, 2),
+    q AS (SELECT symbol, ts, p, {_r('CASE WHEN c10 <> 0 THEN (close - c10) / c10 WHEN c10 = 0 THEN 0 END')} AS rocp, {_r('CASE WHEN c10 <> 0 THEN close / c10 WHEN c10 = 0 THEN 0 END')} AS rocr, {_r('CASE WHEN c10 <> 0 THEN close / c10 * 100 WHEN c10 = 0 THEN 0 END', 4)} AS rocr100,
+    CASE WHEN p >= 14 THEN {_r(f'CASE WHEN {_IMI[0]} + {_IMI[1]} <> 0 THEN 100 * {_IMI[0]} / ({_IMI[0]} + {_IMI[1]}) ELSE 0 END')} END AS imi, 
+    CASE WHEN p > 28 THEN {_r(f'(4 * {_ulti(7)} + 2 * {_ulti(14)} + {_ulti(28)}) * 100 / 7')} END AS ultosc,
+    CASE WHEN p >= 20 THEN {_r(f'avg(high * (1 + width)) OVER {_frame(20)}', 4)} END AS accbands_upper, CASE WHEN p >= 20 THEN {_r(f'avg(low * (1 - width)) OVER {_frame(20)}', 4)} END AS accbands_lower FROM n)
+    SELECT q.* EXCLUDE (p), CASE WHEN p > 14 THEN {_r('(h.hi - h.lo) * 100.0 / 14')} END AS aroonosc
+    FROM q JOIN h ON h.symbol = q.symbol AND h.ts = q.ts""",
+)
+def ind_changes(spark, d):
+    out = I.compute(event_bars(spark, d), [Spec(n) for n in ("rocp", "rocr", "rocr100", "imi", "aroonosc", "ultosc", "accbands")])
+    four = lambda c: F.round(c, 4).alias(c)
+    return rounded(out.select("symbol", "ts", "rocp", "rocr", four("rocr100"), "imi", "aroonosc", "ultosc", four("accbands_upper"), four("accbands_lower")))
+
+
+@query(
+    "ind_positions",
+    f"""WITH {_events()}, n AS (SELECT *, row_number() OVER {_W} AS p, CASE WHEN lag(high) OVER {_W} <> 0 THEN high / lag(high) OVER {_W} END - 1 AS ra, CASE WHEN lag(low) OVER {_W} <> 0 THEN low / lag(low) OVER {_W} END - 1 AS rb FROM bars),
+    h AS (SELECT n.symbol, n.ts, arg_max(m.p, (m.close, m.p)) AS hi, arg_max(m.p, (-m.close, m.p)) AS lo FROM n JOIN n m ON m.symbol = n.symbol AND m.p BETWEEN n.p - 29 AND n.p GROUP BY 1, 2),
+    a AS (SELECT n.symbol, n.ts, avg(m.close) AS mean FROM n JOIN n m ON m.symbol = n.symbol AND m.p BETWEEN n.p - 13 AND n.p GROUP BY 1, 2),
+    v AS (SELECT n.symbol, n.ts, avg(abs(m.close - a.mean)) AS dev FROM n JOIN a ON a.symbol = n.symbol AND a.ts = n.ts JOIN n m ON m.symbol = n.symbol AND m.p BETWEEN n.p - 13 AND n.p GROUP BY 1, 2),
+    t AS (SELECT symbol, ts, p, avg(close) OVER {_frame(5)} AS m5 FROM n)
+    SELECT n.symbol, n.ts, CASE WHEN n.p >= 30 THEN h.hi - 1 END AS maxindex, CASE WHEN n.p >= 30 THEN h.lo - 1 END AS minindex, CASE WHEN n.p >= 30 THEN {_r(f'max(close) OVER {_frame(30)}')} END AS minmax_max,
+    CASE WHEN n.p >= 14 THEN {_r('v.dev')} END AS avgdev, CASE WHEN n.p >= 14 THEN {_r(f'degrees(atan(regr_slope(close, CAST(n.p AS DOUBLE)) OVER {_frame(14).replace("symbol", "n.symbol").replace("ORDER BY ts", "ORDER BY n.ts")}))')} END AS linearreg_angle,
+    CASE WHEN n.p >= 14 THEN {_r(f'regr_intercept(close, CAST(n.p AS DOUBLE)) OVER w14 + regr_slope(close, CAST(n.p AS DOUBLE)) OVER w14 * (n.p - 13)')} END AS linearreg_intercept,
+    CASE WHEN n.p > 5 THEN {_r('CASE WHEN var_pop(ra) OVER w5 <> 0 THEN covar_pop(ra, rb) OVER w5 / var_pop(ra) OVER w5 ELSE 0 END', 4)} END AS beta, CASE WHEN n.p >= 9 THEN {_r('avg(t.m5) OVER w5')} END AS trima
+    FROM n JOIN h ON h.symbol = n.symbol AND h.ts = n.ts JOIN v ON v.symbol = n.symbol AND v.ts = n.ts JOIN t ON t.symbol = n.symbol AND t.ts = n.ts
+    WINDOW w5 AS (PARTITION BY n.symbol ORDER BY n.ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w14 AS (PARTITION BY n.symbol ORDER BY n.ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""".replace(f"max(close) OVER {_frame(30)}", "max(close) OVER (PARTITION BY n.symbol ORDER BY n.ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"),
+)
+def ind_positions(spark, d):
+    out = I.compute(event_bars(spark, d), [Spec(n) for n in ("maxindex", "minindex", "minmax", "avgdev", "linearreg_angle", "linearreg_intercept", "beta")] + [Spec("trima", {"period": 9})])
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    return rounded(out.select("symbol", "ts", whole("maxindex"), whole("minindex"), "minmax_max", "avgdev", "linearreg_angle", "linearreg_intercept", F.round("beta", 4).alias("beta"), "trima"))
+
+
+@query("candles_all", f"WITH {_LINE}, {candle_sql.candles()} SELECT symbol, ts, {candle_sql.columns(sorted(PATTERNS))} FROM k")
 def candles_all(spark, d):
-    """How often each pattern completes, per symbol."""
-    shapes = I.compute(lineitem_bars(spark, d), [Spec(n) for n in sorted(PATTERNS)])
-    return shapes.groupBy("symbol").agg(*[F.sum((F.col(n) != 0).cast("long")).alias(n) for n in sorted(PATTERNS)])
+    """Every pattern over daily bars."""
+    return I.compute(lineitem_bars(spark, d), [Spec(n) for n in sorted(PATTERNS)]).select("symbol", "ts", *sorted(PATTERNS))
+
+
+@query("candles_events", f"WITH {_events()}, {candle_sql.candles()} SELECT symbol, ts, {candle_sql.columns(sorted(PATTERNS))} FROM k")
+def candles_events(spark, d):
+    """Every pattern over hourly bars, whose shapes are wilder."""
+    return I.compute(event_bars(spark, d), [Spec(n) for n in sorted(PATTERNS)]).select("symbol", "ts", *sorted(PATTERNS))
 
 
 _CANDLE = f"c AS (SELECT *, row_number() OVER {_W} AS p, abs(close - open) AS body, high - low AS rng, CASE WHEN close >= open THEN 1 ELSE -1 END AS color, lag(open) OVER {_W} AS o1, lag(close) OVER {_W} AS c1 FROM bars)"
@@ -404,7 +502,7 @@ def conditions(spark, d):
     SELECT h.symbol, h.ts, {_r('r.ho')} AS open, {_r('greatest(h.high, r.ho, h.hc)')} AS high, {_r('least(h.low, r.ho, h.hc)')} AS low, {_r('h.hc')} AS close, {_r('h.volume')} AS volume FROM h JOIN r ON r.symbol = h.symbol AND r.p = h.p""",
 )
 def heiken_ashi(spark, d):
-    return rounded(bricks.heiken_ashi(event_bars(spark, d)))
+    return rounded(bricks.heiken_ashi(event_bars(spark, d), 3600))
 
 
 @query(
@@ -422,9 +520,22 @@ def renko(spark, d):
     return laid.groupBy("symbol", "ts", "way").agg(F.count("*").alias("bricks"), (F.round(F.max_by("close", "seq"), 4) + 0.0).alias("price"))
 
 
-@query("atr_renko")
+_BRICKS = "CASE WHEN r.way >= 0 THEN CASE WHEN floor((n.high - r.price) / n.size) >= 1 THEN floor((n.high - r.price) / n.size) WHEN floor((r.price - n.low) / n.size) >= 2 THEN -floor((r.price - n.low) / n.size) ELSE 0 END ELSE CASE WHEN floor((r.price - n.low) / n.size) >= 1 THEN -floor((r.price - n.low) / n.size) WHEN floor((n.high - r.price) / n.size) >= 2 THEN floor((n.high - r.price) / n.size) ELSE 0 END END"
+
+
+@query(
+    "atr_renko",
+    f"""WITH RECURSIVE {_events()}, {_NUM}, q0 AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER {_W}), abs(low - lag(close) OVER {_W})) AS tr FROM n), q1 AS (SELECT *, {smooth_sql.wilder('tr', 14)} AS atr FROM q0),
+    q AS MATERIALIZED (SELECT *, coalesce(CASE WHEN atr > 0 THEN atr END, first_value(CASE WHEN atr > 0 THEN atr END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS size FROM q1),
+    r AS (SELECT symbol, p, close AS price, 0 AS way, close AS before, 0::BIGINT AS made, size FROM q WHERE p = 1
+      UNION ALL SELECT n.symbol, n.p, r.price + n.size * s.k, CASE WHEN s.k > 0 THEN 1 WHEN s.k < 0 THEN -1 ELSE r.way END, r.price, CAST(abs(s.k) AS BIGINT), n.size FROM r JOIN q n ON n.symbol = r.symbol AND n.p = r.p + 1, LATERAL (SELECT {_BRICKS} AS k) s)
+    SELECT r.symbol, q.ts, CAST(r.way AS INTEGER) AS way, count(*) AS bricks, {_r('min(r.before)', 4)} AS start, {_r('min(r.price)', 4)} AS stop, {_r('min(q.volume / r.made) * count(*)', 4)} AS volume FROM r JOIN q ON q.symbol = r.symbol AND q.p = r.p, unnest(range(r.made)) WHERE r.made > 0 GROUP BY 1, 2, 3""",
+)
 def atr_renko(spark, d):
-    return rounded(bricks.atr_renko(event_bars(spark, d), 14))
+    """The bricks of each bar: how many, and where they begin and end."""
+    laid = bricks.atr_renko(event_bars(spark, d), 14, 3600).withColumn("way", F.when(F.col("close") > F.col("open"), 1).otherwise(-1))
+    four = lambda c, name: (F.round(c, 4) + 0.0).alias(name)
+    return laid.groupBy("symbol", "ts", "way").agg(F.count("*").alias("bricks"), four(F.min_by("open", "seq"), "start"), four(F.max_by("close", "seq"), "stop"), four(F.sum("volume"), "volume"))
 
 
 # Regimes
@@ -438,7 +549,10 @@ def regime_trend(spark, d):
     return regimes.trend(event_bars(spark, d), 50).select("symbol", "ts", "regime")
 
 
-@query("regime_adx")
+_SMA50X = "avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"
+
+
+@query("regime_adx", f"WITH {_events()}, {_NUM}, {smooth_sql.directional()}, y AS (SELECT *, CASE WHEN p >= 50 THEN {_SMA50X} END AS ma FROM x) SELECT symbol, ts, CASE WHEN p <= 28 OR adx IS NULL OR ma IS NULL THEN NULL WHEN adx < 20 THEN 'sideways' WHEN close > ma THEN 'bull' ELSE 'bear' END AS regime FROM y")
 def regime_adx(spark, d):
     return regimes.adx(event_bars(spark, d)).select("symbol", "ts", "regime")
 
@@ -453,10 +567,16 @@ def regime_adx(spark, d):
     SELECT n.symbol, n.ts, CASE WHEN r.atr IS NULL THEN NULL WHEN q.lo = q.hi THEN 'low_vol' WHEN r.atr >= q.hi THEN 'high_vol' WHEN r.atr >= q.lo THEN 'normal_vol' ELSE 'low_vol' END AS regime FROM n LEFT JOIN r ON r.symbol = n.symbol AND r.p = n.p LEFT JOIN q ON q.symbol = n.symbol""",
 )
 def regime_volatility(spark, d):
-    return regimes.volatility(event_bars(spark, d)).select("symbol", "ts", "regime")
+    return regimes.volatility(event_bars(spark, d), seconds=3600).select("symbol", "ts", "regime")
 
 
-@query("regime_combined")
+@query(
+    "regime_combined",
+    f"""WITH {_events()}, {_NUM}, g AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER {_W}), abs(low - lag(close) OVER {_W})) AS tr, {_SMA50} AS ma FROM n), r AS (SELECT *, {smooth_sql.wilder('tr', 14)} AS atr FROM g),
+    k AS (SELECT symbol, atr, row_number() OVER (PARTITION BY symbol ORDER BY atr) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS c FROM r WHERE atr IS NOT NULL),
+    q AS (SELECT symbol, min(atr) FILTER (WHERE i >= floor(c * 0.33)) AS lo, min(atr) FILTER (WHERE i >= floor(c * 0.67)) AS hi FROM k GROUP BY 1)
+    SELECT r.symbol, r.ts, CASE WHEN p > 51 AND atr IS NOT NULL THEN CASE WHEN close > ma THEN 'bull' ELSE 'bear' END || '_' || CASE WHEN lo = hi THEN 'low_vol' WHEN atr >= hi THEN 'high_vol' WHEN atr >= lo THEN 'normal_vol' ELSE 'low_vol' END END AS regime FROM r JOIN q ON q.symbol = r.symbol""",
+)
 def regime_combined(spark, d):
     return regimes.combined(event_bars(spark, d), 50).select("symbol", "ts", "regime")
 
@@ -488,10 +608,20 @@ def opencross_symmetric(spark, d):
     return rounded(X.surface(event_bars(spark, d, 60, True), X.SurfaceConfig(60, 0.25, 10, symmetric=True)))
 
 
-@query("opencross_normalised")
+#: Deviation of log returns so far; from place 60 on an exponential mean of their squares, seeded by the variance before.
+_EWMA = f"""r0 AS (SELECT *, row_number() OVER (ORDER BY ts) AS p, CASE WHEN close > 0 AND lag(close) OVER (ORDER BY ts) > 0 THEN ln(close / lag(close) OVER (ORDER BY ts)) ELSE 0 END AS r FROM bars),
+  bars2 AS (SELECT *, greatest(coalesce(CASE WHEN p <= 60 THEN stddev_samp(r) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) ELSE sqrt({smooth_sql.smoothed('r * r', 2 / 61, '(SELECT var_pop(r) FROM r0 WHERE p <= 60)', 60)}) END, 0), 0.001) AS volatility FROM r0)"""
+
+
+@query(
+    "opencross_normalised",
+    f"""WITH {_SEEN.split(", b AS")[0]}, {_EWMA}, b AS{_SEEN.split(", b AS")[1].split("seen AS")[0].replace("FROM bars", "FROM bars2")}
+    seen AS (SELECT rem AS minutes_remaining, CAST(floor(ln(close / bo) / greatest(volatility * sqrt(greatest(rem, 1)), 0.001) / 0.5) AS BIGINT) AS bucket, CASE WHEN abs(close - bo) < 1e-7 THEN false WHEN close > bo THEN fl < bo ELSE fh > bo END AS crossed FROM w WHERE rem > 0 AND bo > 0 AND close > 0)
+    SELECT bucket, minutes_remaining, samples, crosses, {_r('probability')} AS probability, {_CONFIDENCE} AS confidence FROM {_surface()}""",
+)
 def opencross_normalised(spark, d):
     config = X.SurfaceConfig(60, 0.5, 10, volatility_lookback=60)
-    return rounded(X.surface(V.with_volatility(event_bars(spark, d, 60, True), 60), config))
+    return rounded(X.surface(V.with_volatility(event_bars(spark, d, 60, True), 60, 60), config))
 
 
 @query("opencross_overall", f"WITH {_SEEN} SELECT CAST(sum(samples) AS BIGINT) AS samples, CAST(sum(crosses) AS BIGINT) AS crosses, {_r('sum(crosses) / sum(samples)')} AS cross_rate, count(DISTINCT bucket) AS buckets, count(*) AS cells FROM {_surface()}")
@@ -509,9 +639,9 @@ def opencross_extremes(spark, d):
     return rounded(X.extremes(X.surface(event_bars(spark, d, 60, True), CROSS)))
 
 
-@query("opencross_heatmap")
+@query("opencross_heatmap", f"WITH {_SEEN}, s AS {_surface()} SELECT bucket, " + ", ".join(f"max(CASE WHEN minutes_remaining = {k} THEN {_r('probability')} END) AS \"{k}\"" for k in range(1, 60)) + " FROM s GROUP BY 1")
 def opencross_heatmap(spark, d):
-    return rounded(X.heatmap(X.surface(event_bars(spark, d, 60, True), CROSS), 20))
+    return rounded(X.heatmap(X.surface(event_bars(spark, d, 60, True), CROSS), CROSS.block_minutes))
 
 
 @query("opencross_trimmed", f"WITH {_SEEN}, s AS {_surface()} SELECT bucket, minutes_remaining, samples FROM s WHERE abs(bucket) <= (SELECT max(abs(bucket)) FROM s WHERE probability > 0.001) + 5")
@@ -577,20 +707,55 @@ def cross_period(spark, d):
     return rounded(V.cross_period(event_bars(spark, d, 60, True), CROSS, "week"))
 
 
-@query("rolling_stability")
+_AGREE = "count(*) AS cells, round(avg(abs(p - q)), 6) + 0.0 AS mean_difference, round(max(abs(p - q)), 6) + 0.0 AS max_difference, round(CASE WHEN count(*) >= 3 AND stddev_pop(p) > 1e-12 AND stddev_pop(q) > 1e-12 THEN covar_pop(p, q) / (stddev_pop(p) * stddev_pop(q)) ELSE 0 END, 6) + 0.0 AS correlation"
+
+
+def _seen_of(bars: str, seconds: int, size: float) -> str:
+    """Common tables up to ``seen`` over bars of several symbols, as ``_SEEN`` over one."""
+    own = "PARTITION BY symbol, block ORDER BY ts"
+    return f"""b AS (SELECT *, ts // {seconds} * {seconds} AS block FROM {bars}),
+  w AS (SELECT *, first_value(open) OVER ({own}) AS bo, count(*) OVER (PARTITION BY symbol, block) - row_number() OVER ({own}) AS rem,
+    min(low) OVER ({own} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fl, max(high) OVER ({own} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fh FROM b),
+  seen AS (SELECT * EXCLUDE (rem), rem AS minutes_remaining, CAST(floor((close - bo) / bo / {size}) AS BIGINT) AS bucket,
+    CASE WHEN abs(close - bo) < 1e-7 THEN false WHEN close > bo THEN fl < bo ELSE fh > bo END AS crossed FROM w WHERE rem > 0 AND bo <> 0)"""
+
+
+@query(
+    "rolling_stability",
+    f"""WITH {_LINE}, {_seen_of('bars', 604800, 0.1)}, e AS (SELECT min(ts) AS a, max(ts) AS z FROM seen),
+    p AS (SELECT seen.*, least(floor((ts - a) / 2592000), floor((z - a - 15552000) / 2592000)) AS hi, greatest(floor((ts - a - 15552000) / 2592000) + 1, 0) AS lo FROM seen, e),
+    o AS (SELECT *, unnest(range(CAST(lo AS BIGINT), CAST(hi AS BIGINT) + 1)) AS win FROM p WHERE lo <= hi), s AS {_surface('o', 'win, ')}
+    SELECT x.win AS "window", {_AGREE.replace('p - q', 'x.probability - y.probability').replace('(p)', '(x.probability)').replace('(q)', '(y.probability)').replace('(p, q)', '(x.probability, y.probability)')} FROM s x JOIN s y ON y.win = x.win + 1 AND y.bucket = x.bucket AND y.minutes_remaining = x.minutes_remaining GROUP BY 1""",
+)
 def rolling_stability(spark, d):
     """Over daily bars of years: windows of six months by one."""
     return rounded(V.rolling_stability(lineitem_bars(spark, d), X.SurfaceConfig(7 * 1440, 0.1, 10)))
 
 
-@query("regime_sensitivity")
+@query(
+    "regime_sensitivity",
+    f"""WITH {_SEEN}, r AS (SELECT block, CASE WHEN close > 0 AND lag(close) OVER (PARTITION BY block ORDER BY ts) > 0 THEN ln(close / lag(close) OVER (PARTITION BY block ORDER BY ts)) END AS r FROM seen),
+    v AS (SELECT block, stddev_samp(r) AS v FROM r GROUP BY 1 HAVING stddev_samp(r) IS NOT NULL), c AS (SELECT v AS cut FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM v) WHERE i = least(floor(n * 0.7::DOUBLE), n - 1)),
+    g AS (SELECT block, CASE WHEN v <= 0.8 * cut THEN 'low' WHEN v >= 1.2 * cut THEN 'high' END AS regime FROM v, c), o AS (SELECT seen.*, g.regime FROM seen JOIN g ON g.block = seen.block WHERE g.regime IS NOT NULL), s AS {_surface('o', 'regime, ')},
+    d AS (SELECT {_AGREE.replace('p - q', 'x.probability - y.probability').replace('(p)', '(x.probability)').replace('(q)', '(y.probability)').replace('(p, q)', '(x.probability, y.probability)')} FROM s x JOIN s y ON x.regime = 'low' AND y.regime = 'high' AND y.bucket = x.bucket AND y.minutes_remaining = x.minutes_remaining),
+    f AS (SELECT avg(abs(probability - 0.5)) FILTER (WHERE regime = 'low') AS lo, avg(abs(probability - 0.5)) FILTER (WHERE regime = 'high') AS hi FROM s)
+    SELECT d.*, {_r('lo')} AS low_offset, {_r('hi')} AS high_offset, mean_difference <= 0.2 AND lo <= 0.3 AND hi <= 0.3 AS explainable FROM d, f""",
+)
 def regime_sensitivity(spark, d):
     return rounded(V.regime_sensitivity(event_bars(spark, d, 60, True), CROSS))
 
 
-@query("random_baseline")
+@query(
+    "random_baseline",
+    f"""WITH {_SEEN}, real AS {_surface()}, i AS (SELECT range AS iteration FROM range(10)),
+    m1 AS (SELECT i.iteration, b.*, (b.ts % 2147483648 + (i.iteration + 1) * 7919) % 2147483648 AS x FROM b, i), m2 AS (SELECT * REPLACE ((x * 1103515245 + 12345) % 2147483648 AS x) FROM m1), m3 AS (SELECT * REPLACE ((x * 1103515245 + 12345) % 2147483648 AS x) FROM m2), m4 AS (SELECT * REPLACE ((x * 1103515245 + 12345) % 2147483648 AS x) FROM m3),
+    q AS (SELECT *, row_number() OVER (PARTITION BY iteration, block ORDER BY x, ts) AS m, row_number() OVER (PARTITION BY iteration, block ORDER BY ts) AS n FROM m4),
+    f0 AS (SELECT CAST(v.iteration AS VARCHAR) AS symbol, t.ts, v.open, v.high, v.low, v.close FROM q v JOIN q t ON t.iteration = v.iteration AND t.block = v.block AND t.n = v.m),
+    {_seen_of('f0', 3600, 0.25).replace('b AS (', 'fb AS (').replace('FROM b)', 'FROM fb)').replace('w AS (', 'fw AS (').replace('FROM w ', 'FROM fw ').replace('seen AS (', 'fseen AS (')}, fake AS {_surface('fseen', 'symbol, ')}
+    SELECT CAST(y.symbol AS INTEGER) AS iteration, {_AGREE.replace('p - q', 'x.probability - y.probability').replace('(p)', '(x.probability)').replace('(q)', '(y.probability)').replace('(p, q)', '(x.probability, y.probability)')} FROM real x JOIN fake y ON y.bucket = x.bucket AND y.minutes_remaining = x.minutes_remaining GROUP BY 1""",
+)
 def random_baseline(spark, d):
-    return rounded(V.random_baseline(event_bars(spark, d, 60, True), CROSS, 2))
+    return rounded(V.random_baseline(event_bars(spark, d, 60, True), CROSS))
 
 
 @query("surface_structure", f"WITH {_SEEN}, s AS {_surface()} SELECT {_r('sum(CASE WHEN s.probability > 0 AND s.probability < 1 THEN -(s.probability * ln(s.probability) + (1 - s.probability) * ln(1 - s.probability)) ELSE 0 END)')} AS entropy, {_r('avg(abs(s.probability - b.probability))')} AS bucket_gradient, {_r('avg(abs(s.probability - m.probability))')} AS minute_gradient, count(*) AS cells FROM s LEFT JOIN s b ON b.bucket = s.bucket + 1 AND b.minutes_remaining = s.minutes_remaining LEFT JOIN s m ON m.bucket = s.bucket AND m.minutes_remaining = s.minutes_remaining + 1")
@@ -736,15 +901,31 @@ def buy_and_hold(spark, d):
 _FIVE = [P.Run(n) for n in sorted(REGISTRY)]
 
 
-@query("backtest_trades")
+_IDS = {n: P.Run(n).run_id for n in REGISTRY}
+_ALL = f"""WITH RECURSIVE {_events()}, {_NUM}, {smooth_sql.directional()}, g AS MATERIALIZED ({loop_sql.all_strategies(_IDS)}), {loop_sql.loop('g')}, {loop_sql.trades('g')}"""
+
+
+@query(
+    "backtest_trades",
+    f"""{_ALL} SELECT run AS run_id, symbol, 'long' AS direction, {_r('qty')} AS qty, {_r('entry_price')} AS entry_price, entry_ts, {_r('exit_price')} AS exit_price, exit_ts, {_r('pnl')} AS pnl, 0.0 AS commission, bars_held, {_r('mae')} AS mae, {_r('mfe')} AS mfe, exit_reason FROM t""",
+)
 def backtest_trades(spark, d):
     """All strategies with their defaults over hourly bars of every symbol."""
     return rounded(P.trades_of(P.backtest(event_bars(spark, d), _FIVE)))
 
 
-@query("backtest_statistics")
+_FIGURES = (*P._CURVE, *P._TRADES)
+_WHOLE = set(P._WHOLE)
+
+
+def _figures(source: str) -> str:
+    # yearly growth of a month's gains goes beyond what six decimals of a double can tell
+    return ", ".join(c if c in _WHOLE else f"{_r('least(cagr, 1e6)' if c == 'cagr' else c)} AS {c}" for c in _FIGURES) + f" FROM {source}"
+
+
+@query("backtest_statistics", f"{_ALL}, {loop_sql.figures()} SELECT run AS run_id, symbol, {_figures('z')}")
 def backtest_statistics(spark, d):
-    return rounded(P.statistics(P.backtest(event_bars(spark, d), _FIVE)))
+    return rounded(P.evaluate(event_bars(spark, d), _FIVE).withColumn("cagr", F.least("cagr", F.lit(1e6))))
 
 
 @query("backtest_dual")
@@ -760,23 +941,52 @@ def _grid():
     return list(G.grid(_SPACE))
 
 
-@query("optimise_grid")
+_SETS = [(P.Run("sma_crossover", x).run_id, x["fastPeriod"], x["slowPeriod"]) for x in _grid()]
+_SEARCHED = f"WITH RECURSIVE {_events()}, {_NUM}, g AS MATERIALIZED ({loop_sql.sma_grid(_SETS)}), {loop_sql.loop('g')}, {loop_sql.trades('g')}, {loop_sql.figures()}"
+
+
+@query(
+    "optimise_grid",
+    f"""{_SEARCHED} SELECT CAST(row_number() OVER (ORDER BY sharpe_ratio DESC, run) AS INTEGER) AS rank, {_r('sharpe_ratio')} AS score, substr(run, 15) AS parameters, {_r('total_return_percent')} AS total_return_percent, {_r('sharpe_ratio')} AS sharpe_ratio, {_r('sortino_ratio')} AS sortino_ratio,
+    {_r('max_drawdown_percent')} AS max_drawdown_percent, {_r('win_rate')} AS win_rate, {_r('profit_factor')} AS profit_factor, total_trades FROM z WHERE total_trades > 0 ORDER BY sharpe_ratio DESC, run, symbol LIMIT 10""",
+)
 def optimise_grid(spark, d):
     best = G.optimise(event_bars(spark, d), "sma_crossover", _grid(), top=10)
     return rounded(export.ranked_runs(best))
 
 
-@query("optimise_portfolio")
+@query(
+    "optimise_portfolio",
+    f"""{_SEARCHED}, o AS (SELECT *, 0.4 * greatest(sharpe_ratio, 0) + 0.3 * total_return_percent / greatest(max_drawdown_percent * 100, 1) + 0.2 * win_rate + 0.1 * least(total_trades / 50, 1) AS own, stddev_pop(total_return_percent) OVER (PARTITION BY run) AS spread, avg(total_return_percent) OVER (PARTITION BY run) AS mean FROM z WHERE total_trades >= 1),
+    m AS (SELECT run, avg(own) AS own, max(CASE WHEN spread > 0 THEN abs((total_return_percent - mean) / spread) ELSE 0 END) AS zz, count(*) AS n, avg(total_return_percent) AS ret, avg(sharpe_ratio) AS sharpe, avg(win_rate) AS win, CAST(sum(total_trades) AS BIGINT) AS trades FROM o GROUP BY 1)
+    SELECT run AS run_id, {_r('greatest(own * (1 - CASE WHEN n > 1 THEN greatest(0, least(0.5, 1 - 0.5 * zz)) ELSE 0 END) * n / 5, 0)')} AS score, n AS symbols, {_r('ret')} AS total_return_percent, {_r('sharpe')} AS sharpe_ratio, {_r('win')} AS win_rate, trades AS total_trades FROM m""",
+)
 def optimise_portfolio(spark, d):
     return rounded(G.portfolio(G.evaluate(event_bars(spark, d), "sma_crossover", _grid()), 5))
 
 
-@query("walk_forward")
+def _ranged(tag: str, a: int, b: int) -> str:
+    """Common tables of the search over a range of time, ending with ``z<tag>``."""
+    signals, account, closed = f"g{tag}", f"r{tag}", f"t{tag}"
+    bars = f"n{tag} AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS p FROM bars WHERE ts BETWEEN {a} AND {b})"
+    return f"{bars}, {signals} AS MATERIALIZED ({loop_sql.sma_grid(_SETS, f'n{tag}')}), {loop_sql.loop(signals, account)}, {loop_sql.trades(signals, account, closed)}, {loop_sql.figures(account, closed, f'z{tag}')}"
+
+
+_KEPT = ("total_return_percent", "sharpe_ratio", "max_drawdown_percent", "win_rate")
+
+
+@query(
+    "walk_forward",
+    f"""WITH RECURSIVE {_events()}, {_ranged('i', 1704067200, 1706054399)}, {_ranged('u', 1706054400, 1706745599)}, best AS (SELECT *, row_number() OVER (ORDER BY sharpe_ratio DESC, run, symbol) AS k FROM zi WHERE total_trades > 0)
+    SELECT b.run AS run_id, b.symbol, CAST(b.k AS INTEGER) AS rank, {_r('b.sharpe_ratio')} AS is_score, {', '.join(f"{_r(f'b.{c}')} AS is_{c}" for c in _KEPT)}, b.total_trades AS is_total_trades, {_r('o.sharpe_ratio')} AS oos_score, {', '.join(f"{_r(f'o.{c}')} AS oos_{c}" for c in _KEPT)}, o.total_trades AS oos_total_trades,
+    {_r('CASE WHEN b.sharpe_ratio <> 0 THEN (b.sharpe_ratio - coalesce(o.sharpe_ratio, 0)) / abs(b.sharpe_ratio) * 100 ELSE 0 END', 4)} AS degradation FROM best b LEFT JOIN zu o ON o.run = b.run AND o.symbol = b.symbol WHERE b.k <= 10""",
+)
 def walk_forward(spark, d):
     import datetime as dt
 
     s = G.split_dates(dt.date(2024, 1, 1), dt.date(2024, 1, 31))
-    return rounded(G.walk_forward(event_bars(spark, d), "sma_crossover", _grid(), s, top=10))
+    out = G.walk_forward(event_bars(spark, d), "sma_crossover", _grid(), s, top=10)
+    return rounded(out.withColumn("degradation", F.round("degradation", 4)))
 
 
 @query("walk_forward_summary")
@@ -808,51 +1018,60 @@ def sensitivity_interactions(spark, d):
 
 
 def _pnl(spark, d) -> DataFrame:
-    """Nations as trades, by key."""
-    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("place"), (F.col("n_nationkey") * 37 % 23 - 9.5).cast("double").alias("pnl"))
+    """Customers as trades, by key: what their orders are above or below the usual, in thousands."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.sum(F.col("o_totalprice") - 150000).alias("v"))
+    c = table(spark, d, "customer").select("c_custkey")
+    own = F.round(F.coalesce("v", F.lit(0.0)) / 1000, 2)
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left").select((F.col("c_custkey") - F.lit(_first_key(c))).cast("long").alias("place"), own.alias("pnl"))
+
 
+def _first_key(customers: DataFrame) -> int:
+    return customers.agg(F.min("c_custkey")).first()[0]
 
-_DRAWN = """n AS (SELECT CAST(n_nationkey AS BIGINT) AS place, CAST(n_nationkey * 37 % 23 - 9.5 AS DOUBLE) AS pnl FROM nation), c AS (SELECT count(*) AS n FROM n),
-  i AS (SELECT i.range AS iteration, k.range AS k, c.n FROM range(200) i, c, range((SELECT n FROM c)) k),
-  s AS (SELECT *, (iteration * 7919 + k * 104729 + 42 * 31 + 17) % 2147483648 AS a FROM i), s2 AS (SELECT *, (a * 1103515245 + 12345) % 2147483648 AS b FROM s),
-  d AS (SELECT iteration, k, pnl FROM s2 JOIN n ON n.place = CAST(floor(((b * 1103515245 + 12345) % 2147483648) / 65536) AS BIGINT) % s2.n),
-  e AS (SELECT *, 100 + sum(pnl) OVER (PARTITION BY iteration ORDER BY k ROWS UNBOUNDED PRECEDING) AS equity FROM d),
-  f AS (SELECT *, greatest(100, max(equity) OVER (PARTITION BY iteration ORDER BY k ROWS UNBOUNDED PRECEDING)) - equity AS fall FROM e)"""
+
+_STEP = "({} * 1103515245 + 12345) % 2147483648"
+_DRAWN = f"""v AS (SELECT o_custkey, sum(o_totalprice - 150000) AS v FROM orders GROUP BY 1), n AS (SELECT c_custkey - (SELECT min(c_custkey) FROM customer) AS place, round(coalesce(v, 0) / 1000, 2) AS pnl FROM customer LEFT JOIN v ON o_custkey = c_custkey), c AS (SELECT count(*) AS n FROM n),
+  i AS (SELECT i.range AS iteration, k.range AS k, c.n FROM range(1000) i, c, range((SELECT n FROM c)) k),
+  s0 AS (SELECT *, (iteration * 7919 + k * 104729 + 42 * 31 + 17) % 2147483648 AS x FROM i), s1 AS (SELECT *, {_STEP.format('x')} AS y FROM s0), s2 AS (SELECT *, {_STEP.format('y')} AS a FROM s1), s3 AS (SELECT *, {_STEP.format('a')} AS b FROM s2), s4 AS (SELECT *, {_STEP.format('b')} AS e FROM s3),
+  d AS (SELECT iteration, k, pnl FROM s4 JOIN n ON n.place = ((a // 65536 * 32768 + b // 65536) * 32768 + e // 65536) % s4.n),
+  e AS (SELECT *, 10000 + sum(pnl) OVER (PARTITION BY iteration ORDER BY k ROWS UNBOUNDED PRECEDING) AS equity FROM d),
+  f AS (SELECT *, greatest(10000, max(equity) OVER (PARTITION BY iteration ORDER BY k ROWS UNBOUNDED PRECEDING)) - equity AS fall FROM e)"""
 
 
 @query("monte_carlo", f"WITH {_DRAWN} SELECT iteration, {_r('sum(pnl)')} AS total_return, {_r('avg(CAST(pnl > 0 AS DOUBLE))')} AS win_rate, {_r('max(fall)')} AS max_drawdown, {_r('avg(pnl) / stddev_samp(pnl)')} AS sharpe_ratio FROM f GROUP BY 1")
 def monte_carlo(spark, d):
-    return rounded(montecarlo.bootstrap(_pnl(spark, d), 200, 42, 100.0).select("iteration", "total_return", "win_rate", "max_drawdown", "sharpe_ratio"))
+    return rounded(montecarlo.bootstrap(_pnl(spark, d)).select("iteration", "total_return", "win_rate", "max_drawdown", "sharpe_ratio"))
 
 
-_MC = f"m AS (SELECT iteration, sum(pnl) AS total_return, sum(pnl) / 100 * 100 AS total_return_percent, avg(CAST(pnl > 0 AS DOUBLE)) AS win_rate, CASE WHEN sum(least(pnl, 0)) <> 0 THEN sum(greatest(pnl, 0)) / abs(sum(least(pnl, 0))) ELSE 1e308 END AS profit_factor, max(fall) AS max_drawdown, avg(pnl) / stddev_samp(pnl) AS sharpe_ratio FROM f GROUP BY 1), u AS (UNPIVOT m ON total_return, total_return_percent, win_rate, profit_factor, max_drawdown, sharpe_ratio INTO NAME metric VALUE v)"
+_MC = f"m AS (SELECT iteration, sum(pnl) AS total_return, sum(pnl) / 10000 * 100 AS total_return_percent, avg(CAST(pnl > 0 AS DOUBLE)) AS win_rate, CASE WHEN sum(least(pnl, 0)) <> 0 THEN sum(greatest(pnl, 0)) / abs(sum(least(pnl, 0))) ELSE 1e308 END AS profit_factor, max(fall) AS max_drawdown, avg(pnl) / stddev_samp(pnl) AS sharpe_ratio FROM f GROUP BY 1), u AS (UNPIVOT m ON total_return, total_return_percent, win_rate, profit_factor, max_drawdown, sharpe_ratio INTO NAME metric VALUE v)"
 
 
 @query("monte_carlo_summary", f"WITH {_DRAWN}, {_MC} SELECT metric, {_r('quantile_cont(v, 0.05)')} AS p5, {_r('quantile_cont(v, 0.25)')} AS p25, {_r('quantile_cont(v, 0.5)')} AS p50, {_r('quantile_cont(v, 0.75)')} AS p75, {_r('quantile_cont(v, 0.95)')} AS p95, {_r('avg(CAST(CASE WHEN metric = ' + chr(39) + 'profit_factor' + chr(39) + ' THEN v < 1 ELSE v < 0 END AS DOUBLE))')} AS p_negative FROM u GROUP BY 1")
 def monte_carlo_summary(spark, d):
-    return rounded(montecarlo.summary(montecarlo.bootstrap(_pnl(spark, d), 200, 42, 100.0)).drop("significant"))
+    return rounded(montecarlo.summary(montecarlo.bootstrap(_pnl(spark, d))).drop("significant"))
+
 
+_SIX = ", ".join(f"printf('%.6f', {c}) AS {c}" for c in ("qty", "entry_price", "exit_price", "pnl", "commission", "mae", "mfe"))
 
-@query("export_trades")
+
+@query("export_trades", f"WITH RECURSIVE {_events()}, {_NUM}, g AS MATERIALIZED ({loop_sql.sma_grid([('sma', 10, 50)])}), {loop_sql.loop('g')}, {loop_sql.trades('g')} SELECT 'long' AS direction, entry_ts, exit_ts, exit_reason, {_SIX} FROM (SELECT *, 0.0::DOUBLE AS commission FROM t)")
 def export_trades(spark, d):
     return export.trades_table(P.trades_of(P.backtest(event_bars(spark, d), [P.Run("sma_crossover")])))
 
 
-@query("streamed_bars", f"WITH {_events()} SELECT symbol, ts, {_r('high')} AS high, {_r('low')} AS low, {_r('volume')} AS volume FROM bars")
+@query("streamed_bars", f"WITH {_events()} SELECT {_RBARS} FROM bars")
 def streamed_bars(spark, d):
-    """Hourly bars of the events as a stream that is run to its end."""
-    import uuid
-
-    from .streaming.bars import open_bars
+    """Hourly bars of the events as a stream that is run to its end; each batch is merged into a versioned table."""
+    from .sources.store import scratch_folder
+    from .streaming.bars import merge_into, merged, open_bars
 
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else d + "/event[s].parquet")
     ticks = stream.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
-    name = f"bars_{uuid.uuid4().hex}"
-    run = open_bars(ticks, 3600).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return rounded(spark.table(name).select("symbol", "ts", "high", "low", "volume"))
+    folder = scratch_folder(spark, "stream")
+    merge_into(open_bars(ticks, 3600), f"{folder}/bars", f"{folder}/checkpoint", "update").awaitTermination()
+    return rounded(merged(spark, f"{folder}/bars", "symbol string, ts long, open double, high double, low double, close double, volume double"))
 
 
 def _is_folder(spark, path: str) -> bool:

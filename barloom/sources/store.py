@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,14 +42,35 @@ class BarStore:
         """Add bars; where one is there already, the new one wins. The result is staged before partitions are replaced."""
         columns = ["symbol", "ts", "open", "high", "low", "close", "volume"]
         fresh = bars.withColumn("symbol", sanitise_symbol(F.col("symbol"))).select(*columns)
-        kept = self.read(exchange, None, timeframe, data_type).select(*columns).join(F.broadcast(fresh.select("symbol").distinct()), "symbol", "left_semi")
-        staged = f"{self.path}_staged"
-        merge_latest([kept, fresh]).select(*columns).write.mode("overwrite").parquet(staged)
+        kept = self.read(exchange, None, timeframe, data_type).select(*columns).join(fresh.select("symbol").distinct(), "symbol", "left_semi")
+        staged = f"{self.path}_staged_{uuid.uuid4().hex}"  # merges that run together do not meet
+        merge_latest([kept, fresh]).select(*columns).write.parquet(staged)
         self.write(self.spark.read.parquet(staged), exchange, timeframe, data_type)
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def catalogue(self) -> DataFrame:
         return catalogue(self.read(), tuple(PARTITIONS))
 
+    def save_catalogue(self) -> DataFrame:
+        """Write what :meth:`catalogue` finds beside the bars, for readers that want no scan."""
+        found = self.catalogue()
+        found.write.mode("overwrite").parquet(f"{self.path}_catalogue")
+        return self.saved_catalogue()
+
+    def saved_catalogue(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}_catalogue")
+
+    def repair(self, dry_run: bool = False) -> DataFrame:
+        """Series whose saved record count differs from the bars', with both; unless ``dry_run`` the catalogue is written anew."""
+        saved = self.saved_catalogue().select(*PARTITIONS, F.col("records").alias("saved"))
+        counted = self.read().groupBy(*PARTITIONS).agg(F.count("*").alias("records"))  # counts come from the footers
+        wrong = saved.join(counted, PARTITIONS, "full").where(~F.col("saved").eqNullSafe(F.col("records")))
+        rows = self.spark.createDataFrame(wrong.select(*PARTITIONS, "saved", "records").collect(), ", ".join(f"{p} string" for p in PARTITIONS) + ", saved long, records long")  # a row per wrong series
+        if not dry_run:
+            self.save_catalogue()
+        return rows
+
     def missing(self, exchange: str, timeframe: str, start: int, stop: int) -> DataFrame:
         return missing_ranges(self.read(exchange, None, timeframe, "ohlcv"), TIMEFRAMES[timeframe], start, stop)
 
@@ -59,3 +82,13 @@ class BarStore:
         """Drop a series, with all its data types."""
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/exchange={exchange}/symbol={symbol}/timeframe={timeframe}")
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, or under the warehouse of a session that runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/barloom-{label}-{uuid.uuid4().hex}"

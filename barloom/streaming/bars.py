@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -47,6 +48,47 @@ def streamed_bricks(bars: DataFrame, size: float) -> DataFrame:
     return bars.groupBy("symbol").applyInPandasWithState(step, BRICKS, "price double, way int", "append", GroupStateTimeout.NoTimeout)
 
 
+def streamed_atr_bricks(bars: DataFrame, period: int = 14) -> DataFrame:
+    """ATR-Renko bricks of a stream of bars, as of the whole series at once.
+
+    A symbol's state is its last price and direction, the running true range, and the bars
+    that wait for its first valid value (``period`` of them, unless prices stand still).
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s = json.loads(state.get[0]) if state.exists else {"price": None, "way": 0, "before": None, "n": 0, "sum": 0.0, "atr": None, "first": None, "waiting": []}
+        ready: list[tuple] = []
+        for r in pd.concat(list(frames)).sort_values("ts", kind="stable").itertuples(index=False):
+            if s["before"] is not None:
+                span = max(r.high - r.low, abs(r.high - s["before"]), abs(r.low - s["before"]))
+                s["n"] += 1
+                if s["n"] <= period:
+                    s["sum"] += span
+                    s["atr"] = s["sum"] / period if s["n"] == period else None
+                else:
+                    s["atr"] += (span - s["atr"]) / period
+            s["before"] = r.close
+            bar = (int(r.ts), r.high, r.low, r.close, r.volume)
+            if s["first"] is None and s["atr"]:
+                s["first"] = s["atr"]
+                ready += [(*b, s["first"]) for b in s["waiting"]]
+                s["waiting"] = []
+            if s["first"] is None:
+                s["waiting"].append(bar)
+            else:
+                ready.append((*bar, s["atr"] or s["first"]))
+        frame = pd.DataFrame(ready, columns=["ts", "high", "low", "close", "volume", "size"]).assign(symbol=key[0])
+        if s["price"] is None and len(frame):
+            s["price"], frame = float(frame["close"].iat[0]), frame.iloc[1:]
+        rows = list(lay_bricks(frame, s["price"], s["way"]))
+        if rows:
+            s["price"], s["way"] = rows[-1][6], 1 if rows[-1][6] > rows[-1][3] else -1
+        state.update((json.dumps(s),))
+        yield pd.DataFrame(rows, columns=["symbol", "ts", "seq", "open", "high", "low", "close", "volume"])
+
+    return bars.groupBy("symbol").applyInPandasWithState(step, BRICKS, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
 def streamed_heiken_ashi(bars: DataFrame) -> DataFrame:
     """Heiken-Ashi bars of a stream; the last smoothed bar of each symbol is its state, so any batching gives the same bars."""
 
@@ -80,7 +122,7 @@ def trailing_stops(bars: DataFrame, percent: float) -> DataFrame:
     return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts long, mark double, level double, hit boolean", "mark double", "append", GroupStateTimeout.NoTimeout)
 
 
-def merge_into(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def merge_into(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Keep a Parquet table of bars in which the newest version of a bar wins.
 
     Each batch writes a new version beside the old one and publishes it by its number,
@@ -93,4 +135,13 @@ def merge_into(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         old = spark.read.schema(batch.schema).parquet(before) if number > 0 else spark.createDataFrame([], batch.schema)
         merge_latest([old, batch]).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merged(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The latest version of a table of :func:`merge_into`; empty if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
+    versions = [int(n.partition("=")[2]) for n in names if n.startswith("version=")]
+    return spark.read.schema(schema).parquet(f"{path}/version={max(versions)}") if versions else spark.createDataFrame([], schema)

@@ -177,6 +177,26 @@ def test_backtest_conserves_money(spark):
         assert equity == pytest.approx(10000 + gained.get(run, 0.0))
     stats = P.statistics(events).collect()
     assert len(stats) == 9 and all(r.max_drawdown >= 0 for r in stats)
+    # the figures of the grouped map are those of the events
+    direct = {r.run_id: r.asDict() for r in P.evaluate(b, runs, P.Settings(commission=Commission("percentage", 0.1), sizing=Sizing(percent=50))).collect()}
+    assert set(direct) == {r.run_id for r in stats}
+    for r in stats:
+        for name, value in r.asDict().items():
+            own = direct[r.run_id][name]
+            assert own == value or own == pytest.approx(value, rel=1e-9, abs=1e-9), (r.run_id, name, own, value)
+
+
+def test_plans_of_searches(spark):
+    """Bars are simulated once and shuffled once for each bucket of runs."""
+    b = make_bars(spark, walk(60, 3), step=3600)
+    sets = list(G.grid({"fastPeriod": G.Dimension(5, 15, 5, True), "slowPeriod": G.Dimension(20, 40, 10, True)}))
+    for df in (G.optimise(b, "sma_crossover", sets), P.evaluate(b, [P.Run(n) for n in sorted(REGISTRY)])):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+    assert len(P._bucketed(b, [P.Run("sma_crossover", s) for s in sets])[1]) == 3
+
+
+def test_sizing_by_a_function():
+    assert Sizing(lambda equity, price, stop, atr: equity / 4).stake(1000, 1, None) == 250
 
 
 def test_dual_timeframe(spark):
@@ -235,6 +255,27 @@ def test_sensitivity(spark):
     assert G.interactions(runs).first().interaction == pytest.approx(0, abs=1e-9)
 
 
+def test_draws_reach_every_trade(spark):
+    """More trades than 15 bits: places of all parts are drawn, evenly; the curve in blocks is the plain one."""
+    n = 100_000
+    places = spark.range(n).select(montecarlo.draw(F.lit(3), F.col("id"), F.lit(n), 42).cast("long").alias("p"))
+    counts = [r["count"] for r in places.groupBy(F.floor(F.col("p") / 10_000)).count().collect()]
+    assert len(counts) == 10 and min(counts) > 9_000 and max(counts) < 11_000
+    t = spark.range(9000).select(F.col("id").alias("place"), ((F.col("id") * 7919) % 101 - 50).cast("double").alias("pnl"))
+    values = {r.place: r.pnl for r in t.collect()}
+    got = montecarlo.bootstrap(t, 2, 5, 1000.0).where("iteration = 1").first()
+    drawn = [values[r.p] for r in spark.range(9000).select("id", montecarlo.draw(F.lit(1), F.col("id"), F.lit(9000), 5).cast("long").alias("p")).orderBy("id").collect()]
+    equity = peak = 1000.0
+    fall = 0.0
+    for x in drawn:
+        equity += x
+        peak = max(peak, equity)
+        fall = max(fall, peak - equity)
+    assert got.total_return == pytest.approx(sum(drawn)) and got.max_drawdown == pytest.approx(fall)
+    mean = sum(drawn) / 9000
+    assert got.sharpe_ratio == pytest.approx(mean / (sum((x - mean) ** 2 for x in drawn) / 8999) ** 0.5)
+
+
 def test_bootstrap(spark):
     t = spark.createDataFrame([(i, float(p)) for i, p in enumerate([5, -2, 3, 1])], "place long, pnl double")
     a, b = (montecarlo.bootstrap(t, 50, 7, 100.0).orderBy("iteration").collect() for _ in range(2))
@@ -252,8 +293,11 @@ def test_validation_suite(spark):
     assert "Overall" in export.report_markdown(report)
     with pytest.raises(ValueError):
         V.Splits(0, 10, 5, 20)
-    real, fake = b, V.shuffled(b, 20, 3)
-    assert fake.agg(F.sum("close")).first()[0] == pytest.approx(real.agg(F.sum("close")).first()[0])
+    real, fake = b, V.shuffled(b, 20, [3, 4])
+    for seed in (3, 4):
+        one = fake.where(F.col("seed") == seed)
+        assert one.agg(F.sum("close")).first()[0] == pytest.approx(real.agg(F.sum("close")).first()[0])
+        assert one.select("ts").exceptAll(real.select("ts")).isEmpty() and not one.select("ts", "close").exceptAll(real.select("ts", "close")).isEmpty()
 
 
 def test_regimes(spark):

@@ -35,6 +35,39 @@ def test_cascade_equals_a_full_rebuild(spark, engine):
     assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
 
 
+def test_derived_bars_follow_an_update(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "bars"))
+    e.store.write(make_bars(spark, walk(60), "A", step=60).unionByName(make_bars(spark, walk(40, 4), "B", step=60)), "local", "1m")
+    e.update(make_bars(spark, walk(20, 5), "A", step=60, start=3600), "1m", derived={"heikenashi": {}, "renko": {"size": 0.5}})
+    assert e.store.read("local", "A", "1m", "heikenashi").count() == 80 and e.store.read("local", "B", "1m", "heikenashi").count() == 0
+    assert e.store.read("local", "A", "1m", "renko").count() == e.derived("renko", "A", "1m", size=0.5).count() > 0
+
+
+def test_repair_of_the_catalogue(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "bars"))
+    e.store.write(make_bars(spark, walk(30), "A", step=60), "local", "1m")
+    assert e.store.save_catalogue().count() == 1 and e.store.repair().count() == 0
+    e.store.write(make_bars(spark, walk(20), "A", step=60).unionByName(make_bars(spark, walk(5), "B", step=60)), "local", "1m")
+    for dry in (True, False):
+        assert {(r.symbol, r.saved, r.records) for r in e.store.repair(dry).collect()} == {("A", 30, 20), ("B", None, 5)}
+    assert e.store.repair().count() == 0
+
+
+def test_saved_runs(spark, engine, capsys):
+    base = ["--store", engine.store.path, "--symbol", "A", "--timeframe", "15m"]
+    small = ["--params", '{"fastPeriod": [5, 10, 5], "slowPeriod": [20, 20, 10]}', "--method", "grid"]
+
+    def answer(*args):
+        assert cli.main([*args, *base]) == 0
+        return json.loads(capsys.readouterr().out)["data"]
+
+    saved = answer("optimise", *small, "--save")
+    assert [r["run_id"] for r in answer("runs")] == [saved["run_id"]]
+    shown = answer("run-show", "--run", saved["run_id"])
+    assert shown["statistics"]["answer"] == saved["answer"] and shown["status"] == "completed"
+    assert answer("backtest-debug")[0]["records"] > 100
+
+
 def test_derived_bars_and_dual_backtest(engine):
     assert engine.derived("heikenashi", "A", "1h").count() == engine.bars("A", "1h").count()
     assert engine.derived("renko", "A", "1h", size=0.5).count() > 0

@@ -137,6 +137,16 @@ def test_parallel_recursions_equal_kernels(spark, rows):
         a, w = key(got, name), key(want, name)
         assert a.keys() == w.keys()
         assert all((a[k] is None) == (w[k] is None) and (w[k] is None or a[k] == pytest.approx(w[k])) for k in w)
+    specs = [Spec(n, {"period": 5}, f"{n}_x") for n in ("rsi", "cmo", "atr", "natr", "ema")] + [Spec("sma", {"period": 3}), Spec("trix", {"period": 3})]
+    one, many = I.compute(b, specs), I.compute(b, specs, seconds=3600)
+    assert sorted(one.columns) == sorted(many.columns)
+    for name in ("rsi_x", "cmo_x", "atr_x", "natr_x", "ema_x", "sma", "trix"):
+        a, w = key(many, name), key(one, name)
+        assert all((a[k] is None) == (w[k] is None) and (w[k] is None or a[k] == pytest.approx(w[k])) for k in w), name
+    a, w = key(scan.ewma_volatility(b, 10, 3600, rows), "volatility"), key(I.compute(b, [Spec("ewma_volatility", {"lookback": 10}, "volatility")]), "volatility")
+    assert all(a[k] == pytest.approx(w[k]) for k in w)
+    a, w = key(I.compute(b, [Spec("sma", {"period": 3}, source="hlc3")]), "sma"), key(I.compute(b.withColumn("close", (F.col("high") + F.col("low") + F.col("close")) / 3), [Spec("sma", {"period": 3})]), "sma")
+    assert a == w
     a, w = key(scan.heiken_ashi_open(b, 3600, rows), "ha_open"), key(heiken_ashi(b), "open")
     assert all(a[k] == pytest.approx(w[k]) for k in w)
 

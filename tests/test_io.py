@@ -76,6 +76,22 @@ def test_streamed_bricks_equal_batch(spark, tmp_path):
     assert spark.table("bricks").orderBy("ts", "seq").select("open", "close").collect() == want
 
 
+def test_streamed_atr_bricks_equal_batch(spark, tmp_path):
+    import random
+
+    rng, price, rows = random.Random(2), 100.0, []
+    for _ in range(60):
+        start, price = price, price + rng.uniform(-9, 9)
+        rows.append((start, max(start, price) + 2, min(start, price) - 2, price))
+    b = make_bars(spark, rows)
+    df = batches(spark, tmp_path, b, [(0, 240), (241, 1200), (1201, 9999)])
+    run(stream.streamed_atr_bricks(df, 14), tmp_path, "atrbricks")
+    want = bricks.atr_renko(b, 14).orderBy("ts", "seq").select("ts", "open", "close").collect()
+    got = spark.table("atrbricks").orderBy("ts", "seq").select("ts", "open", "close").collect()
+    assert len(want) > 10 and [r.ts for r in got] == [r.ts for r in want]
+    assert all(abs(x - y) < 1e-9 for g, w in zip(got, want, strict=True) for x, y in zip(g, w, strict=True))
+
+
 def test_streamed_heiken_ashi_equals_batch(spark, tmp_path):
     b = make_bars(spark, [(1, 4, 1, 3), (3, 5, 2, 4), (4, 6, 3, 5)])
     df = batches(spark, tmp_path, b, [(0, 300)])
