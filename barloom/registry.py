@@ -928,7 +928,18 @@ def backtest_statistics(spark, d):
     return rounded(P.evaluate(event_bars(spark, d), _FIVE).withColumn("cagr", F.least("cagr", F.lit(1e6))))
 
 
-@query("backtest_dual")
+_DUAL = P.Run("sma_crossover", {"fastPeriod": 5, "slowPeriod": 20}).run_id
+#: Signals of four-hourly bars, at the last hourly bar of each.
+_FINE = f"""h4 AS (SELECT symbol, bars.ts // 14400 * 14400 AS ts, {_AGG.replace('ts)', 'bars.ts)')} FROM bars GROUP BY 1, 2), n4 AS (SELECT *, row_number() OVER {_W} AS p FROM h4), s4 AS ({loop_sql.sma_grid([(_DUAL, 5, 20)], 'n4')}),
+  nf AS (SELECT *, row_number() OVER {_W} AS p, row_number() OVER (PARTITION BY symbol, ts // 14400 ORDER BY ts DESC) AS back FROM bars),
+  g AS MATERIALIZED (SELECT s4.run, nf.symbol, nf.p, nf.ts, nf.open, nf.high, nf.low, nf.close, s4.ent AND back = 1 AS ent, s4.lev AND back = 1 AS lev, s4.sl, s4.tp, s4.stp, s4.p AS i FROM nf JOIN s4 ON s4.symbol = nf.symbol AND s4.ts = nf.ts // 14400 * 14400)"""
+
+
+@query(
+    "backtest_dual",
+    f"""WITH RECURSIVE {_events()}, {_FINE}, {loop_sql.loop('g')}, {loop_sql.trades('g')} SELECT t.run AS run_id, t.symbol, 'long' AS direction, {_r('qty')} AS qty, {_r('entry_price')} AS entry_price, entry_ts, {_r('exit_price')} AS exit_price, exit_ts, {_r('pnl')} AS pnl, 0.0 AS commission,
+    b.i - a.i AS bars_held, {_r('mae')} AS mae, {_r('mfe')} AS mfe, exit_reason FROM t JOIN g a ON a.symbol = t.symbol AND a.ts = entry_ts JOIN g b ON b.symbol = t.symbol AND b.ts = exit_ts""",
+)
 def backtest_dual(spark, d):
     fine = event_bars(spark, d)
     return rounded(P.trades_of(P.backtest_dual(B.aggregate(fine, 14400), fine, 14400, [P.Run("sma_crossover", {"fastPeriod": 5, "slowPeriod": 20})])))
@@ -989,7 +1000,17 @@ def walk_forward(spark, d):
     return rounded(out.withColumn("degradation", F.round("degradation", 4)))
 
 
-@query("walk_forward_summary")
+@query(
+    "walk_forward_summary",
+    f"""WITH RECURSIVE {_events()}, {_ranged('i', 1704067200, 1706054399)}, {_ranged('u', 1706054400, 1706745599)}, best AS (SELECT *, row_number() OVER (ORDER BY sharpe_ratio DESC, run, symbol) AS k FROM zi WHERE total_trades > 0),
+    w AS (SELECT {_r('b.sharpe_ratio')} AS a, {_r('o.sharpe_ratio')} AS z, {_r('CASE WHEN b.sharpe_ratio <> 0 THEN (b.sharpe_ratio - o.sharpe_ratio) / abs(b.sharpe_ratio) * 100 ELSE 0 END', 4)} AS d, o.total_trades AS n, {_r('o.total_return_percent')} AS ret FROM best b JOIN zu o ON o.run = b.run AND o.symbol = b.symbol WHERE b.k <= 10),
+    q AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY z) + (count(*) OVER (PARTITION BY z) - 1) / 2 AS rz FROM w),
+    m AS (SELECT count(*) AS results, avg(a) AS mean_is, avg(z) AS mean_oos, median(a) AS median_is, median(z) AS median_oos, CASE WHEN avg(a) <> 0 THEN avg(z) / avg(a) * 100 ELSE 0 END AS efficiency, count(*) FILTER (WHERE z > 0) AS profitable, count(*) FILTER (WHERE z > 0 AND d < 50) / count(*) * 100 AS robust_percent,
+      count(*) FILTER (WHERE n >= 1) AS reliable, count(*) FILTER (WHERE ret > 10) AS strong_returns, max(z) AS best_oos, CASE WHEN count(*) >= 2 THEN CASE WHEN max(z) = min(z) THEN 0 ELSE coalesce(corr(ra, rz), 0) END END AS spearman FROM q)
+    SELECT results, {_r('mean_is')} AS mean_is, {_r('mean_oos')} AS mean_oos, {_r('median_is')} AS median_is, {_r('median_oos')} AS median_oos, {_r('efficiency')} AS efficiency, profitable, {_r('robust_percent')} AS robust_percent, reliable, strong_returns, {_r('best_oos')} AS best_oos, {_r('spearman')} AS spearman,
+    CASE WHEN efficiency < 10 OR robust_percent < 10 THEN 'likely_overfit' WHEN spearman > 0.8 AND efficiency > 70 AND robust_percent > 70 THEN 'excellent' WHEN spearman > 0.6 AND efficiency > 50 AND robust_percent > 50 THEN 'good' WHEN spearman > 0.4 AND efficiency > 30 THEN 'moderate' ELSE 'weak' END AS tier,
+    CASE WHEN spearman > 0.7 THEN 'stable' WHEN spearman >= 0.3 THEN 'moderate' ELSE 'unstable' END AS rank_stability FROM m""",
+)
 def walk_forward_summary(spark, d):
     return rounded(G.walk_forward_summary(walk_forward(spark, d)))
 
