@@ -6,7 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def evaluate(signals: DataFrame, bars: DataFrame) -> DataFrame:
+DAY = 86400
+
+
+def _exits(held: DataFrame, before: str) -> DataFrame:
+    """Bars of signals with the reason and price of an exit, the water mark running on from ``before``."""
+    long = F.col("direction") == "long"
+    w = Window.partitionBy("signal_id", "_block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.when(long, F.greatest(F.col(before), F.max("high").over(w))).otherwise(F.least(F.col(before), F.min("low").over(w)))
+    held = held.withColumn("mark", mark)
+    distance = F.col("close") * F.col("trailing_percent") / 100
+    trail = F.when(long, F.col("mark") - distance).otherwise(F.col("mark") + distance)
+    hit = lambda level, below: F.coalesce(F.when(below, F.col("low") <= level).otherwise(F.col("high") >= level), F.lit(False))
+    reason = F.when(hit(F.col("stop_loss"), long), "stop_loss").when(hit(trail, long), "trailing_stop").when(hit(F.col("take_profit"), ~long), "take_profit")
+    price = F.when(F.col("reason") == "stop_loss", F.col("stop_loss")).when(F.col("reason") == "trailing_stop", F.col("trail")).when(F.col("reason") == "take_profit", F.col("take_profit"))
+    return held.withColumn("trail", trail).withColumn("reason", reason).select("signal_id", "ts", "mark", "reason", price.alias("price"))
+
+
+def evaluate(signals: DataFrame, bars: DataFrame, block_seconds: int = DAY) -> DataFrame:
     """Outcome of each signal over the bars from its entry on.
 
     ``signals``: ``signal_id, symbol, direction`` (long or short), ``entry_price,
@@ -16,28 +33,42 @@ def evaluate(signals: DataFrame, bars: DataFrame) -> DataFrame:
     then the stop loss, the trailing stop and the take profit are tested in this order. A signal that touches nothing stays
     open, and its water mark is carried on.
 
-    One equi-join on the symbol; the trail is a running extreme per signal, the first
-    touch an aggregation. Signals whose bars are many are split by Spark's skew join.
+    Signals meet blocks of time, of which the extremes tell whether a level may be
+    touched; only the bars of the entry's block and of such blocks, up to the first that
+    surely touches one, are joined and tested one by one.
     """
     long = F.col("direction") == "long"
-    held = signals.join(bars.select("symbol", "ts", "high", "low", "close"), "symbol").where("ts >= entry_ts")
-    w = Window.partitionBy("signal_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    block = lambda c: F.floor(F.col(c) / block_seconds)
     start = F.coalesce("high_water_mark", "entry_price")
-    mark = F.when(long, F.greatest(start, F.max("high").over(w))).otherwise(F.least(start, F.min("low").over(w)))
-    held = held.withColumn("mark", mark)
-    distance = F.col("close") * F.col("trailing_percent") / 100
-    trail = F.when(long, F.col("mark") - distance).otherwise(F.col("mark") + distance)
-    hit = lambda level, below: F.coalesce(F.when(below, F.col("low") <= level).otherwise(F.col("high") >= level), F.lit(False))
-    reason = F.when(hit(F.col("stop_loss"), long), "stop_loss").when(hit(trail, long), "trailing_stop").when(hit(F.col("take_profit"), ~long), "take_profit")
-    held = held.withColumn("trail", trail).withColumn("reason", reason)
-    price = F.when(F.col("reason") == "stop_loss", F.col("stop_loss")).when(F.col("reason") == "trailing_stop", F.col("trail")).when(F.col("reason") == "take_profit", F.col("take_profit"))
-    first = held.groupBy("signal_id").agg(
-        F.min_by(F.struct("reason", price.alias("price"), "ts", "mark"), F.when(F.col("reason").isNotNull(), F.col("ts"))).alias("exit"),
-        F.max_by("mark", "ts").alias("last_mark"),
-        F.count("*").alias("bars_seen"),
-    )
+    placed = signals.withColumn("_entry_block", block("entry_ts")).withColumn("_start", start)
+    own = bars.select("symbol", "ts", "high", "low", "close").withColumn("_block", block("ts"))
+    blocks = own.groupBy("symbol", "_block").agg(F.max("high").alias("_hi"), F.min("low").alias("_lo"), F.max("close").alias("_top"), F.min("close").alias("_bottom"), F.count("*").alias("_n"))
+
+    first = placed.join(own.withColumnRenamed("_block", "_entry_block"), ["symbol", "_entry_block"]).where("ts >= entry_ts").withColumn("_block", F.col("_entry_block"))
+    begun = first.groupBy("signal_id").agg(F.max("high").alias("_hi0"), F.min("low").alias("_lo0"), F.count("*").alias("_n0"))
+    known = placed.join(begun, "signal_id", "left")
+    after = known.join(blocks, "symbol").where("_block > _entry_block")
+    w = Window.partitionBy("signal_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.when(long, F.greatest("_start", "_hi0", F.max("_hi").over(w))).otherwise(F.least("_start", "_lo0", F.min("_lo").over(w)))
+    after = after.withColumn("_before", before)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    sure = yes(F.when(long, (F.col("_lo") <= F.col("stop_loss"))).otherwise(F.col("_hi") >= F.col("stop_loss"))) | yes(F.when(long, F.col("_hi") >= F.col("take_profit")).otherwise(F.col("_lo") <= F.col("take_profit")))
+    # the trail is nearest with the block's own extreme and the least distance that its closes allow
+    share = F.col("trailing_percent") / 100
+    near = F.when(F.col("trailing_percent") >= 0, F.col("_bottom")).otherwise(F.col("_top")) * share
+    maybe = yes(F.when(long, F.col("_lo") <= F.greatest("_before", "_hi") - near).otherwise(F.col("_hi") >= F.least("_before", "_lo") + near))
+    told = after.withColumn("_sure", sure).withColumn("_maybe", sure | maybe)
+    upto = F.min(F.when(F.col("_sure"), F.col("_block"))).over(Window.partitionBy("signal_id"))
+    chosen = told.withColumn("_upto", upto).where(F.col("_maybe") & (F.col("_upto").isNull() | (F.col("_block") <= F.col("_upto"))))
+    names = ["signal_id", "direction", "stop_loss", "take_profit", "trailing_percent"]
+    later = chosen.select("symbol", "_block", "_before", *names).join(own, ["symbol", "_block"])
+    tested = _exits(first.select(*names, "_block", F.col("_start").alias("_before"), "ts", "high", "low", "close"), "_before").unionByName(_exits(later.select(*names, "_block", "_before", "ts", "high", "low", "close"), "_before"))
+    exits = tested.where("reason is not null").groupBy("signal_id").agg(F.min_by(F.struct("reason", "price", "ts", "mark"), "ts").alias("exit"))
+    ends = told.groupBy("signal_id").agg(F.max("_hi").alias("_hi1"), F.min("_lo").alias("_lo1"))
+    last = F.when(long, F.greatest("_start", "_hi0", "_hi1")).otherwise(F.least("_start", "_lo0", "_lo1"))
     sign = F.when(long, 1).otherwise(-1)
-    done = signals.join(first, "signal_id", "left").withColumn("pnl_percent", sign * F.try_divide(F.col("exit.price") - F.col("entry_price"), F.col("entry_price")) * 100)
+    done = known.join(ends, "signal_id", "left").join(exits, "signal_id", "left").withColumn("last_mark", last)
+    done = done.withColumn("pnl_percent", sign * F.try_divide(F.col("exit.price") - F.col("entry_price"), F.col("entry_price")) * 100)
     return done.select(
         "signal_id",
         "symbol",
@@ -47,5 +78,5 @@ def evaluate(signals: DataFrame, bars: DataFrame) -> DataFrame:
         F.col("exit.price").alias("exit_price"),
         F.col("exit.ts").alias("exit_ts"),
         "pnl_percent",
-        F.when(F.col("exit.reason").isNull(), F.coalesce("last_mark", "high_water_mark", "entry_price")).otherwise(F.col("exit.mark")).alias("high_water_mark"),
+        F.when(F.col("exit.reason").isNull(), F.col("last_mark")).otherwise(F.col("exit.mark")).alias("high_water_mark"),
     )

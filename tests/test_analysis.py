@@ -119,6 +119,19 @@ def test_stop_comes_before_target(spark):
     assert (r.status, r.exit_reason) == ("loser", "stop_loss")
 
 
+def test_signals_do_not_depend_on_blocks(spark):
+    """Blocks of a few bars, of many, and one of all: the same exits and marks."""
+    b = make_bars(spark, walk(400, 8)).unionByName(make_bars(spark, walk(300, 9), "B"))
+    rows = []
+    for k, r in enumerate(b.where("ts % 1260 = 0").collect()):
+        way = 1 if k % 2 else -1
+        rows.append((f"s{k}", r.symbol, "long" if way > 0 else "short", r.close, r.close * (1 - 0.02 * way) if k % 3 else None, r.close * (1 + 0.03 * way) if k % 4 else None, [None, 0.5, 1.5][k % 3], r.close * 1.001 if k % 5 == 0 else None, r.ts))
+    given = spark.createDataFrame(rows, "signal_id string, symbol string, direction string, entry_price double, stop_loss double, take_profit double, trailing_percent double, high_water_mark double, entry_ts long")
+    key = lambda n: sorted(map(tuple, signals.evaluate(given, b, n).collect()))
+    whole = key(10**7)
+    assert {r[4] for r in whole} >= {"stop_loss", "trailing_stop"} and key(300) == whole and key(3600) == whole
+
+
 def test_open_signal_keeps_its_mark(spark):
     bars = make_bars(spark, [(50000, 52000, 49900, 51000)])
     r = signals.evaluate(signal(spark, stop_loss=45000.0), bars).first()
