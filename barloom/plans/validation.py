@@ -190,6 +190,20 @@ def cross_period(bars: DataFrame, config: SurfaceConfig = SurfaceConfig(), perio
     return pairs.agg(F.count("*").alias("cells"), F.avg(d).alias("mean_difference"), F.when(F.count("*") >= 3, F.coalesce(correlation("p", "q"), F.lit(0.0))).otherwise(0.0).alias("correlation"))
 
 
+def matrix(pairs: DataFrame, value: str = "correlation", diagonal: float = 1.0) -> DataFrame:
+    """Pairs of periods as a full matrix in long form: both ways, and the diagonal."""
+    one = pairs.select(F.col("left_period").alias("period"), F.col("right_period").alias("other"), F.col(value))
+    other = one.select(F.col("other").alias("period"), F.col("period").alias("other"), value)
+    own = one.select("period").unionAll(other.select("period")).distinct().select("period", F.col("period").alias("other"), F.lit(diagonal).alias(value))
+    return one.unionAll(other).unionAll(own)
+
+
+def persistence(pairs: DataFrame) -> DataFrame:
+    """For each period its mean agreement with the others (the off-diagonal of its row)."""
+    both = matrix(pairs).where("period <> other").join(matrix(pairs, "mean_difference", 0.0), ["period", "other"])
+    return both.groupBy("period").agg(F.count("*").alias("others"), F.avg("correlation").alias("persistence"), F.avg("mean_difference").alias("mean_difference"), F.min("correlation").alias("least_correlation"))
+
+
 def monotonicity(points: DataFrame) -> DataFrame:
     """Share of neighbouring cells of high confidence whose probability moves one way, per remaining time."""
     w = Window.partitionBy("minutes_remaining").orderBy("bucket")

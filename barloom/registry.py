@@ -176,6 +176,15 @@ def irregularities(spark, d):
     return B.irregularities(event_bars(spark, d), 3600)
 
 
+@query("irregular_arrivals", "WITH a AS (SELECT o_orderpriority AS symbol, CAST(floor(epoch(o_orderdate) / 86400) * 86400 AS BIGINT) AS ts, o_orderkey AS i FROM orders), g AS (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY i) AS previous_ts FROM a) SELECT symbol, CASE WHEN ts = previous_ts THEN 'duplicate' WHEN ts < previous_ts THEN 'out_of_order' ELSE 'gap' END AS kind, count(*) AS rows, CAST(sum(ts - previous_ts) AS BIGINT) AS total FROM g WHERE ts - previous_ts <> 86400 GROUP BY 1, 2")
+def irregular_arrivals(spark, d):
+    """Orders as daily rows in the order of their keys: gaps, duplicates and rows out of order."""
+    o = table(spark, d, "orders")
+    day = (F.floor(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) / 86400) * 86400).cast("long")
+    found = B.irregularities(o.select(F.col("o_orderpriority").alias("symbol"), day.alias("ts"), F.col("o_orderkey").alias("i")), 86400, "i")
+    return found.groupBy("symbol", "kind").agg(F.count("*").alias("rows"), F.sum("diff").alias("total"))
+
+
 @query("missing_ranges", f"""WITH {_events()}, e AS (SELECT symbol, min(ts) AS a, max(ts) AS b FROM bars GROUP BY 1), r AS (
   SELECT symbol, previous + 3600 AS start, ts - 1 AS stop FROM (SELECT symbol, ts, lag(ts) OVER {_W} AS previous FROM bars) WHERE ts - previous > 3600
   UNION ALL SELECT symbol, 1704000000, a - 1 FROM e UNION ALL SELECT symbol, b + 3600, 1706800000 FROM e)
@@ -697,12 +706,12 @@ def uncertainty(spark, d):
     return rounded(V.uncertainty(X.surface(event_bars(spark, d, 60, True), CROSS)).select("bucket", "minutes_remaining", "standard_error", "wilson_low", "enough"))
 
 
-@query(
-    "cross_period",
-    f"""WITH {_SEEN}, f AS (SELECT *, strftime(date_trunc('week', make_timestamp(ts * 1000000)), '%Y-%m-%d') AS period FROM seen), s AS {_surface('f', 'period, ')}
+_PERIODS = f"""WITH {_SEEN}, f AS (SELECT *, strftime(date_trunc('week', make_timestamp(ts * 1000000)), '%Y-%m-%d') AS period FROM seen), s AS {_surface('f', 'period, ')}
     SELECT a.period AS left_period, b.period AS right_period, count(*) AS cells, {_r('avg(abs(a.probability - b.probability))')} AS mean_difference, {_r('CASE WHEN count(*) >= 3 THEN coalesce(CASE WHEN stddev_pop(a.probability) > 0 AND stddev_pop(b.probability) > 0 THEN corr(a.probability, b.probability) END, 0) ELSE 0 END')} AS correlation
-    FROM s a JOIN s b USING (bucket, minutes_remaining) WHERE a.period < b.period GROUP BY 1, 2""",
-)
+    FROM s a JOIN s b USING (bucket, minutes_remaining) WHERE a.period < b.period GROUP BY 1, 2"""
+
+
+@query("cross_period", _PERIODS)
 def cross_period(spark, d):
     return rounded(V.cross_period(event_bars(spark, d, 60, True), CROSS, "week"))
 
@@ -720,6 +729,12 @@ def _seen_of(bars: str, seconds: int, size: float) -> str:
     CASE WHEN abs(close - bo) < 1e-7 THEN false WHEN close > bo THEN fl < bo ELSE fh > bo END AS crossed FROM w WHERE rem > 0 AND bo <> 0)"""
 
 
+@query("cross_period_matrix", f"WITH x AS ({_PERIODS}), y AS (SELECT left_period AS a, right_period AS b, correlation, mean_difference FROM x UNION ALL SELECT right_period, left_period, correlation, mean_difference FROM x) SELECT a AS period, count(*) AS others, {_r('avg(correlation)')} AS persistence, {_r('avg(mean_difference)')} AS mean_difference, {_r('min(correlation)')} AS least_correlation FROM y GROUP BY 1")
+def cross_period_matrix(spark, d):
+    """Each row of the matrix of periods, without its diagonal."""
+    return rounded(V.persistence(rounded(V.cross_period(event_bars(spark, d, 60, True), CROSS, "week"))))
+
+
 @query(
     "rolling_stability",
     f"""WITH {_LINE}, {_seen_of('bars', 604800, 0.1)}, e AS (SELECT min(ts) AS a, max(ts) AS z FROM seen),
