@@ -9,6 +9,10 @@ from .skew import hot_keys, join_split
 from .storage import discard, materialise
 
 
+#: Among fewer edges a node's own are no burden for a task, and hubs are not looked for.
+HUB_EDGES = 500_000
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -32,11 +36,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple[tuple, list[int]]:
-    """Count and checksum of the edges, and the nodes that hold a large share of them."""
-    degrees = _both(edges).groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.greatest("u", "v"), F.least("u", "v")).cast("decimal(38,0)")).alias("h"))
-    total, checksum, largest = degrees.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
-    return (total, checksum), hot_keys(degrees, "u", "n", total or 0, largest or 0)
+def _state(edges: DataFrame) -> tuple:
+    """Count and checksum of the edges."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def _hubs(edges: DataFrame, total: int) -> list[int]:
+    """The nodes that hold a large share of the edges; none is large among few edges."""
+    if total <= HUB_EDGES:
+        return []
+    return hot_keys(_both(edges).groupBy("u").agg(F.count("*").alias("n")), "u", "n")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -51,10 +60,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     nodes = edges.where("u is not null and v is not null")
     current = materialise(nodes.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(), "edges")
-    seen, hubs = _state(current)
+    seen = _state(current)
     for _ in range(max_rounds):
-        following = materialise(_small_star(_large_star(current, hubs)), "edges")
-        state, hubs = _state(following)
+        following = materialise(_small_star(_large_star(current, _hubs(current, seen[0]))), "edges")
+        state = _state(following)
         discard(current)
         current = following
         if state == seen:

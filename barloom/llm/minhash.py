@@ -256,9 +256,9 @@ def _with_nodes(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
     return flagged.withColumn("node", F.when(F.col("_several"), _node()).otherwise(F.col("doc_id"))).drop("_several")
 
 
-def _linked(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (``doc_id, n_shingles, node``) of ``docs`` (``doc_id, text``), the links of
-    nodes, and the pairs of nodes with equal sets.
+def _linked(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame, bool, Scratch]:
+    """Rows (``doc_id, n_shingles, node``) of ``docs`` (``doc_id, text``), the edges between
+    nodes with near or equal sets, whether ids have several sets, and the tables to clear after.
 
     A node is a doc_id; where several sets share one, each of them is a node of its own.
     """
@@ -266,21 +266,19 @@ def _linked(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataF
     scratch = Scratch()
     keep = scratch.keep
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    repeated = keep(some.groupBy("doc_id").agg(F.min("set_a").alias("a"), F.max("set_a").alias("z"), F.min("set_b").alias("b"), F.max("set_b").alias("y")).where("a <> z or b <> y").select("doc_id"), "repeated")
-    repeated = None if repeated.isEmpty() else repeated
+    repeated = some.groupBy("doc_id").agg(F.min("set_a").alias("a"), F.max("set_a").alias("z"), F.min("set_b").alias("b"), F.max("set_b").alias("y")).where("a <> z or b <> y").select("doc_id")
+    repeated = keep(repeated, "repeated") if repeated.count() else None
     usable = _with_nodes(some, repeated).withColumnRenamed("doc_id", "id").withColumnRenamed("node", "doc_id")
     same = ["set_a", "set_b", "n_shingles"]
     # only classes of several rows are joined, from a table of their own
     shared = keep(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"), "classes")
-    total, largest = shared.agg(F.sum("rows"), F.max("rows")).first()
-    hot = hot_keys(shared, "set_a", "rows", total or 0, largest or 0)
+    hot = hot_keys(shared, "set_a", "rows")
     members = keep(join_split(usable.select("doc_id", *same), shared.drop("rows"), same, "set_a", hot, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "members")
     rep_ids = members.select(F.col("rep").alias("doc_id")).distinct()
     reps = keep(usable.join(rep_ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
     inside = reps.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("key")).distinct()
     sizes = keep(inside.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).where("size > 1"), "sizes")
-    total, largest = sizes.agg(F.sum("size"), F.max("size")).first()
-    hot = hot_keys(sizes, "key", "size", total or 0, largest or 0)
+    hot = hot_keys(sizes, "key", "size")
     buckets = keep(join_split(inside, sizes, ["key"], "key", hot, "doc_id"), "buckets")
     candidates = buckets.select("doc_id").distinct()
     ids = candidates if repeated is None else reps.join(candidates, "doc_id", "left_semi").select(F.col("id").alias("doc_id")).distinct()
@@ -297,7 +295,8 @@ def _linked(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataF
 
     # what is left: buckets that span components
     tagged = _labelled(buckets, labels, "doc_id", "component")
-    spans = keep(tagged.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members")).where("c1 < c2").select("key", "members"), "spans")
+    spans = tagged.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members")).where("c1 < c2").select("key", "members")
+    spans = keep(spans, "spans") if hot else spans
     open_ = keep(join_split(tagged.select("key", "doc_id", "component"), spans, ["key"], "key", hot, "doc_id"), "open")
     small = open_.where(F.col("members") <= LISTED)
     mine = small.select("key", F.col("doc_id").alias("u"), F.col("component").alias("cu"))
@@ -319,7 +318,7 @@ def _linked(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataF
     labels = keep(connected_components(links.unionAll(near_centre)), "labels")
     common = keep(_labelled(common.drop("component"), labels, "doc_id", "component"), "common")
     main = common.groupBy("token", "component").agg(F.count("*").alias("held")).groupBy("token").agg(F.max_by("component", F.struct("held", "component")).alias("main"))
-    outside = keep(common.join(main, "token").where("component <> main").drop("main"), "outside")
+    outside = common.join(main, "token").where("component <> main").drop("main")
     apart = F.expr("u <> v and cu <> cv") & _could_link(percent)
     brief = F.col("brief") == 1
     larger = outside.select(*left).join(common.where(brief).select(*right), "token").where(apart & F.expr("nu >= nv"))
@@ -328,16 +327,15 @@ def _linked(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataF
 
     rest = _ordered(listed.unionAll(by_rare).unionAll(by_common))
     more = keep(linker.links(keep(linker.filtered(rest), "restpairs")), "links")
-    every = materialise(links.unionAll(near_centre).unionAll(more), "alllinks")
-    equal = materialise(members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v").distinct(), "equal")
+    equal = members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")
+    edges = links.unionAll(near_centre).unionAll(more).unionAll(equal)
     rows = signed.select("doc_id", "n_shingles", "set_a", "set_b")
     if repeated is not None:
         rows = materialise(_with_nodes(rows, repeated), "nodes")
         discard(signed)
     else:
         rows = rows.withColumn("node", F.col("doc_id"))
-    scratch.clear()
-    return rows.select("doc_id", "n_shingles", "node"), every, equal
+    return rows.select("doc_id", "n_shingles", "node"), edges, repeated is not None, scratch
 
 
 def _shaped(docs: DataFrame) -> DataFrame:
@@ -356,13 +354,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     A row whose doc_id is null gets a null component and is kept. A very long text is
     signed in blocks of shingles. An empty table gives no rows.
     """
-    rows, links, equal = _linked(_shaped(docs), percent, width)
-    # the texts of a repeated id are one node here
-    several = rows.where("node <> doc_id and n_shingles > 0").select("node", "doc_id").distinct()
-    name = lambda edges: edges.join(several.toDF("u", "a"), "u", "left").join(several.toDF("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
-    edges = links.unionAll(equal)
-    final = connected_components(edges if several.isEmpty() else name(edges))
-    discard(links, equal)
+    rows, edges, repeats, scratch = _linked(_shaped(docs), percent, width)
+    if repeats:  # the texts of a repeated id are one node here
+        several = rows.where("node <> doc_id and n_shingles > 0").select("node", "doc_id").distinct()
+        edges = edges.join(several.toDF("u", "a"), "u", "left").join(several.toDF("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
+    final = connected_components(edges)
+    scratch.clear()
     named = rows.select("doc_id", "n_shingles").join(final.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -377,16 +374,13 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFram
     columns). Rows without an id or without words stay, all of them, and so does an
     empty table. Other columns are kept, whatever their names.
     """
-    rows, links, equal = _linked(_shaped(docs), percent, width)
-    final = connected_components(links.unionAll(equal))
+    rows, edges, repeats, scratch = _linked(_shaped(docs), percent, width)
+    final = connected_components(edges)
     named = rows.where("doc_id is not null and n_shingles > 0").groupBy("node", "doc_id").agg(F.count("*").alias("times"))
-    named = materialise(named.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
-    discard(links, equal, final)
-    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"), F.count("*").alias("held")).where("held > 1").select("component", "first.node")
-    gone = named.join(first.withColumnRenamed("node", "stays"), "component").where("node <> stays")
-    # ids of rows that go, or that come several times: only these rows are shuffled
-    told = materialise(gone.select("doc_id", "node", F.lit(True).alias("goes")).unionAll(named.where("times > 1").join(gone.select("node"), "node", "left_anti").select("doc_id", "node", F.lit(False).alias("goes"))), "gone")
-    discard(named)
+    named = named.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    told = _fates(named) if repeats else materialise(named.withColumn("goes", F.col("node") != F.col("component")).where("goes or times > 1").select("doc_id", "node", "goes"), "gone")
+    discard(final)
+    scratch.clear()
     names = docs.columns
     maybe, key = free_name(names, "_maybe"), free_name(names, "_key")
     ids = told.select(F.col("doc_id").alias(key)).distinct()
@@ -397,6 +391,17 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFram
     return clear.unionAll(_sorted_out(unsure, told, width))
 
 
+def _fates(named: DataFrame) -> DataFrame:
+    """Nodes that go, and nodes of several rows, where ids may have several nodes."""
+    named = materialise(named, "named")
+    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"), F.count("*").alias("held")).where("held > 1").select("component", "first.node")
+    gone = named.join(first.withColumnRenamed("node", "stays"), "component").where("node <> stays")
+    told = gone.select("doc_id", "node", F.lit(True).alias("goes")).unionAll(named.where("times > 1").join(gone.select("node"), "node", "left_anti").select("doc_id", "node", F.lit(False).alias("goes")))
+    found = materialise(told, "gone")  # only rows of these ids are shuffled
+    discard(named)
+    return found
+
+
 def _sorted_out(rows: DataFrame, told: DataFrame, width: int) -> DataFrame:
     """Rows of repeated ids: without those whose node goes, and one of each node that stays."""
     names = rows.columns

@@ -1,9 +1,9 @@
 """Joins with keys that hold a large share of all rows.
 
-A key is hot if it holds more than one in ``SHARE`` of the rows, so there are at most
-``SHARE`` hot keys, whatever the input. Their rows are dealt over as many salts as the
-session has shuffle partitions; the other side's rows of these keys are repeated for
-each salt.
+The ``SHARE`` largest keys are hot, if they have ``LEAST_HOT`` rows: every key that holds more
+than one in ``SHARE`` of all rows is among them. Their rows are dealt over as many salts as
+the session has shuffle partitions; the other side's rows of these keys are repeated
+for each salt.
 """
 
 from __future__ import annotations
@@ -16,12 +16,10 @@ SHARE = 1000
 LEAST_HOT = 512
 
 
-def hot_keys(counted: DataFrame, key: str, size: str, total: int, largest: int | None = None) -> list[int]:
+def hot_keys(counted: DataFrame, key: str, size: str) -> list[int]:
     """The hot keys (at most ``SHARE``) of a table of keys and their sizes."""
-    bound = max(LEAST_HOT, total // SHARE)
-    if largest is not None and largest <= bound:
-        return []
-    return [row[0] for row in counted.where(F.col(size) > bound).select(key).distinct().collect()]
+    largest = counted.where(F.col(size) > LEAST_HOT).select(key, size).orderBy(F.desc(size), key).limit(SHARE)
+    return sorted({row[0] for row in largest.collect()})
 
 
 def _salted(column: str, hot: list[int], yes: Column, no: Column) -> Column:

@@ -88,8 +88,7 @@ def plan_revisits(pages: DataFrame, least_bytes: int = REVISIT_FROM) -> DataFram
     narrow = materialise(hashed.drop("payload"), "digests")
     long = narrow.where(F.col("payload_bytes") >= least_bytes)
     shared = materialise(long.groupBy("digest").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("copies")).where("copies > 1").withColumn("digest_key", F.xxhash64("digest")), "shared")
-    total, largest = shared.agg(F.sum("copies"), F.max("copies")).first()
-    hot = hot_keys(shared, "digest_key", "copies", total or 0, largest or 0)
+    hot = hot_keys(shared, "digest_key", "copies")
     keyed = long.withColumn("digest_key", F.xxhash64("digest"))
     again = join_split(keyed, shared.select("digest", "digest_key", "kept_id"), ["digest", "digest_key"], "digest_key", hot, "page_id")
     again = materialise(again.where(~F.col("page_id").eqNullSafe(F.col("kept_id"))).select("page_id", "url", "payload_bytes", "digest", F.col("kept_id").alias("refers_to")), "revisits")
@@ -378,8 +377,7 @@ def check_revisits(records: DataFrame) -> DataFrame:
     of = records.where("record_type = 'response' and digest_ok and length_ok").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n"), F.lit(True).alias("met")).distinct()
     again = records.where("record_type = 'revisit'")
     times = again.groupBy("refers_to").agg(F.count("*").alias("times"))
-    total, largest = times.agg(F.sum("times"), F.max("times")).first()
-    hot = hot_keys(times, "refers_to", "times", total or 0, largest or 0)
+    hot = hot_keys(times, "refers_to", "times")
     keyed = again.withColumn("d", F.col("payload_digest")).withColumn("n", F.col("payload_bytes"))
     compared = join_split(keyed, of, ["refers_to", "d", "n"], "refers_to", hot, "record_id", "left")
     checked = compared.withColumn("digest_ok", F.coalesce("met", F.lit(False))).select(*records.columns)
