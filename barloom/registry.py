@@ -729,10 +729,10 @@ def _seen_of(bars: str, seconds: int, size: float) -> str:
     CASE WHEN abs(close - bo) < 1e-7 THEN false WHEN close > bo THEN fl < bo ELSE fh > bo END AS crossed FROM w WHERE rem > 0 AND bo <> 0)"""
 
 
-@query("cross_period_matrix", f"WITH x AS ({_PERIODS}), y AS (SELECT left_period AS a, right_period AS b, correlation, mean_difference FROM x UNION ALL SELECT right_period, left_period, correlation, mean_difference FROM x) SELECT a AS period, count(*) AS others, {_r('avg(correlation)')} AS persistence, {_r('avg(mean_difference)')} AS mean_difference, {_r('min(correlation)')} AS least_correlation FROM y GROUP BY 1")
+@query("cross_period_matrix", f"WITH x AS ({_PERIODS}), y AS (SELECT left_period AS a, right_period AS b, correlation, mean_difference FROM x UNION ALL SELECT right_period, left_period, correlation, mean_difference FROM x) SELECT a AS period, count(*) AS others, {_r('avg(correlation)', 8)} AS persistence, {_r('avg(mean_difference)', 8)} AS mean_difference, {_r('min(correlation)')} AS least_correlation FROM y GROUP BY 1")
 def cross_period_matrix(spark, d):
     """Each row of the matrix of periods, without its diagonal."""
-    return rounded(V.persistence(rounded(V.cross_period(event_bars(spark, d, 60, True), CROSS, "week"))))
+    return rounded(V.persistence(rounded(V.cross_period(event_bars(spark, d, 60, True), CROSS, "week"))), 8)
 
 
 @query(
