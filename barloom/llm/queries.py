@@ -84,6 +84,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import link_profile
+
+    return link_profile(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
@@ -96,6 +104,7 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_token_counts": op9_token_counts,
         "op10_decontaminate": op10_decontaminate,
+        "op13_alignment": op13_alignment,
     }
 
 
