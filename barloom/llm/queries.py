@@ -84,6 +84,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filteraudit import filter_audit
+
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -104,6 +110,7 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_token_counts": op9_token_counts,
         "op10_decontaminate": op10_decontaminate,
+        "op11_filter_audit": op11_filter_audit,
         "op13_alignment": op13_alignment,
     }
 
@@ -136,5 +143,54 @@ FROM r
 OP4_SQL = "SELECT doc_id, source, lang, n_chars, md5(text) AS text_md5 FROM documents"
 
 
+#: Each document's failures, then every order step by step, without cells.
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    min(doc_id) OVER (PARTITION BY text) AS least FROM t
+), g AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    map {
+      'A': len(words) < 200,
+      'B': 100 * len(list_distinct(words)) < 50 * len(words),
+      'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+      'D': regexp_matches(text, '[#$%&*|]'),
+      'E': coalesce(least < doc_id, false)
+    } AS fails
+  FROM w LEFT JOIN g USING (doc_id)
+), l AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders
+), s AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, good, toxic,
+    fails[substr(filter_order, step, 1)] AS here,
+    len(list_filter(string_split(substr(filter_order, 1, step - 1), ''), lambda x: x <> '' AND fails[x])) > 0 AS earlier,
+    len(list_filter(map_values(fails), lambda x: x)) AS failed
+  FROM f, steps
+), r AS (
+  SELECT part, filter_order, step, letter,
+    count(*) FILTER (WHERE NOT here AND NOT earlier) AS kept,
+    count(*) FILTER (WHERE here AND NOT earlier) AS removed,
+    count(*) FILTER (WHERE here AND earlier) AS redundant,
+    count(*) FILTER (WHERE here AND failed = 1) AS unique_fails,
+    count(*) FILTER (WHERE here AND NOT earlier AND good = 1) AS good_lost,
+    count(*) FILTER (WHERE here AND NOT earlier AND toxic = 1) AS toxic_lost
+  FROM s GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_sharding": OP4_SQL}
+    return {"op1_warc": OP1_SQL, "op4_sharding": OP4_SQL, "op11_filter_audit": OP11_SQL}
