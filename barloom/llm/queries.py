@@ -90,6 +90,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .languageid import classify
+
+    return classify(_table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -111,6 +117,7 @@ def queries() -> dict[str, Query]:
         "op9_token_counts": op9_token_counts,
         "op10_decontaminate": op10_decontaminate,
         "op11_filter_audit": op11_filter_audit,
+        "op12_language": op12_language,
         "op13_alignment": op13_alignment,
     }
 
