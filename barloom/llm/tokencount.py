@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,23 @@ from .textscan import chunks
 
 #: Lengths that share a bucket of the two-level sums.
 SPAN = 256
+#: White space of so many characters is encoded apart: a pattern that looks ahead recurses over it.
+LONG_SPACE = 4096
+_LONG = re.compile(f"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_SPACE},}}")
+
+
+def parts_of(text: str) -> Iterator[tuple[str, bool]]:
+    """Parts of a text whose ids are those of the text, and whether a part is one long run of white space.
+
+    A run's last character goes with what follows it, as the pattern has it.
+    """
+    begin = 0
+    for run in _LONG.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        yield text[begin : run.start()], False
+        yield text[run.start() : end], True
+        begin = end
+    yield text[begin:], False
 
 
 def _counter(path: str, pattern: str):
@@ -23,10 +41,11 @@ def _counter(path: str, pattern: str):
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode, run = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (pattern, r"\s+"))
+        length = lambda t: sum(len(run(x) if apart else encode(x)) for x, apart in parts_of(t))
         for batch in batches:
             for _, texts in chunks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array([len(encode(t)) for t in texts.to_pylist()], pa.int64())], names=["n_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([length(t) for t in texts.to_pylist()], pa.int64())], names=["n_tokens"])
 
     return count
 
@@ -47,7 +66,8 @@ def length_histogram(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     to a context of ``n_tokens``. Between two rows all of these follow from the
     next row, see :func:`at_limits`. An empty table gives no rows.
 
-    A very long text is encoded whole. The histogram is written once, as it is read
+    A very long text is encoded whole, long runs of white space apart from what surrounds
+    them, which gives the same ids. The histogram is written once, as it is read
     several times; the sums run in two levels, within spans of lengths and over the
     spans, so no task holds more than a span or the list of spans.
     """
