@@ -114,6 +114,7 @@ class Model:
     constants: np.ndarray  # class: log prior less half the log determinant
     slope: float
     offset: float
+    learnt: bool = True  # from any row
 
     def difference(self, rows: np.ndarray) -> np.ndarray:
         """Log density of class 1 less that of class 0, with priors."""
@@ -188,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     model = Model(np.array(means), np.array(factors), np.array(constants), 1.0, 0.0)
     slope, offset = _calibrate(model, sample) if found else (0.0, 0.0)
     discard(sample)
-    return Model(model.means, model.factors, model.constants, slope, offset)
+    return Model(model.means, model.factors, model.constants, slope, offset, bool(found))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -217,9 +218,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
 
     A row's text alone decides, so repeated rows share their fate; null and empty texts are
     judged by the statistics of no words, very long ones whole. Other columns are kept,
-    whatever their names; an empty table gives no rows.
+    whatever their names; an empty table gives no rows, and without any labelled row all rows stay.
     """
     model, names = fit(docs, labels), docs.columns
+    if not model.learnt:
+        return docs
     extra = free_name(names, "_text")
     rows = docs.withColumn(extra, F.col("text").cast("string"))
 

@@ -27,6 +27,8 @@ BITS = 21
 STEMS = (4, 5, 6, 7, 8)
 #: Labelled rows that the model is fitted on, and bytes of their texts, at most.
 FIT_ROWS, FIT_BYTES = 10_000, 64 << 20
+#: A text longer than this share of the bytes is not learnt from.
+FIT_TEXT = 1 / 64
 
 _PAIR, _SKIP = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 
@@ -48,9 +50,10 @@ def is_held_out(doc_id="doc_id"):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = FIT_BYTES) -> DataFrame:
     """``doc_id, label, text`` of at most ``most`` learnable labelled ids and ``most_bytes`` of text.
 
-    Ids are taken in the order of a hash. Labels outside 0 and 1, null ids and held-out
-    rows are left out; an id labelled more than once counts by its largest label, and of
-    an id's texts the one with the least hash is read. The result is a scratch table.
+    Ids are taken in the order of a hash. Labels outside 0 and 1, null ids, held-out
+    rows and texts of more than a 64th of the bytes are left out; an id labelled more than
+    once counts by its largest label, and of an id's texts the one with the least hash is
+    read. Where the bytes don't suffice, the first id of each label stays. The result is a scratch table.
     """
     place = F.xxhash64("doc_id")
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~is_held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
@@ -59,12 +62,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, m
     near = usable if n <= most else usable.where(share < 1.2 * most / n)  # so that few rows are ordered
     chosen = near.orderBy(share, place).limit(most)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(chosen), "doc_id")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).where(F.octet_length("text") <= int(most_bytes * FIT_TEXT)).join(F.broadcast(chosen), "doc_id")
     sample = materialise(held.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
-    sized = sample.select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    first = F.row_number().over(Window.partitionBy("label").orderBy(share, place)) == 1
+    sized = sample.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), first.alias("first"))
     if (sized.agg(F.sum("bytes")).first()[0] or 0) <= most_bytes:
         return sample
-    upto = Window.orderBy(share, place).rowsBetween(Window.unboundedPreceding, 0)  # of at most ``most`` rows
+    upto = Window.orderBy(F.desc("first"), share, place).rowsBetween(Window.unboundedPreceding, 0)  # of at most ``most`` rows
     within = sized.withColumn("upto", F.sum("bytes").over(upto)).where(F.col("upto") <= most_bytes).select("doc_id")
     bounded = materialise(sample.join(F.broadcast(within), "doc_id", "left_semi"), "sample")
     discard(sample)
@@ -143,6 +147,8 @@ def _trainer(bits: int, settings: Settings):
             examples += [(float(y), values[p:q].copy()) for y, p, q in zip(labels, bounds[:-1], bounds[1:], strict=True)]
         # the order of arrival must not matter
         examples.sort(key=lambda e: (e[0], len(e[1]), zlib.crc32(e[1])))
+        if not examples:
+            return
         kept, weights, bias = ftrl(examples, bits, settings)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1), pa.int64()), pa.array(np.append(weights, bias), pa.float64())], names=["coordinate", "weight"])
 
@@ -155,6 +161,7 @@ class Model:
     coordinates: np.ndarray
     weights: np.ndarray
     bias: float
+    learnt: bool = True  # from any row
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FIT_ROWS, bits: int = BITS, settings: Settings = Settings()) -> Model:
@@ -165,10 +172,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FI
     sample = labelled_sample(docs, labels, label, most)
     found = sample.mapInArrow(_featurise(bits), "label int, features array<int>")
     rows = found.repartition(1).mapInArrow(_trainer(bits, settings), "coordinate long, weight double").toPandas()
+    learnt = len(rows)
     discard(sample)
     bias = float(rows.loc[rows.coordinate < 0, "weight"].sum())
     rows = rows[rows.coordinate >= 0].sort_values("coordinate")
-    return Model(bits, rows.coordinate.to_numpy(np.int64), rows.weight.to_numpy(np.float64), bias)
+    return Model(bits, rows.coordinate.to_numpy(np.int64), rows.weight.to_numpy(np.float64), bias, bool(learnt))
 
 
 def _scorer(shared):
@@ -226,9 +234,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
 
     A row's text alone decides, so repeated rows share their fate; null and empty texts are
     judged as texts without features, very long ones whole. Other columns are kept,
-    whatever their names; an empty table gives no rows.
+    whatever their names; an empty table gives no rows, and without any labelled row all rows stay.
     """
     model, names = fit(docs, labels), docs.columns
+    if not model.learnt:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = free_name(names, "_text")
     rows = docs.withColumn(extra, F.col("text").cast("string"))

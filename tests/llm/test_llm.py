@@ -332,6 +332,22 @@ def test_the_sample_is_bounded(spark):
     assert len(rows) > 200
 
 
+def test_a_very_long_text_does_not_empty_the_sample(spark):
+    docs = spark.range(200).select("id", F.when(F.col("id") % 7 == 0, F.repeat(F.lit("word "), 10_000)).otherwise(F.concat(F.lit("text "), "id")).alias("text")).withColumnRenamed("id", "doc_id")
+    labels = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") == 191).cast("int").alias("toxic"))
+    rows = toxicity.labelled_sample(docs, labels, "toxic", 10_000, 20_000).collect()
+    want = [i for i in range(200) if i % 7 and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(r.doc_id for r in rows) == want
+    few = toxicity.labelled_sample(docs, labels, "toxic", 10_000, 640).collect()
+    assert {r.label for r in few} == {0, 1} and sum(len(r.text) for r in few) <= 640
+
+
+@pytest.mark.parametrize("keep", [quality.keep_good, toxicity.drop_toxic])
+def test_filters_without_a_labelled_row_keep_all(spark, odd, keep):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert keep(odd, labels).count() == odd.count()
+
+
 # archives
 
 
@@ -633,6 +649,28 @@ def test_length_histogram(spark, sf_dir, odd):
     assert tokencount.length_histogram(odd.where("false"), BYTES, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \n\t", "\xa0", "\u2003"])
+def test_long_white_space(spark, monkeypatch, space):
+    """Runs over which the pattern recurses; shorter ones give the ids of the whole text."""
+    import base64
+
+    import tiktoken
+
+    with open(BYTES, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    texts = [a + space * n + b for n in (1, 2, 5, 4095, 4096, 5000, 99_000) for a in ("", "x", "x.") for b in ("", "y", "7", "!", "'s")]
+    for limit in (2, 4096):
+        monkeypatch.setattr(tokencount, "_LONG", re.compile(tokencount._LONG.pattern.replace("4096", str(limit))))
+        for t in texts:
+            whole = tiktoken.Encoding("run", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            assert [i for p, apart in tokencount.parts_of(t) for i in (whole(p) if apart else encode(p))] == encode(t)
+    monkeypatch.undo()
+    long = [("x" + space * (n // len(space)) + "y",) for n in (1_000_000, 5_000_000)] + [("a b",)]
+    lengths = [r.n_tokens for r in tokencount.encoded_lengths(spark.createDataFrame(long, "text string"), BYTES, public_tokenizers.PATTERN).collect()]
+    assert len(lengths) == 3 and min(lengths[:2]) > 1000
+
+
 # decontamination
 
 
