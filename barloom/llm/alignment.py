@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from .storage import Scratch, materialise
 from .textscan import chunks
 
-#: Distinct words whose ids a task remembers, and the longest word that it does.
-REMEMBERED, LONGEST = 250_000, 64
+#: Characters that are encoded at once, and of white space or without any that only the tokenizer takes.
+SLICE, SPACES = 1 << 16, 4096
 #: Bytes of text of the documents that ask for pairs together.
 BLOCK_BYTES = 4 << 20
 #: A group of more links is summed by ids instead of listed; links that are listed at once.
@@ -50,19 +50,20 @@ GROUPS = (
 )
 
 
-def _classes(upto: list[tuple[int, int]]) -> tuple[str, str, str, str]:
-    """Letters, numbers, white space and all characters of some ranges, as parts of a character class."""
-    found = [chr(c) for low, high in upto for c in range(low, high)]
-    kinds = {c: unicodedata.category(c)[0] for c in found}
-    pick = lambda yes: re.escape("".join(c for c in found if yes(c)))
-    space = lambda c: c in "\t\n\x0b\x0c\r\x85" or kinds[c] == "Z"
-    return pick(lambda c: kinds[c] == "L"), pick(lambda c: kinds[c] == "N"), pick(space), "".join(f"{chr(low)}-{chr(high - 1)}" for low, high in upto)
+def _class(kinds: str, more: str = "") -> str:
+    """Characters of ``_COMMON`` whose Unicode category begins so, for a character class."""
+    return re.escape("".join(chr(c) for low, high in _COMMON for c in range(low, high) if unicodedata.category(chr(c))[0] in kinds) + more)
 
 
-#: Latin letters and general punctuation, whose classes no version of Unicode has changed.
-_LETTERS, _NUMBERS, _SPACES, _COMMON = _classes([(0, 0x250), (0x2010, 0x2060)])
-#: How the byte-level vocabulary splits a text (a fixed value, over these characters).
-_WORDS = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+#: Latin letters and general punctuation: all versions of Unicode class them alike.
+_COMMON = ((0, 0x250), (0x2010, 0x2060))
+_SPACES = _class("Z", "\t\n\x0b\x0c\r\x85")
+#: What the encoder of byte-level ids is not given: other characters, and runs of white space over which its pattern would recurse.
+_UNCOMMON = re.compile(f"[^{''.join(f'{chr(low)}-{chr(high - 1)}' for low, high in _COMMON)}]|[{_SPACES}]{{{SPACES}}}|[^{_SPACES}]{{{SPACES}}}")
+#: How the byte-level vocabulary splits a text (a fixed value).
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Both vocabularies begin a token here: a space between two characters that are none.
+_APART = re.compile(r"(?<=\S) (?=\S)")
 
 
 def _byte_of() -> dict[str, int]:
@@ -72,76 +73,45 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class _Remembered:
-    """Ids of the units of a text, found once for each unit and remembered."""
+def slices(text: str, limit: int = 0) -> list[str]:
+    """Parts of a text of about ``limit`` characters (``SLICE``), cut where both vocabularies begin a token."""
+    limit, out, begin = limit or SLICE, [], 0
+    while len(text) - begin > limit and (cut := _APART.search(text, begin + limit)):
+        out.append(text[begin : cut.start()])
+        begin = cut.start()
+    return [*out, text[begin:]]
 
-    def __init__(self, raw: list[bytes]) -> None:
-        self.raw, self.size = raw, np.array([len(x) for x in raw], np.int64)
-        self.known: dict[str, bytes | None] = {}
 
-    def units(self, text: str) -> list[str] | None:
-        raise NotImplementedError
+class ByteTokens:
+    """A byte-level vocabulary whose ids are in the order of merges, as those of public ones are.
 
-    def fresh(self, units: list[str]) -> list[list[int]]:
-        raise NotImplementedError
-
-    def whole(self, text: str) -> list[int]:
-        raise NotImplementedError
-
-    def _checked(self, ids: list[int], text: str) -> bytes | None:
-        """The ids as 32-bit integers; None if their bytes are not those of the text."""
-        return np.array(ids, "<u4").tobytes() if b"".join([self.raw[i] for i in ids]) == text.encode() else None
-
-    def encode(self, texts: list[str]) -> list[bytes | None]:
-        split = [self.units(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list(set().union(*(u for u in split if u is not None)) - self.known.keys())
-        found = dict(zip(new, map(self._checked, self.fresh(new), new), strict=True)) if new else {}
-        self.known |= {u: ids for u, ids in found.items() if len(u) <= LONGEST}
-        known = self.known
-        out: list[bytes | None] = []
-        for text, units in zip(texts, split, strict=True):
-            parts = None if units is None else [known[u] if u in known else found[u] for u in units]
-            if parts is None or None in parts:
-                out.append(self._checked(self.whole(text), text))
-            else:
-                out.append(b"".join(parts))
-        return out
-
-
-class ByteTokens(_Remembered):
-    """A byte-level vocabulary. Merges stay within the words that its pattern splits off;
-    a text with characters beyond Latin and general punctuation goes to the tokenizer whole."""
+    Common texts are encoded by its ranks; the tokenizer itself takes the others, whole.
+    """
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         byte_of = _byte_of()
-        raw = [b""] * self.tokenizer.get_vocab_size()
-        for token, i in self.tokenizer.get_vocab().items():
-            raw[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        super().__init__(raw)
-        self.split, self.other = re.compile(_WORDS).findall, re.compile(f"[^{_COMMON}]").search
-
-    def units(self, text: str) -> list[str] | None:
-        return None if self.other(text) else self.split(text)
-
-    def fresh(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in added}
+        self.raw = [b""] * self.tokenizer.get_vocab_size()
+        for raw, i in ranks.items():
+            self.raw[i] = raw
+        self.size = np.array([len(x) for x in self.raw], np.int64)
+        self.ranked = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def encode(self, part: str) -> np.ndarray:
+        return np.array(self.whole(part) if _UNCOMMON.search(part) else self.ranked(part), np.int64)
 
-class PieceTokens(_Remembered):
-    """A vocabulary of pieces, over texts that begin with the space which it adds itself.
 
-    No piece has a space after another character, or a line feed beside others, so merges
-    stay within a run of spaces with what follows it, up to a space or a line feed.
-    """
+class PieceTokens:
+    """A vocabulary of pieces, over texts that begin with the space which it adds itself."""
 
     SPACE = "▁"
 
@@ -150,22 +120,14 @@ class PieceTokens(_Remembered):
 
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [m.id_to_piece(i) for i in range(m.vocab_size())]
-        super().__init__([bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(self.SPACE, " ").encode() for i, p in enumerate(pieces)])
-        self.space = m.piece_to_id(self.SPACE)
-        plain = [p for i, p in enumerate(pieces) if not m.is_byte(i)]
-        self.apart = not any("\n" in p or self.SPACE in p.lstrip(self.SPACE) for p in plain)
-        self.split = re.compile(" +[^ \n]*|\n[^ \n]*").findall
-
-    def units(self, text: str) -> list[str] | None:
-        return self.split(text) if self.apart and self.SPACE not in text else None
+        self.raw = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(self.SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.size = np.array([len(x) for x in self.raw], np.int64)
+        self.apart = not any(self.SPACE in p.lstrip(self.SPACE) for p in pieces)  # or tokens would cross the places where texts are cut
 
-    def fresh(self, units: list[str]) -> list[list[int]]:
-        # the model puts a space before each: it stands for the unit's first one, or is taken off a line feed
-        found = self.model.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        return [[self.space] if u == " " else ids if u[0] == " " else ids[1:] for u, ids in zip(units, found, strict=True)]
-
-    def whole(self, text: str) -> list[int]:
-        return self.model.encode(text[1:], num_threads=1) if len(text) > 1 else []
+    def encode(self, part: str) -> np.ndarray | None:
+        """None where the bytes of the pieces are not those of the text."""
+        ids = self.model.encode(part[1:], num_threads=1)
+        return np.array(ids, np.int64) if b"".join([self.raw[i] for i in ids]) == part.encode() else None
 
 
 class Bits:
@@ -220,14 +182,16 @@ class Aligner:
 
     def align(self, texts: list[str]) -> Aligned:
         """Texts that are empty, or whose tokens do not hold exactly their bytes, get no tokens."""
-        spaced = [" " + t for t in texts]
-        some = [i for i, t in enumerate(texts) if t]
-        found_a, found_b = [b""] * len(texts), [b""] * len(texts)
-        for i, x, y in zip(some, *(k.encode([spaced[i] for i in some]) for k in (self.bytes, self.pieces)), strict=True):
-            if x is not None and y is not None:
-                found_a[i], found_b[i] = x, y
-        a, b = (np.frombuffer(b"".join(f), "<u4").astype(np.int64) for f in (found_a, found_b))
-        a_bounds, b_bounds = (np.cumsum([0, *map(len, f)]) // 4 for f in (found_a, found_b))
+        none = np.zeros(0, np.int64)
+        found_a, found_b = [], []
+        for text in texts:
+            parts = [] if not text else slices(" " + text) if self.pieces.apart else [" " + text]
+            whole = [self.pieces.encode(p) for p in parts]
+            good = bool(parts) and all(ids is not None for ids in whole)
+            found_a.append(np.concatenate([self.bytes.encode(p) for p in parts]) if good else none)
+            found_b.append(np.concatenate(whole) if good else none)
+        a, b = (np.concatenate([none, *f]) for f in (found_a, found_b))
+        a_bounds, b_bounds = (np.cumsum([0, *map(len, f)]) for f in (found_a, found_b))
         a_ends, b_ends = np.cumsum(self.bytes.size[a]), np.cumsum(self.pieces.size[b])
         size = int(a_ends[-1]) if len(a_ends) else 0
         in_a, in_b = Bits.of(a_ends, size), Bits.of(b_ends, size)

@@ -104,14 +104,26 @@ def test_empty_table(spark, odd_docs):
     assert alignment.token_groups(odd_docs.limit(0), BYTES, PIECES).count() == 0
 
 
-def test_units_give_the_ids_of_whole_texts():
+def test_parts_give_the_ids_of_whole_texts():
     rng = random.Random(5)
-    pool = ["a", "B", "é", " ", "  ", "\n", "\t", "'s", "'re", "0", "12", "²", "ß", "…", "“", "漢", "😀", "\x1c", "\x85", "\xa0", "　", "<s>", "<0x0A>", "the", " the", "\r\n", "ǅ", "́", "\x00", "½", "﻿"]
-    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    pool = ["a", "B", "é", " ", "  ", "\n", "\t", "'s", "'re", "0", "12", "²", "ß", "…", "“", "漢", "😀", "\x1c", "\x85", "\xa0", "　", "<s>", "<0x0A>", "the", " the", "\r\n", "ǅ", "́", "\x00", "½", "\ufeff"]
+    texts = [" " + "".join(rng.choice(pool) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
     aligner = alignment.Aligner(BYTES, PIECES)
-    for kind in (aligner.bytes, aligner.pieces):
-        for text, ids in zip(texts, kind.encode([" " + t for t in texts]), strict=True):
-            assert ids == kind._checked(kind.whole(" " + text), " " + text)
+    for text in texts:
+        parts = alignment.slices(text, rng.randint(1, 20))
+        assert "".join(parts) == text
+        assert [i for p in parts for i in aligner.bytes.encode(p).tolist()] == aligner.bytes.whole(text)
+        assert [i for p in parts for i in aligner.pieces.encode(p).tolist()] == aligner.pieces.model.encode(text[1:])
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "x", "é", "x y", "漢"])
+def test_very_long_runs(unit):
+    aligner = alignment.Aligner(BYTES, PIECES)
+    x = aligner.align(["a" + unit * 1_000_000 + "b", "short one"])
+    assert int(x.byte_bounds[1]) == 3 + len(unit.encode()) * 1_000_000
+    keys, times = alignment.linked_pairs(x, aligner.n_a, aligner.n_b)
+    assert int(times.sum()) == int((x.counts()[0] * x.counts()[1]).sum())
+    assert x.cuts[-1] == x.byte_bounds[-1]
 
 
 def test_ranks_of_bitsets():
