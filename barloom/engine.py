@@ -36,13 +36,13 @@ class Engine:
 
     def derived(self, kind: str, symbol: str | None = None, timeframe: str = "1h", **options) -> DataFrame:
         """Heiken-Ashi, Renko (``size``) or ATR-Renko (``period``) bars."""
-        base = self.bars(symbol, timeframe)
+        base, seconds = self.bars(symbol, timeframe), B.TIMEFRAMES[timeframe]
         if kind == "heikenashi":
-            return bricks.heiken_ashi(base)
+            return bricks.heiken_ashi(base, seconds)
         if kind == "renko":
-            return bricks.renko(base, options["size"])
+            return bricks.renko(base, options["size"], seconds)
         if kind == "atr_renko":
-            return bricks.atr_renko(base, options.get("period", 14))
+            return bricks.atr_renko(base, options.get("period", 14), seconds)
         raise ValueError(f"no bars of kind {kind}")
 
     def update(self, fresh: DataFrame, timeframe: str, dependents: list[str] = (), derived: dict[str, dict] | None = None) -> None:
@@ -83,7 +83,7 @@ class Engine:
         return len(wanted)
 
     def indicators(self, specs: list[Spec], symbol: str | None = None, timeframe: str = "1h") -> DataFrame:
-        return compute(self.bars(symbol, timeframe), specs)
+        return compute(self.bars(symbol, timeframe), specs, seconds=B.TIMEFRAMES[timeframe])
 
     def regime(self, symbol: str | None = None, timeframe: str = "1h", kind: str = "trend", **options) -> DataFrame:
         return {"trend": regimes.trend, "adx": regimes.adx, "volatility": regimes.volatility, "combined": regimes.combined}[kind](self.bars(symbol, timeframe), **options)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.bars import bucket
+from .blocks import placed
 
 #: Weights within a block stay under ten to this power.
 MOST_EXPONENT = 200
@@ -27,25 +27,12 @@ def block_rows(decay: float, wanted: int = 4096) -> int:
     return max(2, min(wanted, int(MOST_EXPONENT / math.log10(1 / decay)))) if 0 < decay < 1 else wanted
 
 
-def placed(bars: DataFrame, seconds: int, rows: int) -> DataFrame:
-    """Bars with their block of time, their place in it (from 0) and their place in the series (from 0).
-
-    ``seconds`` is the least distance of two bars, so a block has ``rows`` bars at most.
-    """
-    b = bars.withColumn("_block", bucket(F.col("ts"), seconds * rows))
-    own = Window.partitionBy("symbol", "_block").orderBy("ts")
-    counts = b.groupBy("symbol", "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return b.withColumn("_i", F.row_number().over(own) - 1).join(offsets, ["symbol", "_block"]).withColumn("_place", F.col("_offset") + F.col("_i")).drop("_offset")
-
-
 def recursions(df: DataFrame, parts: dict[str, tuple[Column, float]]) -> DataFrame:
     """``df`` (from :func:`placed`) with a column per part (value and decay): its recursion from zero before the series.
 
     All parts share the windows, the chain of block ends and the one join.
     """
-    w = Window.partitionBy("symbol", "_block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("symbol", "_block").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     power = lambda decay, e: F.pow(F.lit(float(decay)), e)
     local = df.withColumns({f"_local_{n}": F.sum(x * power(decay, -F.col("_i"))).over(w) * power(decay, F.col("_i")) for n, (x, decay) in parts.items()})
     ends = local.groupBy("symbol", "_block").agg(F.count("*").alias("_n"), *[F.max_by(f"_local_{n}", "_i").alias(f"_end_{n}") for n in parts])
@@ -84,9 +71,9 @@ def smoothed(df: DataFrame, means: dict[str, tuple[str, float, int, int]]) -> Da
 
 def _with_before(df: DataFrame, column: str, name: str) -> DataFrame:
     """The value of the bar before; a block's first bar has the last value of the block before."""
-    last = df.groupBy("symbol", "_block").agg(F.max_by(column, "ts").alias("_last"))
+    last = df.groupBy("symbol", "_block").agg(F.max_by(column, "_i").alias("_last"))
     before = last.withColumn("_prior", F.lag("_last").over(Window.partitionBy("symbol").orderBy("_block"))).drop("_last")
-    own = Window.partitionBy("symbol", "_block").orderBy("ts")
+    own = Window.partitionBy("symbol", "_block").orderBy("_i")
     return df.join(before, ["symbol", "_block"]).withColumn(name, F.coalesce(F.lag(column).over(own), F.col("_prior"))).drop("_prior")
 
 
@@ -163,10 +150,10 @@ def ewma_volatility(bars: DataFrame, lookback: int, seconds: int, rows: int = 40
     df = _with_before(df, "close", "_before")
     df = df.withColumn("_r", F.when((F.col("close") > 0) & (F.col("_before") > 0), F.log(F.col("close") / F.col("_before"))).otherwise(0.0)).drop("_before")
     begin = df.where(F.col("_place") < lookback)  # a bounded number of rows of each series
-    so_far = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    warm = begin.select("symbol", "ts", F.stddev_samp("_r").over(so_far).alias("_warm"))
+    so_far = Window.partitionBy("symbol").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    warm = begin.select("symbol", "_place", F.stddev_samp("_r").over(so_far).alias("_warm"))
     seeds = begin.groupBy("symbol").agg(F.var_pop("_r").alias("_seed"))
-    df = df.join(seeds, "symbol", "left").join(warm, ["symbol", "ts"], "left")
+    df = df.join(seeds, "symbol", "left").join(warm, ["symbol", "_place"], "left")
     x = F.when(F.col("_place") < lookback - 1, 0.0).when(F.col("_place") == lookback - 1, F.col("_seed")).otherwise(alpha * F.col("_r") * F.col("_r"))
     out = recursions(df, {"_square": (x, 1 - alpha)})
     value = F.when(F.col("_place") < lookback, F.coalesce("_warm", F.lit(0.0))).otherwise(F.sqrt("_square"))

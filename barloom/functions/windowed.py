@@ -24,6 +24,7 @@ class Series:
     keys: tuple[str, ...] = ("symbol",)
     order: str = "ts"
     columns: dict[str, str] = field(default_factory=dict)  # overrides, such as close -> another column
+    place_column: str | None = None  # place in the whole series from 0, where the keys are only a part of it
 
     @property
     def window(self) -> WindowSpec:
@@ -39,7 +40,7 @@ class Series:
         return F.col(self.columns.get(name, name))
 
     def place(self) -> Column:
-        return F.row_number().over(self.window)
+        return F.col(self.place_column) + 1 if self.place_column else F.row_number().over(self.window)
 
     def ready(self, value: Column, bars: int) -> Column:
         """Null for the first ``bars`` rows."""
@@ -179,7 +180,7 @@ def cci(s: Series, period: int = 14) -> Outputs:
 
 def _since(s: Series, name: str, n: int, top: bool) -> Column:
     """Bars since the latest extreme of the last n + 1 bars."""
-    w, place = s.last(n + 1), F.col("_place")
+    w, place = s.last(n + 1), F.col("_nth")
     value = F.struct(s[name].alias("x"), place.alias("p")) if top else F.struct((-s[name]).alias("x"), place.alias("p"))
     return F.when(place > n, place - F.max(value).over(w)["p"])
 
@@ -284,10 +285,10 @@ def beta(s: Series, period: int = 5) -> Outputs:
 
 def _regression(s: Series, n: int) -> tuple[Column, Column]:
     """Slope and intercept over the last n values, at positions 0 to n - 1."""
-    c, w, place = s["close"], s.last(n), F.col("_place").cast("double")
+    c, w, place = s["close"], s.last(n), F.col("_nth").cast("double")
     mean_x, mean_y = F.avg(place).over(w), F.avg(c).over(w)
     slope = F.covar_pop(place, c).over(w) / ((n * n - 1) / 12.0)
-    start = F.col("_place") - n + 1
+    start = F.col("_nth") - n + 1
     return _full(s, c, n, slope), _full(s, c, n, mean_y - slope * (mean_x - start))
 
 
@@ -331,7 +332,7 @@ def _extreme(s: Series, n: int, top: bool) -> Column:
 
 def _extreme_index(s: Series, n: int, top: bool) -> Column:
     """Position from 0 of the latest extreme of the last n values."""
-    place = F.col("_place")
+    place = F.col("_nth")
     value = F.struct((s["close"] if top else -s["close"]).alias("x"), place.alias("p"))
     return _full(s, s["close"], n, F.max(value).over(s.last(n))["p"] - 1)
 
@@ -380,7 +381,7 @@ STAGED: dict[str, Callable[..., list[dict[str, Column]]]] = {
     "beta": lambda s, **_: [{"_ret_a": F.try_divide(s["high"], s.lag(s["high"])) - 1, "_ret_b": F.try_divide(s["low"], s.lag(s["low"])) - 1}],
 }
 for _name in ("aroon", "aroonosc", "linearreg", "linearreg_slope", "linearreg_intercept", "linearreg_angle", "tsf", "maxindex", "minindex", "minmaxindex"):
-    STAGED[_name] = lambda s, **_: [{"_place": s.place()}]
+    STAGED[_name] = lambda s, **_: [{"_nth": s.place()}]
 
 WINDOWED: dict[str, Callable[..., Outputs]] = {
     f.__name__: f

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scan
+from ..functions.blocks import ROWS, carried, placed, with_halo
 from ..functions.indicators import Spec, compute
 
 BRICKS = "symbol string, ts long, seq int, open double, high double, low double, close double, volume double"
@@ -64,14 +65,111 @@ def lay_bricks(frame: pd.DataFrame, price: float | None = None, way: int = 0) ->
 
 def _bricks(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("ts", kind="stable")
-    return pd.DataFrame(list(lay_bricks(frame)), columns=["symbol", "ts", "seq", "open", "high", "low", "close", "volume"])
+    return pd.DataFrame(list(lay_bricks(frame)), columns=NAMES)
 
 
-def renko(bars: DataFrame, size: float) -> DataFrame:
-    """Bricks of a fixed size; several may share a bar's time and split its volume."""
+NAMES = ["symbol", "ts", "seq", "open", "high", "low", "close", "volume"]
+
+
+def grid_bricks(frame: pd.DataFrame, origin: float, size: float, level: int = 0, way: int = 0, seq: int = 0) -> Iterator[tuple]:
+    """Bricks of ordered bars; prices are ``origin + level * size``, so no rounding adds up."""
+    for symbol, ts, high, low, volume in zip(frame["symbol"], frame["ts"], frame["high"], frame["low"], frame["volume"], strict=True):
+        n, way = brick_steps(high, low, size, origin + level * size, way)
+        for _ in range(n):
+            a, z = origin + level * size, origin + (level + way) * size
+            level, seq = level + way, seq + 1
+            yield symbol, ts, seq, a, max(a, z), min(a, z), z, volume / n
+
+
+def _grid(size: float):
+    def bricks(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["ts", "high", "low", "close", "volume"], kind="stable")
+        return pd.DataFrame(list(grid_bricks(frame.iloc[1:], frame["close"].iat[0], size)), columns=NAMES)
+
+    return bricks
+
+
+def _entries(high: float, low: float, origin: float, size: float) -> list[tuple[int, int]]:
+    """Levels and directions among which are all that a bar can leave behind.
+
+    A bar that makes bricks ends within one brick of the extreme it moved to; one that makes none
+    was within two bricks of either extreme. Below an origin that no brick has left, the direction is 0.
+    """
+    ends = (int((low - origin) // size), int((high - origin) // size))
+    levels = sorted({e + k for e in ends for k in range(-2, 4)})
+    return [(0, 0), *[(level, way) for level in levels for way in (1, -1)]]
+
+
+def _ends(frame: pd.DataFrame, entries: list[tuple[int, int]], origin: float, size: float) -> list[tuple[int, int, int]]:
+    """Level, direction and number of bricks after the bars, from each entry. Entries that have met go on as one."""
+    states = list(dict.fromkeys(entries))
+    of, extra, made = [states.index(e) for e in entries], [0] * len(entries), [0] * len(states)
+    for high, low in zip(frame["high"], frame["low"], strict=True):
+        for i, (level, way) in enumerate(states):
+            n, turn = brick_steps(high, low, size, origin + level * size, way)
+            if n:
+                states[i], made[i] = (level + n * turn, turn), made[i] + n
+        if len(set(states)) < len(states):
+            kept = list(dict.fromkeys(states))
+            first = [states.index(k) for k in kept]
+            extra = [x + made[o] - made[first[kept.index(states[o])]] for x, o in zip(extra, of, strict=True)]
+            of, made, states = [kept.index(states[o]) for o in of], [made[i] for i in first], kept
+    return [(*states[o], made[o] + x) for o, x in zip(of, extra, strict=True)]
+
+
+def _renko_in_blocks(bars: DataFrame, size: float, seconds: int, rows: int) -> DataFrame:
+    """Bricks of a fixed size, block by block.
+
+    Prices stay on a grid from a symbol's first close. The bar before a block allows only a few
+    levels and directions to enter it; the block is run from each of these, which soon run
+    together, and what it makes of them is a small table. Tables are chained, and each block
+    lays its bricks from its own entry.
+    """
+    shaped = bars.select("symbol", "ts", "open", "high", "low", "close", "volume")
+    origins = shaped.groupBy("symbol").agg(F.min_by("close", F.struct("ts", "open", "high", "low", "close", "volume")).alias("_origin"))
+    df = with_halo(placed(shaped, seconds, rows), 1, rows).join(origins, "symbol")
+
+    def change(frame: pd.DataFrame, _: list) -> list[float]:
+        """Entries with what they end in: level, direction, and bricks made."""
+        own, origin = frame[~frame["_halo"]], frame["_origin"].iat[0]
+        if len(own) < rows:
+            return []
+        if own["_place"].iat[0] == 0:
+            own, entries = own.iloc[1:], [(0, 0)]
+        else:
+            before = frame[frame["_halo"]].iloc[-1]
+            entries = _entries(before["high"], before["low"], origin, size)
+        return [float(v) for entry, end in zip(entries, _ends(own, entries, origin, size), strict=True) for v in (*entry, *end)]
+
+    def enter(blocks: list[int], maps: list) -> list[list[float]]:
+        state, laid, out = (0.0, 0.0), 0.0, []
+        for packed in maps:
+            out.append([*state, laid])
+            if len(packed):
+                table = {tuple(packed[i : i + 2]): packed[i + 2 : i + 5] for i in range(0, len(packed), 5)}
+                level, way, made = table[state]
+                state, laid = (level, way), laid + made
+        return out
+
+    def replay(frame: pd.DataFrame, known: list) -> pd.DataFrame:
+        own, origin = frame[~frame["_halo"]], frame["_origin"].iat[0]
+        level, way, seq = map(int, known[0])
+        return pd.DataFrame(list(grid_bricks(own.iloc[1:] if own["_place"].iat[0] == 0 else own, origin, size, level, way, seq)), columns=NAMES)
+
+    return carried(df, [(change, enter)], replay, BRICKS)
+
+
+def renko(bars: DataFrame, size: float, seconds: int | None = None, rows: int = ROWS) -> DataFrame:
+    """Bricks of a fixed size; several may share a bar's time and split its volume.
+
+    With ``seconds``, the usual distance of two bars of a symbol, blocks of ``rows`` bars run in
+    parallel; else a series is one task. Prices are multiples of the size from the first close.
+    """
     if size <= 0:
         raise ValueError("a brick has a positive size")
-    return bars.select("symbol", "ts", "high", "low", "close", "volume", F.lit(float(size)).alias("size")).groupBy("symbol").applyInPandas(_bricks, BRICKS)
+    if seconds:
+        return _renko_in_blocks(bars, float(size), seconds, rows)
+    return bars.select("symbol", "ts", "high", "low", "close", "volume").groupBy("symbol").applyInPandas(_grid(float(size)), BRICKS)
 
 
 def atr_renko(bars: DataFrame, period: int = 14, seconds: int | None = None) -> DataFrame:

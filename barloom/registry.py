@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import candle_sql, loop_sql, smooth_sql
+from .functions import blocks
 from .functions import conditions as C
 from .functions import indicators as I
 from .functions.candles import PATTERNS
@@ -493,12 +494,17 @@ def candles_basic(spark, d):
     min(CAST(above AS INT)) OVER {_frame(3)} = 1 AND p >= 3 AS persisted, above AND NOT coalesce(lag(above) OVER {_W}, true) AS became, above AND NOT rising OR falling AND NOT above AS mixed FROM c""",
 )
 def conditions(spark, d):
-    s = Series()
-    w, close, fast, slow = s.window, F.col("close"), F.col("fast"), F.col("slow")
-    df = I.compute(event_bars(spark, d), [Spec("sma", {"period": 10}, "fast"), Spec("sma", {"period": 30}, "slow")])
-    df = df.withColumns({"above": C.above(close, slow), "crosses_above": C.crosses_above(fast, slow, w), "crosses_below": C.crosses_below(fast, slow, w), "rising": C.is_rising(close, w, 3), "falling": C.is_falling(close, w, 3)})
-    above, rising, falling = F.col("above"), F.col("rising"), F.col("falling")
-    return df.select("symbol", "ts", "above", "crosses_above", "crosses_below", "rising", "falling", C.within_last(F.col("crosses_above"), w, 5).alias("within_last"), C.persisted_for(above, w, 3).alias("persisted"), C.just_became(above, w).alias("became"), C.either(C.both(above, C.negated(rising)), C.both(falling, C.negated(above))).alias("mixed"))
+    """Conditions over blocks of rows; the halo covers means of 30 bars and five bars of memory after them."""
+
+    def apply(df, s):
+        w, close, fast, slow = s.window, F.col("close"), F.col("fast"), F.col("slow")
+        df = I.add_windows(df, [Spec("sma", {"period": 10}, "fast"), Spec("sma", {"period": 30}, "slow")], s)
+        df = df.withColumns({"above": C.above(close, slow), "crosses_above": C.crosses_above(fast, slow, w), "crosses_below": C.crosses_below(fast, slow, w), "rising": C.is_rising(close, w, 3), "falling": C.is_falling(close, w, 3)})
+        above, rising, falling = F.col("above"), F.col("rising"), F.col("falling")
+        return df.withColumns({"within_last": C.within_last(F.col("crosses_above"), w, 5), "persisted": C.persisted_for(above, w, 3), "became": C.just_became(above, w), "mixed": C.either(C.both(above, C.negated(rising)), C.both(falling, C.negated(above)))})
+
+    df = blocks.windows(blocks.placed(event_bars(spark, d), 3600), 40, apply)
+    return df.select("symbol", "ts", "above", "crosses_above", "crosses_below", "rising", "falling", "within_last", "persisted", "became", "mixed")
 
 
 # Alternative bars
@@ -517,16 +523,18 @@ def heiken_ashi(spark, d):
 @query(
     "renko",
     f"""WITH RECURSIVE {_events()}, {_NUM},
-    r AS (SELECT symbol, p, close AS before, close AS price, 0 AS way, 0::BIGINT AS made FROM n WHERE p = 1
-      UNION ALL SELECT n.symbol, n.p, r.price, r.price + 10 * s.k, CASE WHEN s.k > 0 THEN 1 WHEN s.k < 0 THEN -1 ELSE r.way END, CAST(abs(s.k) AS BIGINT)
-      FROM r JOIN n ON n.symbol = r.symbol AND n.p = r.p + 1,
-      LATERAL (SELECT CASE WHEN r.way >= 0 THEN CASE WHEN floor((n.high - r.price) / 10) >= 1 THEN floor((n.high - r.price) / 10) WHEN floor((r.price - n.low) / 10) >= 2 THEN -floor((r.price - n.low) / 10) ELSE 0 END
-        ELSE CASE WHEN floor((r.price - n.low) / 10) >= 1 THEN -floor((r.price - n.low) / 10) WHEN floor((n.high - r.price) / 10) >= 2 THEN floor((n.high - r.price) / 10) ELSE 0 END END AS k) s)
-    SELECT r.symbol, n.ts, CAST(r.way AS INTEGER) AS way, count(*) AS bricks, {_r('min(r.price)', 4)} AS price FROM r JOIN n ON n.symbol = r.symbol AND n.p = r.p, unnest(range(r.made)) WHERE r.made > 0 GROUP BY 1, 2, 3""",
+    r AS (SELECT symbol, p, close AS origin, 0::BIGINT AS before, 0::BIGINT AS level, 0 AS way, 0::BIGINT AS made FROM n WHERE p = 1
+      UNION ALL SELECT n.symbol, n.p, r.origin, r.level, r.level + CAST(s.k AS BIGINT), CASE WHEN s.k > 0 THEN 1 WHEN s.k < 0 THEN -1 ELSE r.way END, CAST(abs(s.k) AS BIGINT)
+      FROM r JOIN n ON n.symbol = r.symbol AND n.p = r.p + 1, LATERAL (SELECT r.origin + 10 * r.level AS price) c,
+      LATERAL (SELECT CASE WHEN r.way >= 0 THEN CASE WHEN floor((n.high - price) / 10) >= 1 THEN floor((n.high - price) / 10) WHEN floor((price - n.low) / 10) >= 2 THEN -floor((price - n.low) / 10) ELSE 0 END
+        ELSE CASE WHEN floor((price - n.low) / 10) >= 1 THEN -floor((price - n.low) / 10) WHEN floor((n.high - price) / 10) >= 2 THEN floor((n.high - price) / 10) ELSE 0 END END AS k) s)
+    SELECT r.symbol, n.ts, CAST(row_number() OVER (PARTITION BY r.symbol ORDER BY r.p, u.i) AS INTEGER) AS seq, {_r('origin + 10 * (before + r.way * u.i)', 4)} AS open, {_r('origin + 10 * (before + r.way * (u.i + 1))', 4)} AS close,
+      {_r('origin + 10 * (before + greatest(r.way * u.i, r.way * (u.i + 1)))', 4)} AS high, {_r('origin + 10 * (before + least(r.way * u.i, r.way * (u.i + 1)))', 4)} AS low, {_r('n.volume / r.made', 4)} AS volume
+    FROM r JOIN n ON n.symbol = r.symbol AND n.p = r.p, unnest(range(r.made)) u(i) WHERE r.made > 0""",
 )
 def renko(spark, d):
-    laid = bricks.renko(event_bars(spark, d), 10.0).withColumn("way", F.when(F.col("close") > F.col("open"), 1).otherwise(-1))
-    return laid.groupBy("symbol", "ts", "way").agg(F.count("*").alias("bricks"), (F.round(F.max_by("close", "seq"), 4) + 0.0).alias("price"))
+    """Every brick, laid in blocks of bars."""
+    return rounded(bricks.renko(event_bars(spark, d), 10.0, 3600, 100), 4)
 
 
 _BRICKS = "CASE WHEN r.way >= 0 THEN CASE WHEN floor((n.high - r.price) / n.size) >= 1 THEN floor((n.high - r.price) / n.size) WHEN floor((r.price - n.low) / n.size) >= 2 THEN -floor((r.price - n.low) / n.size) ELSE 0 END ELSE CASE WHEN floor((r.price - n.low) / n.size) >= 1 THEN -floor((r.price - n.low) / n.size) WHEN floor((n.high - r.price) / n.size) >= 2 THEN floor((n.high - r.price) / n.size) ELSE 0 END END"

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.bars import merge_latest
-from ..operators.bricks import BRICKS, lay_bricks
+from ..operators.bricks import BRICKS, NAMES, grid_bricks, lay_bricks
 
 
 def open_bars(ticks: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:
@@ -31,21 +31,19 @@ def sliding_means(ticks: DataFrame, length: str, step: str, late: str = "1 hour"
 
 
 def streamed_bricks(bars: DataFrame, size: float) -> DataFrame:
-    """Renko bricks of a stream of bars; the last price and direction of each symbol are its state."""
+    """Renko bricks of a stream of bars; a symbol's first close, level and direction and its number of bricks are its state."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        price, way = state.get if state.exists else (None, 0)
-        frame = pd.concat(list(frames)).sort_values("ts", kind="stable").assign(size=float(size))
-        if price is None and len(frame):
-            price, frame = float(frame["close"].iat[0]), frame.iloc[1:]
-        rows = list(lay_bricks(frame, price, way))
-        if rows:
-            price, way = rows[-1][6], 1 if rows[-1][6] > rows[-1][3] else -1
-        if price is not None:
-            state.update((price, way))
-        yield pd.DataFrame(rows, columns=["symbol", "ts", "seq", "open", "high", "low", "close", "volume"])
-
-    return bars.groupBy("symbol").applyInPandasWithState(step, BRICKS, "price double, way int", "append", GroupStateTimeout.NoTimeout)
+        frame = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        origin, level, way, seq = state.get if state.exists else (float(frame["close"].iat[0]), 0, 0, 0)
+        rows = list(grid_bricks(frame if state.exists else frame.iloc[1:], origin, float(size), level, way, seq))
+        for row in rows:
+            way = 1 if row[6] > row[3] else -1
+            level += way
+        state.update((origin, level, way, seq + len(rows)))
+        yield pd.DataFrame(rows, columns=NAMES)
+
+    return bars.groupBy("symbol").applyInPandasWithState(step, BRICKS, "origin double, level long, way int, seq long", "append", GroupStateTimeout.NoTimeout)
 
 
 def streamed_atr_bricks(bars: DataFrame, period: int = 14) -> DataFrame:

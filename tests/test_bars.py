@@ -94,3 +94,21 @@ def test_empty_series(spark):
     e = make_bars(spark, [1]).where("false")
     for out in (B.aggregate(e, 120), B.merge_latest([e, e]), B.catalogue(e), bricks.heiken_ashi(e), bricks.renko(e, 1.0), B.irregularities(e, 60)):
         assert out.count() == 0
+
+
+@pytest.mark.parametrize("rows", [3, 7, 4096])
+def test_renko_in_blocks(spark, rows):
+    """Blocks of any size lay the bricks of the whole series, also where a bar spans many bricks both ways."""
+    import random
+
+    rng, bars, price = random.Random(rows), [], 100.0
+    for _ in range(300):
+        o, price = price, price + rng.gauss(0, 4)
+        bars.append((o, max(o, price) + rng.random() * rng.choice([1, 9, 40]), min(o, price) - rng.random() * rng.choice([1, 9, 40]), price))
+    b = make_bars(spark, bars).unionByName(make_bars(spark, bars[:40], symbol="B", step=7)).unionByName(make_bars(spark, [100.0] * 9, symbol="C"))
+    key = lambda df: {(r.symbol, r.seq): r for r in df.collect()}
+    one, many = key(bricks.renko(b, 5.0)), key(bricks.renko(b, 5.0, 60, rows))
+    assert one.keys() == many.keys() and len(one) > 500
+    for k, r in one.items():
+        assert (r.ts, r.volume) == (many[k].ts, many[k].volume)
+        assert [r.open, r.high, r.low, r.close] == pytest.approx([many[k].open, many[k].high, many[k].low, many[k].close])

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from conftest import make_bars
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import conditions as C
@@ -8,6 +9,7 @@ from barloom.functions import indicators as I
 from barloom.functions import kernels as K
 from barloom.functions.candles import PATTERNS
 from barloom.functions.indicators import Spec
+from barloom.functions.kernels import RECURSIVE
 from barloom.functions.windowed import WINDOWED, Series
 
 
@@ -157,3 +159,56 @@ def test_short_series_have_no_mean(spark):
     out = scan.ema(make_bars(spark, [1, 2, 3]), 10, 60)
     assert column(out, "ema") == [None, None, None]
     assert scan.block_rows(1 / 3) < 500
+
+
+def series(spark, n=420):
+    """Two series of bars with gaps, bars much closer than the usual distance, and repeated times."""
+    rng, rows = np.random.default_rng(4), []
+    for symbol in ("A", "B"):
+        price, ts = 100.0, 0
+        for i in range(n if symbol == "A" else 100):
+            ts += int(rng.choice([3600, 3600, 6, 0, 36000]))
+            o, price = price, price * float(np.exp(rng.normal() / 50))
+            rows.append((symbol, ts, o, max(o, price) + float(rng.random()), min(o, price) - float(rng.random()), price, float(rng.integers(1, 40))))
+    return spark.createDataFrame(rows, "symbol string, ts long, open double, high double, low double, close double, volume double")
+
+
+def by_bar(df, name):
+    found = {}
+    for r in df.select("symbol", "ts", "open", "high", "low", "close", "volume", name).collect():
+        found[tuple(r)[:7]] = r[name]
+    return found
+
+
+TYPES = [Spec(n, {"ma_type": t}, f"{n}{t}") for n in ("ma", "apo", "ppo", "stoch", "bbands") for t in (0, 1, 2, 5)] + [Spec("macdext", {"fast_type": t, "slow_type": t, "signal_type": t}, f"macdext{t}") for t in (0, 2, 3)]
+
+
+@pytest.mark.parametrize("rows", [100, 131])
+def test_all_indicators_in_blocks(spark, rows):
+    """Every indicator that runs in blocks gives what the whole series gives, however irregular its times are."""
+    b = series(spark).where("symbol = 'A' or ts % 2 = 0").distinct()
+    ordered = b.withColumn("_t", F.row_number().over(Window.partitionBy("symbol").orderBy("ts", "open", "high", "low", "close", "volume")))
+    sliding = [Spec(n) for n in sorted({*WINDOWED} - {"add", "sub", "mult", "div", "acos", "asin", "ad", "obv"})]
+    specs = sliding + [Spec(n) for n in sorted(RECURSIVE) if not n.startswith("ht_") and n not in ("mama", "sar", "sarext", "ma", "macdext", "macd", "bbands", "stoch")] + TYPES
+    specs += [Spec("ad"), Spec("obv"), Spec("kama", {"period": 4}, "quick"), Spec("trix", {"period": 3}, "short"), Spec("adxr", {"period": 5}, "calm"), Spec("macd", {"fast": 5, "slow": 3, "signal": 4}, "turned"), Spec("dema", {"period": 7}, "mid", "hlc3")]
+    specs += [Spec(n) for n in sorted(PATTERNS)[:: 8 if rows > 100 else 11]]
+    specs = list({s.prefix: s for s in specs}.values())
+    one, many = I.compute(ordered, specs, order="_t").persist(), I.compute(b, specs, seconds=3600, rows=rows).persist()
+    names = [c for c in many.columns if c not in b.columns]
+    assert sorted(names) == sorted(c for c in one.columns if c not in (*b.columns, "_t"))
+    key = lambda r: (r.symbol, r.ts, r.open, r.close)
+    want, got = ({key(r): r for r in df.collect()} for df in (one, many))
+    assert want.keys() == got.keys() and len(got) > 3 * rows
+    for name in names:
+        for k, r in want.items():
+            x, y = r[name], got[k][name]
+            assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, rel=1e-7, abs=1e-7)), (name, k, x, y)
+
+
+def test_blocks_are_tasks(spark):
+    """The plan of blocked windows deals out blocks, and no window spans a whole series."""
+    b = series(spark)
+    df = I.compute(b, [Spec("sma", {"period": 5}), Spec("cdldoji")], seconds=3600, rows=128)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "_offset" not in line and "sum(_n" not in line]
+    assert windows and all("_block" in line or "_coarse" in line for line in windows)
