@@ -13,6 +13,7 @@ from .operators import bars as B
 from .operators import bricks, montecarlo, regimes, signals
 from .operators.opencross import SurfaceConfig, surface
 from .plans import backtest as P
+from .plans import blockwise
 from .plans import search as G
 from .plans import validation as V
 from .sources.exchange import ExchangeBars
@@ -88,8 +89,11 @@ class Engine:
     def regime(self, symbol: str | None = None, timeframe: str = "1h", kind: str = "trend", **options) -> DataFrame:
         return {"trend": regimes.trend, "adx": regimes.adx, "volatility": regimes.volatility, "combined": regimes.combined}[kind](self.bars(symbol, timeframe), **options)
 
-    def backtest(self, runs: list[P.Run], symbol: str | None = None, timeframe: str = "1h", execution: str | None = None, settings: P.Settings = P.Settings()) -> DataFrame:
+    def backtest(self, runs: list[P.Run], symbol: str | None = None, timeframe: str = "1h", execution: str | None = None, settings: P.Settings = P.Settings(), in_blocks: bool = False) -> DataFrame:
+        """Trades and equity points; ``in_blocks`` deals each series to many tasks, which pays off for long ones."""
         base = self.bars(symbol, timeframe)
+        if in_blocks and execution is None:
+            return blockwise.backtest_blocks(base, runs, B.TIMEFRAMES[timeframe], settings)
         if execution is None:
             return P.backtest(base, runs, settings)
         fine = self.bars(symbol, execution)

@@ -61,17 +61,22 @@ def bundle(bars: DataFrame, base: str, timeframes: list[str]) -> DataFrame:
     return out
 
 
-def as_of_higher(bars: DataFrame, higher: DataFrame, seconds: int, columns: list[str]) -> DataFrame:
+def as_of_higher(bars: DataFrame, higher: DataFrame, seconds: int, columns: list[str], block_bars: int = 512) -> DataFrame:
     """Each bar with the columns of the last *closed* higher bar (prefix ``h_``).
 
-    One union and one running window per symbol instead of a range join.
+    Time is cut into blocks of ``block_bars`` higher bars. Within a block one running window fills
+    bars from the higher bars that close in it; what closed before a block is one carried row.
     """
+    block = F.floor(F.col("ts") / (seconds * block_bars)).alias("_block")
     closed = higher.select("symbol", (F.col("ts") + seconds).alias("ts"), F.lit(0).alias("_own"), F.struct(*columns).alias("_h"))
     own = bars.select("symbol", "ts", F.lit(1).alias("_own"), F.lit(None).cast(closed.schema["_h"].dataType).alias("_h"), F.struct(*[c for c in bars.columns if c not in ("symbol", "ts")]).alias("_b"))
-    both = closed.withColumn("_b", F.lit(None).cast(own.schema["_b"].dataType)).unionByName(own)
-    seen = Window.partitionBy("symbol").orderBy("ts", "_own").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("_h", F.last("_h", ignorenulls=True).over(seen)).where("_own = 1")
-    return filled.select("symbol", "ts", "_b.*", *[F.col(f"_h.{c}").alias(f"h_{c}") for c in columns])
+    both = closed.withColumn("_b", F.lit(None).cast(own.schema["_b"].dataType)).unionByName(own).select("*", block)
+    ends = both.groupBy("symbol", "_block").agg(F.max_by("_h", F.when(F.col("_own") == 0, F.col("ts"))).alias("_end"))
+    earlier = Window.partitionBy("symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("symbol", "_block", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
+    seen = Window.partitionBy("symbol", "_block").orderBy("ts", "_own").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("_h", F.last("_h", ignorenulls=True).over(seen)).where("_own = 1").join(carry, ["symbol", "_block"])
+    return filled.withColumn("_h", F.coalesce("_h", "_carry")).select("symbol", "ts", "_b.*", *[F.col(f"_h.{c}").alias(f"h_{c}") for c in columns])
 
 
 def merge_latest(sources: list[DataFrame]) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from ..functions import kernels as K
+from ..functions.indicators import Spec
 
 Arrays = dict[str, np.ndarray]
 
@@ -147,3 +148,40 @@ def breakout(b: Arrays, p: dict) -> Arrays:
     top = np.array([b["high"][max(0, i - n + 1) : i + 1].max() if i >= n - 1 else np.nan for i in range(len(b["close"]))])
     bottom = np.array([b["low"][max(0, i - m + 1) : i + 1].min() if i >= m - 1 else np.nan for i in range(len(b["close"]))])
     return {"entry": crosses_above(b["close"], top), "exit": crosses_below(b["close"], bottom), "stop": b["close"] - K.atr(b, p["atrPeriod"])["atr"] * p["atrMultiplier"]}
+
+
+@dataclass(frozen=True)
+class Columnar:
+    """A strategy over indicators that are columns: which, and signals from their values and those of the bar before."""
+
+    specs: Callable[[dict], dict[str, Spec]]
+    signals: Callable[[Arrays, dict], Arrays]
+
+
+def _mean_pair(kind: str) -> Columnar:
+    return Columnar(lambda p: {"f": Spec(kind, {"period": p["fastPeriod"]}), "s": Spec(kind, {"period": p["slowPeriod"]})}, lambda v, _: _crossover(v["f"], v["s"]))
+
+
+#: Strategies that can run block by block, by alias; they give the signals of the functions above.
+COLUMNAR: dict[str, Columnar] = {
+    "sma_crossover": _mean_pair("sma"),
+    "ema_crossover": _mean_pair("ema"),
+    "macd_crossover": Columnar(lambda p: {"m": Spec("macd", {"fast": p["fastPeriod"], "slow": p["slowPeriod"], "signal": p["signalPeriod"]})}, lambda v, _: _crossover(v["m_macd"], v["m_signal"])),
+    "stoch_reversal": Columnar(lambda p: {"k": Spec("stoch", {"fast_k": p["fastKPeriod"], "slow_k": p["slowKPeriod"], "slow_d": p["slowDPeriod"]})}, lambda v, _: _crossover(v["k_slowk"], v["k_slowd"])),
+    "rsi_reversal": Columnar(
+        lambda p: {"r": Spec("rsi", {"period": p["rsiPeriod"]})},
+        lambda v, p: {"entry": (v["r"] < p["oversoldThreshold"]) & (v["r"] > _lag(v["r"])), "exit": (v["r"] > p["overboughtThreshold"]) & (v["r"] < _lag(v["r"]))},
+    ),
+    "bb_reversal": Columnar(
+        lambda p: {"b": Spec("bbands", {"period": p["period"], "up": p["stdDev"], "down": p["stdDev"]})},
+        lambda v, _: {"entry": crosses_below(v["close"], v["b_lower"]), "exit": crosses_above(v["close"], v["b_middle"])},
+    ),
+    "adx_trend_pullback": Columnar(
+        lambda p: {"a": Spec("adx", {"period": p["adxPeriod"]}), "r": Spec("rsi", {"period": p["rsiPeriod"]})},
+        lambda v, p: {"entry": (v["a"] > p["adxThreshold"]) & (v["r"] < p["rsiPullbackLevel"]) & (v["r"] > _lag(v["r"])), "exit": (v["a"] < p["adxThreshold"]) | (v["r"] > p["rsiOverboughtLevel"])},
+    ),
+    "breakout": Columnar(
+        lambda p: {"t": Spec("max", {"period": p["lookback"]}, source="high"), "l": Spec("min", {"period": max(5, p["lookback"] // 2)}, source="low"), "a": Spec("atr", {"period": p["atrPeriod"]})},
+        lambda v, p: {"entry": crosses_above(v["close"], v["t"]), "exit": crosses_below(v["close"], v["l"]), "stop": v["close"] - v["a"] * p["atrMultiplier"]},
+    ),
+}

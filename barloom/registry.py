@@ -24,6 +24,7 @@ from .operators import bricks, montecarlo, regimes, signals
 from .operators import opencross as X
 from .operators import statistics as S
 from .plans import backtest as P
+from .plans import blockwise
 from .plans import search as G
 from .plans import validation as V
 from .plans.strategies import REGISTRY
@@ -937,6 +938,15 @@ def backtest_trades(spark, d):
     return rounded(P.trades_of(P.backtest(event_bars(spark, d), _FIVE)))
 
 
+_TRADES_SQL = _SQL["backtest_trades"]
+
+
+@query("backtest_blocks", _TRADES_SQL)
+def backtest_blocks(spark, d):
+    """The same trades, simulated in blocks of 50 bars."""
+    return rounded(P.trades_of(blockwise.backtest_blocks(event_bars(spark, d), _FIVE, 3600, rows=50)))
+
+
 _FIGURES = (*P._CURVE, *P._TRADES)
 _WHOLE = set(P._WHOLE)
 

@@ -112,3 +112,14 @@ def test_renko_in_blocks(spark, rows):
     for k, r in one.items():
         assert (r.ts, r.volume) == (many[k].ts, many[k].volume)
         assert [r.open, r.high, r.low, r.close] == pytest.approx([many[k].open, many[k].high, many[k].low, many[k].close])
+
+
+@pytest.mark.parametrize("block_bars", [1, 3, 512])
+def test_as_of_in_blocks(spark, block_bars):
+    """Any size of blocks gives the last closed higher bar, also where blocks in between have none."""
+    times = [0, 60, 120, 600, 660, 5000, 5060, 90_000, 90_060]
+    bars = spark.createDataFrame([(s, t, float(t)) for s in "AB" for t in times if s == "A" or t < 700], "symbol string, ts long, close double")
+    higher = spark.createDataFrame([(s, t, float(t)) for s in "AB" for t in (0, 120, 600, 4920)], "symbol string, ts long, close double")
+    got = {(r.symbol, r.ts): r.h_close for r in B.as_of_higher(bars, higher, 120, ["close"], block_bars).collect()}
+    want = {(s, t): max([float(h) for h in (0, 120, 600, 4920) if h + 120 <= t], default=None) for s, t in got}
+    assert got == want and len(got) == 14
