@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,70 @@ def _exits(held: DataFrame, before: str) -> DataFrame:
     return held.withColumn("trail", trail).withColumn("reason", reason).select("signal_id", "ts", "mark", "reason", price.alias("price"))
 
 
+#: Nodes below a node of the pyramid of extremes, and its levels above the blocks.
+FAN, LEVELS = 32, 2
+
+
+def _pyramid(own: DataFrame) -> DataFrame:
+    """Extremes of blocks of time, of ``FAN`` blocks together, and so on: one row per symbol, level and node."""
+    ends = lambda: [F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"), F.max("_top").alias("_top"), F.min("_bottom").alias("_bottom")]
+    blocks = own.groupBy("symbol", "_block").agg(F.max("high").alias("_hi"), F.min("low").alias("_lo"), F.max("close").alias("_top"), F.min("close").alias("_bottom"))
+    above = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("_block") / FAN**k).alias("node")) for k in range(LEVELS + 1)]))
+    return blocks.withColumn("_at", above).groupBy("symbol", F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node")).agg(*ends())
+
+
+def _yes(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def _judged(nodes: DataFrame, keys: list[str], given: str) -> DataFrame:
+    """Nodes of signals with the mark before each, and whether a level is touched in it for sure, or may be.
+
+    Nodes with the same ``keys`` follow each other in time (``_from``); ``given`` is the mark before the first of them.
+    """
+    long = F.col("direction") == "long"
+    w = Window.partitionBy(*keys).orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.when(long, F.greatest(given, F.max("_hi").over(w))).otherwise(F.least(given, F.min("_lo").over(w)))
+    nodes = nodes.withColumn("_before", before)
+    sure = _yes(F.when(long, F.col("_lo") <= F.col("stop_loss")).otherwise(F.col("_hi") >= F.col("stop_loss"))) | _yes(F.when(long, F.col("_hi") >= F.col("take_profit")).otherwise(F.col("_lo") <= F.col("take_profit")))
+    # the trail is nearest with the node's own extreme and the least distance that its closes allow
+    near = F.when(F.col("trailing_percent") >= 0, F.col("_bottom")).otherwise(F.col("_top")) * F.col("trailing_percent") / 100
+    maybe = _yes(F.when(long, F.col("_lo") <= F.greatest("_before", "_hi") - near).otherwise(F.col("_hi") >= F.least("_before", "_lo") + near))
+    first = F.min(F.when(F.col("_sure"), F.col("_from"))).over(Window.partitionBy(*keys))
+    nodes = nodes.withColumn("_sure", sure).withColumn("_maybe", sure | maybe)
+    return nodes.withColumn("_upto", first).where(F.col("_maybe") & (F.col("_upto").isNull() | (F.col("_from") <= F.col("_upto"))))
+
+
+def _descended(known: DataFrame, pyramid: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Blocks after each signal's entry block in which a level may be touched, up to the first in which one surely
+    is; and all nodes that were looked at first, which together cover the time after the entry block."""
+    siblings = []
+    for k in range(LEVELS):  # nodes to the right below the same parent; at the top all nodes to the right
+        own, parent = F.floor(F.col("_entry_block") / FAN**k), F.floor(F.col("_entry_block") / FAN ** (k + 1))
+        last = parent * FAN + FAN - 1
+        range_ = F.when(own < last, F.sequence(own + 1, last)).otherwise(F.array().cast("array<bigint>"))
+        siblings.append(known.select("symbol", *names, "_mark0", F.lit(k).alias("_level"), F.explode(range_).alias("_node")))
+    right = siblings[0]
+    for other in siblings[1:]:
+        right = right.unionByName(other)
+    found = right.join(pyramid, ["symbol", "_level", "_node"])
+    top = pyramid.where(F.col("_level") == LEVELS).withColumnRenamed("_node", "_over")
+    beyond = known.select("symbol", *names, "_mark0", "_entry_block").join(top, "symbol").where(F.col("_over") > F.floor(F.col("_entry_block") / FAN**LEVELS))
+    found = found.unionByName(beyond.withColumnRenamed("_over", "_node").drop("_entry_block"))
+    spans = F.element_at(F.create_map(*[x for k in range(LEVELS + 1) for x in (F.lit(k), F.lit(FAN**k))]), F.col("_level"))
+    found = found.withColumn("_from", F.col("_node") * spans)
+    chosen = _judged(found, ["signal_id"], "_mark0")
+    kept = ["symbol", *names, "_level", "_node", "_from", "_before"]
+    chosen = chosen.select(*kept)
+    for k in range(LEVELS, 0, -1):
+        below = F.explode(F.sequence(F.col("_node") * FAN, F.col("_node") * FAN + FAN - 1))
+        parents = chosen.where(F.col("_level") == k).withColumn("_parent", F.col("_from")).withColumnRenamed("_before", "_given")
+        children = parents.withColumn("_child", below).drop("_node", "_level", "_from").withColumnRenamed("_child", "_node").withColumn("_level", F.lit(k - 1))
+        children = children.join(pyramid, ["symbol", "_level", "_node"]).withColumn("_from", F.col("_node") * FAN ** (k - 1))
+        chosen = chosen.where(F.col("_level") < k).unionByName(_judged(children, ["signal_id", "_parent"], "_given").select(*kept))
+    return chosen, found
+
+
 def evaluate(signals: DataFrame, bars: DataFrame, block_seconds: int = DAY) -> DataFrame:
     """Outcome of each signal over the bars from its entry on.
 
@@ -33,39 +97,26 @@ def evaluate(signals: DataFrame, bars: DataFrame, block_seconds: int = DAY) -> D
     then the stop loss, the trailing stop and the take profit are tested in this order. A signal that touches nothing stays
     open, and its water mark is carried on.
 
-    Signals meet blocks of time, of which the extremes tell whether a level may be
-    touched; only the bars of the entry's block and of such blocks, up to the first that
-    surely touches one, are joined and tested one by one.
+    Signals meet a pyramid of extremes: blocks of time, ``FAN`` blocks together, and so on. The time after a
+    signal's block is covered by a few nodes of each level; those in which a level may
+    be touched are opened level by level, down to the blocks whose bars are tested one by
+    one. So the rows that a signal meets grow with the logarithm of the series.
     """
     long = F.col("direction") == "long"
     block = lambda c: F.floor(F.col(c) / block_seconds)
-    start = F.coalesce("high_water_mark", "entry_price")
-    placed = signals.withColumn("_entry_block", block("entry_ts")).withColumn("_start", start)
+    names = ["signal_id", "direction", "stop_loss", "take_profit", "trailing_percent"]
+    placed = signals.withColumn("_entry_block", block("entry_ts")).withColumn("_start", F.coalesce("high_water_mark", "entry_price"))
     own = bars.select("symbol", "ts", "high", "low", "close").withColumn("_block", block("ts"))
-    blocks = own.groupBy("symbol", "_block").agg(F.max("high").alias("_hi"), F.min("low").alias("_lo"), F.max("close").alias("_top"), F.min("close").alias("_bottom"), F.count("*").alias("_n"))
 
     first = placed.join(own.withColumnRenamed("_block", "_entry_block"), ["symbol", "_entry_block"]).where("ts >= entry_ts").withColumn("_block", F.col("_entry_block"))
-    begun = first.groupBy("signal_id").agg(F.max("high").alias("_hi0"), F.min("low").alias("_lo0"), F.count("*").alias("_n0"))
-    known = placed.join(begun, "signal_id", "left")
-    after = known.join(blocks, "symbol").where("_block > _entry_block")
-    w = Window.partitionBy("signal_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.when(long, F.greatest("_start", "_hi0", F.max("_hi").over(w))).otherwise(F.least("_start", "_lo0", F.min("_lo").over(w)))
-    after = after.withColumn("_before", before)
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    sure = yes(F.when(long, (F.col("_lo") <= F.col("stop_loss"))).otherwise(F.col("_hi") >= F.col("stop_loss"))) | yes(F.when(long, F.col("_hi") >= F.col("take_profit")).otherwise(F.col("_lo") <= F.col("take_profit")))
-    # the trail is nearest with the block's own extreme and the least distance that its closes allow
-    share = F.col("trailing_percent") / 100
-    near = F.when(F.col("trailing_percent") >= 0, F.col("_bottom")).otherwise(F.col("_top")) * share
-    maybe = yes(F.when(long, F.col("_lo") <= F.greatest("_before", "_hi") - near).otherwise(F.col("_hi") >= F.least("_before", "_lo") + near))
-    told = after.withColumn("_sure", sure).withColumn("_maybe", sure | maybe)
-    upto = F.min(F.when(F.col("_sure"), F.col("_block"))).over(Window.partitionBy("signal_id"))
-    chosen = told.withColumn("_upto", upto).where(F.col("_maybe") & (F.col("_upto").isNull() | (F.col("_block") <= F.col("_upto"))))
-    names = ["signal_id", "direction", "stop_loss", "take_profit", "trailing_percent"]
-    later = chosen.select("symbol", "_block", "_before", *names).join(own, ["symbol", "_block"])
+    begun = first.groupBy("signal_id").agg(F.max("high").alias("_hi0"), F.min("low").alias("_lo0"))
+    known = placed.join(begun, "signal_id", "left").withColumn("_mark0", F.when(long, F.greatest("_start", "_hi0")).otherwise(F.least("_start", "_lo0")))
+    chosen, after = _descended(known, _pyramid(own), names)
+    later = chosen.select("symbol", F.col("_node").alias("_block"), "_before", *names).join(own, ["symbol", "_block"])
     tested = _exits(first.select(*names, "_block", F.col("_start").alias("_before"), "ts", "high", "low", "close"), "_before").unionByName(_exits(later.select(*names, "_block", "_before", "ts", "high", "low", "close"), "_before"))
     exits = tested.where("reason is not null").groupBy("signal_id").agg(F.min_by(F.struct("reason", "price", "ts", "mark"), "ts").alias("exit"))
-    ends = told.groupBy("signal_id").agg(F.max("_hi").alias("_hi1"), F.min("_lo").alias("_lo1"))
-    last = F.when(long, F.greatest("_start", "_hi0", "_hi1")).otherwise(F.least("_start", "_lo0", "_lo1"))
+    ends = after.groupBy("signal_id").agg(F.max("_hi").alias("_hi1"), F.min("_lo").alias("_lo1"))
+    last = F.when(long, F.greatest("_mark0", "_hi1")).otherwise(F.least("_mark0", "_lo1"))
     sign = F.when(long, 1).otherwise(-1)
     done = known.join(ends, "signal_id", "left").join(exits, "signal_id", "left").withColumn("last_mark", last)
     done = done.withColumn("pnl_percent", sign * F.try_divide(F.col("exit.price") - F.col("entry_price"), F.col("entry_price")) * 100)
