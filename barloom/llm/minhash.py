@@ -35,7 +35,7 @@ from . import skew  # noqa: F401
 from .components import connected_components
 from .idfilter import marked
 from .skew import hot_keys, join_split
-from .storage import Scratch, discard, free_name, materialise
+from .storage import Scratch, discard, free_name, materialise, unbroadcast
 from .textscan import U64, Powers, chunks, mix, scan, shingle_sets, space_words
 
 BANDS, ROWS, WIDTH = 24, 4, 5
@@ -177,7 +177,11 @@ def _confirm(percent: int):
 
 
 class _Linker:
-    """Verifies candidate pairs of class representatives."""
+    """Verifies candidate pairs of class representatives.
+
+    A bucket's pairs all have its least member on one side, so the rows of such a member are
+    dealt over salts, and its one signature or set is repeated.
+    """
 
     def __init__(self, reps: DataFrame, sets: DataFrame, percent: int) -> None:
         self.reps, self.sets, self.percent = reps, sets, percent
@@ -188,12 +192,17 @@ class _Linker:
         u = side.toDF("u", "n_u", "sig_u")
         v = side.toDF("v", "n_v", "sig_v")
         close = (100 * F.least("n_u", "n_v") >= self.percent * F.greatest("n_u", "n_v"))
-        return pairs.join(u, "u").join(v, "v").where(close).select("u", "v", "sig_u", "sig_v").mapInArrow(_estimate(self.percent / 100, BANDS * ROWS), "u long, v long")
+        return self._beside(pairs, u).join(v, "v").where(close).select("u", "v", "sig_u", "sig_v").mapInArrow(_estimate(self.percent / 100, BANDS * ROWS), "u long, v long")
+
+    @staticmethod
+    def _beside(pairs: DataFrame, u: DataFrame) -> DataFrame:
+        hot = hot_keys(pairs.groupBy("u").agg(F.count("*").alias("n")), "u", "n")
+        return join_split(pairs, u, ["u"], "u", hot, "v")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets meet the threshold."""
         u, v = self.sets.toDF("u", "set_u"), self.sets.toDF("v", "set_v")
-        return pairs.join(u, "u").join(v, "v").select("u", "v", "set_u", "set_v").mapInArrow(_confirm(self.percent), "u long, v long")
+        return self._beside(pairs, u).join(v, "v").select("u", "v", "set_u", "set_v").mapInArrow(_confirm(self.percent), "u long, v long")
 
 
 def _labelled(table: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
@@ -354,6 +363,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     A row whose doc_id is null gets a null component and is kept. A very long text is
     signed in blocks of shingles. An empty table gives no rows.
     """
+    with unbroadcast(docs.sparkSession):
+        return _components(docs, percent, width)
+
+
+def _components(docs: DataFrame, percent: int, width: int) -> DataFrame:
     rows, edges, repeats, scratch = _linked(_shaped(docs), percent, width)
     if repeats:  # the texts of a repeated id are one node here
         several = rows.where("node <> doc_id and n_shingles > 0").select("node", "doc_id").distinct()
@@ -372,8 +386,14 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFram
     Texts that share a doc_id, but are not near each other, are documents of their own.
     Of rows with the same id and set of shingles one stays (the least by a hash of all
     columns). Rows without an id or without words stay, all of them, and so does an
-    empty table. Other columns are kept, whatever their names.
+    empty table. A very long text is signed in blocks of shingles. Other columns are kept,
+    whatever their names.
     """
+    with unbroadcast(docs.sparkSession):
+        return _kept(docs, percent, width)
+
+
+def _kept(docs: DataFrame, percent: int, width: int) -> DataFrame:
     rows, edges, repeats, scratch = _linked(_shaped(docs), percent, width)
     final = connected_components(edges)
     named = rows.where("doc_id is not null and n_shingles > 0").groupBy("node", "doc_id").agg(F.count("*").alias("times"))

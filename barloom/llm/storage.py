@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
@@ -30,6 +33,24 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def unbroadcast(spark: SparkSession) -> Iterator[None]:
+    """No join of a job that runs here is turned into a broadcast by itself.
+
+    An operator of many small joins would leave a table of some megabytes (a page of memory at
+    least) in every executor for each. What a plan broadcasts by a hint is not touched.
+    """
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
+
+
 def free_name(taken: list[str], wish: str) -> str:
     """``wish``, or a longer name, that no column has (in any case)."""
     names = {c.lower() for c in taken}
