@@ -1113,6 +1113,22 @@ def export_trades(spark, d):
     return export.trades_table(P.trades_of(P.backtest(event_bars(spark, d), [P.Run("sma_crossover")])))
 
 
+@query("surface_incremental", _SQL["opencross_surface"])
+def surface_incremental(spark, d):
+    """The surface of all bars, from counts of two thirds of the days that two updates bring up to date."""
+    from .operators.surfacestore import SurfaceStore
+    from .sources.store import scratch_folder
+
+    bars = event_bars(spark, d, 60, True)
+    day = F.floor(F.col("ts") / 86400)
+    store = SurfaceStore(spark, scratch_folder(spark, "surface"), CROSS)
+    stale = bars.where(day % 3 < 2).withColumn("close", F.when(day % 3 == 1, F.col("open")).otherwise(F.col("close")))
+    store.update(stale, stale)
+    store.update(bars, bars.where(day % 3 == 1))
+    store.update(bars, bars.where(day % 3 == 2))
+    return rounded(store.surface())
+
+
 @query("streamed_bars", f"WITH {_events()} SELECT {_RBARS} FROM bars")
 def streamed_bars(spark, d):
     """Hourly bars of the events as a stream that is run to its end; each batch is merged into a versioned table."""
@@ -1125,7 +1141,7 @@ def streamed_bars(spark, d):
     ticks = stream.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
     folder = scratch_folder(spark, "stream")
     merge_into(open_bars(ticks, 3600), f"{folder}/bars", f"{folder}/checkpoint", "update").awaitTermination()
-    return rounded(merged(spark, f"{folder}/bars", "symbol string, ts long, open double, high double, low double, close double, volume double"))
+    return rounded(merged(spark, f"{folder}/bars"))
 
 
 def _is_folder(spark, path: str) -> bool:

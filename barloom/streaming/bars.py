@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.bars import merge_latest
 from ..operators.bricks import BRICKS, NAMES, grid_bricks, lay_bricks
+from ..sources.versions import VersionedTable
 
 
 def open_bars(ticks: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:
@@ -120,26 +120,30 @@ def trailing_stops(bars: DataFrame, percent: float) -> DataFrame:
     return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts long, mark double, level double, hit boolean", "mark double", "append", GroupStateTimeout.NoTimeout)
 
 
-def merge_into(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Keep a Parquet table of bars in which the newest version of a bar wins.
+BARS = "symbol string, ts long, open double, high double, low double, close double, volume double"
 
-    Each batch writes a new version beside the old one and publishes it by its number,
-    so a batch that is run again gives the same table.
+
+def merge_into(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", period: int = 86400) -> StreamingQuery:
+    """Keep a table of bars in which the newest version of a bar wins, in versions.
+
+    Each batch writes the periods that its bars fall into and publishes a version; readers
+    of an earlier one are not disturbed. A batch that is run again is left out.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = f"{path}/version={number - 1}"
-        old = spark.read.schema(batch.schema).parquet(before) if number > 0 else spark.createDataFrame([], batch.schema)
-        merge_latest([old, batch]).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/version={number}")
+        batch = batch.persist()
+        try:
+            VersionedTable(batch.sparkSession, path, _ddl(batch), period).merge(batch, number)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merged(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
+def merged(spark: SparkSession, path: str, schema: str = BARS, period: int = 86400) -> DataFrame:
     """The latest version of a table of :func:`merge_into`; empty if there is none."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
-    versions = [int(n.partition("=")[2]) for n in names if n.startswith("version=")]
-    return spark.read.schema(schema).parquet(f"{path}/version={max(versions)}") if versions else spark.createDataFrame([], schema)
+    return VersionedTable(spark, path, schema, period).read()

@@ -103,4 +103,4 @@ def test_merge_into(spark, tmp_path):
     b = make_bars(spark, [1, 2, 3])
     df = batches(spark, tmp_path, b, [(0, 300)])
     stream.merge_into(df, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "t/version=0")).count() == 3
+    assert stream.merged(spark, str(tmp_path / "t")).count() == 3
