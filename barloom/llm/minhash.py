@@ -211,33 +211,52 @@ def _labelled(table: DataFrame, labels: DataFrame, key: str, name: str) -> DataF
     return table.join(named, key, "left").withColumn(name, F.coalesce("_c", key)).drop("_c")
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Counters of the table of token frequencies; tokens share them when there are more.
+COUNTERS = 1 << 20
+
+
+def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for doc, blob in zip(_column(batch, "doc_id").to_pylist(), _column(batch, "shingles"), strict=True):
-            s = np.frombuffer(blob.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), doc, np.int64)), pa.array(np.full(len(s), len(s), np.int64))], names=["token", "doc_id", "n"])
+        if batch.num_rows:
+            tokens = np.frombuffer(b"".join(batch.column(0).to_pylist()), U64)
+            counter, n = np.unique(tokens % U64(COUNTERS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(counter.astype(np.int64)), pa.array(n.astype(np.int64))], names=["counter", "n"])
+
+
+def _prefixes(shared, percent: int):
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        up = lambda numerator, divisor: -(-numerator // divisor)
+        for batch in batches:
+            for doc, blob in zip(_column(batch, "doc_id").to_pylist(), _column(batch, "shingles"), strict=True):
+                s = np.frombuffer(blob.as_buffer(), U64)
+                n, df = len(s), held[(s % U64(COUNTERS)).astype(np.int64)]
+                first = np.lexsort((s, df))[: n - up(n * percent, 100) + 1]
+                place = np.arange(len(first))
+                shared_by = df[first] > 1  # a token that no other set holds takes its place, but starts no pair
+                # of a pair the smaller set shares one of fewer tokens
+                brief = place < n - up(2 * percent * n, 100 + percent) + 1
+                columns = s[first].view(np.int64), df[first].astype(np.int64), np.full(len(first), doc, np.int64), np.full(len(first), n, np.int64), place, brief.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c[shared_by]) for c in columns], names=["token", "df", "doc_id", "n", "place", "brief"])
+
+    return prefixes
 
 
-def _rare_prefix(sets: DataFrame, ids: DataFrame, percent: int, keep=materialise) -> DataFrame:
+def _rare_prefix(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     """``token, df, doc_id, n, place, brief`` of the first tokens of each set: as many as a
     pair over the threshold must share one of.
 
-    The order is by frequency over the given ids, then by hash. A token that one
-    document alone has takes its place, but gives no row, as no other set shares it.
+    The order is by frequency over the given ids, then by hash. Frequencies are counted by
+    ``COUNTERS`` counters, a table of fixed size that is broadcast: ``df`` is the sum over the tokens of
+    a counter, so at least a token's own, and any order that all sets share loses no pair.
     """
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = sets.join(ids, "doc_id").repartition(tasks)  # crowded documents may lie in few files
-    member = chosen.mapInArrow(_tokens, "token long, doc_id long, n long")
-    df = keep(member.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("owner")), "frequencies")
-    alone = df.where("df = 1").groupBy(F.col("owner").alias("doc_id")).agg(F.count("*").alias("alone"))
-    own = Window.partitionBy("doc_id").orderBy("df", "token")
-    ranked = member.join(df.where("df > 1").select("token", "df"), "token").withColumn("rank", F.row_number().over(own) - 1)
-    placed = ranked.join(alone, "doc_id", "left").withColumn("place", F.col("rank") + F.coalesce("alone", F.lit(0)))
-    up = lambda numerator, divisor: F.floor((numerator + divisor - 1) / divisor)
-    n = F.col("n")
-    # of a pair the smaller set shares one of fewer tokens
-    brief = F.col("place") < n - up(2 * percent * n, 100 + percent) + 1
-    return placed.where(F.col("place") < n - up(n * percent, 100) + 1).select("token", "df", "doc_id", "n", F.col("place").cast("long").alias("place"), brief.cast("long").alias("brief"))
+    counted = chosen.select("shingles").mapInArrow(_counters, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # at most a row per counter
+    held = np.zeros(COUNTERS, np.int32)
+    held[counted["counter"].to_numpy(np.int64)] = np.minimum(counted["n"].to_numpy(np.int64), 1 << 30)
+    shared = sets.sparkSession.sparkContext.broadcast(held)
+    return chosen.select("doc_id", "shingles").mapInArrow(_prefixes(shared, percent), "token long, df long, doc_id long, n long, place long, brief long")
 
 
 def _could_link(percent: int):
@@ -313,7 +332,7 @@ def _linked(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataF
     listed = mine.join(other, "key").where("u < v and cu <> cv").select("u", "v").distinct()
 
     crowd = open_.where(F.col("members") > LISTED).select("doc_id", "component").distinct()
-    prefix = keep(_rare_prefix(sets, crowd.select("doc_id").distinct(), percent, keep).join(crowd, "doc_id"), "prefix")
+    prefix = keep(_rare_prefix(sets, crowd.select("doc_id").distinct(), percent).join(crowd, "doc_id"), "prefix")
     left = F.col("token"), F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("place").alias("pu")
     right = F.col("token"), F.col("doc_id").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("place").alias("pv")
     rare = prefix.where(F.col("df") <= LISTED)
