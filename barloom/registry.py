@@ -1113,6 +1113,17 @@ def export_trades(spark, d):
     return export.trades_table(P.trades_of(P.backtest(event_bars(spark, d), [P.Run("sma_crossover")])))
 
 
+@query("binary_bars", f"WITH {_events()} SELECT {_RBARS} FROM bars WHERE bars.ts BETWEEN 1704153600 AND 1705363200")
+def binary_bars(spark, d):
+    """Bars written to archives of fixed-length records, and a range of time read back from them."""
+    from .sources import barfiles
+    from .sources.store import scratch_folder
+
+    folder = scratch_folder(spark, "archives")
+    barfiles.write(event_bars(spark, d), folder, "1h", bars_per_file=200)
+    return rounded(barfiles.read(spark, folder, 1704153600, 1705363200).drop("timeframe", "data_type"))
+
+
 @query("surface_incremental", _SQL["opencross_surface"])
 def surface_incremental(spark, d):
     """The surface of all bars, from counts of two thirds of the days that two updates bring up to date."""
