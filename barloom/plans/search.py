@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+import hashlib
 import json
 import random
 from collections.abc import Callable, Iterator
@@ -167,21 +168,79 @@ def optimise(bars: DataFrame, strategy: str, sets: list[Params], goal: str = "sh
     return stats.orderBy(F.desc("score"), "run_id", "symbol").limit(top)
 
 
-def optimise_genetic(bars: DataFrame, strategy: str, space: Space, goal: str = "sharpe_ratio", population: int = 20, generations: int = 5, seed: int = 0, settings: Settings = Settings(), seconds: int = 3600) -> tuple[Params, float]:
-    """Best set and score; one Spark job per generation, of which one score per member reaches the driver."""
+def optimise_genetic(bars: DataFrame, strategy: str, space: Space, goal: str = "sharpe_ratio", population: int = 20, generations: int = 5, seed: int = 0, settings: Settings = Settings(), seconds: int = 3600, journal: Journal | None = None) -> tuple[Params, float]:
+    """Best set and score; one Spark job per generation, of which one score per member reaches the driver.
+
+    With a ``journal`` each generation is recorded when its scores are known. A search that
+    finds generations of the same search there goes on after the last of them, with the same random
+    stream, and ends as one that was never stopped.
+    """
     search, best = Genetic(space, population, generations, seed), ({}, float("-inf"))
+    told = {"strategy": strategy, "goal": goal, "population": population, "seed": seed, "space": {k: [d.low, d.high, d.step] for k, d in sorted(space.items())}}
+    last = journal.last(told) if journal else None
+    if last:
+        search.restore(last["state"])
+        best = (last["best"], last["score"])
     bars = bars.persist()
     try:
-        for _ in range(generations):
-            stats = evaluate(bars, strategy, search.members, settings, seconds).where("total_trades > 0")
-            found = {r["run_id"]: r["s"] for r in stats.groupBy("run_id").agg(F.avg(objective(goal)()).alias("s")).collect()}
-            scores = [found.get(Run(strategy, m).run_id, float("-inf")) for m in search.members]
-            i = max(range(len(scores)), key=scores.__getitem__)
-            best = max(best, (search.members[i], scores[i]), key=lambda x: x[1])
+        while search.generation < generations:
+            members = search.members
+            runs = [Run(strategy, m) for m in members]
+            stats = evaluate(bars, strategy, members, settings, seconds).where("total_trades > 0").withColumn("score", objective(goal)())
+            found = {r["run_id"]: r["score"] for r in stats.groupBy("run_id").agg(F.avg("score").alias("score")).collect()}
+            scores = [found.get(r.run_id) for r in runs]
+            scores = [float("-inf") if s is None or s != s else s for s in scores]
+            top = max(range(len(members)), key=lambda i: scores[i])
+            best = (dict(members[top]), scores[top]) if scores[top] > best[1] else best
             search.evolve(scores)
+            if journal:
+                journal.record(told, {"generation": search.generation, "state": search.state(), "best": best[0], "score": best[1], "scores": scores})
+        return best
     finally:
         bars.unpersist()
-    return best
+
+
+class Journal:
+    """Generations of searches, as small files in a folder that outlives the driver.
+
+    A generation's file gets its name when it is complete, so a search that is stopped at any
+    time leaves whole generations only. Searches of other parameters have folders of their own.
+    """
+
+    def __init__(self, spark, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _folder(self, told: dict) -> str:
+        return f"{self.path}/{hashlib.sha256(json.dumps(told, sort_keys=True).encode()).hexdigest()[:32]}"
+
+    def record(self, told: dict, entry: dict) -> None:
+        folder = self._folder(told)
+        hidden, name = (self._hadoop.Path(f"{folder}/{n}{entry['generation']:06d}.json") for n in (".", ""))
+        out = self._fs.create(hidden, True)
+        try:
+            out.write(json.dumps({"search": told} | entry).encode())
+        finally:
+            out.close()
+        self._fs.delete(name, False)
+        self._fs.rename(hidden, name)
+
+    def generations(self, told: dict) -> list[int]:
+        folder = self._hadoop.Path(self._folder(told))
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def last(self, told: dict) -> dict | None:
+        """The last whole generation of a search; None if there is none."""
+        found = self.generations(told)
+        if not found:
+            return None
+        stream = self._fs.open(self._hadoop.Path(f"{self._folder(told)}/{found[-1]:06d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
 
 def portfolio(stats: DataFrame, symbols: int, min_trades: int = 1) -> DataFrame:

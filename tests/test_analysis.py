@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import math
+import os
 import random
 
 import pytest
@@ -324,3 +325,38 @@ def test_inputs():
     assert parse_inputs(None) == {} and parse_inputs("{") is None and parse_inputs('{"a": 1}') == {"a": 1}
     with pytest.raises(KeyError):
         REGISTRY["sma_crossover"].resolve({"nope": 1})
+
+
+def test_a_stopped_search_resumes(spark, tmp_path, monkeypatch):
+    """Stopped after two generations and resumed, a search ends as one that was not stopped."""
+    space = {"fastPeriod": G.Dimension(3, 12, 1, True), "slowPeriod": G.Dimension(14, 30, 2, True)}
+    b = make_bars(spark, [100 + 10 * math.sin(i / 7) + 5 * math.sin(i / 3) for i in range(200)], step=3600)
+    search = lambda journal, n: G.optimise_genetic(b, "sma_crossover", space, "total_return_percent", 5, n, seed=4, journal=journal)
+    whole, parts = G.Journal(spark, str(tmp_path / "whole")), G.Journal(spark, str(tmp_path / "parts"))
+    want = search(whole, 4)
+    calls = []
+    plain = G.evaluate
+    monkeypatch.setattr(G, "evaluate", lambda *a, **k: calls.append(1) or plain(*a, **k))
+
+    class Stopped(Exception):
+        pass
+
+    record = parts.record
+
+    def stopping(told, entry):
+        record(told, entry)
+        if entry["generation"] == 2:
+            raise Stopped
+
+    monkeypatch.setattr(parts, "record", stopping)
+    with pytest.raises(Stopped):
+        search(parts, 4)
+    monkeypatch.setattr(parts, "record", record)
+    assert search(parts, 4) == want and len(calls) == 4
+    files = [sorted(f for f in os.listdir(d) if f.endswith(".json") and not f.startswith(".")) for p in ("whole", "parts") for d in [tmp_path / p / os.listdir(tmp_path / p)[0]]]
+    assert files[0] == files[1] and len(files[0]) == 4
+    text = [[open(next((tmp_path / p).iterdir()) / f).read() for f in files[0]] for p in ("whole", "parts")]
+    assert text[0] == text[1]
+    assert search(parts, 4) == want and len(calls) == 4  # nothing is left to do
+    other = G.optimise_genetic(b, "sma_crossover", space, "total_return_percent", 4, 1, seed=5, journal=parts)
+    assert other[1] > float("-inf") and len(list((tmp_path / "parts").iterdir())) == 2
