@@ -5,15 +5,18 @@ whatever the lines and comment marks between them. A block matches a template wh
 holds at least ``threshold`` of the template's distinct words, and all the words that
 name the license. Tokens are ordered by their frequency in the whole corpus, rarest
 first. A block can match only if it has one of a template's rarest tokens (prefix
-filter), if the text is long enough (length filter), and if the tokens in reach could
-still make up the threshold (positional filter). What passes is counted exactly, so
-every matching block is found. Of matches that overlap, the one with most words in
-common is taken: a notice is not also one of a license whose words it contains.
+filter), and if the text is long enough (length filter). Where such a token is the rarest that both
+share, rarer ones are missing: what the template has from its rank on, and what the
+words in reach have from that rank on, must still make up the threshold (positional filter). What passes is
+counted exactly, so every matching block is found. Of matches that overlap, the one with
+most words in common is taken: a notice is not also one of a license whose words it contains.
+Matches with equally many words and an equal share are ties, and all of them stay.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -167,26 +170,38 @@ class _Index:
         order = np.lexsort((self.vocabulary, frequencies))
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
+        self.rank = rank
         self.templates: list[_Template] = []
-        self.posting: dict[int, list[int]] = {}
+        self.posting: dict[int, list[tuple[int, int]]] = {}  # templates of a token, and how many of their tokens are not rarer
         for (label, _, _), words, names in zip(templates, _hashes([t for _, _, t in templates]), _hashes([m for _, m, _ in templates]), strict=True):
             tokens = sorted({int(x) for x in _slots(self.vocabulary, words)}, key=lambda x: rank[x])
             needed = math.ceil(threshold * len(tokens) - 1e-9)
-            for token in tokens[: len(tokens) - needed + 1]:
-                self.posting.setdefault(token, []).append(len(self.templates))
+            for i, token in enumerate(tokens[: len(tokens) - needed + 1]):
+                self.posting.setdefault(token, []).append((len(self.templates), len(tokens) - i))
             must = frozenset(int(x) for x in _slots(self.vocabulary, names))
             self.templates.append(_Template(label, frozenset(tokens), must, needed, len(words) + len(words) // 4))
+        self.widest = max(t.reach for t in self.templates)
         self.in_prefix = np.zeros(len(self.vocabulary), dtype=bool)
         self.in_prefix[list(self.posting)] = True
 
     def hits(self, places: np.ndarray, slots: np.ndarray, n_words: int) -> list[Hit]:
         """Matches in a text, given the places and tokens of its vocabulary words; the better of those that overlap."""
         near: dict[int, list[int]] = {}
+        ranks = self.rank[slots]
         for i in np.flatnonzero(self.in_prefix[slots]).tolist():
-            for t in self.posting[int(slots[i])]:
-                near.setdefault(t, []).append(int(places[i]))
+            place = int(places[i])
+            for t, left in self.posting[int(slots[i])]:
+                template = self.templates[t]
+                # as the rarest shared token: no rarer word in reach counts
+                lo, hi = np.searchsorted(places, (place - template.reach + 1, place + template.reach))
+                if min(left, np.count_nonzero(ranks[lo:hi] >= ranks[i])) >= template.needed:
+                    near.setdefault(t, []).append(place)
         found = [hit for t, at in near.items() if n_words >= self.templates[t].needed for hit in self._of_template(t, at, places, slots)]
-        return [x for x in found if not any(_covers(y, x) for y in found)]
+        found.sort(key=lambda h: h.start)
+        starts = [h.start for h in found]
+        # a match is no longer than the widest block, and those of a template do not overlap: few are near
+        beside = lambda h: found[bisect_left(starts, h.start - self.widest) : bisect_left(starts, h.end)]
+        return [x for x in found if not any(_covers(y, x) for y in beside(x))]
 
     def _of_template(self, t: int, at: list[int], places: np.ndarray, slots: np.ndarray) -> list[Hit]:
         template, out = self.templates[t], []
@@ -219,10 +234,13 @@ def _blocks(t: int, template: _Template, own: list[tuple[int, int]]) -> list[Hit
         count[token] -= 1
         if not count[token]:
             del count[token]
-    taken: list[Hit] = []
+    taken: list[Hit] = []  # in order of place
+    starts: list[int] = []
     for hit in sorted(hits, key=lambda h: (-h.both, h.end - h.start, h.start)):
-        if all(hit.end <= x.start or x.end <= hit.start for x in taken):
-            taken.append(hit)
+        i = bisect_left(starts, hit.start)
+        if (i == 0 or taken[i - 1].end <= hit.start) and (i == len(taken) or hit.end <= starts[i]):
+            taken.insert(i, hit)
+            starts.insert(i, hit.start)
     return taken
 
 
