@@ -74,15 +74,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that no later plan reads."""
     for table in tables:
         path = getattr(table, "_scratch", None)
         if path:
-            spark = table.sparkSession
-            jvm = spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            remove(table.sparkSession, path)
 
 
 class Scratch:

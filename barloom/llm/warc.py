@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import skew  # noqa: F401
 from .idfilter import marked
 from .skew import hot_keys, join_split
-from .storage import materialise, scratch_path
+from .storage import Scratch, materialise, remove, scratch_path
 
 #: Most pages are longer, so that their blocks lie in several records.
 SEGMENT_BYTES = 1 << 11
@@ -75,23 +75,25 @@ def _row_key(page: str = "page_id"):
     return F.xxhash64(F.coalesce(F.col(page), F.lit(NO_PAGE)), F.col("digest"))
 
 
-def plan_revisits(pages: DataFrame, least_bytes: int = REVISIT_FROM) -> DataFrame:
+def plan_revisits(pages: DataFrame, least_bytes: int = REVISIT_FROM, scratch: Scratch | None = None) -> DataFrame:
     """``page_id, url, payload, payload_bytes, digest, refers_to`` of pages with ``page_id, url, payload`` (binary).
 
     Of equal payloads of at least ``least_bytes`` the page with the largest page_id
     is stored; the others refer to it and lose their payload. Rows that repeat
     the largest page_id are all stored; a null page_id refers to the group's largest.
     Groups are found and joined by digests alone; digests that many pages share are
-    salted. Payloads are shuffled only of pages that a bitmap takes for revisits.
+    salted. Payloads are shuffled only of pages that a bitmap takes for revisits. The
+    result reads tables of digests that are cleared with ``scratch``.
     """
+    keep = (scratch or Scratch()).keep
     hashed = pages.select("page_id", "url", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("digest"))
-    narrow = materialise(hashed.drop("payload"), "digests")
+    narrow = keep(hashed.drop("payload"), "digests")
     long = narrow.where(F.col("payload_bytes") >= least_bytes)
-    shared = materialise(long.groupBy("digest").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("copies")).where("copies > 1").withColumn("digest_key", F.xxhash64("digest")), "shared")
+    shared = keep(long.groupBy("digest").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("copies")).where("copies > 1").withColumn("digest_key", F.xxhash64("digest")), "shared")
     hot = hot_keys(shared, "digest_key", "copies")
     keyed = long.withColumn("digest_key", F.xxhash64("digest"))
     again = join_split(keyed, shared.select("digest", "digest_key", "kept_id"), ["digest", "digest_key"], "digest_key", hot, "page_id")
-    again = materialise(again.where(~F.col("page_id").eqNullSafe(F.col("kept_id"))).select("page_id", "url", "payload_bytes", "digest", F.col("kept_id").alias("refers_to")), "revisits")
+    again = keep(again.where(~F.col("page_id").eqNullSafe(F.col("kept_id"))).select("page_id", "url", "payload_bytes", "digest", F.col("kept_id").alias("refers_to")), "revisits")
     keys = again.select(_row_key().alias("revisit")).distinct()
     told = marked(hashed.withColumn("row_key", _row_key()), "row_key", keys, "maybe")
     clear = told.where("not maybe").unionAll(told.where("maybe").join(again.select(F.col("page_id").alias("p"), F.col("digest").alias("d")).distinct(), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left_anti"))
@@ -396,8 +398,10 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     shaped = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
-    path = scratch_path(spark, "warc")
-    write_archives(plan_revisits(shaped), path)
+    path, scratch = scratch_path(spark, "warc"), Scratch()
+    write_archives(plan_revisits(shaped, scratch=scratch), path)
+    scratch.clear()
     segments = read_segments(spark, path)
     records = materialise(reassemble(segments, keep_payload=False).drop("payload"), "records")
+    remove(spark, path)
     return check_revisits(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments", "length_ok", "digest_ok")

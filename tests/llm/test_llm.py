@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from barloom.llm import compaction, components, decontaminate, imatch, licenses, minhash, packing, quality, textscan, tokencount, toxicity, warc  # noqa: E402
 from barloom.llm import queries as Q  # noqa: E402
-from barloom.llm.storage import scratch_path  # noqa: E402
+from barloom.llm.storage import scratch_path, shared_root  # noqa: E402
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -649,6 +650,32 @@ def test_length_histogram(spark, sf_dir, odd):
     assert tokencount.length_histogram(odd.where("false"), BYTES, public_tokenizers.PATTERN).count() == 0
 
 
+def test_many_notices_in_one_text(spark):
+    """Time grows in proportion to a text's notices."""
+    import time
+
+    notice = "Some words before it.\n# Released under the MIT License.\nLicensed under CC BY-SA 4.0.\nThis work is licensed under the GNU General Public License, version 3.\n"
+    index = licenses._Index(licenses.TEMPLATES, np.ones(len(licenses._vocabulary(licenses.TEMPLATES)), np.int64), licenses.THRESHOLD)
+    took = {}
+    for n in (1000, 8000):
+        words = textscan.scan(pa.array([notice * n], pa.large_string()), textscan.letter_words(), textscan.Powers())
+        slots = licenses._slots(index.vocabulary, words.hash)
+        places = np.flatnonzero(slots >= 0)
+        start = time.perf_counter()
+        hits = index.hits(places, slots[places], len(words.hash))
+        took[n] = time.perf_counter() - start
+        assert {index.templates[h.template].label for h in hits} == {"mit", "cc-by-sa-4.0", "gpl-3.0"} and len(hits) >= 3 * n
+    assert took[8000] < 24 * took[1000]
+
+
+def test_round_trip_leaves_no_archives(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "page " * 400 + str(i % 3)) for i in range(12)], "page_id long, url string, html string")
+    root = shared_root(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.exists(root) else set()
+    assert warc.archive_round_trip(pages).where("record_type = 'revisit' and digest_ok").count() == 9
+    assert [d.split("-")[1] for d in set(os.listdir(root)) - before] == ["records"]
+
+
 @pytest.mark.parametrize("space", [" ", "\n", " \n\t", "\xa0", "\u2003"])
 def test_long_white_space(spark, monkeypatch, space):
     """Runs over which the pattern recurses; shorter ones give the ids of the whole text."""
