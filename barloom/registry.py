@@ -23,6 +23,7 @@ from .operators import bars as B
 from .operators import bricks, montecarlo, regimes, signals
 from .operators import opencross as X
 from .operators import statistics as S
+from .operators.orders import Commission, MaxBars, Sizing, TrailingStop, condition_exit, static_stop, static_target
 from .plans import backtest as P
 from .plans import blockwise
 from .plans import search as G
@@ -947,18 +948,76 @@ def backtest_blocks(spark, d):
     return rounded(P.trades_of(blockwise.backtest_blocks(event_bars(spark, d), _FIVE, 3600, rows=50)))
 
 
+#: Thresholds that hourly bars of the events reach, so that the strategies trade.
+_LOOSE = [P.Run(n, {"rsi_reversal": {"oversoldThreshold": 45, "overboughtThreshold": 55}, "bb_reversal": {"stdDev": 1.0}, "adx_trend_pullback": {"adxThreshold": 15, "rsiPullbackLevel": 50}}.get(n)) for n in sorted(REGISTRY)]
+_RANGED = f"q0 AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER {_W}), abs(low - lag(close) OVER {_W})) AS tr0 FROM n), q AS MATERIALIZED (SELECT * EXCLUDE (tr0), {smooth_sql.wilder('tr0', 14)} AS rng FROM q0)"
+_LOOSE_SQL = loop_sql.all_strategies({r.strategy: r.run_id for r in _LOOSE}, "q", "rng", 45, 55, 1.0, 15, 50)
+
+
+def _account(rules: loop_sql.Rules, signals: str = _LOOSE_SQL) -> str:
+    """Common tables up to the trades ``t`` of an account with these rules."""
+    return f"WITH RECURSIVE {_events()}, {_NUM}, {_RANGED}, {smooth_sql.directional(source='q')}, g AS MATERIALIZED ({signals}), {loop_sql.account('g', rules)}, {loop_sql.account_trades('g', rules)}"
+
+
+def _traded(direction: str, source: str = "t") -> str:
+    return f"SELECT run AS run_id, symbol, '{direction}' AS direction, {_r('qty')} AS qty, {_r('entry_price')} AS entry_price, entry_ts, {_r('exit_price')} AS exit_price, exit_ts, {_r('pnl')} AS pnl, {_r('commission')} AS commission, bars_held, {_r('mae')} AS mae, {_r('mfe')} AS mfe, exit_reason FROM {source}"
+
+
+@query("backtest_short", f"{_account(loop_sql.Rules(-1, 0.1, 0.05))} {_traded('short')}")
+def backtest_short(spark, d):
+    """Strategies with looser thresholds on the short side, with a commission."""
+    settings = P.Settings(direction="short", commission=Commission("percentage", 0.1, 0.05))
+    return rounded(P.trades_of(P.backtest(event_bars(spark, d), _LOOSE, settings)))
+
+
+_EXITS = (("stop_loss", static_stop), ("trail", TrailingStop(percent=2.0)), ("take_profit", static_target), ("condition", condition_exit), ("age", MaxBars(6)))
+
+
+@query("backtest_exits", f"{_account(loop_sql.Rules(1, 0.0, 0.25, exits=loop_sql.exits_of(1, 2.0, 6, True)))} {_traded('long')}")
+def backtest_exits(spark, d):
+    """All exit rules in order, with a flat commission."""
+    return rounded(P.trades_of(P.backtest(event_bars(spark, d), _LOOSE, P.Settings(rules=_EXITS, commission=Commission("fixed", 0.25)))))
+
+
+_SIZED = P.Run("sma_crossover", {"fastPeriod": 5, "slowPeriod": 20})
+_DISTANCE = "CASE WHEN price > {0} THEN (price - {0}) / price ELSE 0.05 END"
+_SIZERS = {
+    "fixed_dollar": (Sizing("fixed_dollar", fixed=250.0), "250.0"),
+    "risk_based": (Sizing("risk_based", percent=0.5), f"least(cash * 0.5 / 100 / ({_DISTANCE.format('stop')}), cash)"),
+    "kelly": (Sizing("kelly", win_rate=0.55, payoff=1.2), f"cash * {(0.55 - 0.45 / 1.2) * 0.5!r}"),
+    "atr_volatility": (Sizing("atr_volatility", percent=0.5, atr_multiplier=2.0), f"least(cash * 0.5 / 100 / (CASE WHEN atr IS NULL THEN 0.05 ELSE {_DISTANCE.format('(price - atr * 2.0)')} END), cash)"),
+}
+
+
+def _sizers_sql() -> str:
+    tables = [f"WITH RECURSIVE {_events()}, {_NUM}, {_RANGED}, g AS MATERIALIZED ({loop_sql.sma_grid([(_SIZED.run_id, 5, 20)], 'q', 'rng')})"]
+    for name, (_, stake) in _SIZERS.items():
+        tables += [loop_sql.account("g", loop_sql.Rules(stake=stake), f"r_{name}"), loop_sql.account_trades("g", loop_sql.Rules(stake=stake), f"r_{name}", f"t_{name}")]
+    return ", ".join(tables) + " " + " UNION ALL ".join(f"SELECT '{n}' AS sizer, * FROM ({_traded('long', f't_{n}')})" for n in _SIZERS)
+
+
+@query("backtest_sizers", _sizers_sql())
+def backtest_sizers(spark, d):
+    """One strategy under each of the sizers beside the default."""
+    out = None
+    for name, (sizing, _) in _SIZERS.items():
+        one = P.trades_of(P.backtest(event_bars(spark, d), [_SIZED], P.Settings(sizing=sizing))).select(F.lit(name).alias("sizer"), "*")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 _FIGURES = (*P._CURVE, *P._TRADES)
 _WHOLE = set(P._WHOLE)
 
 
 def _figures(source: str) -> str:
-    # yearly growth of a month's gains goes beyond what six decimals of a double can tell
-    return ", ".join(c if c in _WHOLE else f"{_r('least(cagr, 1e6)' if c == 'cagr' else c)} AS {c}" for c in _FIGURES) + f" FROM {source}"
+    # yearly growth of a month's gains is compared by its logarithm, as six decimals of a double do not hold it
+    return ", ".join(c if c in _WHOLE else f"{_r('log10(1 + cagr)' if c == 'cagr' else c)} AS {c}" for c in _FIGURES) + f" FROM {source}"
 
 
 @query("backtest_statistics", f"{_ALL}, {loop_sql.figures()} SELECT run AS run_id, symbol, {_figures('z')}")
 def backtest_statistics(spark, d):
-    return rounded(P.evaluate(event_bars(spark, d), _FIVE).withColumn("cagr", F.least("cagr", F.lit(1e6))))
+    return rounded(P.evaluate(event_bars(spark, d), _FIVE).withColumn("cagr", F.log10(1 + F.col("cagr"))))
 
 
 _DUAL = P.Run("sma_crossover", {"fastPeriod": 5, "slowPeriod": 20}).run_id
