@@ -366,6 +366,31 @@ def ind_macd(spark, d):
     return _indicated(spark, d, [Spec("macd")])
 
 
+_RSI = "CASE WHEN g + l = 0 THEN 0 ELSE 100 * g / (g + l) END"
+
+
+@query(
+    "ind_adaptive",
+    f"""WITH RECURSIVE {_events()}, {_NUM}, d AS (SELECT *, abs(close - lag(close) OVER {_W}) AS mv, lag(close, 10) OVER {_W} AS far, greatest(close - lag(close) OVER {_W}, 0) AS up, greatest(lag(close) OVER {_W} - close, 0) AS dn FROM n),
+    e AS (SELECT *, sum(mv) OVER {_frame(10)} AS path, abs(close - far) AS net, {smooth_sql.wilder('up', 14)} AS g, {smooth_sql.wilder('dn', 14)} AS l,
+      {smooth_sql.smoothed('close', 0.15, 'avg(CASE WHEN p BETWEEN 15 AND 26 THEN close END) OVER (PARTITION BY symbol)', 26)} - {smooth_sql.smoothed('close', 0.075, 'avg(CASE WHEN p <= 26 THEN close END) OVER (PARTITION BY symbol)', 26)} AS fix,
+      CASE WHEN p >= 26 THEN avg(close) OVER {_frame(12)} - avg(close) OVER {_frame(26)} END AS ext FROM d),
+    c AS (SELECT *, {_RSI} AS r, pow((CASE WHEN path <= net THEN 1.0 WHEN path > 0 THEN net / path ELSE 0.0 END) * (2.0 / 3 - 2.0 / 31) + 2.0 / 31, 2) AS sc, {smooth_sql.ema('fix', 9, 26)} AS fixed, CASE WHEN p >= 34 THEN avg(ext) OVER {_frame(9)} END AS extended FROM e),
+    k AS (SELECT symbol, p, close AS k FROM c WHERE p = 10 UNION ALL SELECT c.symbol, c.p, k.k + c.sc * (c.close - k.k) FROM k JOIN c ON c.symbol = k.symbol AND c.p = k.p + 1),
+    x AS (SELECT *, min(r) OVER {_frame(5)} AS low_r, max(r) OVER {_frame(5)} AS high_r FROM c), y AS (SELECT *, CASE WHEN p >= 19 THEN CASE WHEN high_r > low_r THEN (r - low_r) / (high_r - low_r) * 100 ELSE 0 END END AS fast FROM x), z AS (SELECT *, CASE WHEN p >= 21 THEN avg(fast) OVER {_frame(3)} END AS slow FROM y),
+    v AS (SELECT a.symbol, a.p, avg(b.close) AS mean FROM n a JOIN n b ON b.symbol = a.symbol AND b.p BETWEEN a.p - least(greatest(CAST(floor(a.volume) AS BIGINT), 2), 30) + 1 AND a.p GROUP BY 1, 2)
+    SELECT z.symbol, z.ts, CASE WHEN z.p > 10 THEN {_r('k.k')} END AS kama, {_r('CASE WHEN fixed IS NOT NULL THEN fix END')} AS macdfix_macd, {_r('fixed')} AS macdfix_signal, {_r('fix - fixed')} AS macdfix_histogram,
+      {_r('CASE WHEN extended IS NOT NULL THEN ext END')} AS macdext_macd, {_r('extended')} AS macdext_signal, {_r('ext - extended')} AS macdext_histogram, {_r('CASE WHEN slow IS NOT NULL THEN fast END')} AS stochrsi_fastk, {_r('slow')} AS stochrsi_fastd,
+      CASE WHEN z.p >= 30 THEN {_r('v.mean')} END AS mavp, {_full(20, f'avg(z.close) OVER (PARTITION BY z.symbol ORDER BY z.ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)').replace(_W, '(PARTITION BY z.symbol ORDER BY z.ts)')} AS ma
+    FROM z LEFT JOIN k ON k.symbol = z.symbol AND k.p = z.p JOIN v ON v.symbol = z.symbol AND v.p = z.p""",
+)
+def ind_adaptive(spark, d):
+    """Means with a factor or a period of each bar's own, and means of means, in blocks of 128 bars."""
+    specs = [Spec("kama", {"period": 10}), Spec("macdfix"), Spec("macdext"), Spec("stochrsi"), Spec("mavp"), Spec("ma", {"period": 20})]
+    df = I.compute(event_bars(spark, d), specs, seconds=3600, rows=128)
+    return rounded(df.drop("open", "high", "low", "close", "volume"))
+
+
 @query("ind_directional", f"WITH {_events()}, {_NUM}, {smooth_sql.directional()} SELECT symbol, ts, {_r('adx')} AS adx, {_r('adxr')} AS adxr, {_r('dx')} AS dx, {_r('plus_di')} AS plus_di, {_r('minus_di')} AS minus_di, {_r('plus_dm')} AS plus_dm, {_r('minus_dm')} AS minus_dm FROM x")
 def ind_directional(spark, d):
     return _indicated(spark, d, [Spec(n) for n in ("adx", "adxr", "dx", "plus_di", "minus_di", "plus_dm", "minus_dm")])
@@ -970,10 +995,10 @@ def backtest_short(spark, d):
     return rounded(P.trades_of(P.backtest(event_bars(spark, d), _LOOSE, settings)))
 
 
-_EXITS = (("stop_loss", static_stop), ("trail", TrailingStop(percent=2.0)), ("take_profit", static_target), ("condition", condition_exit), ("age", MaxBars(6)))
+_EXITS = (("stop_loss", static_stop), ("trail", TrailingStop(percent=2.0)), ("take_profit", static_target), ("condition", condition_exit), ("age", MaxBars(1)))
 
 
-@query("backtest_exits", f"{_account(loop_sql.Rules(1, 0.0, 0.25, exits=loop_sql.exits_of(1, 2.0, 6, True)))} {_traded('long')}")
+@query("backtest_exits", f"{_account(loop_sql.Rules(1, 0.0, 0.25, exits=loop_sql.exits_of(1, 2.0, 1, True)))} {_traded('long')}")
 def backtest_exits(spark, d):
     """All exit rules in order, with a flat commission."""
     return rounded(P.trades_of(P.backtest(event_bars(spark, d), _LOOSE, P.Settings(rules=_EXITS, commission=Commission("fixed", 0.25)))))
@@ -983,9 +1008,9 @@ _SIZED = P.Run("sma_crossover", {"fastPeriod": 5, "slowPeriod": 20})
 _DISTANCE = "CASE WHEN price > {0} THEN (price - {0}) / price ELSE 0.05 END"
 _SIZERS = {
     "fixed_dollar": (Sizing("fixed_dollar", fixed=250.0), "250.0"),
-    "risk_based": (Sizing("risk_based", percent=0.5), f"least(cash * 0.5 / 100 / ({_DISTANCE.format('stop')}), cash)"),
-    "kelly": (Sizing("kelly", win_rate=0.55, payoff=1.2), f"cash * {(0.55 - 0.45 / 1.2) * 0.5!r}"),
-    "atr_volatility": (Sizing("atr_volatility", percent=0.5, atr_multiplier=2.0), f"least(cash * 0.5 / 100 / (CASE WHEN atr IS NULL THEN 0.05 ELSE {_DISTANCE.format('(price - atr * 2.0)')} END), cash)"),
+    "risk_based": (Sizing("risk_based", percent=0.02), f"least(cash * 0.02 / 100 / ({_DISTANCE.format('stop')}), cash)"),
+    "kelly": (Sizing("kelly", win_rate=0.55, payoff=1.2, fraction=0.05), f"cash * {(0.55 - 0.45 / 1.2) * 0.05!r}"),
+    "atr_volatility": (Sizing("atr_volatility", percent=0.02, atr_multiplier=0.2), f"least(cash * 0.02 / 100 / (CASE WHEN atr IS NULL THEN 0.05 ELSE {_DISTANCE.format('(price - atr * 0.2)')} END), cash)"),
 }
 
 
