@@ -129,9 +129,13 @@ def resample_month(spark, d):
     return rounded(B.resample(lineitem_bars(spark, d), "1M"), 8)
 
 
-@query("timeframe_bundle", f"WITH {_events()} SELECT timeframe, count(*) AS bars FROM (SELECT '1h' AS timeframe FROM bars UNION ALL SELECT '4h' FROM (SELECT DISTINCT symbol, ts // 14400 FROM bars) UNION ALL SELECT '1d' FROM (SELECT DISTINCT symbol, ts // 86400 FROM bars)) GROUP BY 1")
+def _frames(seconds: int, name: str) -> str:
+    return f"SELECT '{name}' AS timeframe, symbol, bars.ts // {seconds} * {seconds} AS ts, {_AGG.replace('ts)', 'bars.ts)')} FROM bars GROUP BY ALL"
+
+
+@query("timeframe_bundle", f"WITH {_events()}, a AS (SELECT '1h' AS timeframe, * FROM bars UNION ALL BY NAME {_frames(14400, '4h')} UNION ALL BY NAME {_frames(86400, '1d')}) SELECT timeframe, {_RBARS} FROM a")
 def timeframe_bundle(spark, d):
-    return B.bundle(event_bars(spark, d), "1h", ["4h", "1d"]).groupBy("timeframe").agg(F.count("*").alias("bars"))
+    return rounded(B.bundle(event_bars(spark, d), "1h", ["4h", "1d"]))
 
 
 @query("as_of_higher", f"WITH {_events()}, h AS (SELECT symbol, ts // 86400 * 86400 + 86400 AS at, arg_max(close, ts) AS h_close FROM bars GROUP BY 1, 2) SELECT b.symbol, b.ts, {_r('b.close')} AS close, {_r('h.h_close')} AS h_close FROM bars b ASOF LEFT JOIN h ON b.symbol = h.symbol AND b.ts >= h.at".replace("ts // 86400 * 86400 + 86400 AS at", "bars.ts // 86400 * 86400 + 86400 AS at"))
@@ -470,29 +474,29 @@ def ind_changes(spark, d):
     a AS (SELECT n.symbol, n.ts, avg(m.close) AS mean FROM n JOIN n m ON m.symbol = n.symbol AND m.p BETWEEN n.p - 13 AND n.p GROUP BY 1, 2),
     v AS (SELECT n.symbol, n.ts, avg(abs(m.close - a.mean)) AS dev FROM n JOIN a ON a.symbol = n.symbol AND a.ts = n.ts JOIN n m ON m.symbol = n.symbol AND m.p BETWEEN n.p - 13 AND n.p GROUP BY 1, 2),
     t AS (SELECT symbol, ts, p, avg(close) OVER {_frame(5)} AS m5 FROM n)
-    SELECT n.symbol, n.ts, CASE WHEN n.p >= 30 THEN h.hi - 1 END AS maxindex, CASE WHEN n.p >= 30 THEN h.lo - 1 END AS minindex, CASE WHEN n.p >= 30 THEN {_r(f'max(close) OVER {_frame(30)}')} END AS minmax_max,
-    CASE WHEN n.p >= 14 THEN {_r('v.dev')} END AS avgdev, CASE WHEN n.p >= 14 THEN {_r(f'degrees(atan(regr_slope(close, CAST(n.p AS DOUBLE)) OVER {_frame(14).replace("symbol", "n.symbol").replace("ORDER BY ts", "ORDER BY n.ts")}))')} END AS linearreg_angle,
+    SELECT n.symbol, n.ts, CASE WHEN n.p >= 30 THEN h.hi - 1 END AS maxindex, CASE WHEN n.p >= 30 THEN h.lo - 1 END AS minindex, CASE WHEN n.p >= 30 THEN {_r(f'max(close) OVER {_frame(30)}')} END AS minmax_max, CASE WHEN n.p >= 30 THEN {_r('min(close) OVER (PARTITION BY n.symbol ORDER BY n.ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)')} END AS minmax_min,
+    CASE WHEN n.p >= 30 THEN h.lo - 1 END AS minmaxindex_minidx, CASE WHEN n.p >= 30 THEN h.hi - 1 END AS minmaxindex_maxidx, CASE WHEN n.p >= 14 THEN {_r('v.dev')} END AS avgdev, CASE WHEN n.p >= 14 THEN {_r(f'degrees(atan(regr_slope(close, CAST(n.p AS DOUBLE)) OVER {_frame(14).replace("symbol", "n.symbol").replace("ORDER BY ts", "ORDER BY n.ts")}))')} END AS linearreg_angle,
     CASE WHEN n.p >= 14 THEN {_r(f'regr_intercept(close, CAST(n.p AS DOUBLE)) OVER w14 + regr_slope(close, CAST(n.p AS DOUBLE)) OVER w14 * (n.p - 13)')} END AS linearreg_intercept,
     CASE WHEN n.p > 5 THEN {_r('CASE WHEN var_pop(ra) OVER w5 <> 0 THEN covar_pop(ra, rb) OVER w5 / var_pop(ra) OVER w5 ELSE 0 END', 4)} END AS beta, CASE WHEN n.p >= 9 THEN {_r('avg(t.m5) OVER w5')} END AS trima
     FROM n JOIN h ON h.symbol = n.symbol AND h.ts = n.ts JOIN v ON v.symbol = n.symbol AND v.ts = n.ts JOIN t ON t.symbol = n.symbol AND t.ts = n.ts
     WINDOW w5 AS (PARTITION BY n.symbol ORDER BY n.ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w14 AS (PARTITION BY n.symbol ORDER BY n.ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""".replace(f"max(close) OVER {_frame(30)}", "max(close) OVER (PARTITION BY n.symbol ORDER BY n.ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"),
 )
 def ind_positions(spark, d):
-    out = I.compute(event_bars(spark, d), [Spec(n) for n in ("maxindex", "minindex", "minmax", "avgdev", "linearreg_angle", "linearreg_intercept", "beta")] + [Spec("trima", {"period": 9})])
+    out = I.compute(event_bars(spark, d), [Spec(n) for n in ("maxindex", "minindex", "minmax", "minmaxindex", "avgdev", "linearreg_angle", "linearreg_intercept", "beta")] + [Spec("trima", {"period": 9})], seconds=3600)
     whole = lambda c: F.col(c).cast("long").alias(c)
-    return rounded(out.select("symbol", "ts", whole("maxindex"), whole("minindex"), "minmax_max", "avgdev", "linearreg_angle", "linearreg_intercept", F.round("beta", 4).alias("beta"), "trima"))
+    return rounded(out.select("symbol", "ts", whole("maxindex"), whole("minindex"), whole("minmaxindex_minidx"), whole("minmaxindex_maxidx"), "minmax_max", "minmax_min", "avgdev", "linearreg_angle", "linearreg_intercept", F.round("beta", 4).alias("beta"), "trima"))
 
 
 @query("candles_all", f"WITH {_LINE}, {candle_sql.candles()} SELECT symbol, ts, {candle_sql.columns(sorted(PATTERNS))} FROM k")
 def candles_all(spark, d):
     """Every pattern over daily bars."""
-    return I.compute(lineitem_bars(spark, d), [Spec(n) for n in sorted(PATTERNS)]).select("symbol", "ts", *sorted(PATTERNS))
+    return I.compute(lineitem_bars(spark, d), [Spec(n) for n in sorted(PATTERNS)], seconds=86400).select("symbol", "ts", *sorted(PATTERNS))
 
 
 @query("candles_events", f"WITH {_events()}, {candle_sql.candles()} SELECT symbol, ts, {candle_sql.columns(sorted(PATTERNS))} FROM k")
 def candles_events(spark, d):
     """Every pattern over hourly bars, whose shapes are wilder."""
-    return I.compute(event_bars(spark, d), [Spec(n) for n in sorted(PATTERNS)]).select("symbol", "ts", *sorted(PATTERNS))
+    return I.compute(event_bars(spark, d), [Spec(n) for n in sorted(PATTERNS)], seconds=3600).select("symbol", "ts", *sorted(PATTERNS))
 
 
 _CANDLE = f"c AS (SELECT *, row_number() OVER {_W} AS p, abs(close - open) AS body, high - low AS rng, CASE WHEN close >= open THEN 1 ELSE -1 END AS color, lag(open) OVER {_W} AS o1, lag(close) OVER {_W} AS c1 FROM bars)"
@@ -506,7 +510,7 @@ _BEFORE = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PREC
     CASE WHEN p > 14 AND body > avg(body) OVER {_BEFORE} AND high - greatest(open, close) < 0.1 * avg(rng) OVER {_BEFORE} AND least(open, close) - low < 0.1 * avg(rng) OVER {_BEFORE} THEN color * 100 ELSE 0 END AS cdlmarubozu FROM c""",
 )
 def candles_basic(spark, d):
-    return I.compute(lineitem_bars(spark, d), [Spec("cdldoji"), Spec("cdlengulfing"), Spec("cdlmarubozu")]).select("symbol", "ts", "cdldoji", "cdlengulfing", "cdlmarubozu")
+    return I.compute(lineitem_bars(spark, d), [Spec("cdldoji"), Spec("cdlengulfing"), Spec("cdlmarubozu")], seconds=86400).select("symbol", "ts", "cdldoji", "cdlengulfing", "cdlmarubozu")
 
 
 # Conditions
@@ -734,11 +738,13 @@ def calibration(spark, d):
 
 @query(
     "uncertainty",
-    f"""WITH {_SEEN}, s AS {_surface()} SELECT bucket, minutes_remaining, {_r('sqrt(probability * (1 - probability) / samples)')} AS standard_error,
-    {_r('greatest(0, (probability + 1.96 * 1.96 / (2 * samples)) / (1 + 1.96 * 1.96 / samples) - 1.96 * sqrt(probability * (1 - probability) / samples + 1.96 * 1.96 / (4.0 * samples * samples)) / (1 + 1.96 * 1.96 / samples))')} AS wilson_low, samples >= 385 AS enough FROM s""",
+    f"""WITH {_SEEN}, s AS {_surface()}, u AS (SELECT *, 1.96 AS z, sqrt(probability * (1 - probability) / samples) AS se, samples + 1.96 * 1.96 AS nt, (crosses + 1.96 * 1.96 / 2) / (samples + 1.96 * 1.96) AS pt,
+      (probability + 1.96 * 1.96 / (2 * samples)) / (1 + 1.96 * 1.96 / samples) AS mid, 1.96 * sqrt(probability * (1 - probability) / samples + 1.96 * 1.96 / (4.0 * samples * samples)) / (1 + 1.96 * 1.96 / samples) AS half FROM s)
+    SELECT bucket, minutes_remaining, {_r('se')} AS standard_error, {_r('least(greatest(probability - z * se, 0), 1)')} AS wald_low, {_r('least(greatest(probability + z * se, 0), 1)')} AS wald_high, {_r('least(greatest(mid - half, 0), 1)')} AS wilson_low, {_r('least(greatest(mid + half, 0), 1)')} AS wilson_high,
+      {_r('least(greatest(pt - z * sqrt(pt * (1 - pt) / nt), 0), 1)')} AS agresti_low, {_r('least(greatest(pt + z * sqrt(pt * (1 - pt) / nt), 0), 1)')} AS agresti_high, CAST(385 AS INTEGER) AS needed, samples >= 385 AS enough FROM u""",
 )
 def uncertainty(spark, d):
-    return rounded(V.uncertainty(X.surface(event_bars(spark, d, 60, True), CROSS)).select("bucket", "minutes_remaining", "standard_error", "wilson_low", "enough"))
+    return rounded(V.uncertainty(X.surface(event_bars(spark, d, 60, True), CROSS)).drop("samples", "crosses", "probability", "confidence"))
 
 
 _PERIODS = f"""WITH {_SEEN}, f AS (SELECT *, strftime(date_trunc('week', make_timestamp(ts * 1000000)), '%Y-%m-%d') AS period FROM seen), s AS {_surface('f', 'period, ')}
@@ -917,11 +923,12 @@ def exit_reasons(spark, d):
 
 @query(
     "series_metrics",
-    f"""WITH {_events()} SELECT symbol, count(close) AS count, {_r('min(close)')} AS min, {_r('max(close)')} AS max, {_r('avg(close)')} AS mean, {_r('quantile_cont(close, 0.5)')} AS median, {_r('stddev_pop(close)')} AS std_dev, {_r('var_pop(close)')} AS variance,
+    f"""WITH {_events()}, m AS (SELECT symbol, avg(close) AS mean, stddev_pop(close) AS sd FROM bars GROUP BY 1), k AS (SELECT symbol, any_value(avg3) AS skew FROM (SELECT b.symbol, avg(pow((b.close - m.mean) / m.sd, 3)) OVER (PARTITION BY b.symbol) AS avg3 FROM bars b JOIN m USING (symbol)) GROUP BY 1)
+    SELECT symbol, (SELECT {_r('skew')} FROM k WHERE k.symbol = bars.symbol) AS skewness, count(close) AS count, {_r('min(close)')} AS min, {_r('max(close)')} AS max, {_r('avg(close)')} AS mean, {_r('quantile_cont(close, 0.5)')} AS median, {_r('stddev_pop(close)')} AS std_dev, {_r('var_pop(close)')} AS variance,
     {_r('sum(close)')} AS sum, {_r('max(close) - min(close)')} AS range, {_r('quantile_cont(close, 0.25)')} AS q1, {_r('quantile_cont(close, 0.5)')} AS q2, {_r('quantile_cont(close, 0.75)')} AS q3, {_r('kurtosis_pop(close)')} AS kurtosis FROM bars GROUP BY 1""",
 )
 def series_metrics(spark, d):
-    return rounded(S.series_metrics(event_bars(spark, d), "close", ("symbol",)).drop("skewness"))
+    return rounded(S.series_metrics(event_bars(spark, d), "close", ("symbol",)))
 
 
 @query("return_ratios", f"WITH {_LINE}, r AS (SELECT symbol, close / lag(close) OVER {_W} - 1 AS r FROM bars) SELECT symbol, count(r) AS n, {_r('avg(r) / stddev_samp(r)')} AS sharpe, {_r('avg(r) / sqrt(avg(pow(least(r, 0), 2)))')} AS sortino FROM r WHERE r IS NOT NULL GROUP BY 1")
