@@ -23,15 +23,24 @@ def _exits(held: DataFrame, before: str) -> DataFrame:
     return held.withColumn("trail", trail).withColumn("reason", reason).select("signal_id", "ts", "mark", "reason", price.alias("price"))
 
 
-#: Nodes below a node of the pyramid of extremes, and its levels above the blocks.
-FAN, LEVELS = 32, 2
+#: Nodes below a node of the pyramid of extremes.
+FAN = 32
 
 
-def _pyramid(own: DataFrame) -> DataFrame:
+def levels_for(bars: DataFrame, block_seconds: int) -> int:
+    """Levels above the blocks so that the topmost has at most ``FAN`` nodes to a series."""
+    span = bars.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    blocks, levels = 1 if span["lo"] is None else (span["hi"] - span["lo"]) // block_seconds + 2, 0
+    while blocks > FAN:
+        blocks, levels = -(-blocks // FAN), levels + 1
+    return levels
+
+
+def _pyramid(own: DataFrame, levels: int) -> DataFrame:
     """Extremes of blocks of time, of ``FAN`` blocks together, and so on: one row per symbol, level and node."""
     ends = lambda: [F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"), F.max("_top").alias("_top"), F.min("_bottom").alias("_bottom")]
     blocks = own.groupBy("symbol", "_block").agg(F.max("high").alias("_hi"), F.min("low").alias("_lo"), F.max("close").alias("_top"), F.min("close").alias("_bottom"))
-    above = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("_block") / FAN**k).alias("node")) for k in range(LEVELS + 1)]))
+    above = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("_block") / FAN**k).alias("node")) for k in range(levels + 1)]))
     return blocks.withColumn("_at", above).groupBy("symbol", F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node")).agg(*ends())
 
 
@@ -57,28 +66,23 @@ def _judged(nodes: DataFrame, keys: list[str], given: str) -> DataFrame:
     return nodes.withColumn("_upto", first).where(F.col("_maybe") & (F.col("_upto").isNull() | (F.col("_from") <= F.col("_upto"))))
 
 
-def _descended(known: DataFrame, pyramid: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+def _descended(known: DataFrame, pyramid: DataFrame, names: list[str], levels: int) -> tuple[DataFrame, DataFrame]:
     """Blocks after each signal's entry block in which a level may be touched, up to the first in which one surely
     is; and all nodes that were looked at first, which together cover the time after the entry block."""
-    siblings = []
-    for k in range(LEVELS):  # nodes to the right below the same parent; at the top all nodes to the right
-        own, parent = F.floor(F.col("_entry_block") / FAN**k), F.floor(F.col("_entry_block") / FAN ** (k + 1))
-        last = parent * FAN + FAN - 1
-        range_ = F.when(own < last, F.sequence(own + 1, last)).otherwise(F.array().cast("array<bigint>"))
-        siblings.append(known.select("symbol", *names, "_mark0", F.lit(k).alias("_level"), F.explode(range_).alias("_node")))
-    right = siblings[0]
-    for other in siblings[1:]:
-        right = right.unionByName(other)
-    found = right.join(pyramid, ["symbol", "_level", "_node"])
-    top = pyramid.where(F.col("_level") == LEVELS).withColumnRenamed("_node", "_over")
-    beyond = known.select("symbol", *names, "_mark0", "_entry_block").join(top, "symbol").where(F.col("_over") > F.floor(F.col("_entry_block") / FAN**LEVELS))
-    found = found.unionByName(beyond.withColumnRenamed("_over", "_node").drop("_entry_block"))
-    spans = F.element_at(F.create_map(*[x for k in range(LEVELS + 1) for x in (F.lit(k), F.lit(FAN**k))]), F.col("_level"))
+    top = pyramid.where(F.col("_level") == levels).withColumnRenamed("_node", "_over")
+    beyond = known.select("symbol", *names, "_mark0", "_entry_block").join(top, "symbol").where(F.col("_over") > F.floor(F.col("_entry_block") / FAN**levels))
+    found = beyond.withColumnRenamed("_over", "_node").drop("_entry_block")
+    for k in range(levels):  # below the top, nodes to the right under the same parent
+        own, last = F.floor(F.col("_entry_block") / FAN**k), F.floor(F.col("_entry_block") / FAN ** (k + 1)) * FAN + FAN - 1
+        right = F.when(own < last, F.sequence(own + 1, last)).otherwise(F.array().cast("array<bigint>"))
+        beside = known.select("symbol", *names, "_mark0", F.lit(k).alias("_level"), F.explode(right).alias("_node"))
+        found = found.unionByName(beside.join(pyramid, ["symbol", "_level", "_node"]))
+    spans = F.element_at(F.create_map(*[x for k in range(levels + 1) for x in (F.lit(k), F.lit(FAN**k))]), F.col("_level"))
     found = found.withColumn("_from", F.col("_node") * spans)
     chosen = _judged(found, ["signal_id"], "_mark0")
     kept = ["symbol", *names, "_level", "_node", "_from", "_before"]
     chosen = chosen.select(*kept)
-    for k in range(LEVELS, 0, -1):
+    for k in range(levels, 0, -1):
         below = F.explode(F.sequence(F.col("_node") * FAN, F.col("_node") * FAN + FAN - 1))
         parents = chosen.where(F.col("_level") == k).withColumn("_parent", F.col("_from")).withColumnRenamed("_before", "_given")
         children = parents.withColumn("_child", below).drop("_node", "_level", "_from").withColumnRenamed("_child", "_node").withColumn("_level", F.lit(k - 1))
@@ -87,7 +91,7 @@ def _descended(known: DataFrame, pyramid: DataFrame, names: list[str]) -> tuple[
     return chosen, found
 
 
-def evaluate(signals: DataFrame, bars: DataFrame, block_seconds: int = DAY) -> DataFrame:
+def evaluate(signals: DataFrame, bars: DataFrame, block_seconds: int = DAY, levels: int | None = None) -> DataFrame:
     """Outcome of each signal over the bars from its entry on.
 
     ``signals``: ``signal_id, symbol, direction`` (long or short), ``entry_price,
@@ -100,8 +104,10 @@ def evaluate(signals: DataFrame, bars: DataFrame, block_seconds: int = DAY) -> D
     Signals meet a pyramid of extremes: blocks of time, ``FAN`` blocks together, and so on. The time after a
     signal's block is covered by a few nodes of each level; those in which a level may
     be touched are opened level by level, down to the blocks whose bars are tested one by
-    one. So the rows that a signal meets grow with the logarithm of the series.
+    one. So the rows that a signal meets grow with the logarithm of the series. The
+    number of ``levels`` follows from the span of time, which is looked up if it is not given.
     """
+    levels = levels_for(bars, block_seconds) if levels is None else levels
     long = F.col("direction") == "long"
     block = lambda c: F.floor(F.col(c) / block_seconds)
     names = ["signal_id", "direction", "stop_loss", "take_profit", "trailing_percent"]
@@ -111,7 +117,7 @@ def evaluate(signals: DataFrame, bars: DataFrame, block_seconds: int = DAY) -> D
     first = placed.join(own.withColumnRenamed("_block", "_entry_block"), ["symbol", "_entry_block"]).where("ts >= entry_ts").withColumn("_block", F.col("_entry_block"))
     begun = first.groupBy("signal_id").agg(F.max("high").alias("_hi0"), F.min("low").alias("_lo0"))
     known = placed.join(begun, "signal_id", "left").withColumn("_mark0", F.when(long, F.greatest("_start", "_hi0")).otherwise(F.least("_start", "_lo0")))
-    chosen, after = _descended(known, _pyramid(own), names)
+    chosen, after = _descended(known, _pyramid(own, levels), names, levels)
     later = chosen.select("symbol", F.col("_node").alias("_block"), "_before", *names).join(own, ["symbol", "_block"])
     tested = _exits(first.select(*names, "_block", F.col("_start").alias("_before"), "ts", "high", "low", "close"), "_before").unionByName(_exits(later.select(*names, "_block", "_before", "ts", "high", "low", "close"), "_before"))
     exits = tested.where("reason is not null").groupBy("signal_id").agg(F.min_by(F.struct("reason", "price", "ts", "mark"), "ts").alias("exit"))

@@ -131,6 +131,7 @@ def test_signals_do_not_depend_on_blocks(spark):
     key = lambda n: sorted(map(tuple, signals.evaluate(given, b, n).collect()))
     whole = key(10**7)
     assert {r[4] for r in whole} >= {"stop_loss", "trailing_stop"} and key(300) == whole and key(3600) == whole
+    assert all(sorted(map(tuple, signals.evaluate(given, b, 60, levels).collect())) == whole for levels in (0, 1, 2))
 
 
 def test_open_signal_keeps_its_mark(spark):
