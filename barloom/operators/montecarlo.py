@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ _A, _C, _M = 1103515245, 12345, 2147483648
 
 #: Draws of an iteration whose curve one task follows.
 BLOCK = 4096
+#: Trades that are sent to all tasks (8 MB); more are joined with the draws.
+HELD = 1 << 20
 
 
 def draw(iteration: Column, k: Column, n: Column, seed: int) -> Column:
@@ -35,6 +41,8 @@ def bootstrap(pnl: DataFrame, iterations: int = 1000, seed: int = 42, capital: f
     """
     spark = pnl.sparkSession
     n = pnl.count()
+    if 0 < n <= HELD:
+        return _figures(_drawn_in_tasks(pnl, n, iterations, seed), capital)
     draws = spark.range(iterations * n).select(F.floor(F.col("id") / max(n, 1)).alias("iteration"), (F.col("id") % max(n, 1)).alias("k"), F.lit(n).alias("n"))
     drawn = draws.withColumn("place", draw(F.col("iteration"), F.col("k"), F.col("n"), seed).cast("long")).join(pnl, "place")
     keys = ["iteration", "block"]
@@ -46,6 +54,43 @@ def bootstrap(pnl: DataFrame, iterations: int = 1000, seed: int = 42, capital: f
         F.sum(F.when(p > 0, p).otherwise(0.0)).alias("gain"), F.sum(F.when(p < 0, p).otherwise(0.0)).alias("loss"),
         F.max("top").alias("peak"), F.min("run").alias("trough"), F.max(F.col("top") - F.col("run")).alias("fall"),
     )
+    return _figures(blocks, capital)
+
+
+BLOCKS = "iteration long, block long, n long, sum double, var double, wins long, gain double, loss double, peak double, trough double, fall double"
+
+
+def _drawn_in_tasks(pnl: DataFrame, n: int, iterations: int, seed: int) -> DataFrame:
+    """The blocks of all iterations, each drawn and followed where it is asked for: the trades are sent along, no draw is shuffled."""
+    spark = pnl.sparkSession
+    rows = pnl.select(F.col("place").cast("long"), F.col("pnl").cast("double")).toPandas()  # at most HELD rows
+    held = np.empty(n)
+    held[rows["place"].to_numpy()] = rows["pnl"].to_numpy()
+    shared, per = spark.sparkContext.broadcast(held), -(-n // BLOCK)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trades = shared.value
+        step = lambda x: (x * _A + _C) % _M
+        for batch in batches:
+            out = []
+            for i in batch.column(0).to_numpy():
+                iteration, block = int(i) // per, int(i) % per
+                k = np.arange(block * BLOCK, min((block + 1) * BLOCK, n), dtype=np.int64)
+                a = step(step((iteration * 7919 + k * 104729 + seed * 31 + 17) % _M))
+                b = step(a)
+                p = trades[((a // 65536 * 32768 + b // 65536) * 32768 + step(b) // 65536) % n]
+                run = np.cumsum(p)
+                top = np.maximum.accumulate(run)
+                out.append((iteration, block, len(p), run[-1], p.var(), int((p > 0).sum()), p[p > 0].sum(), p[p < 0].sum(), top[-1], run.min(), (top - run).max()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
+
+    tasks = min(iterations * per, 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, iterations * per, 1, tasks).mapInArrow(follow, BLOCKS)
+
+
+def _figures(blocks: DataFrame, capital: float) -> DataFrame:
+    """Figures of iterations from their blocks."""
     before = Window.partitionBy("iteration").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("iteration")
     base = blocks.withColumn("base", capital + F.coalesce(F.sum("sum").over(before), F.lit(0.0))).withColumn("mean", F.sum("sum").over(whole) / F.sum("n").over(whole))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import candle_sql, loop_sql, smooth_sql
@@ -499,6 +499,55 @@ def candles_events(spark, d):
     return I.compute(event_bars(spark, d), [Spec(n) for n in sorted(PATTERNS)], seconds=3600).select("symbol", "ts", *sorted(PATTERNS))
 
 
+#: Bodies, gaps and shadows of drawn bars, by kind: of all shapes, falling with long lower shadows, and falling without any.
+_SHAPES = {
+    "mixed": ((-30, -14, -9, -5, -1, 0, 1, 5, 9, 14, 30), (-30, -14, -4, -1, 0, 0, 1, 4, 14, 30), (0, 0, 1, 4, 12), (0, 0, 1, 4, 12)),
+    "falling": ((-30, -12, -4, -1, -20, 8), (1, 3, 6, 10, 15, 22), (0, 0, 0, 1), (0, 0, 9, 20, 30)),
+    "sinking": ((-30, -30, -18, -10, -26, 4), (-14, -8, 0, 4, 12, 26), (0, 0, 0, 12, 30), (0, 0, 0, 0, 2)),
+}
+_SHAPE_OF = "(l_orderkey * 31 + l_partkey * 1701 + l_suppkey * 77 + l_linenumber * 5 + CAST(l_quantity AS BIGINT) * 13) * 40503 % 1048576"
+_ITEM_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+
+
+def _shape_sql() -> str:
+    """Bars whose shapes are drawn by numbers of the line items; a series is the items of 64 order keys and a flag."""
+    parts = []
+    for kind, lists in _SHAPES.items():
+        sizes, picks = 1, []
+        for values in lists:
+            picks.append(f"[{', '.join(map(str, values))}][(x // {sizes}) % {len(values)} + 1]")
+            sizes *= len(values)
+        parts.append(f"SELECT '{kind}-' || symbol AS symbol, p, {picks[0]} AS body, {picks[1]} AS gap, {picks[2]} AS above, {picks[3]} AS under FROM y0")
+    return f"""y0 AS (SELECT l_returnflag || '-' || (l_orderkey // 64) AS symbol, row_number() OVER (PARTITION BY l_returnflag, l_orderkey // 64 ORDER BY {_ITEM_ORDER}) AS p, {_SHAPE_OF} AS x FROM lineitem), y1 AS ({' UNION ALL '.join(parts)}),
+    y2 AS (SELECT *, 100000 + sum(body + gap) OVER (PARTITION BY symbol ORDER BY p ROWS UNBOUNDED PRECEDING) AS last FROM y1),
+    bars AS (SELECT symbol, p * 60 AS ts, CAST(last - body AS DOUBLE) AS open, CAST(greatest(last, last - body) + above AS DOUBLE) AS high, CAST(least(last, last - body) - under AS DOUBLE) AS low, CAST(last AS DOUBLE) AS close, 1.0 AS volume FROM y2)"""
+
+
+def _shape_bars(spark, d) -> DataFrame:
+    key = F.floor(F.col("l_orderkey") / 64).cast("long")
+    place = F.row_number().over(Window.partitionBy("l_returnflag", key).orderBy(*_ITEM_ORDER.split(", ")))
+    drawn = table(spark, d, "lineitem").select(F.concat_ws("-", "l_returnflag", key.cast("string")).alias("symbol"), place.alias("p"), F.expr(_SHAPE_OF).alias("x"))
+    out = None
+    for kind, lists in _SHAPES.items():
+        sizes, picks = 1, []
+        for values in lists:
+            picks.append(F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("x") / sizes) % len(values) + 1).cast("int")))
+            sizes *= len(values)
+        one = drawn.select(F.concat(F.lit(f"{kind}-"), "symbol").alias("symbol"), "p", *[c.alias(n) for c, n in zip(picks, ("body", "gap", "above", "under"), strict=True)])
+        out = one if out is None else out.unionByName(one)
+    last = 100000 + F.sum(F.col("body") + F.col("gap")).over(Window.partitionBy("symbol").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumn("last", last)
+    first = F.col("last") - F.col("body")
+    number = lambda c, name: c.cast("double").alias(name)
+    return out.select("symbol", (F.col("p") * 60).cast("long").alias("ts"), number(first, "open"), number(F.greatest("last", first) + F.col("above"), "high"), number(F.least("last", first) - F.col("under"), "low"), number(F.col("last"), "close"), F.lit(1.0).alias("volume"))
+
+
+@query("candles_shapes", f"WITH {_shape_sql()}, {candle_sql.candles()} SELECT symbol, ts, {candle_sql.columns(sorted(PATTERNS))} FROM k")
+def candles_shapes(spark, d):
+    """Every pattern over bars of drawn shapes, among which all patterns occur; the series are short, so each is a task's."""
+    return I.compute(_shape_bars(spark, d), [Spec(n) for n in sorted(PATTERNS)]).select("symbol", "ts", *sorted(PATTERNS))
+
+
 _CANDLE = f"c AS (SELECT *, row_number() OVER {_W} AS p, abs(close - open) AS body, high - low AS rng, CASE WHEN close >= open THEN 1 ELSE -1 END AS color, lag(open) OVER {_W} AS o1, lag(close) OVER {_W} AS c1 FROM bars)"
 _BEFORE = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
 
