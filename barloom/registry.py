@@ -1253,6 +1253,45 @@ def export_trades(spark, d):
     return export.trades_table(P.trades_of(P.backtest(event_bars(spark, d), [P.Run("sma_crossover")])))
 
 
+@query(
+    "boundary_warnings",
+    f"""{_SEARCHED}, o AS (SELECT substr(run, 15) AS params, row_number() OVER (ORDER BY sharpe_ratio DESC, run, symbol) AS rank FROM z WHERE total_trades >= 1),
+    v AS (SELECT name, CAST(json_extract(params, '$.' || name) AS DOUBLE) AS value, low, high FROM o, (VALUES ('fastPeriod', 5.0, 15.0), ('slowPeriod', 20.0, 40.0)) e(name, low, high) WHERE rank <= 10),
+    w AS (SELECT name, avg(CAST(value <= low AS DOUBLE)) AS at_low, avg(CAST(value >= high AS DOUBLE)) AS at_high FROM v GROUP BY 1)
+    SELECT name, {_r('at_low')} AS at_low, {_r('at_high')} AS at_high, CASE WHEN at_low >= 0.5 THEN 'low' WHEN at_high >= 0.5 THEN 'high' END AS warning FROM w""",
+)
+def boundary_warnings(spark, d):
+    """Whether the ten best sets of the search crowd at an end of a parameter's range."""
+    results = G.score(G.evaluate(event_bars(spark, d), "sma_crossover", _grid()), G.objective("sharpe_ratio"))
+    return rounded(G.boundary_warnings(results, _SPACE))
+
+
+@query("expected_streaks", f"WITH {_LEDGER}, w AS (SELECT symbol, count(*) AS n, avg(CAST(pnl > 0 AS DOUBLE)) AS rate FROM t GROUP BY 1) SELECT symbol, n AS trades, {_r('CASE WHEN n >= 2 AND rate < 1 THEN 1 / (1 - rate) END')} AS win_streak, {_r('CASE WHEN n >= 2 AND rate > 0 THEN 1 / rate END')} AS loss_streak FROM w")
+def expected_streaks(spark, d):
+    own = _ledger(spark, d).groupBy("symbol").agg(F.count("*").alias("trades"), F.avg((F.col("pnl") > 0).cast("double")).alias("rate"))
+    win, loss = S.expected_streaks(F.col("rate"), F.col("trades"))
+    return rounded(own.select("symbol", "trades", win.alias("win_streak"), loss.alias("loss_streak")))
+
+
+@query("regime_labels", f"SELECT DISTINCT regime FROM ({_SQL['regime_combined']}) WHERE regime IS NOT NULL")
+def regime_labels(spark, d):
+    """The distinct labels of the combined regime."""
+    return regimes.labels(regime_combined(spark, d))
+
+
+@query(
+    "sliding_means",
+    f"""WITH e AS (SELECT event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS t, value FROM events), w AS (SELECT symbol, value, (t // 3600 - k.k) * 3600 AS start FROM e, (VALUES (0), (1), (2)) k(k))
+    SELECT symbol, CAST(start AS BIGINT) AS start, CAST(start + 10800 AS BIGINT) AS stop, {_r('avg(value)')} AS mean, count(*) AS ticks FROM w GROUP BY 1, 2, 3""",
+)
+def sliding_means(spark, d):
+    """Means of windows of three hours that begin every hour, by the function that also runs on streams."""
+    from .streaming.bars import sliding_means as means
+
+    ticks = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("price"))
+    return rounded(means(ticks, "3 hours", "1 hour"))
+
+
 @query("binary_bars", f"WITH {_events()} SELECT {_RBARS} FROM bars WHERE bars.ts BETWEEN 1704153600 AND 1705363200")
 def binary_bars(spark, d):
     """Bars written to archives of fixed-length records, and a range of time read back from them."""
