@@ -35,9 +35,10 @@ class Engine:
             raise LookupError(f"no bars that {timeframe} could be built from")
         return B.aggregate(self.store.read(self.exchange, symbol, source, "ohlcv", start, stop), B.TIMEFRAMES[timeframe])
 
-    def derived(self, kind: str, symbol: str | None = None, timeframe: str = "1h", **options) -> DataFrame:
-        """Heiken-Ashi, Renko (``size``) or ATR-Renko (``period``) bars."""
+    def derived(self, kind: str, symbol: str | None = None, timeframe: str = "1h", only: DataFrame | None = None, **options) -> DataFrame:
+        """Heiken-Ashi, Renko (``size``) or ATR-Renko (``period``) bars; of the symbols of ``only``, if it is given."""
         base, seconds = self.bars(symbol, timeframe), B.TIMEFRAMES[timeframe]
+        base = base if only is None else base.join(only, "symbol", "left_semi")
         if kind == "heikenashi":
             return bricks.heiken_ashi(base, seconds)
         if kind == "renko":
@@ -59,8 +60,7 @@ class Engine:
         for kind, options in (derived or {}).items():
             changed = fresh.select("symbol").distinct()
             for frame in (timeframe, *dependents):
-                made = self.derived(kind, None, frame, **options).join(changed, "symbol", "left_semi")
-                self.store.write(made, self.exchange, frame, kind)
+                self.store.write(self.derived(kind, None, frame, changed, **options), self.exchange, frame, kind)
 
     def download(self, adapter: str, symbols: list[str], timeframe: str, start: int, stop: int, limit: int = 1000) -> int:
         """Fetch what is missing of ``[start, stop]`` and merge it; gives the number of ranges fetched.

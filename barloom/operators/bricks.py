@@ -19,7 +19,7 @@ BRICKS = "symbol string, ts long, seq int, open double, high double, low double,
 def heiken_ashi(bars: DataFrame, seconds: int | None = None) -> DataFrame:
     """One smoothed bar per bar. Only the open is recursive; the rest is columns.
 
-    With ``seconds``, the least distance of two bars of a symbol, the recursion runs in
+    With ``seconds``, the usual distance of two bars of a symbol, the recursion runs in
     parallel over blocks of time; else it is one task per series.
     """
     close = (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4

@@ -46,9 +46,12 @@ def take_profit(price, percent: float) -> Decimal:
     return times(exact(price), over(100 + exact(percent), Decimal(100), PRICE_SCALE), PRICE_SCALE)
 
 
-def fee(value: Decimal, commission: Commission) -> Decimal:
-    """A commission on a value; rates are divided by 100 before they are applied."""
-    own = times(value, over(exact(commission.rate), Decimal(100))) if commission.kind == "percentage" else exact(commission.rate)
+def fee(value: Decimal, commission: Commission, qty: Decimal = Decimal(0)) -> Decimal:
+    """A commission on a value and a quantity; rates in percent are divided by 100 before they are applied."""
+    if callable(commission.kind):
+        raise ValueError("no exact form of a function")
+    rate = exact(commission.rate)
+    own = times(value, over(rate, Decimal(100))) if commission.kind == "percentage" else times(qty, rate) if commission.kind == "per_unit" else rate
     return cut(max(own, exact(commission.minimum)))
 
 
@@ -77,12 +80,12 @@ def settled(trades: list[dict], capital, sizing: Sizing, commission: Commission)
             stake = over(times(cash, exact(sizing.percent)), Decimal(100))
         else:
             raise ValueError(f"no exact form of {sizing.model}")
-        paid = fee(stake, commission)
+        qty = over(stake, price)
+        paid = fee(stake, commission, qty)
         if stake <= 0 or (way > 0 and cash < stake + paid):
             continue
-        qty = over(stake, price)
         value, worth = times(qty, price), times(qty, leaves)
-        leaving = fee(worth, commission)
+        leaving = fee(worth, commission, qty)
         gross = way * (worth - value)
         cash = cash - stake - paid + stake + gross - leaving
         yield t | {"qty": qty, "stake": stake, "commission": paid + leaving, "pnl": gross - paid - leaving, "cash": cash}

@@ -15,14 +15,17 @@ def some(x: float | None) -> bool:
 
 @dataclass(frozen=True)
 class Commission:
-    """Percent of the value, or a flat rate; never under the minimum."""
+    """Percent of the value, a rate per unit, or a flat rate; never under the minimum. ``kind`` may be a function of value and quantity."""
 
-    kind: str = "percentage"
+    kind: str | Callable[[float, float], float] = "percentage"  # per_unit, fixed
     rate: float = 0.0
     minimum: float = 0.0
 
-    def of(self, value: float) -> float:
-        return max(value * self.rate / 100 if self.kind == "percentage" else self.rate, self.minimum)
+    def of(self, value: float, qty: float = 0.0) -> float:
+        if callable(self.kind):
+            return max(self.kind(value, qty), self.minimum)
+        own = {"percentage": value * self.rate / 100, "per_unit": qty * self.rate}.get(self.kind, self.rate)
+        return max(own, self.minimum)
 
 
 @dataclass(frozen=True)
@@ -188,7 +191,7 @@ class Account:
                 if self.position is not None and order.direction != self.position.direction:
                     self.close(price, bar, order.tag)
                 continue
-            cost = self.commission.of(order.stake)
+            cost = self.commission.of(order.stake, order.stake / price)
             fits = self.cash >= order.stake + cost and self.equity(price) * self.max_leverage >= order.stake
             if order.stake > 0 and (fits or order.direction == "short"):
                 self.cash -= order.stake + cost
@@ -197,7 +200,7 @@ class Account:
 
     def close(self, price: float, bar: Bar, reason: str) -> None:
         p = self.position
-        cost = self.commission.of(p.qty * price)
+        cost = self.commission.of(p.qty * price, p.qty)
         gross = (price - p.price) * p.qty * (1 if p.direction == "long" else -1)
         self.cash += p.qty * p.price + gross - cost
         worst, best = (p.low, p.high) if p.direction == "long" else (p.high, p.low)

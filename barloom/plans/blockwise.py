@@ -165,12 +165,12 @@ def _paid(table: DataFrame, settings: Settings) -> DataFrame:
         for leg in (dict(zip(LEGS, x, strict=True)) for x in legs):
             price, way = leg["entry_price"], 1 if leg["direction"] == "long" else -1
             stake = settings.sizing.stake(cash, leg["basis_price"], leg["basis_stop"], leg["basis_atr"])
-            cost = settings.commission.of(stake)
+            cost = settings.commission.of(stake, stake / price)
             fits = cash >= stake + cost and cash * settings.sizing.max_leverage >= stake
             if not (stake > 0 and (fits or way < 0)):
                 return pd.DataFrame([dict.fromkeys(_PAID) | fixed | {"kind": "refused"}])
             qty, cash_in = stake / price, cash - stake - cost
-            leaving = settings.commission.of(qty * leg["exit_price"])
+            leaving = settings.commission.of(qty * leg["exit_price"], qty)
             gross = (leg["exit_price"] - price) * qty * way
             cash = cash_in + qty * price + gross - leaving
             kept = {k: leg[k] for k in ("direction", "entry_price", "entry_ts", "exit_price", "exit_ts", "mae", "mfe", "exit_reason", "entry_place", "exit_place")}

@@ -266,7 +266,7 @@ def monthly(trades: DataFrame) -> DataFrame:
 
 
 def with_volatility(bars: DataFrame, lookback: int = 60, seconds: int = 60) -> DataFrame:
-    """Bars with the volatility that a normalised surface needs; ``seconds`` is the least distance of two bars."""
+    """Bars with the volatility that a normalised surface needs; ``seconds`` is the usual distance of two bars."""
     return scan.ewma_volatility(bars, lookback, seconds)
 
 

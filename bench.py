@@ -4,7 +4,9 @@
 to warm up and then counts by the best of two runs into a sink that keeps nothing.
 ``opencross_500k`` is the published target: half a million one-minute bars of a random
 walk, 15-minute blocks, buckets of 0.001, in under 3 seconds; ``scaling`` compares it
-with a tenth of the bars.
+with a tenth of the bars. ``scales`` has more sizes, the run in units of volatility
+(look-back 20, 100 000 bars), and ``host``, the seconds of a fixed loop in Python, which tells how fast the
+machine was; none of these counts in the total.
 """
 
 from __future__ import annotations
@@ -69,6 +71,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from barloom import registry
     from barloom.operators.opencross import SurfaceConfig, surface
+    from barloom.plans.validation import with_volatility
 
     own, times = registry.queries(), {}
     for name in QUERIES:
@@ -81,7 +84,18 @@ def main() -> None:
         bars.unpersist()
     times["opencross_50k"], times["opencross_500k"] = sizes[50_000], sizes[500_000]
     rate = round(500_000 / sizes[500_000])
-    print(json.dumps({"metric": "total of headline queries", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")), "opencross_records_per_sec": rate, "scaling": round(sizes[500_000] / sizes[50_000], 2)}))
+    scales = {}
+    for n in (10_000, 100_000, 250_000):
+        bars = walk_bars(spark, n).persist()
+        bars.count()
+        scales[f"opencross_{n // 1000}k"] = timed(lambda b=bars: surface(b, SurfaceConfig(15, 0.001)))
+        if n == 100_000:
+            scales["opencross_normalised_100k"] = timed(lambda b=bars: surface(with_volatility(b, 20, 60), SurfaceConfig(15, 0.1, volatility_lookback=20)))
+        bars.unpersist()
+    start = time.perf_counter()
+    sum(i * i for i in range(5_000_000))
+    scales["host"] = round(time.perf_counter() - start, 3)
+    print(json.dumps({"metric": "total of headline queries", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")), "opencross_records_per_sec": rate, "scaling": round(sizes[500_000] / sizes[50_000], 2), "scales": scales}))
 
 
 if __name__ == "__main__":

@@ -4,7 +4,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from barloom.operators import money
-from barloom.operators.orders import Commission, Sizing
+from barloom.operators.orders import Account, Bar, Commission, Order, Sizing
 
 TRADES = "run_id string, symbol string, direction string, entry_ts long, entry_price double, exit_ts long, exit_price double, exit_reason string, stop double"
 
@@ -37,6 +37,18 @@ def test_sizes_by_risk():
 def test_fees():
     assert str(money.fee(D(1000), Commission("fixed", 2.5))) == "2.500000000000"
     assert str(money.fee(D(10), Commission("percentage", 0.1, 1.0))) == "1.000000000000"
+    assert str(money.fee(D(10), Commission("per_unit", 0.25), D("3.5"))) == "0.875000000000"
+
+
+def test_commissions_of_other_kinds():
+    assert Commission("per_unit", 0.25).of(1000.0, 4.0) == 1.0 and Commission("per_unit", 0.25, 2.0).of(1000.0, 4.0) == 2.0
+    tiered = Commission(lambda value, qty: value * (0.001 if value < 5000 else 0.0005))
+    account = Account(10_000.0, tiered)
+    account.waiting.append(Order("long", 6000.0))
+    account.fill(Bar(0, 50.0, 51.0, 49.0, 50.0, 0))
+    assert account.cash == 10_000 - 6000 - 3.0
+    account.close(40.0, Bar(60, 40.0, 40.0, 40.0, 40.0, 1), "x")
+    assert account.trades[0][7] == 3.0 + 4.8
 
 
 @given(st.lists(st.tuples(st.sampled_from(["long", "short"]), st.integers(1, 10**7), st.integers(1, 10**7)), max_size=12), st.integers(1, 300))
