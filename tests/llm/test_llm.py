@@ -890,5 +890,5 @@ def test_pipeline(spark, sf_dir):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in Q.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in Q.queries()} == {f"op{i}" for i in range(1, 14)}
     assert set(Q.oracle_sql()) <= set(Q.queries())
