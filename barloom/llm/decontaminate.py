@@ -169,21 +169,22 @@ class _Walks:
                 self.moves.append(moves[w, j, one] + moves[w, j + 1, then])
                 self.bits.append((bits[w, j, one] << U64(j)) | (bits[w, j + 1, then] << U64(j + 1)))
                 both = adds[w, :, j, one] ^ adds[w, :, j + 1, then]
-                self.lanes.append([both[:, s] | (both[:, s + 1] << U64(32)) for s in range(0, SAMPLES, 2)])
+                self.lanes.append(both[:, 0::2] | (both[:, 1::2] << U64(32)))
 
     def codes(self, data: np.ndarray) -> np.ndarray:
-        symbol = self.symbols[data]
+        symbol = self.symbols[data].astype(np.uint16)
         return symbol[:-1] | (symbol[1:] << 5)
 
     def walk(self, codes: np.ndarray, at: np.ndarray, lanes: np.ndarray, walk: int, half: int) -> None:
-        """Half of the steps of a walk, from the places ``at`` on; both arrays are moved on."""
+        """Half of the steps of a walk, from the places ``at`` on; both arrays are moved on. The lanes of a place lie
+        side by side, so that one look-up adds to all of them."""
         steps = self.grade.steps // 4
-        pair, move, add = np.empty(len(at), np.int64), np.empty(len(at), np.int64), np.empty(len(at), U64)
+        code, pair, move, add = np.empty(len(at), np.uint16), np.empty(len(at), np.int64), np.empty(len(at), np.int64), np.empty_like(lanes)
         for step in range((2 * walk + half) * steps, (2 * walk + half + 1) * steps):
-            np.take(codes, at, out=pair, mode="clip")
-            for lane, table in zip(lanes, self.lanes[step], strict=True):
-                np.take(table, pair, out=add, mode="clip")
-                lane ^= add
+            np.take(codes, at, out=code, mode="clip")
+            pair[:] = code
+            np.take(self.lanes[step], pair, axis=0, out=add, mode="clip")
+            lanes ^= add
             np.take(self.moves[step], pair, out=move, mode="clip")
             at += move
 
@@ -205,7 +206,7 @@ class _Walks:
         codes = self.codes(data)
         out = np.empty((2, WALKS * SAMPLES, len(starts)), dtype=np.int64)
         for w in range(WALKS):
-            at, lanes = starts.astype(np.int64), np.zeros((SAMPLES // 2, len(starts)), dtype=U64)
+            at, lanes = starts.astype(np.int64), np.zeros((len(starts), SAMPLES // 2), dtype=U64)
             for half in (0, 1):
                 self.walk(codes, at, lanes, w, half)
                 for s in range(SAMPLES):
@@ -215,7 +216,8 @@ class _Walks:
 
 def _own(lanes: np.ndarray, sample: int) -> np.ndarray:
     """A sample's half of its lane."""
-    return lanes[sample // 2] >> U64(32) if sample % 2 else lanes[sample // 2] & U64(0xFFFFFFFF)
+    lane = lanes[:, sample // 2]
+    return lane >> U64(32) if sample % 2 else lane & U64(0xFFFFFFFF)
 
 
 def _exact_keys(data: np.ndarray, starts: np.ndarray, sizes: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -308,7 +310,7 @@ class _Reader:
 
     def _maybe(self, walks: _Walks, lanes: np.ndarray, walk: int, sample: int, half: int) -> np.ndarray:
         """Whether an item may have a sample's key, after half of the steps or all."""
-        lane = lanes[sample // 2]
+        lane = lanes[:, sample // 2]
         place = lane >> U64(64 - self.bits) if sample % 2 else lane & U64((1 << self.bits) - 1)
         return self.filters[half][walks.table(walk, sample)].take(place.view(np.int64))
 
@@ -327,16 +329,16 @@ class _Reader:
             for first in range(0, len(starts), BLOCK_STARTS):
                 for w in range(WALKS):
                     block = starts[first : first + BLOCK_STARTS].astype(np.int64)
-                    at, lanes = block.copy(), np.zeros((SAMPLES // 2, len(block)), dtype=U64)
+                    at, lanes = block.copy(), np.zeros((len(block), SAMPLES // 2), dtype=U64)
                     walks.walk(codes, at, lanes, w, 0)
                     on = np.flatnonzero(np.logical_or.reduce([self._maybe(walks, lanes, w, s, 0) for s in range(SAMPLES)]))
-                    at, lanes = at[on], lanes[:, on]
+                    at, lanes = at[on], lanes[on]
                     walks.walk(codes, at, lanes, w, 1)
                     for s in range(SAMPLES):
                         last = np.flatnonzero(self._maybe(walks, lanes, w, s, 1))
                         if not len(last):
                             continue
-                        keys = _own(lanes[:, last], s).astype(np.int64) | (walks.table(w, s) << 32)
+                        keys = _own(lanes[last], s).astype(np.int64) | (walks.table(w, s) << 32)
                         met, row = self._known(keys, block[on[last]])
                         if len(met):
                             apart = walks.sketches(data, met, w) ^ self.index.sketch[row]
