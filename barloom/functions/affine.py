@@ -250,6 +250,30 @@ def _balance(g: np.ndarray, d: np.ndarray, top: np.ndarray) -> np.ndarray:
     return np.where(g + d == 0, 0.0, 100 * top / (g + d))
 
 
+# the exponential mean of squared returns
+
+
+def _returns(b: Arrays) -> np.ndarray:
+    c, r = b["close"], np.zeros(len(b["close"]))
+    good = np.flatnonzero((c[1:] > 0) & (c[:-1] > 0)) + 1
+    r[good] = np.log(c[good] / c[good - 1])
+    return r
+
+
+def _spread_first(b: Arrays, lookback: int = 60):
+    r, square = _returns(b), np.nan
+    if len(r) >= lookback:
+        square = float(r[:lookback].var())
+        for x in r[lookback:]:
+            square += 2 / (lookback + 1) * (x * x - square)
+    return K.ewma_volatility(b, lookback), [square]
+
+
+def _spread_go(b: Arrays, h: int, state: np.ndarray, lookback: int = 60):
+    y = _smoothing(_returns(b)[h:] ** 2, state, [2 / (lookback + 1)], lambda j, x, _: x)
+    return {"volatility": np.maximum(np.sqrt(y[:, 0]), 0.001)}, y[-1]
+
+
 #: By name, as the kernels of the same names.
 RECURSIONS: dict[str, Recursion] = {
     "ema": Recursion(_ema_first, _ema_go, lambda period=30: period + 1),
@@ -265,6 +289,7 @@ RECURSIONS: dict[str, Recursion] = {
     "macdfix": _converging("macdfix", 12, 26, 0.15, 0.075),
     "kama": Recursion(_kama_first, _kama_go, lambda period=30: period + 1, lambda period=30: period),
     "adosc": Recursion(_oscillating_first, _oscillating_go, lambda fast=3, slow=10: max(fast, slow)),
+    "ewma_volatility": Recursion(_spread_first, _spread_go, lambda lookback=60: lookback + 1, lambda lookback=60: 1),
     "ad": _running("ad", _flow, 0),
     "obv": _running("obv", _volume_steps, 1),
     **{n: _directional(n) for n in ("plus_dm", "minus_dm", "plus_di", "minus_di", "dx")},

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scan
+from ..functions.indicators import Spec, compute
 from ..operators.opencross import SurfaceConfig, observations, surface_of
 from ..operators.statistics import correlation, order_statistic
 
@@ -267,7 +267,7 @@ def monthly(trades: DataFrame) -> DataFrame:
 
 def with_volatility(bars: DataFrame, lookback: int = 60, seconds: int = 60) -> DataFrame:
     """Bars with the volatility that a normalised surface needs; ``seconds`` is the usual distance of two bars."""
-    return scan.ewma_volatility(bars, lookback, seconds)
+    return compute(bars, [Spec("ewma_volatility", {"lookback": lookback}, "volatility")], seconds=seconds)
 
 
 def validate(bars: DataFrame, s: Splits, config: SurfaceConfig = SurfaceConfig(), iterations: int = 3, months: int = 6, threshold: float = 0.7) -> dict:
