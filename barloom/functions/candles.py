@@ -1,8 +1,9 @@
 """Candlestick patterns as predicates over a candle and the ones before it.
 
 A pattern is 100 or -100 where it completes and 0 elsewhere. What is long, short, near
-or equal is relative to the mean of the preceding candles. All of it is columns: three
-projections of window functions over one order, then element-wise logic.
+or equal is relative to the mean of the preceding candles. All of it is columns: the
+means, then the candles before as one struct each, so that the rows of a window stay narrow,
+then element-wise logic.
 """
 
 from __future__ import annotations
@@ -24,16 +25,14 @@ SETTINGS = {
 
 
 class Candle:
-    """The candle ``back`` bars ago."""
+    """The candle ``back`` bars ago; ``used`` collects the measures that are asked of any."""
 
-    def __init__(self, s: Series, back: int) -> None:
-        self._s, self._back = s, back
-
-    def _at(self, name: str) -> Column:
-        return F.lag(name, self._back).over(self._s.window) if self._back else F.col(name)
+    def __init__(self, back: int, used: set[str]) -> None:
+        self._back, self._used = back, used
 
     def __getattr__(self, name: str) -> Column:
-        return self._at({"o": "open", "h": "high", "l": "low", "c": "close"}.get(name, f"_{name}"))
+        self._used.add(name)
+        return F.col(f"_candle{self._back}")[name]
 
     @property
     def top(self) -> Column:
@@ -459,8 +458,8 @@ def cdlmathold(a, b, c, d, e, penetration=0.5):
     return _sign((_all(e.is_long, small, e.white, d.black, a.white, _gap_up(d, e), held, falling, a.o > b.c, a.c > F.greatest(d.h, c.h, b.h)), 100))
 
 
-def measured(bars: DataFrame, s: Series) -> DataFrame:
-    """Bars with each candle's measures and its standards."""
+def measured(bars: DataFrame, s: Series, used: set[str]) -> DataFrame:
+    """Bars with ``_candle0``, a struct of those measures and standards of each candle that are used."""
     body = F.abs(F.col("close") - F.col("open"))
     shaped = bars.withColumns(
         {
@@ -472,18 +471,24 @@ def measured(bars: DataFrame, s: Series) -> DataFrame:
             "_color": F.when(F.col("close") >= F.col("open"), 1).otherwise(-1),
         }
     )
-    standards = {f"_{name}": (F.avg(f"_{measure}").over(s.window.rowsBetween(-n, -1)) if n else F.col(f"_{measure}")) * factor for name, (measure, n, factor) in SETTINGS.items()}
-    return shaped.withColumns(standards)
+    asked = {name: SETTINGS[name] for name in sorted(used & set(SETTINGS))}
+    means = {f"_{measure}_{n}": F.avg(f"_{measure}").over(s.window.rowsBetween(-n, -1)) for measure, n, _ in asked.values() if n}
+    parts = {"o": "open", "h": "high", "l": "low", "c": "close"}
+    fields = {name: F.col(parts.get(name, f"_{name}")) for name in sorted(used - set(SETTINGS))}
+    fields |= {name: F.col(f"_{measure}_{n}" if n else f"_{measure}") * factor for name, (measure, n, factor) in asked.items()}
+    return shaped.withColumns(means).select(*bars.columns, F.struct(*[c.alias(n) for n, c in fields.items()]).alias("_candle0"))
 
 
 def patterns(bars: DataFrame, names: list[str] | None = None, s: Series = Series(), penetration: float | None = None) -> DataFrame:
     """Bars with a column for each pattern; null-safe, 0 during the first 14 bars."""
     names = sorted(PATTERNS) if names is None else names
-    candles = [Candle(s, k) for k in range(5)]
-    place = F.row_number().over(s.window)
+    used: set[str] = set()
+    candles = [Candle(k, used) for k in range(5)]
     out = {}
     for name in names:
         f = PATTERNS[name]
         value = f(*candles, penetration) if penetration is not None and "penetration" in f.__code__.co_varnames else f(*candles)
-        out[name] = F.when(place > 14, F.coalesce(value, F.lit(0))).otherwise(0).cast("int")
-    return measured(bars, s).select(*bars.columns, *[c.alias(n) for n, c in out.items()])
+        out[name] = F.when(F.col("_nth") > 14, F.coalesce(value, F.lit(0))).otherwise(0).cast("int")
+    before = {f"_candle{k}": F.lag("_candle0", k).over(s.window) for k in range(1, 5)}
+    placed = measured(bars, s, used).withColumns(before | {"_nth": F.row_number().over(s.window)})
+    return placed.select(*bars.columns, *[c.alias(n) for n, c in out.items()])

@@ -523,29 +523,36 @@ def _shape_sql() -> str:
     bars AS (SELECT symbol, p * 60 AS ts, CAST(last - body AS DOUBLE) AS open, CAST(greatest(last, last - body) + above AS DOUBLE) AS high, CAST(least(last, last - body) - under AS DOUBLE) AS low, CAST(last AS DOUBLE) AS close, 1.0 AS volume FROM y2)"""
 
 
+#: A series of drawn bars; its line items are shuffled once, by the first two.
+_SHAPE_KEYS = ("series", "l_returnflag", "kind")
+
+
 def _shape_bars(spark, d) -> DataFrame:
-    key = F.floor(F.col("l_orderkey") / 64).cast("long")
-    place = F.row_number().over(Window.partitionBy("l_returnflag", key).orderBy(*_ITEM_ORDER.split(", ")))
-    drawn = table(spark, d, "lineitem").select(F.concat_ws("-", "l_returnflag", key.cast("string")).alias("symbol"), place.alias("p"), F.expr(_SHAPE_OF).alias("x"))
-    out = None
+    """Each line item as a bar of each kind; ``p`` is its place in the series."""
+    place = F.row_number().over(Window.partitionBy(*_SHAPE_KEYS[:2]).orderBy(*_ITEM_ORDER.split(", ")))
+    items = table(spark, d, "lineitem").withColumn("series", F.floor(F.col("l_orderkey") / 64).cast("long"))
+    kinds = []
     for kind, lists in _SHAPES.items():
-        sizes, picks = 1, []
-        for values in lists:
-            picks.append(F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("x") / sizes) % len(values) + 1).cast("int")))
+        sizes, picks = 1, [F.lit(kind).alias("kind")]
+        for name, values in zip(("body", "gap", "above", "under"), lists, strict=True):
+            picks.append(F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("x") / sizes) % len(values) + 1).cast("int")).alias(name))
             sizes *= len(values)
-        one = drawn.select(F.concat(F.lit(f"{kind}-"), "symbol").alias("symbol"), "p", *[c.alias(n) for c, n in zip(picks, ("body", "gap", "above", "under"), strict=True)])
-        out = one if out is None else out.unionByName(one)
-    last = 100000 + F.sum(F.col("body") + F.col("gap")).over(Window.partitionBy("symbol").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+        kinds.append(F.struct(*picks))
+    drawn = items.select(*_SHAPE_KEYS[:2], place.alias("p"), F.expr(_SHAPE_OF).alias("x"))
+    out = drawn.select(*_SHAPE_KEYS[:2], "p", F.inline(F.array(*kinds)))
+    last = 100000 + F.sum(F.col("body") + F.col("gap")).over(Window.partitionBy(*_SHAPE_KEYS).orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
     out = out.withColumn("last", last)
     first = F.col("last") - F.col("body")
     number = lambda c, name: c.cast("double").alias(name)
-    return out.select("symbol", (F.col("p") * 60).cast("long").alias("ts"), number(first, "open"), number(F.greatest("last", first) + F.col("above"), "high"), number(F.least("last", first) - F.col("under"), "low"), number(F.col("last"), "close"), F.lit(1.0).alias("volume"))
+    return out.select(*_SHAPE_KEYS, "p", number(first, "open"), number(F.greatest("last", first) + F.col("above"), "high"), number(F.least("last", first) - F.col("under"), "low"), number(F.col("last"), "close"), F.lit(1.0).alias("volume"))
 
 
 @query("candles_shapes", f"WITH {_shape_sql()}, {candle_sql.candles()} SELECT symbol, ts, {candle_sql.columns(sorted(PATTERNS))} FROM k")
 def candles_shapes(spark, d):
     """Every pattern over bars of drawn shapes, among which all patterns occur; the series are short, so each is a task's."""
-    return I.compute(_shape_bars(spark, d), [Spec(n) for n in sorted(PATTERNS)]).select("symbol", "ts", *sorted(PATTERNS))
+    found = I.compute(_shape_bars(spark, d), [Spec(n) for n in sorted(PATTERNS)], _SHAPE_KEYS, "p")
+    symbol = F.concat_ws("-", "kind", "l_returnflag", F.col("series").cast("string")).alias("symbol")
+    return found.select(symbol, (F.col("p") * 60).cast("long").alias("ts"), *sorted(PATTERNS))
 
 
 _CANDLE = f"c AS (SELECT *, row_number() OVER {_W} AS p, abs(close - open) AS body, high - low AS rng, CASE WHEN close >= open THEN 1 ELSE -1 END AS color, lag(open) OVER {_W} AS o1, lag(close) OVER {_W} AS c1 FROM bars)"
