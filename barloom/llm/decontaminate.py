@@ -27,6 +27,8 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -123,15 +125,18 @@ def normalise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     before[1:] = inside[:-1]
     before[first[:-1]] = False
     keep = inside | before  # a word, or the byte that ends one
-    moved = np.concatenate([[0], np.cumsum(keep)])
-    text_of = np.repeat(np.arange(len(texts)), np.diff(offsets))  # a gap follows each text
-    begins = moved[offsets[:-1]] + GAP * np.arange(len(texts))
-    ends = moved[offsets[1:]] + GAP * np.arange(len(texts))
-    out = np.full(moved[-1] + GAP * (len(texts) + 1), 32, dtype=np.uint8)
-    place = moved[:-1] + GAP * text_of
-    out[place[inside]] = data[inside]
     alone = (data >= 0xE0) & (data <= 0xE9) & (data != 0xE2)  # characters of scripts that may lack spaces
-    return out, begins, ends, place[inside & (~before | alone)]
+    starts = np.flatnonzero((inside & (~before | alone))[keep])
+    data[~inside] = 32
+    kept = data[keep]
+    sizes = np.array([np.count_nonzero(keep[a:b]) for a, b in pairwise(offsets.tolist())], np.int64)
+    stops = np.cumsum(sizes)
+    ends = stops + GAP * np.arange(len(texts))  # a gap follows each text
+    begins = ends - sizes
+    out = np.full(len(kept) + GAP * (len(texts) + 1), 32, dtype=np.uint8)
+    for begin, end, stop in zip(begins.tolist(), ends.tolist(), stops.tolist(), strict=True):
+        out[begin:end] = kept[stop - (end - begin) : stop]
+    return out, begins, ends, starts + GAP * np.searchsorted(stops, starts, side="right")
 
 
 def _symbols() -> np.ndarray:
@@ -144,16 +149,16 @@ def _symbols() -> np.ndarray:
 
 
 class _Walks:
-    """The shared randomness of a grade, as tables of two steps at a time.
+    """The shared randomness of a grade, as tables of three steps at a time.
 
-    Two steps read two neighbouring symbols at most, so a table of 1024 entries tells
+    Three steps read three neighbouring symbols at most, so a table of 32768 entries tells
     how far they move and what they add to the keys of the samples. A key is the
     exclusive or of what its coordinates add, in one half of a 64-bit lane.
     """
 
     def __init__(self, grade: Grade) -> None:
         rng = np.random.default_rng(100 + grade.number)
-        self.grade, self.symbols = grade, _symbols()
+        self.grade, self.symbols = grade, _symbols().astype(np.uint16)
         moves = rng.integers(0, 2, (WALKS, grade.steps, 32), dtype=np.int64)
         adds = rng.integers(0, 1 << 32, (WALKS, SAMPLES, grade.steps, 32), dtype=np.int64).astype(U64)
         for w in range(WALKS):
@@ -161,41 +166,42 @@ class _Walks:
                 left_out = rng.permutation(grade.steps)[grade.coordinates :]
                 adds[w, s, left_out] = 0
         bits = rng.integers(0, 2, (WALKS, grade.steps, 32), dtype=np.int64).astype(U64)
+        lanes = np.ascontiguousarray((adds[:, 0::2] | (adds[:, 1::2] << U64(32))).transpose(0, 2, 3, 1))
+        half = grade.steps // 2
+        self.parts = [[[_steps(lanes[w], moves[w], range(j, min(j + 3, h + half))) for j in range(h, h + half, 3)] for h in (0, half)] for w in range(WALKS)]
         one, two = np.arange(1024) & 31, np.arange(1024) >> 5
-        self.moves, self.lanes, self.bits = [], [], []
+        self.moves, self.bits = [], []
         for w in range(WALKS):
             for j in range(0, grade.steps, 2):
                 then = np.where(moves[w, j, one] > 0, two, one)
                 self.moves.append(moves[w, j, one] + moves[w, j + 1, then])
                 self.bits.append((bits[w, j, one] << U64(j)) | (bits[w, j + 1, then] << U64(j + 1)))
-                both = adds[w, :, j, one] ^ adds[w, :, j + 1, then]
-                self.lanes.append(both[:, 0::2] | (both[:, 1::2] << U64(32)))
 
     def codes(self, data: np.ndarray) -> np.ndarray:
-        symbol = self.symbols[data].astype(np.uint16)
-        return symbol[:-1] | (symbol[1:] << 5)
+        """Each place's symbol and the two after it, five bits each."""
+        symbol = self.symbols[data]
+        return symbol[:-2] | (symbol[1:-1] << 5) | (symbol[2:] << 10)
 
     def walk(self, codes: np.ndarray, at: np.ndarray, lanes: np.ndarray, walk: int, half: int) -> None:
         """Half of the steps of a walk, from the places ``at`` on; both arrays are moved on. The lanes of a place lie
         side by side, so that one look-up adds to all of them."""
-        steps = self.grade.steps // 4
-        code, pair, move, add = np.empty(len(at), np.uint16), np.empty(len(at), np.int64), np.empty(len(at), np.int64), np.empty_like(lanes)
-        for step in range((2 * walk + half) * steps, (2 * walk + half + 1) * steps):
-            np.take(codes, at, out=code, mode="clip")
-            pair[:] = code
-            np.take(self.lanes[step], pair, axis=0, out=add, mode="clip")
+        code, group, move, add = np.empty(len(at), np.uint16), np.empty(len(at), np.int64), np.empty(len(at), np.int64), np.empty_like(lanes)
+        for adds, moves in self.parts[walk][half]:
+            codes.take(at, out=code, mode="clip")
+            group[:] = code
+            adds.take(group, axis=0, out=add, mode="clip")
             lanes ^= add
-            np.take(self.moves[step], pair, out=move, mode="clip")
+            moves.take(group, out=move, mode="clip")
             at += move
 
-    def sketches(self, data: np.ndarray, starts: np.ndarray, walk: int) -> np.ndarray:
+    def sketches(self, codes: np.ndarray, starts: np.ndarray, walk: int) -> np.ndarray:
         """A bit of each coordinate of a walk, for each start."""
         at, out = starts.astype(np.int64), np.zeros(len(starts), dtype=U64)
         half = self.grade.steps // 2
         for step in range(walk * half, (walk + 1) * half):
-            pair = self.symbols[data[at]] | (self.symbols[data[at + 1]] << 5)
-            out |= self.bits[step][pair]
-            at += self.moves[step][pair]
+            pair = (codes.take(at, mode="clip") & 1023).astype(np.int64)
+            out |= self.bits[step].take(pair)
+            at += self.moves[step].take(pair)
         return out.view(np.int64)
 
     def table(self, walk: int, sample: int) -> int:
@@ -214,6 +220,24 @@ class _Walks:
         return out[0], out[1]
 
 
+def _steps(lanes: np.ndarray, moves: np.ndarray, steps: range) -> tuple[np.ndarray, np.ndarray]:
+    """What up to three steps add to the lanes and how far they move, by the code of a place."""
+    code = np.arange(1 << 15)
+    symbols = np.stack([code & 31, (code >> 5) & 31, code >> 10])
+    add, moved = np.zeros((len(code), lanes.shape[2]), dtype=U64), np.zeros(len(code), np.int64)
+    for j in steps:
+        here = symbols[moved, code]
+        add ^= lanes[j].take(here, axis=0)
+        moved += moves[j].take(here)
+    return add, moved
+
+
+@lru_cache(maxsize=2)
+def _walks_of(grade: Grade) -> _Walks:
+    """The tables of a grade, made once in a process."""
+    return _Walks(grade)
+
+
 def _own(lanes: np.ndarray, sample: int) -> np.ndarray:
     """A sample's half of its lane."""
     lane = lanes[:, sample // 2]
@@ -257,7 +281,7 @@ def _starts_of(pattern: bytes) -> np.ndarray:
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of every start of an item that a document may meet."""
-    walks = {g.number: _Walks(g) for g in (SHORT, LONG)}
+    walks = {g.number: _walks_of(g) for g in (SHORT, LONG)}
     tails = {g.number: g.tail for g in (SHORT, LONG)}
     for batch in batches:
         for item, pattern in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -271,7 +295,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 offsets = offsets[(size - offsets >= tails[grade]) | (offsets == 0)]
                 keys, halfway = (k.ravel() for k in walks[grade].keys(data, offsets))
-                sketches = np.concatenate([walks[grade].sketches(data, offsets, w) for w in range(WALKS) for _ in range(SAMPLES)])
+                codes = walks[grade].codes(data)
+                sketches = np.concatenate([np.tile(walks[grade].sketches(codes, offsets, w), SAMPLES) for w in range(WALKS)])
                 offsets = np.tile(offsets, WALKS * SAMPLES)
             n = len(keys)
             full = lambda x: pa.array(np.full(n, x, np.int64))  # noqa: B023, E731
@@ -285,6 +310,7 @@ class _Index:
         table = table.sort_values("key")
         self.key, self.sketch = table["key"].to_numpy(np.int64), table["sketch"].to_numpy(np.int64)
         self.halfway = table["halfway"].to_numpy(np.int64)
+        self.distinct, self.first, self.times = np.unique(self.key, return_index=True, return_counts=True)
         self.before, self.after = table["before"].to_numpy(np.int64), table["after"].to_numpy(np.int64)
         grades = set(table["grade"].tolist())
         self.sizes = set(table.loc[table["grade"] == 0, "after"].tolist())
@@ -296,7 +322,7 @@ class _Reader:
 
     def __init__(self, index: _Index, most_edits: float) -> None:
         self.index, self.most_edits = index, most_edits
-        self.walks = [_Walks(g) for g in index.grades]
+        self.walks = [_walks_of(g) for g in index.grades]
         tables = np.bincount(index.key >> 32, minlength=1)
         self.bits = min(20, max(12, int(16 * tables.max(initial=1)).bit_length()))
         self.filters = [{}, {}]
@@ -316,10 +342,11 @@ class _Reader:
 
     def _known(self, keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and numbers of index rows with their keys."""
-        low = np.searchsorted(self.index.key, keys)
-        times = np.searchsorted(self.index.key, keys, side="right") - low
-        rows = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
-        return np.repeat(starts, times), rows
+        low = np.minimum(np.searchsorted(self.index.distinct, keys), len(self.index.distinct) - 1)
+        hit = np.flatnonzero(self.index.distinct[low] == keys)
+        first, times = self.index.first[low[hit]], self.index.times[low[hit]]
+        rows = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        return np.repeat(starts[hit], times), rows
 
     def _meetings(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts, and numbers of the index rows that they meet."""
@@ -334,16 +361,21 @@ class _Reader:
                     on = np.flatnonzero(np.logical_or.reduce([self._maybe(walks, lanes, w, s, 0) for s in range(SAMPLES)]))
                     at, lanes = at[on], lanes[on]
                     walks.walk(codes, at, lanes, w, 1)
+                    known = []
                     for s in range(SAMPLES):
                         last = np.flatnonzero(self._maybe(walks, lanes, w, s, 1))
-                        if not len(last):
-                            continue
-                        keys = _own(lanes[last], s).astype(np.int64) | (walks.table(w, s) << 32)
-                        met, row = self._known(keys, block[on[last]])
-                        if len(met):
-                            apart = walks.sketches(data, met, w) ^ self.index.sketch[row]
-                            good = np.bitwise_count(apart.view(U64)) <= walks.grade.differ
-                            found.append((met[good], row[good]))
+                        if len(last):
+                            known.append(self._known(_own(lanes[last], s).astype(np.int64) | (walks.table(w, s) << 32), on[last]))
+                    met, row = (np.concatenate(k) for k in zip(*known, strict=True)) if known else found[0]
+                    if len(met):
+                        sketch = np.zeros(len(block), np.int64)  # one for all meetings of a start
+                        seen = np.zeros(len(block), dtype=bool)
+                        seen[met] = True
+                        own = np.flatnonzero(seen)
+                        sketch[own] = walks.sketches(codes, block[own], w)
+                        apart = sketch[met] ^ self.index.sketch[row]
+                        good = np.bitwise_count(apart.view(U64)) <= walks.grade.differ
+                        found.append((block[met[good]], row[good]))
         for _, good, keys in _exact_keys(data, starts, self.index.sizes):
             found.append(self._known(keys, starts[good]))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
